@@ -5,8 +5,8 @@ histogram (at most ``capacity`` numbers, whatever the corpus) goes to the driver
 program over patterns is solved by column generation: a knapsack dynamic program prices, for the
 current duals, the best pattern of every total. A pattern's cost is its padded length, so exact
 fills and powers of two cost no padding. Rounded-down pattern counts are then assigned to documents
-by rank within their length; what rounding leaves over (bounded by the number of patterns, not by
-the corpus) is laid end to end and cut at the sequence length, the tail into powers of two.
+by rank within their length. What rounding leaves over, and what only badly filled patterns would
+hold, is laid end to end and cut at the sequence length, the last part into powers of two.
 """
 
 from __future__ import annotations
@@ -30,21 +30,17 @@ def padded(total: int, capacity: int) -> int:
     return total if total & (total - 1) == 0 else capacity
 
 
-def solve_patterns(demand: dict[int, int], capacity: int, gap: float = 1e-3, rounds: int = 4000) -> list[tuple[dict[int, int], float]]:
+def solve_patterns(demand: dict[int, int], capacity: int, gap: float = 2e-3, rounds: int = 400) -> list[tuple[dict[int, int], float]]:
     """Patterns (length -> copies) and how often the linear program uses each.
 
     Every length's demand is met exactly. The program stops at the optimum or when its cost is
     within ``gap`` of the tokens themselves, which no packing can beat.
     """
-    lengths = np.array(sorted(demand), np.int64)
+    lengths = np.array(sorted(n for n, c in demand.items() if c), np.int64)
     if not len(lengths):
         return []
     d = np.array([demand[int(n)] for n in lengths], float)
-    copies = capacity // lengths
-    columns = [{int(n): int(c)} for n, c in zip(lengths, copies)]
-    cost = np.array([padded(int(n * c), capacity) for n, c in zip(lengths, copies)], float)
-    inverse = np.diag(1.0 / copies)
-    x = d / copies
+    columns, x, cost, inverse = _first_basis(lengths, d, capacity)
     tokens = float(lengths @ d)
     place = {int(n): i for i, n in enumerate(lengths)}
     costs = np.array([padded(t, capacity) if t else 0 for t in range(capacity + 1)], float)
@@ -86,6 +82,45 @@ def solve_patterns(demand: dict[int, int], capacity: int, gap: float = 1e-3, rou
     return [(p, float(v)) for p, v in zip(columns, x) if v > 0]
 
 
+def _first_basis(lengths: np.ndarray, demand: np.ndarray, capacity: int) -> tuple[list[dict[int, int]], np.ndarray, np.ndarray, np.ndarray]:
+    """A basis whose k-th pattern uses up one length: the longest left, filled up as well as what is left allows.
+
+    No later pattern has that length, so the columns are triangular and independent.
+    """
+    left = demand.copy()
+    place = {int(n): i for i, n in enumerate(lengths)}
+    columns: list = [None] * len(lengths)
+    x = np.zeros(len(lengths))
+    cost = np.zeros(len(lengths))
+    matrix = np.zeros((len(lengths), len(lengths)))
+    live = np.ones(len(lengths), bool)
+    best = pick = own = None
+    while live.any():
+        if own is None or not live[own].all():
+            own = np.flatnonzero(live)
+            best, pick = _knapsack(lengths[own], lengths[own].astype(float) ** 2, capacity)
+        i = int(own[-1])
+        n = int(lengths[i])
+        room = capacity - n
+        fits = np.flatnonzero(np.isfinite(best[: room + 1]))
+        waste = [padded(n + int(r), capacity) - n - int(r) for r in fits]
+        t = int(fits[int(np.argmin(waste[::-1])) * -1 - 1])
+        total, pattern = n + t, {n: 1}
+        while t > 0:
+            m = int(lengths[own[pick[t]]])
+            pattern[m] = pattern.get(m, 0) + 1
+            t -= m
+        ratios = {m: left[place[m]] / c for m, c in pattern.items()}
+        out = place[min(ratios, key=ratios.get)]
+        times = ratios[int(lengths[out])]
+        for m, c in pattern.items():
+            left[place[m]] -= c * times
+            matrix[place[m], out] = c
+        columns[out], x[out], cost[out] = pattern, times, padded(total, capacity)
+        live[out] = False
+    return columns, x, cost, np.linalg.inv(matrix)
+
+
 def _knapsack(lengths: np.ndarray, value: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray]:
     """Most value that fills each total exactly (-inf: none does), and the piece that was added last."""
     best, pick = np.full(capacity + 1, -np.inf), np.zeros(capacity + 1, np.int64)
@@ -142,7 +177,8 @@ def make_plan(demand: dict[int, int], capacity: int) -> Plan:
     used = np.zeros(capacity + 1, np.int64)
     runs, sequence = [], 0
     for pattern, times in patterns:
-        times = int(times + 1e-6)
+        total = sum(n * c for n, c in pattern.items())
+        times = int(times + 1e-6) if padded(total, capacity) <= 1.01 * total else 0
         times = min([times, *(int((demand[n] - used[n]) // c) for n, c in pattern.items())])
         if times <= 0:
             continue
@@ -247,8 +283,7 @@ def pack(docs: DataFrame, tokenizer: str | None = None, end_id: int = 0, capacit
             yield out
 
     left = placed.where("sequence_id < 0")
-    # At most one sequence of leftovers for each pattern, so a bounded table whatever the corpus.
-    ids = pieces.join(F.broadcast(left.select(*[F.col(k).alias(f"_{k}") for k in keys]).distinct()), [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys], "left_semi")
+    ids = pieces.join(left.select(*[F.col(k).alias(f"_{k}") for k in keys]).distinct(), [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys], "left_semi")
     ids = ids.dropDuplicates(keys).select(*[F.col(k).alias(f"_{k}") for k in keys], "ids")
     split = left.join(ids, [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys]).select(*keys, "offset", "ids").mapInPandas(cut, schema)
     return placed.where("sequence_id >= 0").unionByName(split)
