@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import packing, simhash, token_files
+from . import packing, quality, simhash, token_files, urls
 from .common import load
 
 
@@ -14,17 +15,28 @@ def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicate_components(load(spark, sf_dir, "documents"))
 
 
+def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.judge(load(spark, sf_dir, "documents"), load(spark, sf_dir, "labels"))
+
+
 def op5_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.round_trip(load(spark, sf_dir, "documents"), end_id=2)
 
 
+def op6_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Outcomes: the page of a document is bad if the document is labelled low quality or toxic."""
+    bad = F.when((F.col("quality") == 0) | (F.col("toxic") == 1), 1).otherwise(0)
+    outcomes = load(spark, sf_dir, "labels").select(F.col("doc_id").alias("document"), bad.alias("bad"))
+    return urls.judge(load(spark, sf_dir, "pages"), outcomes)
+
+
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(load(spark, sf_dir, "documents"), end_id=0, capacity=1024)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_simhash, op5_token_files, op7_packing)}
+    return {f.__name__: f for f in (op1_simhash, op4_quality, op5_token_files, op6_url_filters, op7_packing)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op6_url_filters": urls.ORACLE}
