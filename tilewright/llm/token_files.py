@@ -191,7 +191,7 @@ def read_token_files(manifest: DataFrame) -> DataFrame:
 
     before = F.sum("n_tokens").over(Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1))
     files = manifest.select("shard", "path", F.coalesce(before, F.lit(0)).alias("base"))
-    return files.repartition(F.col("shard")).mapInPandas(read, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    return files.repartition(max(1, manifest.count()), "shard").mapInPandas(read, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
 def round_trip(docs: DataFrame, tokenizer: str | None = None, end_id: int = 2) -> DataFrame:

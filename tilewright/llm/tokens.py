@@ -36,12 +36,38 @@ class Encoder:
         self.by_pretoken = (
             pre.get("type") == "ByteLevel" and pre.get("use_regex", True) and not pre.get("add_prefix_space") and not spec.get("normalizer")
         )
+        vocab = self.tokenizer.get_vocab()
+        self.n_bytes = np.zeros(max(vocab.values()) + 1, np.int64)  # a byte-level token has a character for each byte
+        for token, i in vocab.items():
+            self.n_bytes[i] = len(token)
         self.special = [t["content"] for t in spec.get("added_tokens", [])]
         self.most, self.known = most, {}
 
     def _whole(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def _pretokens(self, words: list[str]) -> None:
+        """Remember the ids of new pre-tokens. Words of a space and letters split again where they are joined,
+        so they are encoded as one text and the ids dealt out by their bytes."""
+        plain = [w for w in words if w[0] == " " and w[-1].isalpha()]
+        for at in range(0, len(plain), 2000):
+            part = plain[at : at + 2000]
+            raw = self._whole(["".join(part)])[0]
+            ends = np.cumsum(self.n_bytes[np.frombuffer(raw, "<u4")])
+            want = np.cumsum([len(w.encode()) for w in part])
+            cut = np.searchsorted(ends, want)
+            if not np.array_equal(ends[cut], want):
+                self.known.update(zip(part, self._whole(part)))
+                continue
+            start = 0
+            for w, end in zip(part, (4 * (cut + 1)).tolist()):
+                self.known[w] = raw[start:end]
+                start = end
+        rest = [w for w in words if w not in self.known]
+        for at in range(0, len(rest), 50_000):
+            part = rest[at : at + 50_000]
+            self.known.update(zip(part, self._whole(part)))
+
     def encode(self, texts: list[str | None]) -> Iterator[bytes]:
         """One bytes object for each text (null: empty), in order, a bounded amount of text at a time."""
         at = 0
@@ -61,10 +87,7 @@ class Encoder:
         if len(self.known) > self.most:
             self.known = {}
         known = self.known
-        new = list(set().union(*split).difference(known))
-        for at in range(0, len(new), 50_000):
-            part = new[at : at + 50_000]
-            known.update(zip(part, self._whole(part)))
+        self._pretokens(list(set().union(*split).difference(known)))
         return [b"".join([known[w] for w in s]) if p else self._whole([t])[0] for t, s, p in zip(texts, split, plain)]
 
 
