@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import packing, quality, simhash, token_files, urls
+from . import embeddings, packing, quality, simhash, token_files, urls
 from .common import load
 
 
@@ -34,8 +34,12 @@ def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(load(spark, sf_dir, "documents"), end_id=0, capacity=1024)
 
 
+def op9_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embeddings.near_duplicate_vectors(load(spark, sf_dir, "embeddings"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_simhash, op4_quality, op5_token_files, op6_url_filters, op7_packing)}
+    return {f.__name__: f for f in (op1_simhash, op4_quality, op5_token_files, op6_url_filters, op7_packing, op9_embeddings)}
 
 
 def oracle_sql() -> dict[str, str]:
