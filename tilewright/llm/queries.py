@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import embeddings, packing, quality, simhash, suffix, token_files, urls
+from . import decontaminate, embeddings, packing, quality, simhash, suffix, token_files, urls
 from .common import load
 
 
@@ -15,6 +15,10 @@ def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicate_components(load(spark, sf_dir, "documents"))
 
 
+def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.leaks(load(spark, sf_dir, "documents"), load(spark, sf_dir, "benchmark"))
+
+
 def op3_suffix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix.remove_repeats(load(spark, sf_dir, "documents")).drop("kept")
 
@@ -43,7 +47,7 @@ def op9_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_simhash, op3_suffix, op4_quality, op5_token_files, op6_url_filters, op7_packing, op9_embeddings)}
+    return {f.__name__: f for f in (op1_simhash, op2_decontaminate, op3_suffix, op4_quality, op5_token_files, op6_url_filters, op7_packing, op9_embeddings)}
 
 
 def oracle_sql() -> dict[str, str]:
