@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, embeddings, packing, quality, simhash, suffix, token_files, urls
+from . import decontaminate, embeddings, html_text, packing, quality, simhash, suffix, token_counts, token_files, urls
 from .common import load
 
 
@@ -42,12 +42,24 @@ def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(load(spark, sf_dir, "documents"), end_id=0, capacity=1024)
 
 
+def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.count_tokens(load(spark, sf_dir, "documents"))
+
+
 def op9_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embeddings.near_duplicate_vectors(load(spark, sf_dir, "embeddings"))
 
 
+def op10_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.main_text(load(spark, sf_dir, "pages"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_simhash, op2_decontaminate, op3_suffix, op4_quality, op5_token_files, op6_url_filters, op7_packing, op9_embeddings)}
+    own = (
+        op1_simhash, op2_decontaminate, op3_suffix, op4_quality, op5_token_files,
+        op6_url_filters, op7_packing, op8_token_counts, op9_embeddings, op10_html_text,
+    )
+    return {f.__name__: f for f in own}
 
 
 def oracle_sql() -> dict[str, str]:
