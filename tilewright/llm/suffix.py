@@ -5,8 +5,7 @@ depends on the window's bytes only. Equal windows, wherever they are, therefore
 and are dealt to the same group; a gram that occurs once has no repeated window. Neighbouring windows
 with one gram form a *context*, and equal contexts are kept once with their number of occurrences.
 
-In each task the contexts of whole groups form a small repetitive corpus (a context that occurs
-more than once goes in twice). Its Burrows-Wheeler transform is run-length compressed, and text
+In each task the contexts of whole groups form a small repetitive corpus. Its Burrows-Wheeler transform is run-length compressed, and text
 positions and longest common prefixes are sampled at run ends only: everywhere else the longest match
 of a position with its lexicographic neighbour is that of the position before it, less one. So
 streaming each context past the sampled ends gives the matching statistics, the length of the
@@ -33,7 +32,7 @@ from .common import materialize, need
 LENGTH = 200
 GRAMS = (32, 100, 160, 190)  # then the window itself
 GROUP = 2048  # different contexts of one gram that one index takes
-BLOCK = 1 << 20  # bytes of contexts in one index
+BLOCK = 1 << 18  # bytes of contexts in one index
 _SEGMENT = 1 << 20
 
 _rng = np.random.default_rng(20240229)
@@ -118,100 +117,133 @@ def contexts_of(texts: list[bytes], length: int, k: int) -> Iterator[tuple[np.nd
 
 
 class RunIndex:
-    """Run-length Burrows-Wheeler index of some short texts with positions sampled at run ends."""
+    """Run-length Burrows-Wheeler index of some short texts with positions sampled at run ends.
 
-    def __init__(self, texts: list[bytes]):
+    ``least`` is the shortest match that is asked for: shorter ones may be reported as shorter still.
+    """
+
+    def __init__(self, texts: list[bytes], least: int = 1):
         sizes = np.array([len(t) for t in texts], np.int64)
         self.starts = np.concatenate([[0], np.cumsum(sizes)])
-        symbols = np.frombuffer(b"".join(texts), np.uint8).astype(np.int64) + 1
+        symbols = np.frombuffer(b"".join(texts), np.uint8)
         n = self.n = len(symbols)
-        end = np.repeat(self.starts[1:], sizes)
-        place = np.arange(n)
+        self._symbols = symbols
+        self._end = np.repeat(self.starts[1:], sizes).astype(np.int32)
+        place = np.arange(n, dtype=np.int32)
+        room = self._end - place  # symbols from here to the end of the text
         key = np.zeros(n, np.int64)
-        for t in range(7):
-            at = place + t
-            key = (key << 9) | np.where(at < end, symbols[np.minimum(at, n - 1)], 0)
-        ranks, h = [], 7
-        longest = int(sizes.max()) if len(sizes) else 0
+        for t in range(4):
+            key <<= 9
+            key[: n - t] += np.where(room[: n - t] > t, symbols[t:].astype(np.int64) + 1, 0)
+        self._ranks: list[tuple[int, np.ndarray]] = []
+        h, longest = 4, int(sizes.max()) if len(sizes) else 0
         while True:
-            order = np.argsort(key)
-            ordered = key[order]
-            rank = np.empty(n, np.int64)
-            rank[order] = np.cumsum(np.concatenate([[1], (ordered[1:] != ordered[:-1])]))
-            ranks.append((h, rank))
-            if h >= longest or rank.max(initial=0) == n:
+            rank, order, distinct = _ranked(key)
+            self._ranks.append((h, rank))
+            if h >= longest or distinct == n:
                 break
-            at = place + h
-            key = rank * (n + 1) + np.where(at < end, rank[np.minimum(at, n - 1)], 0)
+            key = rank.astype(np.int64) * (n + 1)
+            key[: n - h] += np.where(room[: n - h] > h, rank[h:], 0)
             h *= 2
-        suffixes = np.argsort(rank * (n + 1) + place)  # equal strings in the order of their texts
-        opens = np.zeros(n, bool)
-        opens[self.starts[:-1][sizes > 0]] = True
-        bwt = np.where(opens[suffixes], -1 - suffixes, symbols[suffixes - 1])  # a text's start has no symbol before it
-        new = np.concatenate([[True], bwt[1:] != bwt[:-1]]) if n else np.empty(0, bool)
-        self.heads = np.flatnonzero(new)
+        # `order` has equal strings in the order of their texts
+        before = np.empty(n, np.int32)
+        before[1:] = symbols[:-1]
+        before[self.starts[:-1][sizes > 0]] = -1 - np.arange(int((sizes > 0).sum()))  # a text's start has no symbol before it
+        bwt = before[order]
+        self.heads = np.flatnonzero(np.concatenate([[True], bwt[1:] != bwt[:-1]])) if n else np.empty(0, np.int64)
         self.run_symbols = bwt[self.heads]
-        self.tails = np.append(self.heads[1:] - 1, n - 1) if n else self.heads
-        self._end, self._symbols = end, symbols
-        self.samples = [
-            self._sampled(ranks, suffixes[self.heads], suffixes[np.maximum(self.heads - 1, 0)], self.heads > 0),
-            self._sampled(ranks, suffixes[self.tails], suffixes[np.minimum(self.tails + 1, n - 1)], self.tails < n - 1),
-        ]
-
-    def _sampled(self, ranks, a: np.ndarray, b: np.ndarray, has: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        tails = np.append(self.heads[1:] - 1, n - 1) if n else self.heads
+        up, down = np.maximum(self.heads - 1, 0), np.minimum(tails + 1, max(n - 1, 0))
+        self.samples = [self._sampled(order[self.heads], order[up], up != self.heads, least), self._sampled(order[tails], order[down], down != tails, least)]
+        del self._ranks
+
+    def _sampled(self, a: np.ndarray, b: np.ndarray, has: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
         """Text positions at run ends, ascending, and their longest common prefix with the neighbour outside the run."""
-        x, y = a.copy(), b.copy()
-        live = has.copy()
-        end, top = self._end, self.n - 1
-        for h, rank in reversed(ranks):
-            for _ in range(2 if h == ranks[-1][0] else 1):
-                ok = live & (x < end[a]) & (y < end[b])
-                same = ok & (rank[np.minimum(x, top)] == rank[np.minimum(y, top)])
-                # equal ranks over h symbols: the shorter rest, if one ends within them
-                step = np.minimum(h, np.minimum(end[a] - x, end[b] - y))
-                x, y = np.where(same, x + step, x), np.where(same, y + step, y)
-        for _ in range(7):
-            ok = live & (x < end[a]) & (y < end[b])
-            live = ok & (self._symbols[np.minimum(x, top)] == self._symbols[np.minimum(y, top)])
-            x, y = x + live, y + live
+        lcp = np.zeros(len(a), np.int32)
+        at = np.flatnonzero(has)
+        sure = [(h, r) for h, r in self._ranks if h <= least]
+        if sure:
+            at = at[sure[-1][1][a[at]] == sure[-1][1][b[at]]]
+        x, y = a[at].astype(np.int64), b[at].astype(np.int64)
+        ends = np.minimum(self._end[x] - x, self._end[y] - y)  # no match is longer
+        for k, (h, rank) in enumerate(reversed(self._ranks)):
+            for _ in range(2 if k == 0 else 1):
+                done = lcp[at]
+                live = np.flatnonzero(done < ends)
+                live = live[rank[x[live] + done[live]] == rank[y[live] + done[live]]]
+                lcp[at[live]] = np.minimum(done[live] + h, ends[live])
+        for _ in range(4):
+            done = lcp[at]
+            live = np.flatnonzero(done < ends)
+            live = live[self._symbols[x[live] + done[live]] == self._symbols[y[live] + done[live]]]
+            lcp[at[live]] += 1
         order = np.argsort(a)
-        return a[order], np.where(has, x - a, 0)[order]
+        return a[order], lcp[order]
 
-    def matching_statistics(self, text: int) -> np.ndarray:
-        """For each position of the text, the longest string there that also starts elsewhere in the index."""
-        place = np.arange(self.starts[text], self.starts[text + 1])
+    def statistics(self, lo: int = 0, hi: int | None = None) -> np.ndarray:
+        """For each place of the joined texts, the longest string there that also starts elsewhere in the index."""
+        place = np.arange(lo, self.n if hi is None else hi)
         out = np.zeros(len(place), np.int64)
-        for at, lcp in self.samples:
-            i = np.searchsorted(at, place, "right") - 1
-            out = np.maximum(out, lcp[i] - (place - at[i]))
-        return out
-
-    def all_statistics(self) -> np.ndarray:
-        place = np.arange(self.n)
-        out = np.zeros(self.n, np.int64)
         for at, lcp in self.samples:
             i = np.searchsorted(at, place, "right") - 1
             np.maximum(out, lcp[i] - (place - at[i]), out=out)
         return out
 
+    def matching_statistics(self, text: int) -> np.ndarray:
+        return self.statistics(int(self.starts[text]), int(self.starts[text + 1]))
+
+
+def _ranked(key: np.ndarray) -> tuple[np.ndarray, np.ndarray, int]:
+    """Ranks from 1 (equal keys have equal ranks), the stable order, and the number of different keys."""
+    n = len(key)
+    if n <= 1 << 20 and (n == 0 or int(key.max()) < 1 << 43):
+        packed = np.sort(key << 20 | np.arange(n))
+        order, ordered = (packed & ((1 << 20) - 1)).astype(np.int32), packed >> 20
+    else:
+        order = np.argsort(key, kind="stable")
+        ordered = key[order]
+    rank = np.empty(n, np.int32)
+    rank[order] = sums = np.cumsum(np.concatenate([[True], ordered[1:] != ordered[:-1]])[:n], dtype=np.int32)
+    return rank, order, int(sums[-1]) if n else 0
+
 
 def _mark(f: pd.DataFrame, length: int) -> pd.DataFrame:
-    """Repeated windows of whole groups of contexts ``(h1, h2, n, ctx)``, as byte ranges of each context."""
-    texts, own = [], []
-    for ctx, n in zip(f["ctx"], f["n"]):
-        own.append(len(texts))
-        texts.extend([ctx] if n < 2 else [ctx, ctx])
-    index = RunIndex(texts)
-    stats = index.all_statistics() >= length
-    lo, hi, keep = [], [], []
-    for row, t in enumerate(own):
-        hit = np.flatnonzero(stats[index.starts[t] : index.starts[t + 1]])
-        if len(hit):
-            cut = np.flatnonzero(np.diff(hit) > length)  # ranges that touch or overlap are one
-            keep.append(row)
-            lo.append(hit[np.concatenate([[0], cut + 1])].astype(np.int32))
-            hi.append(hit[np.concatenate([cut, [len(hit) - 1]])].astype(np.int32) + np.int32(length))
-    return pd.DataFrame({"h1": f["h1"].iloc[keep].to_numpy(), "h2": f["h2"].iloc[keep].to_numpy(), "lo": pd.Series(lo, dtype=object), "hi": pd.Series(hi, dtype=object)})
+    """Repeated windows of whole groups of contexts ``(gram, h1, h2, n, ctx)``, as byte ranges of each context.
+
+    A context that occurs more than once repeats itself from every place to its end; it goes in once,
+    so that it can match others. A context alone in its group has nothing else to match.
+    """
+    gram, often, texts = f["gram"].to_numpy(), f["n"].to_numpy() > 1, f["ctx"].tolist()
+    edge = np.concatenate([[True], gram[1:] != gram[:-1], [True]])
+    alone = edge[1:] & edge[:-1]
+    lo: list = [[0] if o else [] for o in often]
+    hi: list = [[len(t)] if o else [] for o, t in zip(often, texts)]
+    group = np.flatnonzero(~alone & ~often | ~alone & _near_rare(often, edge))
+    if len(group):
+        index = RunIndex([texts[i] for i in group], length)
+        stats = index.statistics() >= length
+        for t, row in enumerate(group):
+            if not often[row]:
+                hit = np.flatnonzero(stats[index.starts[t] : index.starts[t + 1]])
+                if len(hit):
+                    cut = np.flatnonzero(np.diff(hit) > length)  # ranges that touch or overlap are one
+                    lo[row] = hit[np.concatenate([[0], cut + 1])].astype(np.int32)
+                    hi[row] = hit[np.concatenate([cut, [len(hit) - 1]])].astype(np.int32) + np.int32(length)
+    keep = [i for i, x in enumerate(lo) if len(x)]
+    return pd.DataFrame(
+        {
+            "h1": f["h1"].to_numpy()[keep],
+            "h2": f["h2"].to_numpy()[keep],
+            "lo": pd.Series([lo[i] for i in keep], dtype=object),
+            "hi": pd.Series([hi[i] for i in keep], dtype=object),
+        }
+    )
+
+
+def _near_rare(often: np.ndarray, edge: np.ndarray) -> np.ndarray:
+    """Whether a context's group has one that occurs once: only those are looked up."""
+    group = np.cumsum(edge[:-1]) - 1
+    return (np.bincount(group, ~often) > 0)[group]
 
 
 def _marked(frames: Iterator[pd.DataFrame], length: int) -> Iterator[pd.DataFrame]:
@@ -347,9 +379,9 @@ def _kept(raw: bytes, lo, hi) -> tuple[bytes, int]:
 
 
 def remove_repeats(docs: DataFrame, length: int = LENGTH, grams: tuple[int, ...] = GRAMS, group: int = GROUP, keep: list[str] | None = None) -> DataFrame:
-    """The columns ``keep`` (doc_id) of every row with kept (binary), n_bytes, n_removed, n_spans and kept_sha256.
+    """The columns ``keep`` (doc_id) of every row with kept (the text left, without halves of cut characters), n_bytes, n_removed, n_spans and kept_sha256.
 
-    Null texts are empty. Repeated rows are documents of their own and remove each other's bytes.
+    Null texts count as empty (and kept is null). Repeated rows are documents of their own and remove each other's bytes.
     Texts under ``length`` bytes and texts without repeats are returned whole; an empty table gives
     an empty result.
     """
@@ -357,7 +389,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, grams: tuple[int, ...]
     ranges = repeated_ranges(docs, length, grams, group).groupBy("doc", "mark").agg(F.collect_set(F.struct("lo", "hi")).alias("ranges"))
     own = docs.select(*[docs[c].alias(f"_{c}") for c in keep], F.coalesce(docs["doc_id"], F.lit(-1)).alias("doc"), F.xxhash64(docs["doc_id"], docs["text"]).alias("mark"), docs["text"].alias("text"))
     joined = own.join(ranges, ["doc", "mark"], "left").drop("doc", "mark")
-    made = "kept binary, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
+    made = "kept string, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
     names = [f"_{c}" for c in keep]
 
     def each(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -366,8 +398,15 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, grams: tuple[int, ...]
             for text, ranges in zip(f["text"], f["ranges"]):
                 raw = _raw(text)
                 kept, spans = (raw, 0) if ranges is None or not len(ranges) else _kept(raw, [r["lo"] for r in ranges], [r["hi"] for r in ranges])
-                out.append((kept, len(raw), len(raw) - len(kept), spans, hashlib.sha256(kept).hexdigest()))
+                out.append((None if text is None else kept.decode("utf-8", "ignore"), len(raw), len(raw) - len(kept), spans, hashlib.sha256(kept).hexdigest()))
             yield pd.concat([f[names].reset_index(drop=True), pd.DataFrame(out, columns=["kept", "n_bytes", "n_removed", "n_spans", "kept_sha256"])], axis=1)
 
     head = ", ".join(f"`{n}` {joined.schema[n].dataType.simpleString()}" for n in names)
     return joined.mapInPandas(each, f"{head}, {made}").withColumnsRenamed(dict(zip(names, keep)))
+
+
+def without_repeats(docs: DataFrame) -> DataFrame:
+    """``docs`` with repeated strings taken out of its texts; n_chars follows where a text changed."""
+    cleaned = remove_repeats(docs, keep=docs.columns)
+    text, chars = cleaned["kept"], F.when(F.col("n_removed") > 0, F.length("kept")).otherwise(F.col("n_chars")).cast("long")
+    return cleaned.withColumns({"text": text, "n_chars": chars}).select(*docs.columns)
