@@ -7,6 +7,7 @@ import uuid
 from collections.abc import Iterable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -59,3 +60,23 @@ def need(df: DataFrame, columns: Iterable[str]) -> DataFrame:
     if missing:
         raise ValueError(f"missing columns {missing}; the table has {df.columns}")
     return df.select(*[df[c] for c in columns])
+
+
+#: Rows of one id column that are broadcast at most (under 20 MB); more are joined by shuffle.
+SMALL = 1_000_000
+
+
+def join_ids(df: DataFrame, ids: DataFrame, on: str, how: str, small: int = SMALL) -> DataFrame:
+    """Semi or anti join with a table of ids: broadcast where their counted number is small, else by shuffle."""
+    ids = ids.select(F.col(on).alias("_id")).distinct()
+    if ids.count() <= small:
+        ids = F.broadcast(ids)
+    return df.join(ids, df[on] == ids["_id"], how)
+
+
+def free_name(df: DataFrame, base: str) -> str:
+    """``base``, lengthened until no column of ``df`` has it."""
+    taken = {c.lower() for c in df.columns}
+    while base.lower() in taken:
+        base += "_"
+    return base

@@ -7,12 +7,34 @@ partially aggregated value, so a hub costs as much as any other node.
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import drop_materialized, materialize
 
 
+def spanning_forest(a: np.ndarray, b: np.ndarray, nodes: int, weight: np.ndarray | None = None) -> np.ndarray:
+    """Positions of pairs (a, b) that connect what all of them connect; lighter pairs first."""
+    root, kept = np.arange(nodes), []
+
+    def find(x: np.ndarray) -> np.ndarray:
+        while not np.array_equal(x, y := root[x]):
+            x = y
+        return x
+
+    for w in [None] if weight is None else np.unique(weight):
+        at = np.arange(len(a)) if w is None else np.flatnonzero(weight == w)
+        while len(at):
+            ra, rb = find(a[at]), find(b[at])
+            new = ra != rb
+            at, ra, rb = at[new], ra[new], rb[new]
+            high, first = np.unique(np.maximum(ra, rb), return_index=True)
+            root[high] = np.minimum(ra, rb)[first]
+            kept.append(at[first])
+    return np.concatenate(kept) if kept else np.empty(0, np.int64)
+
+
 def connected_components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """Return ``(node, root)`` for every node that has a link; root is the smallest node reachable.
 

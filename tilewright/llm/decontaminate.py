@@ -18,6 +18,7 @@ from itertools import chain
 
 import numpy as np
 import pandas as pd
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -209,19 +210,9 @@ def leaks(docs: DataFrame, benchmark: DataFrame, least: float = 0.4, block: int
     alignments of one pair go to the earliest.
     """
     docs = need(docs, ["doc_id", "text"])
-    bench = need(benchmark, ["item_id", "text"])
-    size = bench.agg(F.coalesce(F.sum(F.length("text")), F.lit(0))).first()[0]
-    blocks = max(1, -(-int(size) // block))
     schema = "doc_id long, item_id long, score double, first_word long, n_words long, n_seeds long"
     result = None
-    for part in range(blocks):
-        rows = bench.where(F.expr(f"pmod(xxhash64(item_id, text), {blocks}) = {part}")).orderBy("item_id", "text").collect()  # about `block` characters
-        items = Items([r["item_id"] for r in rows], [r["text"] for r in rows])
-        if items.words:
-            items.seeds(*_word_counts(docs, items))
-        else:
-            items.runs = []
-        sent = docs.sparkSession.sparkContext.broadcast(items)
+    for sent in _blocks(docs, benchmark, block):
 
         def find(frames: Iterator[pd.DataFrame], sent=sent) -> Iterator[pd.DataFrame]:
             own = sent.value
@@ -234,3 +225,37 @@ def leaks(docs: DataFrame, benchmark: DataFrame, least: float = 0.4, block: int
         found = docs.mapInPandas(find, schema)
         result = found if result is None else result.unionByName(found)
     return result
+
+
+def without_leaks(docs: DataFrame, benchmark: DataFrame, least: float = 0.4, block: int = BLOCK) -> DataFrame:
+    """The rows of ``docs`` whose text holds no test item; rows and columns are otherwise as they were."""
+    for sent in _blocks(docs, benchmark, block):
+        docs = docs.where(_clean(sent, least)("text"))
+    return docs
+
+
+def _clean(sent: Broadcast, least: float):
+    @F.pandas_udf("boolean")
+    def clean(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for s in batches:
+            out = np.ones(len(s), bool)
+            for d, _, score, *_ in sent.value.aligned(s.tolist()):
+                out[d] &= score < least
+            yield pd.Series(out)
+
+    return clean
+
+
+def _blocks(docs: DataFrame, benchmark: DataFrame, block: int) -> Iterator[Broadcast]:
+    """The benchmark's items with their seeds, about ``block`` characters at a time."""
+    bench = need(benchmark, ["item_id", "text"])
+    size = bench.agg(F.coalesce(F.sum(F.length("text")), F.lit(0))).first()[0]
+    blocks = max(1, -(-int(size) // block))
+    for part in range(blocks):
+        rows = bench.where(F.expr(f"pmod(xxhash64(item_id, text), {blocks}) = {part}")).orderBy("item_id", "text").collect()  # about `block` characters
+        items = Items([r["item_id"] for r in rows], [r["text"] for r in rows])
+        if items.words:
+            items.seeds(*_word_counts(docs, items))
+        else:
+            items.runs = []
+        yield docs.sparkSession.sparkContext.broadcast(items)

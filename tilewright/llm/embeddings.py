@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import materialize, need
-from .components import connected_components
+from .components import connected_components, spanning_forest
 
 PROBES, CELL, DIRECTIONS, BLOCK = 6, 256, 4096, 2048
 #: Standard deviations of the estimate's error that its bound allows for.
@@ -102,25 +102,6 @@ def _cells(index: DataFrame) -> DataFrame:
     return rows.withColumn("cells", nearest("vec", "dim", "k")).drop("k").withColumn("cell", F.explode("cells"))
 
 
-def _forest(a: np.ndarray, b: np.ndarray, n: int) -> np.ndarray:
-    """Positions of pairs (a, b) that together connect what all of them connect."""
-    root, kept, at = np.arange(n), [], np.arange(len(a))
-
-    def find(x: np.ndarray) -> np.ndarray:
-        while not np.array_equal(x, y := root[x]):
-            x = y
-        return x
-
-    while len(at):
-        ra, rb = find(a[at]), find(b[at])
-        new = ra != rb
-        at, ra, rb = at[new], ra[new], rb[new]
-        _, first = np.unique(np.maximum(ra, rb), return_index=True)
-        root[np.maximum(ra, rb)[first]] = np.minimum(ra, rb)[first]
-        kept.append(at[first])
-    return np.concatenate(kept) if kept else at
-
-
 def compare(f: pd.DataFrame, threshold: float, cell: int, whole: bool) -> pd.DataFrame:
     """Links in one block (``whole``) or between two: ``(a, null, n)`` counts and ``(a, b, 0)`` of a spanning forest."""
     f = f.sort_values(["block", "vec_id"], kind="stable")
@@ -155,11 +136,11 @@ def compare(f: pd.DataFrame, threshold: float, cell: int, whole: bool) -> pd.Dat
             first &= ids[a] != ids[b]
             a, b = a[first], b[first]
             counts += np.bincount(a, minlength=len(f)) + np.bincount(b, minlength=len(f))
-            tree = _forest(a, b, len(f))
+            tree = spanning_forest(a, b, len(f))
             found_a.append(a[tree]), found_b.append(b[tree])
     some = np.flatnonzero(counts)
     a, b = (np.concatenate(x) if x else np.empty(0, np.int64) for x in (found_a, found_b))
-    tree = _forest(a, b, len(f))
+    tree = spanning_forest(a, b, len(f))
     return pd.DataFrame(
         {
             "a": np.concatenate([ids[some], ids[a[tree]]]),

@@ -141,8 +141,8 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, passes: int =
     return model
 
 
-def score(docs: DataFrame, model: Model, keep: list[str] | None = None) -> DataFrame:
-    """The columns ``keep`` (doc_id) of every row and ``score``; null and empty texts have the bias's score.
+def score(docs: DataFrame, model: Model, keep: list[str] | None = None, name: str = "score") -> DataFrame:
+    """The columns ``keep`` (doc_id) of every row and its score as ``name``; null and empty texts have the bias's score.
 
     The score is a function of the text alone. Repeated rows stay; an empty table gives an empty result.
     """
@@ -159,7 +159,7 @@ def score(docs: DataFrame, model: Model, keep: list[str] | None = None) -> DataF
         for t in texts:
             yield pd.Series([own.score(x) for x in t], dtype="float64")
 
-    return need(docs, list(dict.fromkeys([*keep, "text"]))).select(*keep, scored("text").alias("score"))
+    return need(docs, list(dict.fromkeys([*keep, "text"]))).select(*keep, scored("text").alias(name))
 
 
 def judge(docs: DataFrame, labels: DataFrame, threshold: float = 0.3) -> DataFrame:

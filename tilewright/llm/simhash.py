@@ -22,8 +22,8 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialize, need
-from .components import connected_components
+from .common import join_ids, materialize, need
+from .components import connected_components, spanning_forest
 
 _BITS_AT_ONCE = 1 << 15
 
@@ -72,39 +72,35 @@ def fingerprints(docs: DataFrame, words: int = 3, lanes: int = 1, distinct: bool
 
 
 def variants(rows: DataFrame, segments: int, bits: int) -> DataFrame:
-    """One row for each one-wildcard variant of the open bits ``lo, width`` of ``cur``.
+    """``(id, key, lo, width)``: one row for each one-wildcard variant of the open bits ``lo, width`` of ``cur``.
 
     The open bits are cut into ``segments``; the key is extended by the segment with one bit blanked,
     and the bits outside the segment (cyclically) stay open for a further level.
     """
-    keep = [c for c in rows.columns if c not in ("key", "lo", "width", "group_size")]
     return (
         rows.withColumn("w", (F.col("width") / segments).cast("int"))
         .withColumn("seg", F.explode(F.sequence(F.lit(0), F.lit(segments - 1))))
         .withColumn("at", F.expr(f"(lo + seg * w) % {bits}").cast("int"))
         .withColumn("sw", F.expr(f"if(seg = {segments - 1}, width - seg * w, w)").cast("int"))
         .withColumn("pos", F.explode(F.expr("sequence(0, sw - 1)")))
-        .withColumn(
-            "val",
-            F.expr("shiftrightunsigned(cur, at) & (shiftleft(1L, sw) - 1L) & ~shiftleft(1L, pos)"),
-        )
+        .withColumn("val", F.expr("shiftrightunsigned(cur, at) & (shiftleft(1L, sw) - 1L) & ~shiftleft(1L, pos)"))
         .select(
-            *keep,
+            "id",
             F.expr("xxhash64(key, at, pos, val)").alias("key"),
-            F.expr(f"((at + sw) % {bits})").cast("int").alias("lo"),
-            (F.col("width") - F.col("sw")).cast("int").alias("width"),
+            F.expr(f"((at + sw) % {bits})").cast("short").alias("lo"),
+            (F.col("width") - F.col("sw")).cast("short").alias("width"),
         )
     )
 
 
 def _forest(frames: Iterator[pd.DataFrame], lanes: int, most: int) -> Iterator[pd.DataFrame]:
-    """Rows sorted by key: a spanning forest of the links in each key's group, as (a, b, dist)."""
+    """Rows sorted by key: the lightest spanning forest of the links in each key's group, as (a, b, dist)."""
     held: list[pd.DataFrame] = []
     size = 0
     for f in frames:
         held.append(f)
         size += len(f)
-        if size >= 100_000:
+        if size >= 50_000:
             whole = pd.concat(held, ignore_index=True)
             last = whole["key"].to_numpy() != whole["key"].iloc[-1]
             if last.any():
@@ -117,42 +113,25 @@ def _forest(frames: Iterator[pd.DataFrame], lanes: int, most: int) -> Iterator[p
 
 
 def _links(f: pd.DataFrame, lanes: int, most: int) -> pd.DataFrame:
-    key = f["key"].to_numpy()
-    ids = f["id"].to_numpy()
+    key, ids = f["key"].to_numpy(), f["id"].to_numpy()
     fps = [f[f"fp{i}"].to_numpy().view(np.uint64) for i in range(lanes)]
-    root = np.arange(len(f))
-    out_a, out_b, out_d = [], [], []
-
-    def find(x: np.ndarray) -> np.ndarray:
-        while True:
-            y = root[x]
-            if np.array_equal(x, y):
-                return x
-            x = y
-
-    live, step = np.arange(len(f)), 1
+    a = b = d = np.empty(0, np.int64)
+    new: list[tuple[np.ndarray, ...]] = []
+    pairs, step, live = 0, 1, np.arange(len(f))
     while len(live):
         live = live[live + step < len(f)]
         live = live[key[live] == key[live + step]]  # sorted by key: a group that ended stays ended
-        other = live + step
-        dist = sum(np.bitwise_count(p[live] ^ p[other]).astype(np.int16) for p in fps) if len(live) else live
-        hit = np.flatnonzero(dist <= most)
-        if len(hit):
-            a, b, d = live[hit], other[hit], dist[hit]
-            while len(a):  # union; what joins two trees is kept as a link
-                ra, rb = find(a), find(b)
-                new = ra != rb
-                a, b, d, ra, rb = a[new], b[new], d[new], ra[new], rb[new]
-                if not len(a):
-                    break
-                high, low = np.maximum(ra, rb), np.minimum(ra, rb)
-                _, first = np.unique(high, return_index=True)
-                root[high[first]] = low[first]
-                out_a.append(ids[a[first]]), out_b.append(ids[b[first]]), out_d.append(d[first])
+        if len(live):
+            dist = sum(np.bitwise_count(p[live] ^ p[live + step]).astype(np.int64) for p in fps)
+            hit = np.flatnonzero(dist <= most)
+            new.append((live[hit], live[hit] + step, dist[hit]))
+            pairs += len(hit)
+        if new and (pairs > 1_000_000 or not len(live)):  # the forest of a forest and more pairs is that of all pairs
+            a, b, d = (np.concatenate(c) for c in zip((a, b, d), *new))
+            tree = spanning_forest(a, b, len(f), d)
+            a, b, d, new, pairs = a[tree], b[tree], d[tree], [], 0
         step += 1
-    if not out_a:
-        return pd.DataFrame({"a": pd.Series(dtype="int64"), "b": pd.Series(dtype="int64"), "dist": pd.Series(dtype="int64")})
-    return pd.DataFrame({"a": np.concatenate(out_a), "b": np.concatenate(out_b), "dist": np.concatenate(out_d).astype(np.int64)})
+    return pd.DataFrame({"a": ids[a], "b": ids[b], "dist": d})
 
 
 def near_links(
@@ -161,35 +140,38 @@ def near_links(
     """Links ``(a, b, dist)`` between nodes ``(id, fp0, ...)`` whose fingerprints differ in at most ``most`` bits.
 
     With ``most < 2 * segments`` and one lane every link is found, as a path: the links returned
-    connect exactly the nodes that all links connect. Ids and fingerprints must be distinct.
-    ``group`` is the number of fingerprints compared at a time under one key; larger groups go a
-    level deeper and nothing is left out.
+    connect exactly the nodes that all links connect, and are the lightest that do so. Ids and
+    fingerprints must be distinct. ``group`` is the number of fingerprints compared at a time under
+    one key; larger groups go a level deeper and nothing is left out.
     """
-    rows = None
-    for lane in range(lanes):
-        own = nodes.select("*", F.col(f"fp{lane}").alias("cur"), F.lit(lane).cast("long").alias("key"), F.lit(0).alias("lo"), F.lit(bits).alias("width"))
-        rows = own if rows is None else rows.unionByName(own)
+    parts = max(12, int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     fps = [f"fp{i}" for i in range(lanes)]
     found = None
-    parts = max(12, int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    for level, cut in enumerate((segments, 2, 2)):
-        shared = materialize(
-            variants(rows, cut, bits)
-            .withColumn("group_size", F.count(F.lit(1)).over(Window.partitionBy("key")))
-            .where("group_size > 1"),
-            "variants",
-        )
-        small = shared if level == 2 else shared.where(F.col("group_size") <= group)
-        links = (
-            small.select("key", "id", *fps)
-            .repartition(parts, "key")
-            .sortWithinPartitions("key", "id")
-            .mapInPandas(lambda it: _forest(it, lanes, most), "a long, b long, dist long")
-        )
-        found = links if found is None else found.unionByName(links)
-        rows = shared.where(F.col("group_size") > group)
-        if level == 2 or rows.isEmpty():
-            break
+    for lane in range(lanes):
+        own = nodes.select("id", F.col(f"fp{lane}").alias("cur"))
+        rows = own.select("*", F.lit(lane).cast("long").alias("key"), F.lit(0).alias("lo"), F.lit(bits).alias("width"))
+        for level, cut in enumerate((segments, 2, 2)):
+            shared = materialize(
+                variants(rows, cut, bits)
+                .withColumn("group_size", F.count(F.lit(1)).over(Window.partitionBy("key")))
+                .where("group_size > 1"),
+                "variants",
+            )
+            small = shared if level == 2 else shared.where(F.col("group_size") <= group)
+            links = (
+                small.select("key", "id")
+                .join(nodes.select("id", *fps), "id")
+                .repartition(parts, "key")
+                .sortWithinPartitions("key", "id")
+                .mapInPandas(lambda it: _forest(it, lanes, most), "a long, b long, dist long")
+            )
+            found = links if found is None else found.unionByName(links)
+            if level == 2:
+                break
+            hot = shared.where(F.col("group_size") > group)
+            if hot.isEmpty():
+                break
+            rows = hot.select("id", "key", "lo", "width").join(own, "id")
     return found.groupBy(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).agg(F.min("dist").alias("dist"))
 
 
@@ -212,3 +194,67 @@ def near_duplicate_components(docs: DataFrame, words: int = 3, most: int = 3, gr
     return fps.join(classes, "fp0").select(
         "doc_id", F.lower(F.lpad(F.hex("fp0"), 16, "0")).alias("fingerprint"), "component_id"
     )
+
+
+#: Distinct words, two lanes of three 21-bit segments; bits of 128 that may differ before the exact check.
+NEAR_BITS, NEAR_SEGMENTS, NEAR_LANES, NEAR_MOST = 63, 3, 2, 20
+
+
+def _described(docs: DataFrame, words: int) -> DataFrame:
+    """``(doc_id, s1, s2, fp0, fp1)``: the digest of the set of word shingles, and fingerprints of the set of words."""
+
+    def each(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            rows = []
+            for t in f["text"]:
+                digest = xxhash.xxh3_128_intdigest(np.sort(shingle_hashes(t, words, distinct=True)).tobytes())
+                fps = [majority_bits(shingle_hashes(t, 1, 42 + lane, distinct=True)) for lane in range(NEAR_LANES)]
+                rows.append(((digest >> 64) - (1 << 63), (digest & (1 << 64) - 1) - (1 << 63), *(p - (p >> 63 << 64) for p in fps)))
+            yield pd.DataFrame({"doc_id": f["doc_id"].to_numpy()} | {c: np.array(v, np.int64) for c, v in zip(("s1", "s2", "fp0", "fp1"), zip(*rows))})
+
+    rows = need(docs, ["doc_id", "text"]).where("doc_id IS NOT NULL")
+    return materialize(rows.mapInPandas(each, "doc_id long, s1 long, s2 long, fp0 long, fp1 long"), "described")
+
+
+def similar_groups(docs: DataFrame, words: int = 5, similarity: float = 0.8, group: int = 2048) -> tuple[DataFrame, DataFrame]:
+    """``(doc_id, s1, s2)`` of all documents, and ``(s1, s2, root)``: groups of texts of like word shingles.
+
+    Texts with equal sets of shingles are one node. Candidates come from the fingerprints' one-wildcard
+    variants; a link counts when the sets' Jaccard similarity, computed exactly, is at least
+    ``similarity``. root is the smallest doc_id of a group.
+    """
+    described = _described(docs, words)
+    nodes = materialize(
+        described.groupBy("s1", "s2").agg(F.min("doc_id").alias("id"), F.min("fp0").alias("fp0"), F.min("fp1").alias("fp1")), "nodes"
+    )
+    links = materialize(near_links(nodes, NEAR_MOST, NEAR_BITS, NEAR_SEGMENTS, NEAR_LANES, group).select("a", "b"), "candidates")
+
+    @F.pandas_udf("array<int>")
+    def shingles(texts: pd.Series) -> pd.Series:
+        return pd.Series([np.unique((shingle_hashes(t, words) >> np.uint64(32)).astype(np.uint32).view(np.int32)) for t in texts], dtype=object)
+
+    ends = links.select(F.explode(F.array("a", "b")).alias("id"))
+    texts = join_ids(need(docs, ["doc_id", "text"]).withColumnRenamed("doc_id", "id"), ends, "id", "left_semi").dropDuplicates(["id"])
+    sets = materialize(texts.select("id", shingles("text").alias("set")), "shingle-sets")
+    both = links.join(sets.select(F.col("id").alias("a"), F.col("set").alias("x")), "a").join(sets.select(F.col("id").alias("b"), F.col("set").alias("y")), "b")
+    same = F.size(F.array_intersect("x", "y"))
+    alike = both.where(same >= similarity * (F.size("x") + F.size("y") - same)).select("a", "b")
+    roots = connected_components(alike)
+    grouped = nodes.join(roots, nodes["id"] == roots["node"], "left").select("s1", "s2", F.coalesce("root", "id").alias("root"))
+    return described.select("doc_id", "s1", "s2"), grouped
+
+
+def drop_near_duplicates(docs: DataFrame, words: int = 5, similarity: float = 0.8, group: int = 2048) -> DataFrame:
+    """The rows of ``docs`` without near-duplicates: of each group the one with the smallest doc_id stays.
+
+    Texts without words are one group. Rows with a null doc_id stay as they are, since no group can
+    name them; of rows that repeat a doc_id that stays, one stays. An empty table gives an empty result.
+    """
+    described, grouped = similar_groups(docs, words, similarity, group)
+    owners = materialize(described.join(grouped, ["s1", "s2"]).select("doc_id", (F.col("doc_id") != F.col("root")).alias("goes")), "owners")
+    out = join_ids(docs, owners.where("goes").select("doc_id"), "doc_id", "left_anti")
+    repeated = owners.where("NOT goes").groupBy("doc_id").count().where("count > 1").select("doc_id")
+    if repeated.isEmpty():
+        return out
+    twice = join_ids(out, repeated, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    return join_ids(out, repeated, "doc_id", "left_anti").unionByName(twice)
