@@ -23,6 +23,8 @@ from pyspark.sql import functions as F
 from .common import materialize, need
 from .tokens import encoder, tokenizer_path
 
+#: Leftover pieces (five numbers each) that are broadcast to fetch their ids; more are joined by shuffle.
+LEFTOVERS = 200_000
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, ids binary"
 
 
@@ -283,7 +285,10 @@ def pack(docs: DataFrame, tokenizer: str | None = None, end_id: int = 0, capacit
             yield out
 
     left = placed.where("sequence_id < 0")
-    ids = pieces.join(left.select(*[F.col(k).alias(f"_{k}") for k in keys]).distinct(), [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys], "left_semi")
+    lost = left.select(*[F.col(k).alias(f"_{k}") for k in keys]).distinct()
+    if left.count() <= LEFTOVERS:
+        lost = F.broadcast(lost)
+    ids = pieces.join(lost, [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys], "left_semi")
     ids = ids.dropDuplicates(keys).select(*[F.col(k).alias(f"_{k}") for k in keys], "ids")
     split = left.join(ids, [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys]).select(*keys, "offset", "ids").mapInPandas(cut, schema)
     return placed.where("sequence_id >= 0").unionByName(split)
