@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from . import clamped
+
 #: Contour bands, the first that divides the elevation wins, else 10.
 CONTOUR_BANDS = (1000, 500, 250, 200, 100, 50, 20)
 
@@ -24,13 +26,13 @@ def snap(elevation: Column, step: Column) -> Column:
 
 def encode_terrarium(elevation: Column, step: Column) -> tuple[Column, Column, Column]:
     """(r, g, b); the blue part is clamped, it does not carry."""
-    v = F.least(F.greatest(snap(elevation, step) + 32768.0, F.lit(0.0)), F.lit(65535.999))
+    v = clamped(snap(elevation, step) + 32768.0, 0.0, 65535.999)
     whole = F.floor(v)
-    return F.floor(whole / 256).cast("int"), (whole % 256).cast("int"), F.least(F.round((v - whole) * 256.0), F.lit(255)).cast("int")
+    return F.floor(whole / 256).cast("int"), (whole % 256).cast("int"), clamped(F.round((v - whole) * 256.0), None, 255.0).cast("int")
 
 
 def encode_mapbox(elevation: Column, step: Column) -> tuple[Column, Column, Column]:
-    v = F.least(F.greatest(F.round((snap(elevation, step) + 10000.0) * 10.0), F.lit(0)), F.lit((1 << 24) - 1)).cast("long")
+    v = clamped(F.round((snap(elevation, step) + 10000.0) * 10.0), 0.0, float((1 << 24) - 1)).cast("long")
     return F.floor(v / 65536).cast("int"), (F.floor(v / 256) % 256).cast("int"), (v % 256).cast("int")
 
 
@@ -56,7 +58,7 @@ def step_for_resolution(metres: Column, ratio: Column) -> Column:
 
 
 def refine_factor(source: Column, target: Column) -> Column:
-    return F.greatest(F.ceil(source / target), F.lit(1).cast("long"))
+    return clamped(F.ceil(source / target), F.lit(1).cast("long"), None)
 
 
 def clamp_min(elevation: Column, least: Column) -> Column:
@@ -73,4 +75,4 @@ def bilinear(v00: Column, v10: Column, v01: Column, v11: Column, fx: Column, fy:
 
 
 def cross_fade(a: Column, b: Column, weight: Column, least: float = -10.0) -> Column:
-    return F.greatest(a * (1 - weight) + b * weight, F.lit(least))
+    return clamped(a * (1 - weight) + b * weight, least, None)

@@ -8,6 +8,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from . import clamped
+
 #: Mercator circumference and radius, mean Earth radius, metres a degree.
 CIRCUMFERENCE, RADIUS, EARTH, DEGREE_M = 40075016.686, 6378137.0, 6371008.8, 111320.0
 #: Degrees a graph tile, by level.
@@ -17,7 +19,7 @@ LAMBERT93 = {"n": 0.7256077650532670, "c": 11754255.426096, "xs": 700000.0, "ys"
 
 
 def pow2(zoom: Column) -> Column:
-    return F.expr("1L").cast("long") * F.call_function("shiftleft", F.lit(1).cast("long"), zoom.cast("int"))
+    return F.call_function("shiftleft", F.lit(1).cast("long"), zoom.cast("int"))
 
 
 def floor(x: Column) -> Column:
@@ -33,12 +35,12 @@ def fraction(lon: Column, lat: Column, zoom: Column) -> tuple[Column, Column]:
 def tile_of(lon: Column, lat: Column, zoom: Column) -> tuple[Column, Column]:
     """Tile of a point, clamped to the zoom's tiles."""
     top = pow2(zoom) - 1
-    return tuple(F.least(F.greatest(floor(v), F.lit(0).cast("long")), top) for v in fraction(lon, lat, zoom))
+    return tuple(clamped(floor(v), F.lit(0).cast("long"), top) for v in fraction(lon, lat, zoom))
 
 
 def tile_range(west: Column, south: Column, east: Column, north: Column, zoom: Column, epsilon: float = 0.0, most_lat: float = 90.0) -> tuple[Column, ...]:
     """(x0, y0, x1, y1) of the tiles a box touches; ``epsilon`` degrees are taken off each side."""
-    clamp = (lambda v: v) if most_lat >= 90 else (lambda v: F.least(F.greatest(v, F.lit(-most_lat)), F.lit(most_lat)))
+    clamp = (lambda v: v) if most_lat >= 90 else (lambda v: clamped(v, -most_lat, most_lat))
     x0, y0 = tile_of(west + epsilon, clamp(north - epsilon), zoom)
     x1, y1 = tile_of(east - epsilon, clamp(south + epsilon), zoom)
     return x0, y0, x1, y1
@@ -68,7 +70,7 @@ def ground_resolution(y: Column, zoom: Column, size: int) -> Column:
 def haversine(lon1: Column, lat1: Column, lon2: Column, lat2: Column) -> Column:
     """Metres between two points."""
     a = F.pow(F.sin(F.radians(lat2 - lat1) / 2), 2) + F.cos(F.radians(lat1)) * F.cos(F.radians(lat2)) * F.pow(F.sin(F.radians(lon2 - lon1) / 2), 2)
-    return 2 * EARTH * F.asin(F.sqrt(F.least(a, F.lit(1.0))))
+    return 2 * EARTH * F.asin(F.sqrt(clamped(a, None, 1.0)))
 
 
 def to_mercator(lon: Column, lat: Column) -> tuple[Column, Column]:
@@ -144,8 +146,8 @@ def parse_degree_name(name: Column) -> tuple[Column, Column]:
     pattern = r"^([NSns])(\d{2})([EWew])(\d{3})"
     ok = name.rlike(pattern)
     part = lambda i: F.regexp_extract(name, pattern, i)
-    lat = F.when(ok, F.expr("1") * part(2).try_cast("int") * F.when(F.upper(part(1)) == "S", -1).otherwise(1))
-    lon = F.when(ok, F.expr("1") * part(4).try_cast("int") * F.when(F.upper(part(3)) == "W", -1).otherwise(1))
+    lat = F.when(ok, part(2).try_cast("int") * F.when(F.upper(part(1)) == "S", -1).otherwise(1))
+    lon = F.when(ok, part(4).try_cast("int") * F.when(F.upper(part(3)) == "W", -1).otherwise(1))
     return lon, lat
 
 
@@ -198,8 +200,7 @@ def parse_bounds(text: Column) -> Column:
 
 def clamp_bounds(west: Column, south: Column, east: Column, north: Column) -> tuple[Column, ...]:
     """A box inside +-180 and +-85 degrees."""
-    fit = lambda v, most: F.least(F.greatest(v, F.lit(-most)), F.lit(most))
-    return fit(west, 180.0), fit(south, 85.0), fit(east, 180.0), fit(north, 85.0)
+    return clamped(west, -180.0, 180.0), clamped(south, -85.0, 85.0), clamped(east, -180.0, 180.0), clamped(north, -85.0, 85.0)
 
 
 def box_centre(west: Column, south: Column, east: Column, north: Column) -> tuple[Column, Column]:

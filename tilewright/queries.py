@@ -299,7 +299,7 @@ def _(spark, d):
 
 @query(
     "G08_haversine",
-    """SELECT point_id, round(2 * 6371008.8 * asin(sqrt(least(1.0, power(sin(radians(45.0 - lat) / 2), 2) + cos(radians(lat)) * cos(radians(45.0)) * power(sin(radians(5.0 - lon) / 2), 2)))), 3) AS metres FROM fx_points""",
+    """SELECT point_id, round(2 * 6371008.8 * asin(sqrt(power(sin(radians(45.0 - lat) / 2), 2) + cos(radians(lat)) * cos(radians(45.0)) * power(sin(radians(5.0 - lon) / 2), 2))), 3) AS metres FROM fx_points""",
 )
 def _(spark, d):
     return view(spark, d, "fx_points").select("point_id", F.round(G.haversine(F.col("lon"), F.col("lat"), F.lit(5.0), F.lit(45.0)), 3).alias("metres"))
@@ -392,7 +392,7 @@ def _(spark, d):
     "G26_densify",
     """WITH p AS (SELECT point_id % 50 AS line_id, point_id AS seq, lon, lat FROM fx_points WHERE point_id < 300),
   s AS (SELECT *, lead(lon) OVER w AS lon2, lead(lat) OVER w AS lat2 FROM p WINDOW w AS (PARTITION BY line_id ORDER BY seq)),
-  n AS (SELECT *, coalesce(cast(floor(2 * 6371008.8 * asin(sqrt(least(1.0, power(sin(radians(lat2 - lat) / 2), 2) + cos(radians(lat)) * cos(radians(lat2)) * power(sin(radians(lon2 - lon) / 2), 2)))) / 500000) AS int), 0) AS k FROM s)
+  n AS (SELECT *, coalesce(cast(floor(2 * 6371008.8 * asin(sqrt(power(sin(radians(lat2 - lat) / 2), 2) + cos(radians(lat)) * cos(radians(lat2)) * power(sin(radians(lon2 - lon) / 2), 2))) / 500000) AS int), 0) AS k FROM s)
 SELECT line_id, seq, cast(part AS int) AS part, round(CASE WHEN part = 0 THEN lon ELSE lon + (lon2 - lon) * part / k END, 6) AS lon, round(CASE WHEN part = 0 THEN lat ELSE lat + (lat2 - lat) * part / k END, 6) AS lat
 FROM n, unnest(generate_series(0, greatest(k - 1, 0))) u(part)""",
 )
@@ -552,7 +552,7 @@ def _line(spark, d):
 
 
 _LINE = "SELECT *, lon0 + seq * cast(0.001 AS double) AS lon, 45.0 + seq * cast(0.0005 AS double) AS lat FROM fx_profile"
-_STEP = "2 * 6371008.8 * asin(sqrt(least(1.0, power(sin(radians(lat - lag(lat) OVER w) / 2), 2) + cos(radians(lag(lat) OVER w)) * cos(radians(lat)) * power(sin(radians(lon - lag(lon) OVER w) / 2), 2))))"
+_STEP = "2 * 6371008.8 * asin(sqrt(power(sin(radians(lat - lag(lat) OVER w) / 2), 2) + cos(radians(lag(lat) OVER w)) * cos(radians(lat)) * power(sin(radians(lon - lag(lon) OVER w) / 2), 2)))"
 
 
 @query(
@@ -585,7 +585,7 @@ def _(spark, d):
 @query(
     "A14_naive_ascent",
     """WITH s AS (SELECT line_id, elevation_m - lag(elevation_m) OVER (PARTITION BY line_id ORDER BY seq) AS rise FROM fx_profile)
-SELECT line_id, round(coalesce(sum(greatest(rise, 0)), 0), 4) AS ascent_m, round(coalesce(sum(greatest(-rise, 0)), 0), 4) AS descent_m FROM s WHERE rise IS NOT NULL OR true GROUP BY 1""",
+SELECT line_id, round(coalesce(sum(greatest(rise, 0)), 0), 4) AS ascent_m, round(coalesce(sum(greatest(-rise, 0)), 0), 4) AS descent_m FROM s GROUP BY 1""",
 )
 def _(spark, d):
     out = profile.naive_ascent(view(spark, d, "fx_profile"))
