@@ -18,6 +18,9 @@ from .common import need
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
+#: Share of bad pages that counts as one outcome before any is seen.
+PRIOR_BAD = 0.1
+
 #: (host, path, verdict)
 RULES = (
     ("com", "/en/", "block"),
@@ -71,7 +74,7 @@ def host_reputation(outcomes: DataFrame, z: float = 1.645) -> DataFrame:
     )
     domains = hosts.groupBy("domain", "suffix").agg(F.sum("n").alias("n"), F.sum("bad").alias("bad"))
     suffixes = domains.groupBy("suffix").agg(F.sum("n").alias("n"), F.sum("bad").alias("bad"))
-    overall = suffixes.agg(((F.sum("bad") + 1) / (F.sum("n") + 2)).alias("m")).scalar()
+    overall = suffixes.agg(((F.sum("bad") + F.lit(PRIOR_BAD).cast("double")) / (F.sum("n") + 1)).alias("m")).scalar()
     by_suffix = _shrunk(suffixes.withColumn("m", overall), "m").select("suffix", F.col("mean").alias("m"))
     by_domain = _shrunk(domains.join(by_suffix, "suffix"), "m").select("domain", F.col("mean").alias("m"))
     shrunk = _shrunk(hosts.join(by_domain, "domain"), "m")
@@ -89,7 +92,7 @@ def judge(
     ``outcomes (document, bad)`` are labelled outcomes of the documents that urls name by the first
     number of their path; several outcomes of a document count as bad if one is. Null urls have
     empty host and path; hosts without labels have their domain's posterior; without any outcome
-    every host's bad rate is taken from the flat prior. Repeated rows stay; an empty table gives an
+    every host has the prior's bad rate, ``PRIOR_BAD``. Repeated rows stay; an empty table gives an
     empty result.
     """
     host, path = host_and_path(F.col("url"))
@@ -125,7 +128,7 @@ WITH cut AS (
   FROM counted GROUP BY host
 ), domains AS (SELECT domain, suffix, sum(n) AS n, sum(bad) AS bad FROM hosts GROUP BY domain, suffix
 ), suffixes AS (SELECT suffix, sum(n) AS n, sum(bad) AS bad FROM domains GROUP BY suffix
-), overall AS (SELECT (sum(bad) + 1) / (sum(n) + 2) AS m FROM suffixes
+), overall AS (SELECT (sum(bad) + cast(0.1 AS double)) / (sum(n) + 1) AS m FROM suffixes
 ), s1 AS (SELECT s.*, m FROM suffixes s, overall
 ), r1 AS (SELECT coalesce(CASE WHEN sum(n * (n - 1) * m * (1 - m)) > 0 THEN sum((bad - n * m) * (bad - n * m) - n * m * (1 - m)) / sum(n * (n - 1) * m * (1 - m)) END, 0) AS rho FROM s1
 ), m1 AS (SELECT suffix, ((1 / least(greatest(rho, 0.001), 0.999) - 1) * m + bad) / ((1 / least(greatest(rho, 0.001), 0.999) - 1) + n) AS m FROM s1, r1
