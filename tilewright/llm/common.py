@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Iterable
+from collections.abc import Iterable, Iterator
+
+import pandas as pd
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -54,8 +56,20 @@ def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Whole texts that a Python worker holds at a time; the session's own setting holds where it is smaller.
+BATCH_ROWS = 1000
+_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
 def need(df: DataFrame, columns: Iterable[str]) -> DataFrame:
-    """Only the named columns, so that no other column of the input can clash with a working one."""
+    """Only the named columns, so that no other column of the input can clash with a working one.
+
+    Also bounds the rows of a batch that goes to Python, for this session, so that workers hold some
+    megabytes of text whatever a partition's size.
+    """
+    conf = df.sparkSession.conf
+    if not 0 < int(conf.get(_BATCH)) <= BATCH_ROWS:
+        conf.set(_BATCH, BATCH_ROWS)
     missing = [c for c in columns if c not in df.columns]
     if missing:
         raise ValueError(f"missing columns {missing}; the table has {df.columns}")
@@ -80,3 +94,17 @@ def free_name(df: DataFrame, base: str) -> str:
     while base.lower() in taken:
         base += "_"
     return base
+
+
+def gathered(frames: Iterator[pd.DataFrame], column: str = "text", chars: int = 8_000_000) -> Iterator[pd.DataFrame]:
+    """The frames put together until they hold about ``chars`` characters of text."""
+    held: list[pd.DataFrame] = []
+    size = 0
+    for f in frames:
+        held.append(f)
+        size += int(f[column].str.len().sum())
+        if size >= chars:
+            yield pd.concat(held, ignore_index=True)
+            held, size = [], 0
+    if held:
+        yield pd.concat(held, ignore_index=True)

@@ -28,7 +28,7 @@ _TEXT_AT_ONCE = 1 << 20
 _REPEAT = np.uint64(0x5DEECE66D1CE4E5B)
 
 
-@lru_cache(maxsize=400_000)
+@lru_cache(maxsize=100_000)
 def _word(w: str) -> int:
     return xxhash.xxh64_intdigest(w.encode("utf-8", "surrogatepass"))
 

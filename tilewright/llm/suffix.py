@@ -299,11 +299,12 @@ def repeated_ranges(docs: DataFrame, length: int = LENGTH, grams: tuple[int, ...
                 yield pd.DataFrame({"doc": doc[i], "mark": mark[i], "place": (first << 16) | count, "gram": gram})
 
     chosen = rows.select("doc", "mark", "text").where(F.octet_length("text") >= length).mapInPandas(pick, "doc long, mark long, place long, gram long")
-    often = chosen.groupBy("gram").agg(F.count(F.lit(1)).alias("times")).where("times > 1").select("gram")
+    # A table of its own: a join of two plain shuffles can split a gram that very many documents have.
+    often = materialize(chosen.groupBy("gram").agg(F.count(F.lit(1)).alias("times")).where("times > 1").select("gram"), "repeated-grams")
     wanted = chosen.join(often, "gram").groupBy("doc", "mark").agg(F.collect_set(F.struct("place", "gram")).alias("places"))
 
     def lift(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        seen: set = set()
+        seen: set[int] = set()  # contexts whose bytes this task has sent already
         for f in frames:
             out = []
             for doc, mark, text, places in zip(f["doc"], f["mark"], f["text"], f["places"]):
@@ -312,9 +313,9 @@ def repeated_ranges(docs: DataFrame, length: int = LENGTH, grams: tuple[int, ...
                     first, count = p["place"] >> 16, p["place"] & 0xFFFF
                     ctx = raw[first : first + count - 1 + length]
                     h = _digest(ctx)
-                    out.append((p["gram"], *h, doc, mark, first, None if h in seen else ctx))
-                    if len(seen) < 1_000_000:
-                        seen.add(h)
+                    out.append((p["gram"], *h, doc, mark, first, None if (whole := h[0] << 64 | h[1] & (1 << 64) - 1) in seen else ctx))
+                    if len(seen) < 300_000:
+                        seen.add(whole)
             yield pd.DataFrame(out, columns=["gram", "h1", "h2", "doc", "mark", "first", "ctx"])
 
     found = materialize(
