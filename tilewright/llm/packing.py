@@ -20,7 +20,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialize, need
+from .common import gathered, materialize, need
 from .tokens import encoder, tokenizer_path
 
 #: Leftover pieces (five numbers each) that are broadcast to fetch their ids; more are joined by shuffle.
@@ -205,7 +205,7 @@ def cut_documents(docs: DataFrame, tokenizer: str | None = None, end_id: int = 0
 
     def each(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         enc, end = encoder(path), np.array([end_id], "<u4").tobytes()
-        for f in frames:
+        for f in gathered(frames):
             rows: list[tuple] = []
             for doc_id, raw in zip(f["doc_id"].astype("Int64"), enc.encode(f["text"].tolist())):
                 raw += end

@@ -26,7 +26,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import materialize, need, scratch_path
+from .common import gathered, materialize, need, scratch_path
 from .tokens import encoder, tokenizer_path
 
 INDEX_MAGIC, SEEK_MAGIC, FOOTER_MAGIC, DESCRIPTOR = 0x184D2A50, 0x184D2A5E, 0x8F92EAB1, 0x80
@@ -146,7 +146,7 @@ def write_token_files(docs: DataFrame, folder: str, tokenizer: str | None = None
         fs, base = pafs.FileSystem.from_uri(folder)
         name = f"{base}/shard-{task.partitionId():06d}.zst"
         mine = f"{base}/.attempt-{task.partitionId()}-{task.taskAttemptId()}"
-        for f in frames:
+        for f in gathered(frames):
             for doc_id, ids in zip(f["doc_id"], enc.encode(f["text"].tolist())):
                 if writer is None:
                     fs.create_dir(base, recursive=True)

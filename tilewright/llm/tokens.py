@@ -22,7 +22,7 @@ _PRETOKENS = re.compile(r"'(?:[sdmt]|ll|ve|re)| ?[^\W\d_]+| ?\d+| ?(?:[^\s\w]|_)
 _ODD_SPACE = (
     r"[ \n][ \n]|^[ \n]|[ \n]$|[\t\x0b\x0c\r\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
 )
-_TEXT_AT_ONCE = 1 << 22
+_TEXT_AT_ONCE = 1 << 23
 
 
 class Encoder:
