@@ -142,7 +142,7 @@ def vectors(page: list[Block]) -> np.ndarray:
         for t in b.path:
             x[i, _place(t, PATHS)] = 1
         w = b.text.split()
-        counts = np.bincount([_place(t, WORDS) for t in w[:2000]], minlength=WORDS)
+        counts = np.bincount([_place(t, WORDS) for t in w], minlength=WORDS)
         x[i, PATHS : PATHS + WORDS] = counts / len(w) if w else 0
         n = len(b.text)
         x[i, PATHS + WORDS :] = (np.log1p(n) / 8, np.log1p(len(w)) / 6, min(1, b.linked / n), b.text[-1] in ".!?\"'”»", sum(b.text.count(c) for c in ".,;") / (len(w) + 1), i / len(page), len(b.path) / 16, 1)
