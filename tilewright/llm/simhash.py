@@ -196,12 +196,13 @@ def near_duplicate_components(docs: DataFrame, words: int = 3, most: int = 3, gr
     )
 
 
-#: Distinct words, two lanes of three 21-bit segments; bits of 128 that may differ before the exact check.
-NEAR_BITS, NEAR_SEGMENTS, NEAR_LANES, NEAR_MOST = 63, 3, 2, 20
+#: Distinct words, three lanes of three 21-bit segments; bits of all lanes that may differ before the exact check.
+NEAR_BITS, NEAR_SEGMENTS, NEAR_LANES, NEAR_MOST = 63, 3, 3, 40
+_NEAR_FPS = [f"fp{lane}" for lane in range(NEAR_LANES)]
 
 
 def _described(docs: DataFrame, words: int) -> DataFrame:
-    """``(doc_id, s1, s2, fp0, fp1)``: the digest of the set of word shingles, and fingerprints of the set of words."""
+    """``(doc_id, s1, s2, fp0, ...)``: the digest of the set of word shingles, and fingerprints of the set of words."""
 
     def each(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
@@ -210,10 +211,10 @@ def _described(docs: DataFrame, words: int) -> DataFrame:
                 digest = xxhash.xxh3_128_intdigest(np.sort(shingle_hashes(t, words, distinct=True)).tobytes())
                 fps = [majority_bits(shingle_hashes(t, 1, 42 + lane, distinct=True)) for lane in range(NEAR_LANES)]
                 rows.append(((digest >> 64) - (1 << 63), (digest & (1 << 64) - 1) - (1 << 63), *(p - (p >> 63 << 64) for p in fps)))
-            yield pd.DataFrame({"doc_id": f["doc_id"].to_numpy()} | {c: np.array(v, np.int64) for c, v in zip(("s1", "s2", "fp0", "fp1"), zip(*rows))})
+            yield pd.DataFrame({"doc_id": f["doc_id"].to_numpy()} | {c: np.array(v, np.int64) for c, v in zip(("s1", "s2", *_NEAR_FPS), zip(*rows))})
 
     rows = need(docs, ["doc_id", "text"]).where("doc_id IS NOT NULL")
-    return materialize(rows.mapInPandas(each, "doc_id long, s1 long, s2 long, fp0 long, fp1 long"), "described")
+    return materialize(rows.mapInPandas(each, "doc_id long, s1 long, s2 long, " + ", ".join(f"{c} long" for c in _NEAR_FPS)), "described")
 
 
 def similar_groups(docs: DataFrame, words: int = 5, similarity: float = 0.8, group: int = 2048) -> tuple[DataFrame, DataFrame]:
@@ -225,7 +226,7 @@ def similar_groups(docs: DataFrame, words: int = 5, similarity: float = 0.8, gro
     """
     described = _described(docs, words)
     nodes = materialize(
-        described.groupBy("s1", "s2").agg(F.min("doc_id").alias("id"), F.min("fp0").alias("fp0"), F.min("fp1").alias("fp1")), "nodes"
+        described.groupBy("s1", "s2").agg(F.min("doc_id").alias("id"), *[F.min(c).alias(c) for c in _NEAR_FPS]), "nodes"
     )
     links = materialize(near_links(nodes, NEAR_MOST, NEAR_BITS, NEAR_SEGMENTS, NEAR_LANES, group).select("a", "b"), "candidates")
 
