@@ -1,5 +1,6 @@
 """Each stage of the pipeline against a plain version."""
 
+import random
 from collections import defaultdict
 
 import pytest
@@ -70,6 +71,27 @@ def test_near_duplicate_hard_cases(spark):
     assert simhash.drop_near_duplicates(table.where("false")).collect() == []
 
 
+def test_near_duplicate_edited_copies(spark):
+    """Groups of copies around the threshold, among them texts of the same words in another order."""
+    rng, texts = random.Random(7), {}
+    for _ in range(8):
+        family = [[rng.choice("abcdefgh") + str(rng.randrange(400)) for _ in range(260)]]
+        for _ in range(40):
+            w = list(rng.choice(family))
+            at, n = rng.randrange(200), rng.randrange(10, 34)
+            w[at : at + n] = [f"new{rng.randrange(5000)}" for _ in range(n)]
+            family.append(w)
+        for w in rng.sample(family, 15):
+            cuts = sorted(rng.sample(range(1, len(w)), rng.choice([4, 9, 14, 60])))
+            parts = [w[i:j] for i, j in zip([0, *cuts], [*cuts, len(w)])]
+            rng.shuffle(parts)
+            family.append(sum(parts, []))
+        rng.shuffle(family)
+        texts |= {len(texts) + k: " ".join(w) for k, w in enumerate(family)}
+    got = simhash.drop_near_duplicates(docs_table(spark, list(texts.items())))
+    assert {r.doc_id for r in got.collect()} == plain_near_duplicates(texts)
+
+
 def test_passage_stage(spark, data, documents):
     cleaned = corpus_pipeline.remove_repeated_passages(spark, documents, data)
     assert cleaned.columns == COLUMNS

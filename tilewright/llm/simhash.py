@@ -93,8 +93,8 @@ def variants(rows: DataFrame, segments: int, bits: int) -> DataFrame:
     )
 
 
-def _forest(frames: Iterator[pd.DataFrame], lanes: int, most: int) -> Iterator[pd.DataFrame]:
-    """Rows sorted by key: the lightest spanning forest of the links in each key's group, as (a, b, dist)."""
+def _whole_keys(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Rows sorted by key, put together so that no key is in two frames."""
     held: list[pd.DataFrame] = []
     size = 0
     for f in frames:
@@ -105,11 +105,17 @@ def _forest(frames: Iterator[pd.DataFrame], lanes: int, most: int) -> Iterator[p
             last = whole["key"].to_numpy() != whole["key"].iloc[-1]
             if last.any():
                 cut = int(np.flatnonzero(last)[-1]) + 1
-                yield _links(whole.iloc[:cut], lanes, most)
+                yield whole.iloc[:cut]
                 whole = whole.iloc[cut:]
             held, size = [whole], len(whole)
     if size:
-        yield _links(pd.concat(held, ignore_index=True), lanes, most)
+        yield pd.concat(held, ignore_index=True)
+
+
+def _forest(frames: Iterator[pd.DataFrame], lanes: int, most: int) -> Iterator[pd.DataFrame]:
+    """Rows sorted by key: the lightest spanning forest of the links in each key's group, as (a, b, dist)."""
+    for f in _whole_keys(frames):
+        yield _links(f, lanes, most)
 
 
 def _links(f: pd.DataFrame, lanes: int, most: int) -> pd.DataFrame:
@@ -196,53 +202,174 @@ def near_duplicate_components(docs: DataFrame, words: int = 3, most: int = 3, gr
     )
 
 
-#: Distinct words, three lanes of three 21-bit segments; bits of all lanes that may differ before the exact check.
-NEAR_BITS, NEAR_SEGMENTS, NEAR_LANES, NEAR_MOST = 63, 3, 3, 40
-_NEAR_FPS = [f"fp{lane}" for lane in range(NEAR_LANES)]
+#: Bits of a set's parity map; of one set in so many, the shingles seen so often are common, so many at most.
+PARITY_BITS, COMMON_SHARE, COMMON_SEEN, COMMON_MOST = 512, 16, 4, 500_000
+_MAP = [f"m{i}" for i in range(PARITY_BITS // 64)]
 
 
 def _described(docs: DataFrame, words: int) -> DataFrame:
-    """``(doc_id, s1, s2, fp0, ...)``: the digest of the set of word shingles, and fingerprints of the set of words."""
+    """``(doc_id, s1, s2, size, m0, ..., set)``: digest, size and parity map of the set of word shingles, and the set.
+
+    Bit k of the parity map says whether an odd number of shingles fall on it, so two maps differ in no
+    more bits than the sets have shingles of their own.
+    """
 
     def each(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
-            rows = []
-            for t in f["text"]:
-                digest = xxhash.xxh3_128_intdigest(np.sort(shingle_hashes(t, words, distinct=True)).tobytes())
-                fps = [majority_bits(shingle_hashes(t, 1, 42 + lane, distinct=True)) for lane in range(NEAR_LANES)]
-                rows.append(((digest >> 64) - (1 << 63), (digest & (1 << 64) - 1) - (1 << 63), *(p - (p >> 63 << 64) for p in fps)))
-            yield pd.DataFrame({"doc_id": f["doc_id"].to_numpy()} | {c: np.array(v, np.int64) for c, v in zip(("s1", "s2", *_NEAR_FPS), zip(*rows))})
+            sets = [np.unique(shingle_hashes(t, words, distinct=True)) for t in f["text"]]
+            digests = [xxhash.xxh3_128_intdigest(s.tobytes()) for s in sets]
+            odd = [np.bincount((s & np.uint64(PARITY_BITS - 1)).view(np.int64), minlength=PARITY_BITS) & 1 for s in sets]
+            maps = np.packbits(np.array(odd, np.uint8).reshape(-1, PARITY_BITS), axis=1, bitorder="little").view(np.int64)
+            yield pd.DataFrame(
+                {
+                    "doc_id": f["doc_id"].to_numpy(),
+                    "s1": np.array([(d >> 64) - (1 << 63) for d in digests], np.int64),
+                    "s2": np.array([(d & (1 << 64) - 1) - (1 << 63) for d in digests], np.int64),
+                    "size": np.array([len(s) for s in sets], np.int32),
+                }
+                | {m: maps[:, i] for i, m in enumerate(_MAP)}
+                | {"set": pd.Series([s.view(np.int64) for s in sets], dtype=object)}
+            )
 
     rows = need(docs, ["doc_id", "text"]).where("doc_id IS NOT NULL")
-    return materialize(rows.mapInPandas(each, "doc_id long, s1 long, s2 long, " + ", ".join(f"{c} long" for c in _NEAR_FPS)), "described")
+    schema = f"doc_id long, s1 long, s2 long, size int, {', '.join(f'{m} long' for m in _MAP)}, set array<long>"
+    return materialize(rows.mapInPandas(each, schema), "described")
 
 
-def similar_groups(docs: DataFrame, words: int = 5, similarity: float = 0.8, group: int = 2048) -> tuple[DataFrame, DataFrame]:
-    """``(doc_id, s1, s2)`` of all documents, and ``(s1, s2, root)``: groups of texts of like word shingles.
+def _prefixes(reps: DataFrame, similarity: float) -> DataFrame:
+    """``(key, node, at)``: the first shingles of each set, as many as must hold one of any set that is alike.
 
-    Texts with equal sets of shingles are one node. Candidates come from the fingerprints' one-wildcard
-    variants; a link counts when the sets' Jaccard similarity, computed exactly, is at least
-    ``similarity``. root is the smallest doc_id of a group.
+    Sets in one common order that share ``least`` shingles share one of the first ``size - least + 1``
+    of each. Any order will do; the common shingles, as a sample of sets has them, come last.
     """
-    described = _described(docs, words)
-    nodes = materialize(
-        described.groupBy("s1", "s2").agg(F.min("doc_id").alias("id"), *[F.min(c).alias(c) for c in _NEAR_FPS]), "nodes"
+    seen = reps.where(f"pmod(xxhash64(node), {COMMON_SHARE}) = 0").select(F.explode("set").alias("x")).groupBy("x").count()
+    top = seen.where(f"count >= {COMMON_SEEN}").orderBy(F.desc("count"), "x").limit(COMMON_MOST).select("x").toArrow()["x"].to_numpy()
+    order = np.argsort(top)
+    common = reps.sparkSession.sparkContext.broadcast((top[order], len(top) - order))
+
+    def each(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        known, rank = common.value
+        for f in frames:
+            sizes = f["set"].map(len).to_numpy()
+            flat = np.concatenate([*f["set"], np.empty(0, np.int64)]).astype(np.int64, copy=False)
+            owner = np.repeat(np.arange(len(f)), sizes)
+            if len(known):
+                place = np.minimum(np.searchsorted(known, flat), len(known) - 1)
+                late = np.where(known[place] == flat, rank[place], 0)
+                flat = flat[np.lexsort((late, owner))]  # stable: the rare ones stay in the order of their hashes
+            at = np.arange(len(flat)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+            first = at <= (sizes - np.ceil(similarity * sizes - 1e-9).astype(np.int64))[owner]
+            yield pd.DataFrame({"key": flat[first], "node": f["node"].to_numpy()[owner[first]], "at": at[first].astype(np.int32)})
+
+    return reps.select("node", "set").mapInPandas(each, "key long, node long, at int")
+
+
+def _candidates(frames: Iterator[pd.DataFrame], similarity: float, star: bool) -> Iterator[pd.DataFrame]:
+    """Rows sorted by key: pairs of nodes of one key and different ``comp`` that may be alike, as (a, b).
+
+    With ``star`` only the pairs with the first node of each key. A pair is left out where its sizes,
+    what follows the key in both sets, or the parity maps show that it is not alike; the first key
+    that two sets share never rules out a pair that is.
+    """
+    for f in _whole_keys(frames):
+        key, node, comp, side = (f[c].to_numpy() for c in ("key", "node", "comp", "side"))
+        size, at = f["size"].to_numpy().astype(np.int64), f["at"].to_numpy().astype(np.int64)
+        maps = [f[m].to_numpy().view(np.uint64) for m in _MAP]
+
+        def likely(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+            other = (comp[x] != comp[y]) & ((side[x] < 0) | (side[x] != side[y]))
+            x, y = x[other], y[other]
+            least = np.ceil(similarity / (1 + similarity) * (size[x] + size[y]) - 1e-6).astype(np.int64)
+            enough = np.minimum(size[x] - at[x], size[y] - at[y]) >= least
+            x, y, least = x[enough], y[enough], least[enough]
+            apart = sum(np.bitwise_count(m[x] ^ m[y]).astype(np.int64) for m in maps)
+            near = apart <= size[x] + size[y] - 2 * least
+            return x[near], y[near]
+
+        if star:
+            new = np.concatenate([[True], key[1:] != key[:-1]])
+            first = np.maximum.accumulate(np.where(new, np.arange(len(f)), 0))
+            yield _distinct_pairs(node, [likely(first[~new], np.flatnonzero(~new))])
+            continue
+        found: list[tuple[np.ndarray, np.ndarray]] = []
+        pairs, step, live = 0, 1, np.arange(len(f))
+        while len(live):
+            live = live[live + step < len(f)]
+            live = live[key[live] == key[live + step]]  # sorted by key: a group that ended stays ended
+            if len(live):
+                found.append(likely(live, live + step))
+                pairs += len(found[-1][0])
+            if found and (pairs > 1_000_000 or not len(live)):
+                yield _distinct_pairs(node, found)
+                found, pairs = [], 0
+            step += 1
+
+
+def _distinct_pairs(node: np.ndarray, found: list[tuple[np.ndarray, np.ndarray]]) -> pd.DataFrame:
+    x, y = (node[np.concatenate(c)] for c in zip(*found))
+    return pd.DataFrame({"a": np.maximum(x, y), "b": np.minimum(x, y)}).drop_duplicates()
+
+
+def _alike(pairs: DataFrame, reps: DataFrame, similarity: float) -> DataFrame:
+    """The pairs whose sets' Jaccard similarity, computed exactly, is at least ``similarity``."""
+    pairs = materialize(pairs.distinct(), "candidates")
+    ends = pairs.select(F.explode(F.array("a", "b")).alias("node"))
+    sets = materialize(join_ids(reps.select("node", "set"), ends, "node", "left_semi").dropDuplicates(["node"]), "shingle-sets")
+    both = pairs.join(sets.select(F.col("node").alias("a"), F.col("set").alias("x")), "a").join(
+        sets.select(F.col("node").alias("b"), F.col("set").alias("y")), "b"
     )
-    links = materialize(near_links(nodes, NEAR_MOST, NEAR_BITS, NEAR_SEGMENTS, NEAR_LANES, group).select("a", "b"), "candidates")
+    same = F.size(F.array_intersect("x", "y"))
+    return materialize(both.where(same >= similarity * (F.size("x") + F.size("y") - same)).select("a", "b"), "alike")
 
-    @F.pandas_udf("array<int>")
-    def shingles(texts: pd.Series) -> pd.Series:
-        return pd.Series([np.unique((shingle_hashes(t, words) >> np.uint64(32)).astype(np.uint32).view(np.int32)) for t in texts], dtype=object)
 
-    ends = links.select(F.explode(F.array("a", "b")).alias("id"))
-    texts = join_ids(need(docs, ["doc_id", "text"]).withColumnRenamed("doc_id", "id"), ends, "id", "left_semi").dropDuplicates(["id"])
-    sets = materialize(texts.select("id", shingles("text").alias("set")), "shingle-sets")
-    both = links.join(sets.select(F.col("id").alias("a"), F.col("set").alias("x")), "a").join(sets.select(F.col("id").alias("b"), F.col("set").alias("y")), "b")
-    same = F.size(F.array_intersect("x", "y"))
-    alike = both.where(same >= similarity * (F.size("x") + F.size("y") - same)).select("a", "b")
-    roots = connected_components(alike)
-    grouped = nodes.join(roots, nodes["id"] == roots["node"], "left").select("s1", "s2", F.coalesce("root", "id").alias("root"))
-    return described.select("doc_id", "s1", "s2"), grouped
+def _alike_links(reps: DataFrame, similarity: float, group: int) -> DataFrame:
+    """Links ``(a, b)`` that connect exactly the nodes that all pairs of at least ``similarity`` connect.
+
+    First the pairs of each key's members with one of them are verified. Then all pairs that share a
+    key are, save those that verified links connect already: nothing is thinned by an unverified pair.
+    """
+    parts = max(12, int(reps.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    by_key = Window.partitionBy("key")
+    shared = materialize(
+        _prefixes(reps, similarity).withColumn("members", F.count(F.lit(1)).over(by_key)).where("members > 1"), "prefixes"
+    )
+    facts = reps.select("node", "size", *_MAP).dropDuplicates(["node"])
+
+    def pairs(rows: DataFrame, star: bool) -> DataFrame:
+        return (
+            rows.join(facts, "node")
+            .repartition(parts, "key")
+            .sortWithinPartitions("key", "node")
+            .mapInPandas(lambda it: _candidates(it, similarity, star), "a long, b long")
+        )
+
+    whole = F.lit(-1).alias("side")
+    stars = _alike(pairs(shared.select("key", "node", "at", F.col("node").alias("comp"), whole), True), reps, similarity)
+    roots = connected_components(stars).withColumnRenamed("node", "n")
+    apart = (
+        shared.join(roots, shared["node"] == roots["n"], "left")
+        .select("key", "node", "at", F.coalesce("root", "node").alias("comp"))
+        .withColumn("low", F.min("comp").over(by_key))
+        .withColumn("high", F.max("comp").over(by_key))
+        .where("low < high")
+    )
+    return stars.unionByName(_alike(pairs(apart.select("key", "node", "at", "comp", whole), False), reps, similarity))
+
+
+def similar_groups(docs: DataFrame, words: int = 5, similarity: float = 0.8, group: int = 2048) -> tuple[DataFrame, DataFrame]:
+    """``(doc_id, s1, s2)`` of all documents, and ``(s1, s2, root)``: groups of texts of like word shingles.
+
+    Texts with equal sets of shingles are one node. Two nodes are linked when the sets' Jaccard
+    similarity is at least ``similarity``; every such pair counts. root is the smallest doc_id of a group.
+    """
+    described = _described(docs, words)
+    nodes = materialize(described.groupBy("s1", "s2").agg(F.min("doc_id").alias("id")), "nodes")
+    reps = join_ids(described.withColumnRenamed("s1", "node"), nodes.select(F.col("id").alias("doc_id")), "doc_id", "left_semi")
+    reps = materialize(reps.where("size > 0").drop("_id"), "representatives")
+    roots = connected_components(_alike_links(reps, similarity, group)).withColumnRenamed("root", "top")
+    named = nodes.join(roots, nodes["s1"] == roots["node"], "left").select("s1", "s2", "id", F.coalesce("top", "s1").alias("top"))
+    least = named.groupBy("top").agg(F.min("id").alias("root"))
+    return described.select("doc_id", "s1", "s2"), named.join(least, "top").select("s1", "s2", "root")
 
 
 def drop_near_duplicates(docs: DataFrame, words: int = 5, similarity: float = 0.8, group: int = 2048) -> DataFrame:
