@@ -92,6 +92,21 @@ def test_near_duplicate_edited_copies(spark):
     assert {r.doc_id for r in got.collect()} == plain_near_duplicates(texts)
 
 
+def test_near_duplicate_blocks(spark):
+    """Keys with more members than are compared at a time give the groups of any other size."""
+    rng, texts = random.Random(11), {}
+    base = [f"word{rng.randrange(9000)}" for _ in range(400)]
+    for k in range(60):
+        w, n = list(base), rng.randrange(30, 92)
+        at = rng.randrange(len(w))
+        w[at:at] = [f"new{rng.randrange(50000)}" for _ in range(n)]
+        texts[k] = " ".join(w if k % 2 else w[rng.randrange(40) :])
+    want = plain_near_duplicates(texts)
+    for group in (2048, 16, 3):
+        got = simhash.drop_near_duplicates(docs_table(spark, list(texts.items())), group=group)
+        assert {r.doc_id for r in got.collect()} == want
+
+
 def test_passage_stage(spark, data, documents):
     cleaned = corpus_pipeline.remove_repeated_passages(spark, documents, data)
     assert cleaned.columns == COLUMNS

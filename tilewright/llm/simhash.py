@@ -327,6 +327,8 @@ def _alike_links(reps: DataFrame, similarity: float, group: int) -> DataFrame:
 
     First the pairs of each key's members with one of them are verified. Then all pairs that share a
     key are, save those that verified links connect already: nothing is thinned by an unverified pair.
+    The members of a key with more than ``group`` are cut into blocks, and every pair of blocks is
+    compared on its own.
     """
     parts = max(12, int(reps.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     by_key = Window.partitionBy("key")
@@ -343,17 +345,28 @@ def _alike_links(reps: DataFrame, similarity: float, group: int) -> DataFrame:
             .mapInPandas(lambda it: _candidates(it, similarity, star), "a long, b long")
         )
 
-    whole = F.lit(-1).alias("side")
-    stars = _alike(pairs(shared.select("key", "node", "at", F.col("node").alias("comp"), whole), True), reps, similarity)
+    blocks = f"cast(ceil(members / {group}) as int)"
+    first = shared.withColumn("key", F.expr(f"if(members > {group}, xxhash64(key, pmod(xxhash64(node), {blocks})), key)"))
+    stars = _alike(pairs(first.select("key", "node", "at", F.col("node").alias("comp"), F.lit(-1).alias("side")), True), reps, similarity)
     roots = connected_components(stars).withColumnRenamed("node", "n")
     apart = (
         shared.join(roots, shared["node"] == roots["n"], "left")
         .select("key", "node", "at", F.coalesce("root", "node").alias("comp"))
         .withColumn("low", F.min("comp").over(by_key))
         .withColumn("high", F.max("comp").over(by_key))
+        .withColumn("members", F.count(F.lit(1)).over(by_key))
         .where("low < high")
+        .withColumn("block", F.expr(f"cast(pmod(xxhash64(node), {blocks}) as int)"))
+        .withColumn("other", F.explode(F.expr(f"sequence(0, {blocks} - 1)")))
     )
-    return stars.unionByName(_alike(pairs(apart.select("key", "node", "at", "comp", whole), False), reps, similarity))
+    dealt = apart.select(
+        F.expr(f"if(members > {group}, xxhash64(key, least(block, other), greatest(block, other)), key)").alias("key"),
+        "node",
+        "at",
+        "comp",
+        F.expr("if(block = other, -1, block)").alias("side"),
+    )
+    return stars.unionByName(_alike(pairs(dealt, False), reps, similarity))
 
 
 def similar_groups(docs: DataFrame, words: int = 5, similarity: float = 0.8, group: int = 2048) -> tuple[DataFrame, DataFrame]:
