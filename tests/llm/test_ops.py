@@ -4,6 +4,7 @@ import hashlib
 import itertools
 import math
 import random
+import tracemalloc
 import zlib
 from collections import Counter, defaultdict
 
@@ -407,6 +408,20 @@ def test_token_counts_hard_cases(spark):
     assert got[0] == got[1] == got[2] == (0, 0) and got[4] == (2, 2 * got[3][1])
 
 
+def test_token_counts_of_very_long_words():
+    """One very long word among many short ones takes no more memory than its own length."""
+    pieces = token_counts.Pieces(["▁", "a", "b", "ab", "▁ab", "ba", "aba"])
+    rng = random.Random(5)
+    some = ["".join(rng.choice("abé") for _ in range(n)) for n in (1001, 1000, 999, 993, 1020)]
+    words = ["z" * 20_000, *(f"a{i}b" for i in range(5000)), *some]
+    tracemalloc.start()
+    got = token_counts.trie_counts(words, pieces)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert got.tolist() == [20_001, *(plain_count(token_counts.MARK + w, pieces) for w in words[1:])]
+    assert peak < 200_000_000, f"{peak / 1e6:.0f} MB"
+
+
 # --- 9 -----------------------------------------------------------------------
 
 

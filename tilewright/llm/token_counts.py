@@ -25,6 +25,8 @@ from .common import need
 
 MARK = "▁"
 _TEXT_AT_ONCE = 1 << 22
+#: Words and padded characters scored at a time, the characters of a word scored on its own, bytes of words remembered.
+_WORDS, _CELLS, _LONG, _REMEMBERED = 20_000, 1 << 21, 1000, 1 << 26
 
 
 class Pieces:
@@ -77,13 +79,42 @@ def trie_counts(words: list[str], pieces: Pieces) -> np.ndarray:
     """
     out = np.zeros(len(words), np.int64)
     order = np.array(sorted(range(len(words)), key=lambda i: (len(words[i]) // 32, words[i])), np.int64)
-    for at in range(0, len(order), 20_000):  # words of like size together: rows are padded to the longest
-        part = order[at : at + 20_000]
+    sizes = np.array([len(words[i]) for i in order], np.int64)
+    top, at = np.maximum.accumulate(sizes), 0
+    while at < len(order):  # words of like size together: rows are padded to the longest
+        if sizes[at] > _LONG:
+            out[order[at]] = _long_count(MARK + words[order[at]], pieces)
+            at += 1
+            continue
+        width = top[at : at + _WORDS]
+        fits = (width <= _LONG) & ((width + 1) * np.arange(1, len(width) + 1) <= _CELLS)
+        part = order[at : at + max(1, int(fits.sum()))]
+        at += len(part)
         part = np.array(sorted(part.tolist(), key=words.__getitem__), np.int64)
         out[part] = _counts([MARK + words[i] for i in part], pieces)
     return out
 
 
+def _long_count(word: str, pieces: Pieces) -> int:
+    """What ``_counts`` gives for one word, a character at a time with the last few scores only."""
+    ring = pieces.longest + 1
+    scores, tokens = [0.0] * ring, [0] * ring
+    for end in range(1, len(word) + 1):
+        c = word[end - 1]
+        best, count = -np.inf, 0
+        if c not in pieces.score:
+            bytes_ = 1 + (c >= "\x80") + (c >= "\u0800") + (c >= "\U00010000")
+            best, count = scores[(end - 1) % ring] + bytes_ * pieces.byte, tokens[(end - 1) % ring] + bytes_
+        for back in range(1, min(end, pieces.longest) + 1):
+            gain = pieces.score.get(word[end - back : end])
+            if gain is not None:
+                score, n = scores[(end - back) % ring] + gain, tokens[(end - back) % ring] + 1
+                if score > best or (score == best and n < count):
+                    best, count = score, n
+        scores[end % ring], tokens[end % ring] = best, count
+    return tokens[len(word) % ring]
+
+
 def _counts(words: list[str], pieces: Pieces) -> np.ndarray:
     size = np.array([len(w) for w in words], np.int64)
     flat = np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), "<u4").astype(np.int64)
@@ -127,7 +158,7 @@ def _counts(words: list[str], pieces: Pieces) -> np.ndarray:
 
 
 class Counter:
-    """Remembers the counts of up to ``most`` words; they are forgotten when full."""
+    """Remembers the counts of up to ``most`` words and some megabytes; they are forgotten when full."""
 
     def __init__(self, pieces: Pieces, most: int = 1_000_000):
         self.pieces, self.most = pieces, most
@@ -153,7 +184,7 @@ class Counter:
         return (np.concatenate(words), np.concatenate(tokens)) if words else (np.empty(0, np.int64),) * 2
 
     def _each(self, words: pa.Array) -> np.ndarray:
-        if len(self.words) > self.most:
+        if len(self.words) > self.most or self.words.nbytes > _REMEMBERED:
             self.words, self.counts = pa.array([], pa.string()), np.empty(0, np.int64)
         place = pc.fill_null(pc.index_in(words, value_set=self.words), -1).to_numpy(zero_copy_only=False).astype(np.int64)
         new = np.flatnonzero(place < 0)
