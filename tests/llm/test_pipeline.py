@@ -107,6 +107,27 @@ def test_near_duplicate_blocks(spark):
         assert {r.doc_id for r in got.collect()} == want
 
 
+@pytest.mark.parametrize("edit", ["inserted", "deleted", "substituted"])
+def test_near_duplicate_recall_at_the_threshold(spark, edit):
+    """Every pair with one edited passage and a similarity of 0.80 to 0.85 is found, of repetitive texts too."""
+    rng, texts, pairs = random.Random(3), {}, 0
+    while pairs < 60:
+        size, few = rng.randrange(150, 600), rng.choice([30, 3000])
+        one = [f"w{pairs}x{int(few * rng.random() ** 2)}" for _ in range(size)]
+        n = int(size * rng.uniform(0.05, 0.3))
+        at = rng.randrange(size - n)
+        new = [f"n{pairs}x{rng.randrange(3000)}" for _ in range(n)]
+        two = one[:at] + ([] if edit == "deleted" else new) + one[at if edit == "inserted" else at + n :]
+        one, two = " ".join(one), " ".join(two)
+        x, y = shingles(one), shingles(two)
+        if 0.8 <= len(x & y) / len(x | y) <= 0.85:
+            texts |= {2 * pairs: one, 2 * pairs + 1: two}
+            pairs += 1
+    kept = {r.doc_id for r in simhash.drop_near_duplicates(docs_table(spark, list(texts.items()))).collect()}
+    found = len(texts) - len(kept)
+    assert (found, kept) == (pairs, set(range(0, 2 * pairs, 2)))
+
+
 def test_passage_stage(spark, data, documents):
     cleaned = corpus_pipeline.remove_repeated_passages(spark, documents, data)
     assert cleaned.columns == COLUMNS

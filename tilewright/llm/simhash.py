@@ -10,6 +10,9 @@ variants of the bits that the key leaves open, which is the same argument one le
 until groups are small. Three levels suffice for 64 bits: then at most 2^11 different fingerprints
 can share a key. Nothing is dropped on the way, and what leaves a task is a spanning forest of the
 links found, never all pairs.
+
+Texts of like shingle sets (the pipeline's stage) are found without fingerprints, by the prefixes of
+the sets in one common order.
 """
 
 from __future__ import annotations
@@ -22,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import join_ids, materialize, need
+from .common import drop_materialized, join_ids, materialize, need
 from .components import connected_components, spanning_forest
 
 _BITS_AT_ONCE = 1 << 15
@@ -314,7 +317,7 @@ def _alike(pairs: DataFrame, reps: DataFrame, similarity: float) -> DataFrame:
     """The pairs whose sets' Jaccard similarity, computed exactly, is at least ``similarity``."""
     pairs = materialize(pairs.distinct(), "candidates")
     ends = pairs.select(F.explode(F.array("a", "b")).alias("node"))
-    sets = materialize(join_ids(reps.select("node", "set"), ends, "node", "left_semi").dropDuplicates(["node"]), "shingle-sets")
+    sets = join_ids(reps.select("node", "set"), ends, "node", "left_semi")
     both = pairs.join(sets.select(F.col("node").alias("a"), F.col("set").alias("x")), "a").join(
         sets.select(F.col("node").alias("b"), F.col("set").alias("y")), "b"
     )
@@ -325,7 +328,7 @@ def _alike(pairs: DataFrame, reps: DataFrame, similarity: float) -> DataFrame:
 def _alike_links(reps: DataFrame, similarity: float, group: int) -> DataFrame:
     """Links ``(a, b)`` that connect exactly the nodes that all pairs of at least ``similarity`` connect.
 
-    First the pairs of each key's members with one of them are verified. Then all pairs that share a
+    First each node is verified with one that is the first member of a key of its own. Then all pairs that share a
     key are, save those that verified links connect already: nothing is thinned by an unverified pair.
     The members of a key with more than ``group`` are cut into blocks, and every pair of blocks is
     compared on its own.
@@ -335,7 +338,7 @@ def _alike_links(reps: DataFrame, similarity: float, group: int) -> DataFrame:
     shared = materialize(
         _prefixes(reps, similarity).withColumn("members", F.count(F.lit(1)).over(by_key)).where("members > 1"), "prefixes"
     )
-    facts = reps.select("node", "size", *_MAP).dropDuplicates(["node"])
+    facts = reps.select("node", "size", *_MAP)
 
     def pairs(rows: DataFrame, star: bool) -> DataFrame:
         return (
@@ -347,7 +350,8 @@ def _alike_links(reps: DataFrame, similarity: float, group: int) -> DataFrame:
 
     blocks = f"cast(ceil(members / {group}) as int)"
     first = shared.withColumn("key", F.expr(f"if(members > {group}, xxhash64(key, pmod(xxhash64(node), {blocks})), key)"))
-    stars = _alike(pairs(first.select("key", "node", "at", F.col("node").alias("comp"), F.lit(-1).alias("side")), True), reps, similarity)
+    ones = pairs(first.select("key", "node", "at", F.col("node").alias("comp"), F.lit(-1).alias("side")), True)
+    stars = _alike(ones.groupBy("a").agg(F.min("b").alias("b")), reps, similarity)
     roots = connected_components(stars).withColumnRenamed("node", "n")
     apart = (
         shared.join(roots, shared["node"] == roots["n"], "left")
@@ -378,11 +382,15 @@ def similar_groups(docs: DataFrame, words: int = 5, similarity: float = 0.8, gro
     described = _described(docs, words)
     nodes = materialize(described.groupBy("s1", "s2").agg(F.min("doc_id").alias("id")), "nodes")
     reps = join_ids(described.withColumnRenamed("s1", "node"), nodes.select(F.col("id").alias("doc_id")), "doc_id", "left_semi")
-    reps = materialize(reps.where("size > 0").drop("_id"), "representatives")
+    reps = materialize(reps.where("size > 0").drop("doc_id", "s2", "_id"), "representatives")
+    if reps.count() > reps.select("node").distinct().count():  # rows that repeat a doc_id
+        reps = materialize(reps.dropDuplicates(["node"]), "representatives")
+    digests = materialize(described.select("doc_id", "s1", "s2"), "digests")
+    drop_materialized(described)
     roots = connected_components(_alike_links(reps, similarity, group)).withColumnRenamed("root", "top")
     named = nodes.join(roots, nodes["s1"] == roots["node"], "left").select("s1", "s2", "id", F.coalesce("top", "s1").alias("top"))
     least = named.groupBy("top").agg(F.min("id").alias("root"))
-    return described.select("doc_id", "s1", "s2"), named.join(least, "top").select("s1", "s2", "root")
+    return digests, named.join(least, "top").select("s1", "s2", "root")
 
 
 def drop_near_duplicates(docs: DataFrame, words: int = 5, similarity: float = 0.8, group: int = 2048) -> DataFrame:
