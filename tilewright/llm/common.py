@@ -80,12 +80,32 @@ def need(df: DataFrame, columns: Iterable[str]) -> DataFrame:
 SMALL = 1_000_000
 
 
-def join_ids(df: DataFrame, ids: DataFrame, on: str, how: str, small: int = SMALL) -> DataFrame:
-    """Semi or anti join with a table of ids: broadcast where their counted number is small, else by shuffle."""
+def join_ids(df: DataFrame, ids: DataFrame, on: str, how: str, own: str | None = None) -> DataFrame:
+    """Semi or anti join with a table of ids: broadcast where their counted number is small, else by shuffle.
+
+    ``on`` is the column of ``ids``, and of ``df`` too unless ``own`` names that.
+    """
     ids = ids.select(F.col(on).alias("_id")).distinct()
-    if ids.count() <= small:
+    if ids.count() <= SMALL:
         ids = F.broadcast(ids)
-    return df.join(ids, df[on] == ids["_id"], how)
+    return df.join(ids, df[own or on] == ids["_id"], how)
+
+
+#: Rows from which a key counts as hot.
+HOT = 100_000
+
+
+def join_counted(rows: DataFrame, counts: DataFrame, key: str, n: str, hot: int = HOT) -> DataFrame:
+    """``rows`` with the columns of ``counts``: a written table with one row a key, and in ``n`` how many rows have it.
+
+    Hot keys, of which there are few (the rows by ``hot`` at most), are joined by broadcast where their counted
+    number is small, so that no task gets all the rows of one.
+    """
+    many = counts.where(F.col(n) > hot)
+    if not 0 < many.count() <= SMALL:
+        return rows.join(counts, key)
+    cold = rows.join(F.broadcast(many.select(key)), key, "left_anti").join(counts.where(F.col(n) <= hot), key)
+    return rows.join(F.broadcast(many), key).unionByName(cold)
 
 
 def free_name(df: DataFrame, base: str) -> str:

@@ -11,12 +11,15 @@ until groups are small. Three levels suffice for 64 bits: then at most 2^11 diff
 can share a key. Nothing is dropped on the way, and what leaves a task is a spanning forest of the
 links found, never all pairs.
 
-Texts of like shingle sets (the pipeline's stage) are found without fingerprints, by the prefixes of
-the sets in one common order.
+The pipeline's stage asks for texts whose sets of word shingles are alike to a similarity. Those
+variants find and connect the bulk of them; each pair they give is verified exactly. Fingerprints alone
+lose links there (two sets alike to 0.8 differ in ten bits of 64 or more), so what they leave apart is
+completed through the prefixes of the sets in one common order, which lose none.
 """
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -25,25 +28,41 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import drop_materialized, join_ids, materialize, need
+from .common import drop_materialized, free_name, join_counted, join_ids, materialize, need
 from .components import connected_components, spanning_forest
 
 _BITS_AT_ONCE = 1 << 15
+_BYTES_AT_ONCE = 1 << 20
+_SPACE = re.compile(rb"[\x20\x09-\x0D]")
+
+
+def _words(text: str | None) -> Iterator[list[bytes]]:
+    """The words of a text with A-Z lower-cased, split at ASCII white space, some at a time."""
+    raw, at = (text or "").encode("utf-8", "surrogatepass").lower(), 0
+    while at < len(raw):
+        end = len(raw)
+        if at + _BYTES_AT_ONCE < end and (space := _SPACE.search(raw, at + _BYTES_AT_ONCE)):
+            end = space.end()
+        yield raw[at:end].split()
+        at = end
 
 
 def shingle_hashes(text: str | None, words: int, seed: int = 42, distinct: bool = False) -> np.ndarray:
-    """XXH64 of each run of ``words`` words of the text with A-Z lower-cased, split at ASCII white space.
+    """XXH64 of each run of ``words`` words of the text; with ``distinct`` sorted and without repeats.
 
     A shorter text is one shingle; a text without words (or null) has none.
     """
-    w = (text or "").encode("utf-8", "surrogatepass").lower().split()
-    if not w:
-        return np.empty(0, np.uint64)
-    runs = w if words == 1 else [b" ".join(w)] if len(w) <= words else map(b" ".join, zip(*(w[i:] for i in range(words))))
-    if distinct:
-        runs = set(runs)
-    digest = xxhash.xxh64_intdigest
-    return np.array([digest(r, seed) for r in runs], np.uint64)
+    digest, made, held = xxhash.xxh64_intdigest, [], []
+    for some in _words(text):
+        held += some
+        if len(held) >= words:
+            runs = held if words == 1 else map(b" ".join, zip(*(held[i:] for i in range(words))))
+            made.append(np.array([digest(r, seed) for r in (set(runs) if distinct else runs)], np.uint64))
+            held = held[len(held) - words + 1 :]
+    if not made and held:
+        made.append(np.array([digest(b" ".join(held), seed)], np.uint64))
+    out = np.concatenate(made) if made else np.empty(0, np.uint64)
+    return np.unique(out) if distinct else out
 
 
 def majority_bits(hashes: np.ndarray) -> int:
@@ -55,26 +74,21 @@ def majority_bits(hashes: np.ndarray) -> int:
     return int(np.packbits(2 * ones > len(hashes), bitorder="little").view("<u8")[0])
 
 
-def fingerprints(docs: DataFrame, words: int = 3, lanes: int = 1, distinct: bool = False) -> DataFrame:
-    """``(doc_id, fp0, ...)``: one 64-bit fingerprint a lane, each lane with its own seed (42, 43, ...).
+def fingerprints(docs: DataFrame, words: int = 3) -> DataFrame:
+    """``(doc_id, fp0)``: the 64-bit fingerprint of each text.
 
     Null and empty texts have fingerprint zero; rows with a null doc_id are kept as they are.
     """
 
     def each(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
-            out = {"doc_id": f["doc_id"]}
-            for lane in range(lanes):
-                out[f"fp{lane}"] = np.array(
-                    [majority_bits(shingle_hashes(t, words, 42 + lane, distinct)) for t in f["text"]], np.uint64
-                ).view(np.int64)
-            yield pd.DataFrame(out)
+            fps = np.array([majority_bits(shingle_hashes(t, words)) for t in f["text"]], np.uint64)
+            yield pd.DataFrame({"doc_id": f["doc_id"], "fp0": fps.view(np.int64)})
 
-    schema = "doc_id long, " + ", ".join(f"fp{i} long" for i in range(lanes))
-    return need(docs, ["doc_id", "text"]).mapInPandas(each, schema)
+    return need(docs, ["doc_id", "text"]).mapInPandas(each, "doc_id long, fp0 long")
 
 
-def variants(rows: DataFrame, segments: int, bits: int) -> DataFrame:
+def variants(rows: DataFrame, segments: int) -> DataFrame:
     """``(id, key, lo, width)``: one row for each one-wildcard variant of the open bits ``lo, width`` of ``cur``.
 
     The open bits are cut into ``segments``; the key is extended by the segment with one bit blanked,
@@ -83,14 +97,14 @@ def variants(rows: DataFrame, segments: int, bits: int) -> DataFrame:
     return (
         rows.withColumn("w", (F.col("width") / segments).cast("int"))
         .withColumn("seg", F.explode(F.sequence(F.lit(0), F.lit(segments - 1))))
-        .withColumn("at", F.expr(f"(lo + seg * w) % {bits}").cast("int"))
+        .withColumn("at", F.expr("(lo + seg * w) % 64").cast("int"))
         .withColumn("sw", F.expr(f"if(seg = {segments - 1}, width - seg * w, w)").cast("int"))
         .withColumn("pos", F.explode(F.expr("sequence(0, sw - 1)")))
         .withColumn("val", F.expr("shiftrightunsigned(cur, at) & (shiftleft(1L, sw) - 1L) & ~shiftleft(1L, pos)"))
         .select(
             "id",
             F.expr("xxhash64(key, at, pos, val)").alias("key"),
-            F.expr(f"((at + sw) % {bits})").cast("short").alias("lo"),
+            F.expr("(at + sw) % 64").cast("short").alias("lo"),
             (F.col("width") - F.col("sw")).cast("short").alias("width"),
         )
     )
@@ -115,15 +129,14 @@ def _whole_keys(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.concat(held, ignore_index=True)
 
 
-def _forest(frames: Iterator[pd.DataFrame], lanes: int, most: int) -> Iterator[pd.DataFrame]:
+def _forest(frames: Iterator[pd.DataFrame], most: int) -> Iterator[pd.DataFrame]:
     """Rows sorted by key: the lightest spanning forest of the links in each key's group, as (a, b, dist)."""
     for f in _whole_keys(frames):
-        yield _links(f, lanes, most)
+        yield _links(f, most)
 
 
-def _links(f: pd.DataFrame, lanes: int, most: int) -> pd.DataFrame:
-    key, ids = f["key"].to_numpy(), f["id"].to_numpy()
-    fps = [f[f"fp{i}"].to_numpy().view(np.uint64) for i in range(lanes)]
+def _links(f: pd.DataFrame, most: int) -> pd.DataFrame:
+    key, ids, fp = f["key"].to_numpy(), f["id"].to_numpy(), f["fp0"].to_numpy().view(np.uint64)
     a = b = d = np.empty(0, np.int64)
     new: list[tuple[np.ndarray, ...]] = []
     pairs, step, live = 0, 1, np.arange(len(f))
@@ -131,7 +144,7 @@ def _links(f: pd.DataFrame, lanes: int, most: int) -> pd.DataFrame:
         live = live[live + step < len(f)]
         live = live[key[live] == key[live + step]]  # sorted by key: a group that ended stays ended
         if len(live):
-            dist = sum(np.bitwise_count(p[live] ^ p[live + step]).astype(np.int64) for p in fps)
+            dist = np.bitwise_count(fp[live] ^ fp[live + step]).astype(np.int64)
             hit = np.flatnonzero(dist <= most)
             new.append((live[hit], live[hit] + step, dist[hit]))
             pairs += len(hit)
@@ -143,47 +156,51 @@ def _links(f: pd.DataFrame, lanes: int, most: int) -> pd.DataFrame:
     return pd.DataFrame({"a": ids[a], "b": ids[b], "dist": d})
 
 
-def near_links(
-    nodes: DataFrame, most: int = 3, bits: int = 64, segments: int = 2, lanes: int = 1, group: int = 2048
-) -> DataFrame:
-    """Links ``(a, b, dist)`` between nodes ``(id, fp0, ...)`` whose fingerprints differ in at most ``most`` bits.
+def _parts(df: DataFrame) -> int:
+    return max(12, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+
+
+def _shared(rows: DataFrame, name: str) -> DataFrame:
+    """The rows whose ``key`` others have too, with ``members``: how many rows have it."""
+    counts = materialize(rows.groupBy("key").agg(F.count(F.lit(1)).alias("members")).where("members > 1"), f"{name}-keys")
+    out = materialize(join_counted(rows, counts, "key", "members"), name)
+    drop_materialized(counts)
+    return out
+
+
+def near_links(nodes: DataFrame, most: int = 3, group: int = 2048) -> DataFrame:
+    """Links ``(a, b, dist)`` between nodes ``(id, fp0)`` whose fingerprints differ in at most ``most`` bits.
 
-    With ``most < 2 * segments`` and one lane every link is found, as a path: the links returned
-    connect exactly the nodes that all links connect, and are the lightest that do so. Ids and
-    fingerprints must be distinct. ``group`` is the number of fingerprints compared at a time under
-    one key; larger groups go a level deeper and nothing is left out.
+    Every link is found, as a path: the links returned connect exactly the nodes that all links
+    connect, and are the lightest that do so. Ids and fingerprints must be distinct. ``group`` is the
+    number of fingerprints compared at a time under one key; larger groups go a level deeper and
+    nothing is left out.
     """
-    parts = max(12, int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    fps = [f"fp{i}" for i in range(lanes)]
-    found = None
-    for lane in range(lanes):
-        own = nodes.select("id", F.col(f"fp{lane}").alias("cur"))
-        rows = own.select("*", F.lit(lane).cast("long").alias("key"), F.lit(0).alias("lo"), F.lit(bits).alias("width"))
-        for level, cut in enumerate((segments, 2, 2)):
-            shared = materialize(
-                variants(rows, cut, bits)
-                .withColumn("group_size", F.count(F.lit(1)).over(Window.partitionBy("key")))
-                .where("group_size > 1"),
-                "variants",
-            )
-            small = shared if level == 2 else shared.where(F.col("group_size") <= group)
-            links = (
-                small.select("key", "id")
-                .join(nodes.select("id", *fps), "id")
-                .repartition(parts, "key")
-                .sortWithinPartitions("key", "id")
-                .mapInPandas(lambda it: _forest(it, lanes, most), "a long, b long, dist long")
-            )
-            found = links if found is None else found.unionByName(links)
-            if level == 2:
-                break
-            hot = shared.where(F.col("group_size") > group)
-            if hot.isEmpty():
-                break
-            rows = hot.select("id", "key", "lo", "width").join(own, "id")
+    own, found = nodes.select("id", F.col("fp0").alias("cur")), None
+    rows = own.select("*", F.lit(0).cast("long").alias("key"), F.lit(0).alias("lo"), F.lit(64).alias("width"))
+    for level, cut in enumerate(((most + 2) // 2, 2, 2)):
+        shared = _shared(variants(rows, cut), "variants")
+        small = shared if level == 2 else shared.where(F.col("members") <= group)
+        links = (
+            small.select("key", "id")
+            .join(nodes.select("id", "fp0"), "id")
+            .repartition(_parts(nodes), "key")
+            .sortWithinPartitions("key", "id")
+            .mapInPandas(lambda it: _forest(it, most), "a long, b long, dist long")
+        )
+        found = links if found is None else found.unionByName(links)
+        hot = shared.where(F.col("members") > group)
+        if level == 2 or hot.isEmpty():
+            break
+        rows = hot.select("id", "key", "lo", "width").join(own, "id")
     return found.groupBy(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).agg(F.min("dist").alias("dist"))
 
 
+def _classes(rows: DataFrame, key: str, id_: str) -> DataFrame:
+    """``(key, id, members)``: the smallest id of the rows of each key, and how many rows have it."""
+    return materialize(rows.groupBy(key).agg(F.min(id_).alias("id"), F.count(F.lit(1)).alias("members")), "classes")
+
+
 def near_duplicate_components(docs: DataFrame, words: int = 3, most: int = 3, group: int = 2048) -> DataFrame:
     """``(doc_id, fingerprint, component_id)`` for every row of ``docs``.
 
@@ -194,77 +211,77 @@ def near_duplicate_components(docs: DataFrame, words: int = 3, most: int = 3, gr
     empty table.
     """
     fps = materialize(fingerprints(docs, words), "fingerprints")
-    nodes = materialize(fps.groupBy("fp0").agg(F.min("doc_id").alias("id")), "nodes")
-    links = near_links(nodes.where("id is not null"), most, 64, (most + 2) // 2, 1, group)
-    roots = connected_components(links)
-    classes = nodes.join(roots, nodes["id"] == roots["node"], "left").select(
-        "fp0", F.coalesce("root", "id").alias("component_id")
-    )
-    return fps.join(classes, "fp0").select(
+    classes = _classes(fps, "fp0", "doc_id")
+    roots = connected_components(near_links(classes.where("id IS NOT NULL"), most, group))
+    named = classes.join(roots, classes["id"] == roots["node"], "left").select("fp0", "members", F.coalesce("root", "id").alias("component_id"))
+    return join_counted(fps, materialize(named, "components"), "fp0", "members").select(
         "doc_id", F.lower(F.lpad(F.hex("fp0"), 16, "0")).alias("fingerprint"), "component_id"
     )
 
 
+# --- sets of shingles alike to a similarity ----------------------------------------------------
+
 #: Bits of a set's parity map; of one set in so many, the shingles seen so often are common, so many at most.
 PARITY_BITS, COMMON_SHARE, COMMON_SEEN, COMMON_MOST = 512, 16, 4, 500_000
 _MAP = [f"m{i}" for i in range(PARITY_BITS // 64)]
+_UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
-def _described(docs: DataFrame, words: int) -> DataFrame:
-    """``(doc_id, s1, s2, size, m0, ..., set)``: digest, size and parity map of the set of word shingles, and the set.
+def _digests(docs: DataFrame) -> DataFrame:
+    """``(doc_id, digest)``: equal digests are equal sequences of words."""
+    one_space = F.regexp_replace(F.translate(F.coalesce("text", F.lit("")), _UPPER, _LOWER), r"[\x20\x09-\x0D]+", " ")
+    return docs.select("doc_id", F.unhex(F.md5(F.trim(one_space))).alias("digest"))
 
-    Bit k of the parity map says whether an odd number of shingles fall on it, so two maps differ in no
-    more bits than the sets have shingles of their own.
-    """
 
+def _sets(docs: DataFrame, words: int) -> DataFrame:
     def each(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
-            sets = [np.unique(shingle_hashes(t, words, distinct=True)) for t in f["text"]]
-            digests = [xxhash.xxh3_128_intdigest(s.tobytes()) for s in sets]
-            odd = [np.bincount((s & np.uint64(PARITY_BITS - 1)).view(np.int64), minlength=PARITY_BITS) & 1 for s in sets]
-            maps = np.packbits(np.array(odd, np.uint8).reshape(-1, PARITY_BITS), axis=1, bitorder="little").view(np.int64)
-            yield pd.DataFrame(
-                {
-                    "doc_id": f["doc_id"].to_numpy(),
-                    "s1": np.array([(d >> 64) - (1 << 63) for d in digests], np.int64),
-                    "s2": np.array([(d & (1 << 64) - 1) - (1 << 63) for d in digests], np.int64),
-                    "size": np.array([len(s) for s in sets], np.int32),
-                }
-                | {m: maps[:, i] for i, m in enumerate(_MAP)}
-                | {"set": pd.Series([s.view(np.int64) for s in sets], dtype=object)}
-            )
+            sets = [shingle_hashes(t, words, distinct=True).view(np.int64) for t in f["text"]]
+            yield pd.DataFrame({"node": f["doc_id"].to_numpy(), "set": pd.Series(sets, dtype=object)})
 
-    rows = need(docs, ["doc_id", "text"]).where("doc_id IS NOT NULL")
-    schema = f"doc_id long, s1 long, s2 long, size int, {', '.join(f'{m} long' for m in _MAP)}, set array<long>"
-    return materialize(rows.mapInPandas(each, schema), "described")
+    return docs.mapInPandas(each, "node long, set array<long>")
 
 
-def _prefixes(reps: DataFrame, similarity: float) -> DataFrame:
-    """``(key, node, at)``: the first shingles of each set, as many as must hold one of any set that is alike.
+def _described(docs: DataFrame, words: int, similarity: float) -> DataFrame:
+    """``(node, fp0, size, m0, ..., prefix)`` of each text with words: fingerprint, size and parity map of its set, and the set's prefix.
 
-    Sets in one common order that share ``least`` shingles share one of the first ``size - least + 1``
-    of each. Any order will do; the common shingles, as a sample of sets has them, come last.
+    Bit k of the parity map says whether an odd number of shingles fall on it, so two maps differ in no
+    more bits than the sets have shingles of their own. The prefix is as many of the first shingles as
+    must hold one of any set that is alike: sets in one common order that share ``least`` shingles share one
+    of the first ``size - least + 1`` of each. Any order will do; the common shingles, as a sample of
+    sets has them, come last.
     """
-    seen = reps.where(f"pmod(xxhash64(node), {COMMON_SHARE}) = 0").select(F.explode("set").alias("x")).groupBy("x").count()
+    sample = docs.where(f"pmod(xxhash64(doc_id), {COMMON_SHARE}) = 0")
+    seen = _sets(sample, words).select(F.explode("set").alias("x")).groupBy("x").count()
     top = seen.where(f"count >= {COMMON_SEEN}").orderBy(F.desc("count"), "x").limit(COMMON_MOST).select("x").toArrow()["x"].to_numpy()
     order = np.argsort(top)
-    common = reps.sparkSession.sparkContext.broadcast((top[order], len(top) - order))
+    common = docs.sparkSession.sparkContext.broadcast((top[order], len(top) - order))  # COMMON_MOST entries at most
 
-    def each(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def first(s: np.ndarray) -> np.ndarray:
         known, rank = common.value
+        if len(known):
+            place = np.minimum(np.searchsorted(known, s), len(known) - 1)
+            late = np.where(known[place] == s, rank[place], 0)
+            s = s[np.argsort(late, kind="stable")]  # the rare ones stay in the order of their hashes
+        return s[: len(s) - int(np.ceil(similarity * len(s) - 1e-9)) + 1]
+
+    def each(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
-            sizes = f["set"].map(len).to_numpy()
-            flat = np.concatenate([*f["set"], np.empty(0, np.int64)]).astype(np.int64, copy=False)
-            owner = np.repeat(np.arange(len(f)), sizes)
-            if len(known):
-                place = np.minimum(np.searchsorted(known, flat), len(known) - 1)
-                late = np.where(known[place] == flat, rank[place], 0)
-                flat = flat[np.lexsort((late, owner))]  # stable: the rare ones stay in the order of their hashes
-            at = np.arange(len(flat)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-            first = at <= (sizes - np.ceil(similarity * sizes - 1e-9).astype(np.int64))[owner]
-            yield pd.DataFrame({"key": flat[first], "node": f["node"].to_numpy()[owner[first]], "at": at[first].astype(np.int32)})
+            sets = [shingle_hashes(t, words, distinct=True) for t in f["text"]]
+            odd = [np.bincount((s & np.uint64(PARITY_BITS - 1)).view(np.int64), minlength=PARITY_BITS) & 1 for s in sets]
+            maps = np.packbits(np.array(odd, np.uint8).reshape(-1, PARITY_BITS), axis=1, bitorder="little").view(np.int64)
+            yield pd.DataFrame(
+                {
+                    "node": f["doc_id"].to_numpy(),
+                    "fp0": np.array([majority_bits(s) for s in sets], np.uint64).view(np.int64),
+                    "size": np.array([len(s) for s in sets], np.int32),
+                }
+                | {m: maps[:, i] for i, m in enumerate(_MAP)}
+                | {"prefix": pd.Series([first(s.view(np.int64)) for s in sets], dtype=object)}
+            )
 
-    return reps.select("node", "set").mapInPandas(each, "key long, node long, at int")
+    schema = f"node long, fp0 long, size int, {', '.join(f'{m} long' for m in _MAP)}, prefix array<long>"
+    return materialize(docs.mapInPandas(each, schema).where("size > 0"), "described")
 
 
 def _candidates(frames: Iterator[pd.DataFrame], similarity: float, star: bool) -> Iterator[pd.DataFrame]:
@@ -313,37 +330,45 @@ def _distinct_pairs(node: np.ndarray, found: list[tuple[np.ndarray, np.ndarray]]
     return pd.DataFrame({"a": np.maximum(x, y), "b": np.minimum(x, y)}).drop_duplicates()
 
 
-def _alike(pairs: DataFrame, reps: DataFrame, similarity: float) -> DataFrame:
+def _alike(pairs: DataFrame, docs: DataFrame, words: int, similarity: float) -> DataFrame:
     """The pairs whose sets' Jaccard similarity, computed exactly, is at least ``similarity``."""
-    pairs = materialize(pairs.distinct(), "candidates")
-    ends = pairs.select(F.explode(F.array("a", "b")).alias("node"))
-    sets = join_ids(reps.select("node", "set"), ends, "node", "left_semi")
+    pairs = materialize(pairs.select("a", "b").distinct(), "candidates")
+    ends = pairs.select(F.explode(F.array("a", "b")).alias("doc_id"))
+    sets = materialize(_sets(join_ids(docs, ends, "doc_id", "left_semi"), words), "sets")
     both = pairs.join(sets.select(F.col("node").alias("a"), F.col("set").alias("x")), "a").join(
         sets.select(F.col("node").alias("b"), F.col("set").alias("y")), "b"
     )
     same = F.size(F.array_intersect("x", "y"))
-    return materialize(both.where(same >= similarity * (F.size("x") + F.size("y") - same)).select("a", "b"), "alike")
+    out = materialize(both.where(same >= similarity * (F.size("x") + F.size("y") - same)).select("a", "b").distinct(), "alike")
+    drop_materialized(sets)
+    drop_materialized(pairs)
+    return out
+
+
+def _fingerprint_pairs(described: DataFrame, most: int, group: int) -> DataFrame:
+    """Pairs ``(a, b)`` that connect the nodes whose fingerprints differ in at most ``most`` bits."""
+    classes = _classes(described, "fp0", "node")
+    equal = join_counted(described.select("node", "fp0"), classes, "fp0", "members").where("node <> id")
+    return equal.select(F.col("node").alias("a"), F.col("id").alias("b")).unionByName(near_links(classes.select("id", "fp0"), most, group).select("a", "b"))
 
 
-def _alike_links(reps: DataFrame, similarity: float, group: int) -> DataFrame:
+def _alike_links(docs: DataFrame, words: int, similarity: float, most: int, group: int) -> DataFrame:
     """Links ``(a, b)`` that connect exactly the nodes that all pairs of at least ``similarity`` connect.
 
-    First each node is verified with one that is the first member of a key of its own. Then all pairs that share a
-    key are, save those that verified links connect already: nothing is thinned by an unverified pair.
-    The members of a key with more than ``group`` are cut into blocks, and every pair of blocks is
-    compared on its own.
+    First the pairs that fingerprints give, and each node with one that is the first member of a key of
+    its prefix, are verified. Then all pairs that share a key are, save those that verified links connect
+    already: nothing is thinned by an unverified pair. The members of a key with more than ``group`` are
+    cut into blocks, and every pair of blocks is compared on its own.
     """
-    parts = max(12, int(reps.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    by_key = Window.partitionBy("key")
-    shared = materialize(
-        _prefixes(reps, similarity).withColumn("members", F.count(F.lit(1)).over(by_key)).where("members > 1"), "prefixes"
-    )
-    facts = reps.select("node", "size", *_MAP)
+    described = _described(docs, words, similarity)
+    keys = described.select("node", F.posexplode("prefix").alias("at", "key"))
+    shared = _shared(keys.select("key", "node", "at"), "prefixes")
+    facts = described.select("node", "size", *_MAP)
 
     def pairs(rows: DataFrame, star: bool) -> DataFrame:
         return (
             rows.join(facts, "node")
-            .repartition(parts, "key")
+            .repartition(_parts(docs), "key")
             .sortWithinPartitions("key", "node")
             .mapInPandas(lambda it: _candidates(it, similarity, star), "a long, b long")
         )
@@ -351,59 +376,50 @@ def _alike_links(reps: DataFrame, similarity: float, group: int) -> DataFrame:
     blocks = f"cast(ceil(members / {group}) as int)"
     first = shared.withColumn("key", F.expr(f"if(members > {group}, xxhash64(key, pmod(xxhash64(node), {blocks})), key)"))
     ones = pairs(first.select("key", "node", "at", F.col("node").alias("comp"), F.lit(-1).alias("side")), True)
-    stars = _alike(ones.groupBy("a").agg(F.min("b").alias("b")), reps, similarity)
-    roots = connected_components(stars).withColumnRenamed("node", "n")
-    apart = (
-        shared.join(roots, shared["node"] == roots["n"], "left")
-        .select("key", "node", "at", F.coalesce("root", "node").alias("comp"))
-        .withColumn("low", F.min("comp").over(by_key))
-        .withColumn("high", F.max("comp").over(by_key))
-        .withColumn("members", F.count(F.lit(1)).over(by_key))
-        .where("low < high")
+    near = _fingerprint_pairs(described, most, group).unionByName(ones.groupBy("a").agg(F.min("b").alias("b")))
+    links = _alike(near, docs, words, similarity)
+    roots = connected_components(links).withColumnRenamed("node", "n")
+    owned = materialize(
+        shared.join(roots, shared["node"] == roots["n"], "left").select("key", "node", "at", "members", F.coalesce("root", "node").alias("comp")), "owned-prefixes"
+    )
+    drop_materialized(shared)
+    open_ = owned.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.count(F.lit(1)).alias("n")).where("low < high").select("key", "n")
+    dealt = (
+        join_counted(owned, materialize(open_, "open-keys"), "key", "n")
         .withColumn("block", F.expr(f"cast(pmod(xxhash64(node), {blocks}) as int)"))
         .withColumn("other", F.explode(F.expr(f"sequence(0, {blocks} - 1)")))
+        .select(
+            F.expr(f"if(members > {group}, xxhash64(key, least(block, other), greatest(block, other)), key)").alias("key"),
+            "node",
+            "at",
+            "comp",
+            F.expr("if(block = other, -1, block)").alias("side"),
+        )
     )
-    dealt = apart.select(
-        F.expr(f"if(members > {group}, xxhash64(key, least(block, other), greatest(block, other)), key)").alias("key"),
-        "node",
-        "at",
-        "comp",
-        F.expr("if(block = other, -1, block)").alias("side"),
-    )
-    return stars.unionByName(_alike(pairs(dealt, False), reps, similarity))
-
+    return links.unionByName(_alike(pairs(dealt, False), docs, words, similarity))
 
-def similar_groups(docs: DataFrame, words: int = 5, similarity: float = 0.8, group: int = 2048) -> tuple[DataFrame, DataFrame]:
-    """``(doc_id, s1, s2)`` of all documents, and ``(s1, s2, root)``: groups of texts of like word shingles.
 
-    Texts with equal sets of shingles are one node. Two nodes are linked when the sets' Jaccard
-    similarity is at least ``similarity``; every such pair counts. root is the smallest doc_id of a group.
-    """
-    described = _described(docs, words)
-    nodes = materialize(described.groupBy("s1", "s2").agg(F.min("doc_id").alias("id")), "nodes")
-    reps = join_ids(described.withColumnRenamed("s1", "node"), nodes.select(F.col("id").alias("doc_id")), "doc_id", "left_semi")
-    reps = materialize(reps.where("size > 0").drop("doc_id", "s2", "_id"), "representatives")
-    if reps.count() > reps.select("node").distinct().count():  # rows that repeat a doc_id
-        reps = materialize(reps.dropDuplicates(["node"]), "representatives")
-    digests = materialize(described.select("doc_id", "s1", "s2"), "digests")
-    drop_materialized(described)
-    roots = connected_components(_alike_links(reps, similarity, group)).withColumnRenamed("root", "top")
-    named = nodes.join(roots, nodes["s1"] == roots["node"], "left").select("s1", "s2", "id", F.coalesce("top", "s1").alias("top"))
-    least = named.groupBy("top").agg(F.min("id").alias("root"))
-    return digests, named.join(least, "top").select("s1", "s2", "root")
-
-
-def drop_near_duplicates(docs: DataFrame, words: int = 5, similarity: float = 0.8, group: int = 2048) -> DataFrame:
+def drop_near_duplicates(docs: DataFrame, words: int = 5, similarity: float = 0.8, most: int = 3, group: int = 2048) -> DataFrame:
     """The rows of ``docs`` without near-duplicates: of each group the one with the smallest doc_id stays.
 
-    Texts without words are one group. Rows with a null doc_id stay as they are, since no group can
-    name them; of rows that repeat a doc_id that stays, one stays. An empty table gives an empty result.
+    Two documents are linked when the Jaccard similarity of their sets of word shingles is at least
+    ``similarity``; every such pair counts. Texts of equal words are one node; texts without words are
+    one group. Rows with a null doc_id stay as they are, since no group can name them. Of rows that repeat
+    a doc_id, one stays if one of their texts does. An empty table gives an empty result.
     """
-    described, grouped = similar_groups(docs, words, similarity, group)
-    owners = materialize(described.join(grouped, ["s1", "s2"]).select("doc_id", (F.col("doc_id") != F.col("root")).alias("goes")), "owners")
-    out = join_ids(docs, owners.where("goes").select("doc_id"), "doc_id", "left_anti")
-    repeated = owners.where("NOT goes").groupBy("doc_id").count().where("count > 1").select("doc_id")
+    rows = need(docs, ["doc_id", "text"]).where("doc_id IS NOT NULL")
+    digests = materialize(_digests(rows), "digests")
+    classes = _classes(digests, "digest", "doc_id")
+    reps = join_ids(rows, classes.select("id"), "id", "left_semi", "doc_id")
+    roots = connected_components(_alike_links(reps, words, similarity, most, group))
+    named = materialize(classes.join(roots, classes["id"] == roots["node"], "left").select("digest", "members", F.coalesce("root", "id").alias("root")), "groups")
+    owners = join_counted(digests, named, "digest", "members")
+    ruled = materialize(owners.groupBy("doc_id").agg(F.min(F.col("doc_id") != F.col("root")).alias("goes"), F.count(F.lit(1)).alias("n")), "owners")
+    out = join_ids(docs, ruled.where("goes").select("doc_id"), "doc_id", "left_anti")
+    repeated = ruled.where("NOT goes AND n > 1").select("doc_id")
     if repeated.isEmpty():
         return out
-    twice = join_ids(out, repeated, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return join_ids(out, repeated, "doc_id", "left_anti").unionByName(twice)
+    place = free_name(docs, "place")
+    order = Window.partitionBy("doc_id").orderBy("text", F.xxhash64(*docs.columns))
+    one = join_ids(out, repeated, "doc_id", "left_semi").withColumn(place, F.row_number().over(order)).where(F.col(place) == 1).drop(place)
+    return join_ids(out, repeated, "doc_id", "left_anti").unionByName(one)
