@@ -4,30 +4,60 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
+from contextlib import contextmanager
+from typing import Any
 
 import pandas as pd
-
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: Scratch tables made in this driver process and not deleted since.
+_MADE: list[str] = []
+
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder every executor and the driver can reach.
+    """The folder every executor and the driver can reach, with its scheme.
 
-    A cluster names it in ``spark.checkpoint.dir``; where that is unset (tests on one machine) a
-    temporary folder is made and set as the checkpoint folder of this session.
+    A cluster names it in ``spark.checkpoint.dir``. Where that is unset, a session on one machine
+    (tests) gets a temporary folder as its checkpoint folder; on a cluster it is an error.
     """
     at = spark.conf.get("spark.checkpoint.dir", None)
     if not at:
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         at = tempfile.mkdtemp(prefix="tilewright-")
         spark.conf.set("spark.checkpoint.dir", at)
         spark.sparkContext.setCheckpointDir(at)
-    return at.rstrip("/")
+    return qualified(spark, at.rstrip("/"))
+
+
+def qualified(spark: SparkSession, path: str) -> str:
+    """The path with the scheme of the file system that Spark finds it in, for readers other than Spark."""
+    if "://" in path:
+        return path
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    found = at.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(at).toString()
+    return found if "://" in found else found.replace(":/", ":///", 1)
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    _MADE.append(path)
+    return path
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Deletes the scratch tables made inside at its end; what is needed beyond it has to be written by then."""
+    first = len(_MADE)
+    try:
+        yield
+    finally:
+        for path in _MADE[first:]:
+            drop_files(spark, path)
+        del _MADE[first:]
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:
@@ -56,20 +86,22 @@ def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-#: Whole texts that a Python worker holds at a time; the session's own setting holds where it is smaller.
-BATCH_ROWS = 1000
-_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+#: Whole texts, and bytes of them, that go to a Python worker at a time; the session's own settings hold where they are smaller.
+BATCH_ROWS, BATCH_BYTES = 1000, 16 << 20
+_BATCH, _BYTES = "spark.sql.execution.arrow.maxRecordsPerBatch", "spark.sql.execution.arrow.maxBytesPerBatch"
 
 
 def need(df: DataFrame, columns: Iterable[str]) -> DataFrame:
     """Only the named columns, so that no other column of the input can clash with a working one.
 
-    Also bounds the rows of a batch that goes to Python, for this session, so that workers hold some
-    megabytes of text whatever a partition's size.
+    Also bounds the rows and bytes of a batch that goes to Python, for this session, so that workers hold
+    some megabytes of text whatever a partition's size.
     """
     conf = df.sparkSession.conf
     if not 0 < int(conf.get(_BATCH)) <= BATCH_ROWS:
         conf.set(_BATCH, BATCH_ROWS)
+    if not 0 < int(conf.get(_BYTES).rstrip("bB")) <= BATCH_BYTES:
+        conf.set(_BYTES, BATCH_BYTES)
     missing = [c for c in columns if c not in df.columns]
     if missing:
         raise ValueError(f"missing columns {missing}; the table has {df.columns}")
@@ -80,22 +112,22 @@ def need(df: DataFrame, columns: Iterable[str]) -> DataFrame:
 SMALL = 1_000_000
 
 
-def join_ids(df: DataFrame, ids: DataFrame, on: str, how: str, own: str | None = None) -> DataFrame:
+def join_ids(df: DataFrame, ids: DataFrame, on: str, how: str, own: str | Column | None = None) -> DataFrame:
     """Semi or anti join with a table of ids: broadcast where their counted number is small, else by shuffle.
 
-    ``on`` is the column of ``ids``, and of ``df`` too unless ``own`` names that.
+    ``on`` is the column of ``ids``, and of ``df`` too unless ``own`` says what it is there.
     """
     ids = ids.select(F.col(on).alias("_id")).distinct()
     if ids.count() <= SMALL:
         ids = F.broadcast(ids)
-    return df.join(ids, df[own or on] == ids["_id"], how)
+    return df.join(ids, (own if isinstance(own, Column) else df[own or on]) == ids["_id"], how)
 
 
 #: Rows from which a key counts as hot.
 HOT = 100_000
 
 
-def join_counted(rows: DataFrame, counts: DataFrame, key: str, n: str, hot: int = HOT) -> DataFrame:
+def join_counted(rows: DataFrame, counts: DataFrame, key: str | list[str], n: str, hot: int = HOT) -> DataFrame:
     """``rows`` with the columns of ``counts``: a written table with one row a key, and in ``n`` how many rows have it.
 
     Hot keys, of which there are few (the rows by ``hot`` at most), are joined by broadcast where their counted
@@ -116,7 +148,23 @@ def free_name(df: DataFrame, base: str) -> str:
     return base
 
 
-def gathered(frames: Iterator[pd.DataFrame], column: str = "text", chars: int = 8_000_000) -> Iterator[pd.DataFrame]:
+def row_key(df: DataFrame) -> tuple[Column, Column]:
+    """Two numbers that tell rows ``(doc_id, text)`` apart: the doc_id (-1 for none) and a hash of both; equal rows have equal keys."""
+    return F.coalesce(df["doc_id"], F.lit(-1)), F.xxhash64(df["doc_id"], df["text"])
+
+
+_HELD: dict[Any, Any] = {}
+
+
+def held(key: Any, make: Callable[[], Any]) -> Any:
+    """What ``make`` gives, remembered in this process until something else is asked for: workers outlive stages."""
+    if key not in _HELD:
+        _HELD.clear()
+        _HELD[key] = make()
+    return _HELD[key]
+
+
+def gathered(frames: Iterator[pd.DataFrame], column: str = "text", chars: int = 4_000_000) -> Iterator[pd.DataFrame]:
     """The frames put together until they hold about ``chars`` characters of text."""
     held: list[pd.DataFrame] = []
     size = 0

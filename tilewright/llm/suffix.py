@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, need
+from .common import join_counted, materialize, need, row_key
 
 LENGTH = 200
 GRAMS = (32, 100, 160, 190)  # then the window itself
@@ -234,6 +234,7 @@ def _mark(f: pd.DataFrame, length: int) -> pd.DataFrame:
         {
             "h1": f["h1"].to_numpy()[keep],
             "h2": f["h2"].to_numpy()[keep],
+            "n": f["n"].to_numpy()[keep],
             "lo": pd.Series([lo[i] for i in keep], dtype=object),
             "hi": pd.Series([hi[i] for i in keep], dtype=object),
         }
@@ -279,7 +280,8 @@ def _raw(text: str | None) -> bytes:
 
 def _keyed(docs: DataFrame) -> DataFrame:
     """doc, mark: together the key of a row; rows that are equal in both are equal documents."""
-    return need(docs, ["doc_id", "text"]).select("doc_id", "text", F.coalesce("doc_id", F.lit(-1)).alias("doc"), F.xxhash64("doc_id", "text").alias("mark"))
+    doc, mark = row_key(docs)
+    return need(docs, ["doc_id", "text"]).select("doc_id", "text", doc.alias("doc"), mark.alias("mark"))
 
 
 def _sorted_groups(ctx: DataFrame) -> DataFrame:
@@ -299,9 +301,8 @@ def repeated_ranges(docs: DataFrame, length: int = LENGTH, grams: tuple[int, ...
                 yield pd.DataFrame({"doc": doc[i], "mark": mark[i], "place": (first << 16) | count, "gram": gram})
 
     chosen = rows.select("doc", "mark", "text").where(F.octet_length("text") >= length).mapInPandas(pick, "doc long, mark long, place long, gram long")
-    # A table of its own: a join of two plain shuffles can split a gram that very many documents have.
-    often = materialize(chosen.groupBy("gram").agg(F.count(F.lit(1)).alias("times")).where("times > 1").select("gram"), "repeated-grams")
-    wanted = chosen.join(often, "gram").groupBy("doc", "mark").agg(F.collect_set(F.struct("place", "gram")).alias("places"))
+    often = materialize(chosen.groupBy("gram").agg(F.count(F.lit(1)).alias("times")).where("times > 1"), "repeated-grams")
+    wanted = join_counted(chosen, often, "gram", "times").groupBy("doc", "mark").agg(F.collect_set(F.struct("place", "gram")).alias("places"))
 
     def lift(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         seen: set[int] = set()  # contexts whose bytes this task has sent already
@@ -332,9 +333,9 @@ def repeated_ranges(docs: DataFrame, length: int = LENGTH, grams: tuple[int, ...
         hot = materialize(ctx.groupBy("gram").count().where(F.col("count") > group).select("gram"), "hot-grams")
         any_hot = k is not None and not hot.isEmpty()
         cold = ctx.join(hot, "gram", "left_anti") if any_hot else ctx
-        ranges = _sorted_groups(cold).mapInPandas(lambda it: _marked(it, length), "h1 long, h2 long, lo array<int>, hi array<int>")
+        ranges = _sorted_groups(cold).mapInPandas(lambda it: _marked(it, length), "h1 long, h2 long, n long, lo array<int>, hi array<int>")
         part = (
-            places.join(materialize(ranges, "ranges"), ["h1", "h2"])
+            join_counted(places, materialize(ranges, "ranges"), ["h1", "h2"], "n")
             .select("doc", "mark", "first", F.explode(F.arrays_zip("lo", "hi")).alias("r"))
             .select("doc", "mark", (F.col("first") + F.col("r.lo")).alias("lo"), (F.col("first") + F.col("r.hi")).alias("hi"))
         )
@@ -379,18 +380,23 @@ def _kept(raw: bytes, lo, hi) -> tuple[bytes, int]:
     return b"".join([*out, raw[at:]]), len(starts)
 
 
+#: What remove_repeats says of each row.
+MADE = {"kept": "string", "n_bytes": "long", "n_removed": "long", "n_spans": "long", "kept_sha256": "string"}
+
+
 def remove_repeats(docs: DataFrame, length: int = LENGTH, grams: tuple[int, ...] = GRAMS, group: int = GROUP, keep: list[str] | None = None) -> DataFrame:
-    """The columns ``keep`` (doc_id) of every row with kept (the text left, without halves of cut characters), n_bytes, n_removed, n_spans and kept_sha256.
+    """The columns ``keep`` (doc_id) of every row with kept (the text left, without halves of cut characters), n_bytes, n_removed, n_spans and kept_sha256; the last five replace columns of their names.
 
     Null texts count as empty (and kept is null). Repeated rows are documents of their own and remove each other's bytes.
     Texts under ``length`` bytes and texts without repeats are returned whole; an empty table gives
     an empty result.
     """
-    keep = keep or ["doc_id"]
+    keep = [c for c in keep or ["doc_id"] if c.lower() not in MADE]
     ranges = repeated_ranges(docs, length, grams, group).groupBy("doc", "mark").agg(F.collect_set(F.struct("lo", "hi")).alias("ranges"))
-    own = docs.select(*[docs[c].alias(f"_{c}") for c in keep], F.coalesce(docs["doc_id"], F.lit(-1)).alias("doc"), F.xxhash64(docs["doc_id"], docs["text"]).alias("mark"), docs["text"].alias("text"))
+    doc, mark = row_key(docs)
+    own = docs.select(*[docs[c].alias(f"_{c}") for c in keep], doc.alias("doc"), mark.alias("mark"), docs["text"].alias("text"))
     joined = own.join(ranges, ["doc", "mark"], "left").drop("doc", "mark")
-    made = "kept string, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
+    made = ", ".join(f"{n} {t}" for n, t in MADE.items())
     names = [f"_{c}" for c in keep]
 
     def each(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -400,14 +406,23 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, grams: tuple[int, ...]
                 raw = _raw(text)
                 kept, spans = (raw, 0) if ranges is None or not len(ranges) else _kept(raw, [r["lo"] for r in ranges], [r["hi"] for r in ranges])
                 out.append((None if text is None else kept.decode("utf-8", "ignore"), len(raw), len(raw) - len(kept), spans, hashlib.sha256(kept).hexdigest()))
-            yield pd.concat([f[names].reset_index(drop=True), pd.DataFrame(out, columns=["kept", "n_bytes", "n_removed", "n_spans", "kept_sha256"])], axis=1)
+            yield pd.concat([f[names].reset_index(drop=True), pd.DataFrame(out, columns=list(MADE))], axis=1)
 
     head = ", ".join(f"`{n}` {joined.schema[n].dataType.simpleString()}" for n in names)
     return joined.mapInPandas(each, f"{head}, {made}").withColumnsRenamed(dict(zip(names, keep)))
 
 
 def without_repeats(docs: DataFrame) -> DataFrame:
-    """``docs`` with repeated strings taken out of its texts; n_chars follows where a text changed."""
-    cleaned = remove_repeats(docs, keep=docs.columns)
-    text, chars = cleaned["kept"], F.when(F.col("n_removed") > 0, F.length("kept")).otherwise(F.col("n_chars")).cast("long")
-    return cleaned.withColumns({"text": text, "n_chars": chars}).select(*docs.columns)
+    """``docs`` with repeated strings taken out of its texts; n_chars, if there is one, follows where a text changed.
+
+    All other columns stay as they are, whatever their names.
+    """
+    plain = [f"c{i}" for i in range(len(docs.columns))]  # names of no meaning, so that none clashes
+    rows = docs.toDF(*plain)
+    at = {c.lower(): p for c, p in zip(docs.columns, plain)}
+    rows = rows.withColumnsRenamed({at["doc_id"]: "doc_id", at["text"]: "text"})
+    cleaned = remove_repeats(rows, keep=rows.columns)
+    chars = at.get("n_chars")
+    if chars:
+        cleaned = cleaned.withColumn(chars, F.when(F.col("n_removed") > 0, F.length("kept")).otherwise(F.col(chars)).cast(docs.schema["n_chars"].dataType))
+    return cleaned.withColumn("text", F.col("kept")).select(*rows.columns).toDF(*docs.columns)

@@ -5,14 +5,15 @@ The best segmentation of a prefix depends on nothing after it, so distinct pre-t
 and every node - a prefix that some pre-tokens share - gets its forward score and number of tokens
 once. A node that ends a pre-token gives its count; a text's count is the sum over its words.
 
-Piece probabilities follow Zipf's law over the vocabulary's order: the piece of rank r has
-probability proportional to 1 / r. Characters in no piece cost one byte piece for each UTF-8 byte.
+Tokenizers are not trained here and no public vocabulary at hand has unigram scores, so piece
+probabilities follow Zipf's law over the vocabulary's order: the piece of rank r has probability
+proportional to 1 / r. The counts are those of this model, not of the tokenizer the vocabulary is from.
+Characters in no piece cost one byte piece for each UTF-8 byte.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -21,7 +22,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import need
+from .common import held, need
 
 MARK = "▁"
 _TEXT_AT_ONCE = 1 << 22
@@ -196,9 +197,8 @@ class Counter:
         return self.counts[place]
 
 
-@lru_cache(maxsize=2)
 def _counter(path: str) -> Counter:
-    return Counter(Pieces.of(path))
+    return held(("counter", path), lambda: Counter(Pieces.of(path)))
 
 
 def count_tokens(docs: DataFrame, model: str | None = None) -> DataFrame:

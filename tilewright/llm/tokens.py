@@ -6,12 +6,13 @@ import json
 import os
 import re
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
+from .common import held
+
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
 # Characters on which the standard library's classes agree with the tokenizer's own splitting
@@ -22,7 +23,7 @@ _PRETOKENS = re.compile(r"'(?:[sdmt]|ll|ve|re)| ?[^\W\d_]+| ?\d+| ?(?:[^\s\w]|_)
 _ODD_SPACE = (
     r"[ \n][ \n]|^[ \n]|[ \n]$|[\t\x0b\x0c\r\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
 )
-_TEXT_AT_ONCE = 1 << 23
+_TEXT_AT_ONCE = 1 << 22
 
 
 class Encoder:
@@ -168,9 +169,8 @@ class Encoder:
         return [b"".join([known[w] for w in s]) if p else self._whole([t])[0] for t, s, p in zip(texts, split, plain)]
 
 
-@lru_cache(maxsize=2)
 def encoder(path: str) -> Encoder:
-    return Encoder(path)
+    return held(("encoder", path), lambda: Encoder(path))
 
 
 def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
