@@ -142,16 +142,58 @@ def test_decontamination(spark):
     assert {(10 + k, k) for k in range(12) if k % 3 < 2} <= set(got)  # whole, or one word in seven replaced
 
 
-def test_decontamination_in_blocks(spark):
+def test_decontamination_of_larger_benchmarks(spark, monkeypatch):
     items = spark.createDataFrame([(i, " ".join(f"w{i}x{j}" for j in range(9))) for i in range(20)], "item_id long, text string")
     docs = docs_table(spark, [" ".join(f"w{i}x{j}" for j in range(9)) for i in range(0, 20, 3)] + ["clean text of no item"])
     whole = sorted(map(tuple, decontaminate.leaks(docs, items).collect()))
-    assert len(whole) == 7 and whole == sorted(map(tuple, decontaminate.leaks(docs, items, block=200).collect()))
-    assert [r.doc_id for r in decontaminate.without_leaks(docs, items, block=200).collect()] == [7]
+    twice = sorted(map(tuple, decontaminate.leaks(docs.unionByName(docs), items.unionByName(items)).collect()))
+    assert len(whole) == 7 and twice == sorted(2 * whole)
+    monkeypatch.setattr(decontaminate, "SMALL_BENCHMARK", 10)  # items joined by shuffle, a bit map with hardly room for them
+    monkeypatch.setattr(decontaminate, "MAP_BITS", 1024)
+    assert whole == sorted(map(tuple, decontaminate.leaks(docs, items).collect()))
+    assert [r.doc_id for r in decontaminate.without_leaks(docs, items).collect()] == [7]
+    null = docs_table(spark, [(None, " ".join(f"w1x{j}" for j in range(9))), (5, None), (6, "")])
+    assert [(r.doc_id, r.item_id) for r in decontaminate.leaks(null, items).collect()] == [(None, 1)]
     assert decontaminate.leaks(docs, items.where("false")).collect() == [] == decontaminate.leaks(docs.where("false"), items).collect()
     assert decontaminate.without_leaks(docs, items.where("false")).count() == 8
 
 
+def test_decontamination_whole_table(spark, data, documents):
+    """Every pair of document and item that has an alignment of the least score, by brute force over all pairs."""
+    items = {r.item_id: decontaminate.words(r.text) for r in spark.read.parquet(f"{data}/benchmark.parquet").collect()}
+    want = {}
+    for d in documents.collect():
+        text = decontaminate.words(d.text)
+        known = set(text)
+        for i, item in items.items():
+            # No more than the item's words that the text has can match.
+            if item and sum(w in known for w in item) >= 0.4 * len(item) and (s := plain_alignment(item, text)) >= 0.4:
+                want[d.doc_id, i] = s
+    got = {(r.doc_id, r.item_id): r.score for r in queries.queries()["op2_decontaminate"](spark, data).collect()}
+    assert got == pytest.approx(want)
+
+
+def test_decontamination_recall_by_edits(spark):
+    """Items copied with a share of their words replaced, left out or added, among words that items share."""
+    r = random.Random(9)
+    common = [f"c{i}" for i in range(300)]
+    items = [" ".join(r.choice(common) for _ in range(r.randint(15, 50))) for _ in range(60)]
+    noise = [(1000 + i, " ".join(r.choice(common) for _ in range(300))) for i in range(40)]
+
+    def edited(text, share):
+        out = []
+        for w in text.split():
+            kind = r.choice("rda") if r.random() < share else ""
+            out += {"": [w], "r": [r.choice(common)], "d": [], "a": [w, r.choice(common)]}[kind]
+        return " ".join([*(r.choice(common) for _ in range(40)), *out, *(r.choice(common) for _ in range(40))])
+
+    bench = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    docs = [(100 * k + i, edited(t, share)) for k, share in enumerate((0, 0.15, 0.3)) for i, t in enumerate(items)]
+    got = {(x.doc_id // 100, x.doc_id % 100) for x in decontaminate.leaks(docs_table(spark, docs + noise), bench).collect() if x.doc_id < 300 and x.doc_id % 100 == x.item_id}
+    found = Counter(k for k, _ in got)
+    assert found[0] == 60 and found[1] >= 59 and found[2] >= 54, found
+
+
 # --- 3 -----------------------------------------------------------------------
 
 
