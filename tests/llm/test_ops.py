@@ -4,6 +4,7 @@ import hashlib
 import itertools
 import math
 import random
+import time
 import tracemalloc
 import zlib
 from collections import Counter, defaultdict
@@ -543,6 +544,27 @@ def test_main_text_hard_cases(spark):
     assert html_text.main_text(table.where("false")).collect() == []
 
 
+def test_main_text_of_unmarked_pages():
+    """Bare text, plain divs, names in other languages, formulas and fall-back text, tags that are not closed."""
+    first, second = "A first paragraph with quite a few words in it, and a comma.", "The second paragraph of the page, with more words to read."
+    pages = {
+        first: first,
+        f"<div>{first}</div><div>{second}</div>": f"{first}\n{second}",
+        f"<html><body><ul><li><a href='/'>Home</a></li><li><a href='/a'>About</a></li></ul><p>{first}</p><p>{second}</p></body></html>": f"{first}\n{second}",
+        f"<div id='inhalt'><p>{first} <math><mi>x</mi></math> <object>fall-back</object></p></div>": f"{first} x fall-back",
+        f"<article><p>{first}</p><svg><p>{second}</p></article>": f"{first}\n{second}",
+        f"<article><p>{first}</p><iframe><p>{second}</p></article>": f"{first}\n{second}",
+    }
+    assert dict(zip(pages, html_text.extract(list(pages), html_text.labeller()))) == pages
+
+
+@pytest.mark.parametrize("page", ["<div>x" * 50_000, "<b>x" * 50_000 + "<p>y" * 2000, "<li>" * 50_000, "<template>" * 50_000, "<p" * 50_000])
+def test_deep_pages_take_linear_time(page):
+    began = time.process_time()
+    html_text.blocks(page)
+    assert time.process_time() - began < 20
+
+
 def test_main_text_whole_table(spark, data):
     import html
     import re

@@ -3,7 +3,8 @@
 A page is read into its blocks, the pieces of text between block-level tags, each with the path of
 open tags (names, ids and classes). A bidirectional LSTM in numpy reads one vector a block - hashed
 path, hashed words, a few numbers - over the whole page and labels every block; blocks labelled as
-main text are joined in page order. Scripts, styles, templates, comments and markup are no text.
+main text are joined in page order. Scripts, styles, templates, comments and markup are no text; what
+formulas, objects and drawings hold is text like any other.
 
 The labeller is trained here, on made-up pages whose labels are known by construction (a fixed
 number of pages and a fixed seed), once per driver process.
@@ -32,66 +33,103 @@ BLOCK_TAGS = frozenset(
     "tfoot th thead title tr ul".split()
 )
 VOID_TAGS = frozenset("area base br col embed hr img input link meta source track wbr".split())
-RAW_TAGS = frozenset("script style noscript template iframe object svg math canvas textarea noembed noframes xmp".split())
+#: Tags whose content is no text of the page. The last of them are ordinary tags where they are not closed.
+RAW_TAGS = frozenset("script style template iframe textarea noembed noframes".split())
+TO_THE_END = frozenset("script style".split())
 CLOSES_P = BLOCK_TAGS - frozenset("body head html title option optgroup caption td th tr tbody thead tfoot button".split())
 #: A tag that ends an open one of the same list.
 SIBLINGS = {t: group for group in (("li",), ("dt", "dd"), ("td", "th"), ("tr",), ("option",)) for t in group}
 HOLDS = {"li": ("ul", "ol", "menu", "dir"), "dt": ("dl",), "dd": ("dl",), "td": ("tr", "table"), "th": ("tr", "table"), "tr": ("table",), "option": ("select",)}
 
-_TAG = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>", re.S)
+# A tag ends at its sign, before the next tag or with the page.
+_TAG = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*+)((?:[^<>\"']|\"[^\"]*\"|'[^']*')*+)(?:>|(?=<)|\Z)", re.S)
 _NAMES = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 _SPLIT = re.compile(r"[^a-z]+")
 
 PATHS, WORDS, NUMBERS = 192, 16, 8
 WIDTH = PATHS + WORDS + NUMBERS
+#: Made-up pages that the labeller is trained on.
+PAGES = 1500
 
 
 @dataclass
 class Block:
     text: str
-    path: tuple[str, ...]
+    places: np.ndarray  # of the path's tokens: 1 where there is one
+    depth: int  # tokens of the path
     linked: int  # characters of the text inside links
 
 
+@lru_cache(maxsize=200_000)
+def _place(token: str, size: int) -> int:
+    return zlib.crc32(token.encode("utf-8", "surrogatepass")) % size
+
+
 @lru_cache(maxsize=20_000)
-def _tokens(name: str, attributes: str) -> tuple[str, ...]:
+def _tokens(name: str, attributes: str) -> tuple[int, ...]:
+    """Places of a tag's tokens: its name, its classes and ids, and both together."""
     found = [name]
     for m in _NAMES.finditer(attributes):
         found += [f"{name}.{t}" for t in _SPLIT.split((m[1] or m[2] or m[3] or "").lower()) if t]
         found += [f".{t}" for t in _SPLIT.split((m[1] or m[2] or m[3] or "").lower()) if t]
-    return tuple(found)
+    return tuple(_place(t, PATHS) for t in found)
+
+
+class _Path:
+    """The open tags, with the places of all their tokens counted, so that a block costs the same at any depth."""
+
+    def __init__(self):
+        self.open: list[tuple[str, tuple[int, ...]]] = []
+        self.at: dict[str, list[int]] = {}  # where each name is open
+        self.counts = np.zeros(PATHS, np.int64)
+        self.depth = 0
+
+    def last(self, *names: str) -> int:
+        """Where the innermost of the names is open, -1 if none is."""
+        return max((self.at[n][-1] for n in names if self.at.get(n)), default=-1)
+
+    def push(self, name: str, tokens: tuple[int, ...]) -> None:
+        self.at.setdefault(name, []).append(len(self.open))
+        self.open.append((name, tokens))
+        self.depth += len(tokens)
+        for t in tokens:
+            self.counts[t] += 1
+
+    def close(self, at: int) -> None:
+        """Close the tag at a place and all inside it."""
+        while len(self.open) > at:
+            name, tokens = self.open.pop()
+            self.at[name].pop()
+            self.depth -= len(tokens)
+            for t in tokens:
+                self.counts[t] -= 1
 
 
 def blocks(page: str | None) -> list[Block]:
     """The page's text blocks in order, white space inside a block as one space; tolerates missing end tags."""
     page = page or ""
     out: list[Block] = []
-    names: list[str] = []
-    tokens: list[tuple[str, ...]] = []
+    path = _Path()
     held: list[str] = []
-    linked = links = 0
+    linked = 0
+    unclosed: set[str] = set()  # raw tags that no end tag follows any more
 
     def flush() -> None:
         nonlocal held, linked
         if held:
             text = " ".join(html.unescape("".join(held)).split())
             if text:
-                out.append(Block(text, tuple(t for some in tokens for t in some), linked))
+                out.append(Block(text, (path.counts > 0).astype(np.uint8), path.depth, linked))
             held = []
         linked = 0
 
-    def close(upto: int) -> None:
-        nonlocal links
-        links -= names[upto:].count("a")
-        del names[upto:], tokens[upto:]
-
     at = 0
     while True:
         m = _TAG.search(page, at)
         text = page[at : m.start() if m else len(page)]
         if text:
             held.append(text)
-            if links:
+            if path.at.get("a"):
                 linked += len(text)
         if not m:
             break
@@ -99,53 +137,41 @@ def blocks(page: str | None) -> list[Block]:
         if m[2] is None:
             continue
         name = m[2].lower()
-        if name in RAW_TAGS:
-            if not m[1] and not m[3].endswith("/"):
-                end = re.compile(rf"</{re.escape(name)}(?=[\s/>])[^>]*>", re.I).search(page, at)
+        if name in RAW_TAGS and not m[1] and not m[3].endswith("/"):
+            end = None if name in unclosed else re.compile(rf"</{re.escape(name)}(?=[\s/>])[^>]*>", re.I).search(page, at)
+            if end or name in TO_THE_END:
                 at = end.end() if end else len(page)
-            continue
+                continue
+            unclosed.add(name)
         block = name in BLOCK_TAGS
         if block:
             flush()
         elif name == "br":
             held.append(" ")
         if m[1]:
-            if name in names:
-                close(len(names) - 1 - names[::-1].index(name))
+            if (i := path.last(name)) >= 0:
+                path.close(i)
             continue
-        if name in CLOSES_P and "p" in names:
-            close(len(names) - 1 - names[::-1].index("p"))
-        if name in SIBLINGS:
-            for i in range(len(names) - 1, -1, -1):
-                if names[i] in SIBLINGS[name]:
-                    close(i)
-                    break
-                if names[i] in HOLDS[name]:
-                    break
+        if name in CLOSES_P and (i := path.last("p")) >= 0:
+            path.close(i)
+        if name in SIBLINGS and (i := path.last(*SIBLINGS[name])) > path.last(*HOLDS[name]):
+            path.close(i)
         if name not in VOID_TAGS:
-            names.append(name)
-            tokens.append(_tokens(name, m[3]))
-            links += name == "a"
+            path.push(name, _tokens(name, m[3]))
     flush()
     return out
 
 
-@lru_cache(maxsize=200_000)
-def _place(token: str, size: int) -> int:
-    return zlib.crc32(token.encode("utf-8", "surrogatepass")) % size
-
-
 def vectors(page: list[Block]) -> np.ndarray:
-    """One row a block: hashed path (depth-damped at the top), hashed words, and a few numbers."""
+    """One row a block: hashed path, hashed words, and a few numbers."""
     x = np.zeros((len(page), WIDTH), np.float32)
     for i, b in enumerate(page):
-        for t in b.path:
-            x[i, _place(t, PATHS)] = 1
+        x[i, :PATHS] = b.places
         w = b.text.split()
         counts = np.bincount([_place(t, WORDS) for t in w], minlength=WORDS)
         x[i, PATHS : PATHS + WORDS] = counts / len(w) if w else 0
         n = len(b.text)
-        x[i, PATHS + WORDS :] = (np.log1p(n) / 8, np.log1p(len(w)) / 6, min(1, b.linked / n), b.text[-1] in ".!?\"'”»", sum(b.text.count(c) for c in ".,;") / (len(w) + 1), i / len(page), len(b.path) / 16, 1)
+        x[i, PATHS + WORDS :] = (np.log1p(n) / 8, np.log1p(len(w)) / 6, min(1, b.linked / n), b.text[-1] in ".!?\"'”»", sum(b.text.count(c) for c in ".,;") / (len(w) + 1), i / len(page), min(4, b.depth / 16), 1)
     return x
 
 
@@ -193,7 +219,8 @@ class Labeller:
     def gradients(self, x: np.ndarray, mask: np.ndarray, y: np.ndarray) -> dict[str, np.ndarray]:
         p, both, traces = self.forward(x, mask, True)
         dz = ((p - y) * mask / mask.sum()).astype(np.float32)
-        g = {"wo": np.einsum("ntk,nt->k", both, dz)[:, None], "wx": np.einsum("ntk,nt->k", x, dz)[:, None], "bo": np.array([dz.sum()], np.float32)}
+        flat = lambda v: v.reshape(-1, v.shape[-1])
+        g = {"wo": flat(both).T @ dz.reshape(-1, 1), "wx": flat(x).T @ dz.reshape(-1, 1), "bo": np.array([dz.sum()], np.float32)}
         dboth = dz[:, :, None] * self.p["wo"][:, 0]
         k = self.hidden
         for d, part in (("f", dboth[:, :, :k]), ("b", dboth[:, :, k:])):
@@ -211,16 +238,17 @@ class Labeller:
                 da_all[:, i] = da
                 dh = dh * (1 - m) + da @ self.p[f"wh{d}"].T
                 dc = dc * (1 - m) + dc2 * s[:, k : 2 * k]
-            g |= {f"wh{d}": dwh, f"wx{d}": np.einsum("ntk,ntg->kg", x, da_all), f"b{d}": da_all.sum((0, 1))}
+            g |= {f"wh{d}": dwh, f"wx{d}": flat(x).T @ flat(da_all), f"b{d}": da_all.sum((0, 1))}
         return g
 
-    def train(self, pages: list[tuple[np.ndarray, np.ndarray]], passes: int = 8, batch: int = 16, rate: float = 0.01) -> None:
+    def train(self, pages: list[tuple[np.ndarray, np.ndarray]], passes: int = 8, batch: int = 24, rate: float = 0.015) -> None:
         m = {k: np.zeros_like(v) for k, v in self.p.items()}
         v = {k: np.zeros_like(w) for k, w in self.p.items()}
         rng, step = np.random.default_rng(5), 0
-        for _ in range(passes):
-            order = rng.permutation(len(pages))
-            for at in range(0, len(order), batch):
+        order = np.argsort([len(x) for x, _ in pages], kind="stable")  # pages of like length together
+        for done in range(passes):
+            now = rate * (1 - 0.9 * done / passes)
+            for at in batch * rng.permutation(-(-len(order) // batch)):
                 some = [pages[i] for i in order[at : at + batch]]
                 x, mask = pad([s[0] for s in some])
                 y = np.zeros(mask.shape, np.float32)
@@ -231,7 +259,7 @@ class Labeller:
                     g = np.clip(g, -1, 1)
                     m[k] = 0.9 * m[k] + 0.1 * g
                     v[k] = 0.99 * v[k] + 0.01 * g * g
-                    self.p[k] -= rate * (m[k] / (1 - 0.9**step)) / (np.sqrt(v[k] / (1 - 0.99**step)) + 1e-6)
+                    self.p[k] -= now * (m[k] / (1 - 0.9**step)) / (np.sqrt(v[k] / (1 - 0.99**step)) + 1e-6)
 
     def label(self, pages: list[list[Block]]) -> list[np.ndarray]:
         """True for the blocks of main text. Pages of like length go through together, a bounded amount at a time."""
@@ -271,21 +299,25 @@ class _Maker:
 
     def __init__(self, seed: int):
         self.r = np.random.default_rng(seed)
+        self.known = ["".join(_SYLLABLES[i] for i in self.r.integers(len(_SYLLABLES), size=int(self.r.integers(1, 4)))) for _ in range(4000)]
 
     def one(self, *options):
-        return options[int(self.r.integers(len(options)))]
+        """One of the options; what a function makes is made only if it is the one."""
+        own = options[int(self.r.integers(len(options)))]
+        return own() if callable(own) else own
 
     def maybe(self, p: float) -> bool:
         return bool(self.r.random() < p)
 
     def words(self, lo: int, hi: int) -> str:
         n = int(self.r.integers(lo, hi + 1))
-        w = ["".join(self.r.choice(_SYLLABLES, int(self.r.integers(1, 4)))) for _ in range(n)]
+        w = [self.known[i] for i in self.r.integers(len(self.known), size=n)]
         style = self.r.random()
         if style < 0.08:
             w = [x.upper() + "!!" for x in w]
         elif style < 0.16:
-            w = [x + self.one("***", "$$$", "%%%", "&amp;&amp;", "###") for x in w]
+            mark = self.one("***", "$$$", "%%%", "&amp;&amp;", "###")
+            w = [x + mark for x in w]
         elif style < 0.2:
             w = [w[0]] * n
         w[0] = w[0].capitalize()
@@ -294,7 +326,7 @@ class _Maker:
         return " ".join(w) + self.one(".", ".", "", "!")
 
     def named(self, tag: str, *names: str) -> str:
-        """The tag with one of the names as class or id, or a bare tag where it says enough by itself."""
+        """The tag with one of the names as class or id, and at times another that says nothing."""
         own = self.one("class", "class", "id")
         extra = self.one("", "", " " + self.one("wrap", "block", "clearfix", "row", "widget"))
         return f'<{tag} {own}="{self.one(*names)}{extra}">'
@@ -305,44 +337,52 @@ class _Maker:
     def menu(self) -> str:
         if self.maybe(0.6):
             return "<nav>" + self.link_list(3, 9) + "</nav>"
-        return self.named("div", "nav", "menu", "navbar", "navigation", "breadcrumb", "topmenu") + self.one(self.link_list(2, 8), " | ".join(f'<a href="#">{self.words(1, 2)}</a>' for _ in range(4))) + "</div>"
+        return self.named("div", "nav", "menu", "navbar", "navigation", "breadcrumb", "topmenu", "navegacion", "menue", "migas") + self.one(self.link_list(2, 8), " | ".join(f'<a href="#">{self.words(1, 2)}</a>' for _ in range(4))) + "</div>"
 
     def header(self) -> str:
         inside = self.one(f"<h1>{self.words(1, 4)}</h1>", f"<p>{self.words(2, 9)}</p>", f'<a href="/">{self.words(1, 3)}</a>', "") + (self.menu() if self.maybe(0.4) else "")
-        return "<header>" + inside + "</header>" if self.maybe(0.6) else self.named("div", "header", "masthead", "site-header", "banner", "topbar") + inside + "</div>"
+        return "<header>" + inside + "</header>" if self.maybe(0.6) else self.named("div", "header", "masthead", "site-header", "banner", "topbar", "kopf", "cabecera", "entete") + inside + "</div>"
 
     def footer(self) -> str:
         inside = f"&copy; {self.words(1, 4)} &middot; {self.words(3, 12)}" if self.maybe(0.6) else f"<p>{self.words(3, 15)}</p>" + (self.link_list(2, 5) if self.maybe(0.4) else "")
-        return "<footer>" + inside + self.one("</footer>", "</footer>", "</footer>", "") if self.maybe(0.7) else self.named("div", "footer", "site-footer", "bottom", "copyright", "colophon") + inside + "</div>"
+        return "<footer>" + inside + self.one("</footer>", "</footer>", "</footer>", "") if self.maybe(0.7) else self.named("div", "footer", "site-footer", "bottom", "copyright", "colophon", "fuss", "pie", "pied") + inside + "</div>"
 
     def side(self) -> str:
         inside = self.one(f"<h3>{self.words(1, 3)}</h3>", "") + self.one(self.link_list(2, 6), f"<p>{self.words(5, 30)}</p>", f"{self.words(3, 12)}")
-        return "<aside>" + inside + "</aside>" if self.maybe(0.5) else self.named("div", "sidebar", "side", "related", "widget-area", "rail", "aside", "recommended", "share", "social", "tags", "promo-links") + inside + "</div>"
+        return "<aside>" + inside + "</aside>" if self.maybe(0.5) else self.named("div", "sidebar", "side", "related", "widget-area", "rail", "aside", "recommended", "share", "social", "tags", "promo-links", "barra", "lateral", "seitenleiste") + inside + "</div>"
 
     def advert(self) -> str:
         inside = self.one(self.words(3, 14), f"<p>{self.words(3, 20)}</p>", f'<a href="#">{self.words(2, 8)}</a>')
         tag = self.one("div", "div", "section", "p", "aside")
-        return ("<!-- ad -->" if self.maybe(0.5) else "") + self.named(tag, "ad", "ads", "advert", "advertisement", "sponsor", "sponsored", "promo", "banner-ad", "adsbox", "ad-slot") + inside + f"</{tag}>"
+        return ("<!-- ad -->" if self.maybe(0.5) else "") + self.named(tag, "ad", "ads", "advert", "advertisement", "sponsor", "sponsored", "promo", "banner-ad", "adsbox", "ad-slot", "werbung", "anuncio", "publicidad", "pub") + inside + f"</{tag}>"
 
     def notice(self) -> str:
         inside = self.one(f"<p>{self.words(5, 30)}</p>", self.words(5, 25)) + (f"<button>{self.words(1, 2)}</button>" if self.maybe(0.5) else "")
-        return self.named("div", "cookie", "cookie-notice", "consent", "gdpr", "notice", "alert", "newsletter", "popup", "modal", "subscribe", "paywall", "warning", "disclaimer") + inside + "</div>"
+        return self.named("div", "cookie", "cookie-notice", "consent", "gdpr", "notice", "alert", "newsletter", "popup", "modal", "subscribe", "paywall", "warning", "disclaimer", "aviso", "hinweis") + inside + "</div>"
 
     def form(self) -> str:
         return f'<form action="/">{self.one("<label>" + self.words(1, 3) + "</label>", "<p>" + self.words(3, 12) + "</p>", self.words(1, 4))}<input name="q"><select><option>{self.words(1, 2)}<option>{self.words(1, 2)}</select><button>{self.words(1, 2)}</button></form>'
 
     def comments(self) -> str:
         each = self.one("article", "div", "li", "p")
-        inside = "".join(self.named(each, "comment", "comment-body", "reply", "response") + self.one(self.words(4, 50), f"<p>{self.words(4, 50)}</p>" if each != "p" else self.words(4, 40), f"<b>{self.words(1, 2)}</b> {self.words(4, 40)}") + f"</{each}>" for _ in range(int(self.r.integers(1, 5))))
+        inside = "".join(self.named(each, "comment", "comment-body", "reply", "response", "kommentar", "comentario") + self.one(self.words(4, 50), f"<p>{self.words(4, 50)}</p>" if each != "p" else self.words(4, 40), f"<b>{self.words(1, 2)}</b> {self.words(4, 40)}") + f"</{each}>" for _ in range(int(self.r.integers(1, 5))))
         tag = self.one("section", "div", "ol" if each == "li" else "div")
-        return self.named(tag, "comments", "comment-list", "discussion", "responses", "disqus", "comments-area") + (f"<h2>{self.words(1, 3)}</h2>" if tag != "ol" else "") + inside + f"</{tag}>"
+        return self.named(tag, "comments", "comment-list", "discussion", "responses", "disqus", "comments-area", "kommentare", "comentarios") + (f"<h2>{self.words(1, 3)}</h2>" if tag != "ol" else "") + inside + f"</{tag}>"
 
-    def main_block(self) -> str:
+    def main_block(self, plain: str = "p", shortest: int = 1) -> str:
         m = self.MARK
         kind = self.r.random()
-        inline = lambda a, b: m + self.one(self.words(a, b), f"{self.words(2, 8)} <b>{self.words(1, 4)}</b> {self.words(a, b)}", f'{self.words(a, b)} <a href="/x">{self.words(1, 3)}</a> {self.words(1, 6)}', f"<b>{self.words(a, b)}<br>", f"<em>{self.words(a, b)}</em>", f"{self.words(a, b)}<br>{self.words(1, 9)}")
+        inline = lambda a, b: m + self.one(
+            lambda: self.words(a, b),
+            lambda: f"{self.words(2, 8)} <b>{self.words(1, 4)}</b> {self.words(a, b)}",
+            lambda: f'{self.words(a, b)} <a href="/x">{self.words(1, 3)}</a> {self.words(1, 6)}',
+            lambda: f"<b>{self.words(a, b)}<br>",
+            lambda: f"<em>{self.words(a, b)}</em>",
+            lambda: f"{self.words(a, b)}<br>{self.words(1, 9)}",
+            lambda: f"{self.words(a, b)} <math><mi>x</mi><mo>=</mo><mn>2</mn></math> {self.words(1, 5)}",
+        )
         if kind < 0.72:
-            return f"<p>{inline(1, 70)}{self.one('</p>', '</p>', '')}"
+            return f"<{plain}>{inline(shortest, self.one(70, 70, 70, 70, shortest + 2))}{f'</{plain}>' if plain != 'p' else self.one('</p>', '</p>', '')}"
         if kind < 0.8:
             h = self.one("h2", "h3", "h4")
             return f"<{h}>{m}{self.words(1, 8)}</{h}>"
@@ -356,16 +396,22 @@ class _Maker:
             return f"<pre>{m}{self.words(3, 30)}</pre>"
         return f"<figure><img src='x'><figcaption>{m}{self.words(2, 15)}</figcaption></figure>"
 
-    def article(self) -> str:
+    def article(self, bare: bool) -> str:
         m = self.MARK
-        parts = [self.main_block() for _ in range(int(self.r.integers(1, 16)))]
+        plain = self.one("p", "p", "div") if bare else "p"
+        parts = [self.main_block(plain, 8 if bare else 1) for _ in range(int(self.r.integers(2 if bare else 1, self.one(16, 16, 16, 50))))]
         head = f"<h1>{m}{self.words(1, 12)}</h1>" if self.maybe(0.85) else ""
-        for extra, p in ((self.advert, 0.15), (self.side, 0.08), (self.notice, 0.06)):
-            if self.maybe(p):
-                parts.insert(int(self.r.integers(len(parts) + 1)), extra())
+        if not bare:
+            for extra, p in ((self.advert, 0.15), (self.side, 0.08), (self.notice, 0.06)):
+                if self.maybe(p):
+                    parts.insert(int(self.r.integers(len(parts) + 1)), extra())
         if self.maybe(0.1):
             head = f"<header>{head}</header>" if head and self.maybe(0.3) else head
         inside = head + "".join(parts)
+        if bare:
+            tag = self.one("", "div", "section", "div")
+            name = self.one("", f' class="{self.one(*"abcdefgh")}{int(self.r.integers(100))}"', f' id="{self.known[int(self.r.integers(4000))]}"')
+            return f"<{tag}{name}>{inside}</{tag}>" if tag else inside
         kind = self.r.random()
         if kind < 0.5:
             return f"<article>{inside}</article>"
@@ -374,13 +420,15 @@ class _Maker:
         if kind < 0.7:
             return f"<main><article>{inside}</article></main>"
         tag = self.one("div", "div", "section")
-        names = self.one("content", "post", "entry-content", "article", "article-body", "story", "main", "post-body", "text", "main-content")
+        names = self.one("content", "post", "entry-content", "article", "article-body", "story", "main", "post-body", "text", "main-content", "contenido", "inhalt", "artikel", "contenu", "texte", "cuerpo", "beitrag")
         return self.named(tag, names) + inside + f"</{tag}>"
 
     def page(self) -> str:
+        if self.maybe(0.04):  # nothing but text
+            return "".join(f"{self.one('', '<p>', '<div>')}{self.MARK}{self.words(8, 90)}{self.one('', '<p>')}" for _ in range(int(self.r.integers(1, 4))))
         before = [f() for f, p in ((self.header, 0.45), (self.menu, 0.7), (self.notice, 0.25), (self.form, 0.2), (self.advert, 0.5), (self.side, 0.2)) if self.maybe(p)]
         after = [f() for f, p in ((self.side, 0.35), (self.comments, 0.35), (self.advert, 0.3), (self.form, 0.15), (self.notice, 0.15), (self.footer, 0.85)) if self.maybe(p)]
-        body = "".join([*before, self.article() if self.maybe(0.97) else "", *after])
+        body = "".join([*before, self.article(self.maybe(0.12)) if self.maybe(0.97) else "", *after])
         if self.maybe(0.25):
             body = f'<div class="{self.one("page", "wrapper", "container", "site")}">{body}</div>'
         return f"<!DOCTYPE html><html><head><title>{self.words(1, 10)}</title><style>p{{}}</style></head><body>{body}" + self.one("</body></html>", "</body></html>", "")
@@ -392,7 +440,7 @@ def made_up(count: int, seed: int) -> list[tuple[list[Block], np.ndarray]]:
     for _ in range(count):
         page = blocks(maker.page())
         y = np.array([_Maker.MARK in b.text for b in page], np.float32)
-        page = [Block(" ".join(b.text.replace(_Maker.MARK, "").split()) or "-", b.path, b.linked) for b in page]
+        page = [Block(" ".join(b.text.replace(_Maker.MARK, "").split()) or "-", b.places, b.depth, b.linked) for b in page]
         if page:
             out.append((page, y))
     return out
@@ -400,9 +448,9 @@ def made_up(count: int, seed: int) -> list[tuple[list[Block], np.ndarray]]:
 
 @lru_cache(maxsize=1)
 def labeller() -> Labeller:
-    """Trained on 600 made-up pages; the same every time."""
+    """Trained on made-up pages; the same every time."""
     model = Labeller()
-    model.train([(vectors(p), y) for p, y in made_up(600, 17)])
+    model.train([(vectors(p), y) for p, y in made_up(PAGES, 17)])
     return model
 
 
