@@ -5,8 +5,10 @@ histogram (at most ``capacity`` numbers, whatever the corpus) goes to the driver
 program over patterns is solved by column generation: a knapsack dynamic program prices, for the
 current duals, the best pattern of every total. A pattern's cost is its padded length, so exact
 fills and powers of two cost no padding. Rounded-down pattern counts are then assigned to documents
-by rank within their length. What rounding leaves over, and what only badly filled patterns would
-hold, is laid end to end and cut at the sequence length, the last part into powers of two.
+by rank within their length. What rounding leaves over, a number of pieces that the patterns bound
+whatever the corpus, goes into patterns of its own, the longest first with what fills its sequence. What
+only patterns with over ``WASTE`` padding would hold is laid end to end and cut at the sequence length,
+the last part into powers of two.
 """
 
 from __future__ import annotations
@@ -25,6 +27,8 @@ from .tokens import encoder, tokenizer_path
 
 #: Leftover pieces (five numbers each) that are broadcast to fetch their ids; more are joined by shuffle.
 LEFTOVERS = 200_000
+#: Padding of a pattern at most, of its tokens.
+WASTE = 0.01
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, ids binary"
 
 
@@ -32,11 +36,12 @@ def padded(total: int, capacity: int) -> int:
     return total if total & (total - 1) == 0 else capacity
 
 
-def solve_patterns(demand: dict[int, int], capacity: int, gap: float = 2e-3, rounds: int = 400) -> list[tuple[dict[int, int], float]]:
+def solve_patterns(demand: dict[int, int], capacity: int, gap: float = 1e-6, rounds: int = 400) -> list[tuple[dict[int, int], float]]:
     """Patterns (length -> copies) and how often the linear program uses each.
 
-    Every length's demand is met exactly. The program stops at the optimum or when its cost is
-    within ``gap`` of the tokens themselves, which no packing can beat.
+    Every length's demand is met exactly. Columns are generated until none improves, the cost is within
+    ``gap`` of the tokens themselves, which no packing can beat, or ``rounds`` columns have come in: the
+    patterns meet the demand after each.
     """
     lengths = np.array(sorted(n for n, c in demand.items() if c), np.int64)
     if not len(lengths):
@@ -98,10 +103,10 @@ def _first_basis(lengths: np.ndarray, demand: np.ndarray, capacity: int) -> tupl
     live = np.ones(len(lengths), bool)
     best = pick = own = None
     while live.any():
-        if own is None or not live[own].all():
+        if own is None:
             own = np.flatnonzero(live)
             best, pick = _knapsack(lengths[own], lengths[own].astype(float) ** 2, capacity)
-        i = int(own[-1])
+        i = int(np.flatnonzero(live)[-1])
         n = int(lengths[i])
         room = capacity - n
         fits = np.flatnonzero(np.isfinite(best[: room + 1]))
@@ -112,6 +117,9 @@ def _first_basis(lengths: np.ndarray, demand: np.ndarray, capacity: int) -> tupl
             m = int(lengths[own[pick[t]]])
             pattern[m] = pattern.get(m, 0) + 1
             t -= m
+        if not all(live[place[m]] for m in pattern):  # the fill is of a time when a length was left that is used up
+            own = None
+            continue
         ratios = {m: left[place[m]] / c for m, c in pattern.items()}
         out = place[min(ratios, key=ratios.get)]
         times = ratios[int(lengths[out])]
@@ -180,16 +188,15 @@ def make_plan(demand: dict[int, int], capacity: int) -> Plan:
     runs, sequence = [], 0
     for pattern, times in patterns:
         total = sum(n * c for n, c in pattern.items())
-        times = int(times + 1e-6) if padded(total, capacity) <= 1.01 * total else 0
+        times = int(times + 1e-6) if padded(total, capacity) <= (1 + WASTE) * total else 0
         times = min([times, *(int((demand[n] - used[n]) // c) for n, c in pattern.items())])
-        if times <= 0:
-            continue
-        offset = 0
-        for n, c in sorted(pattern.items(), reverse=True):
-            runs.append((n, int(used[n]), c, sequence, offset))
-            used[n] += times * c
-            offset += n * c
-        sequence += times
+        if times > 0:
+            sequence = _use(pattern, times, used, runs, sequence)
+    left = np.zeros(capacity + 1, np.int64)
+    for n, c in demand.items():
+        left[n] = c - used[n]
+    for pattern in _rest_patterns(left, capacity):
+        sequence = _use(pattern, 1, used, runs, sequence)
     runs.sort()
     columns = [np.array(c, np.int64) for c in zip(*runs)] if runs else [np.empty(0, np.int64)] * 5
     tail, at = np.zeros(capacity + 1, np.int64), 0
@@ -199,6 +206,40 @@ def make_plan(demand: dict[int, int], capacity: int) -> Plan:
     return Plan(*columns, used, tail, sequence, at, capacity)
 
 
+def _use(pattern: dict[int, int], times: int, used: np.ndarray, runs: list[tuple], sequence: int) -> int:
+    """Add the pattern's slots to ``runs``; the next free sequence."""
+    offset = 0
+    for n, c in sorted(pattern.items(), reverse=True):
+        runs.append((n, int(used[n]), c, sequence, offset))
+        used[n] += times * c
+        offset += n * c
+    return sequence + times
+
+
+def _rest_patterns(left: np.ndarray, capacity: int) -> Iterator[dict[int, int]]:
+    """Well filled patterns out of ``left`` pieces of each length, the longest first; a length that finds none is passed over.
+
+    Each step takes the longest piece that leaves room for another exactly, else the longest that fits.
+    """
+    left = left.copy()
+    for n in range(capacity, 0, -1):
+        while left[n]:
+            rest = left.copy()
+            rest[n] -= 1
+            pattern, room = {n: 1}, capacity - n
+            while room and len(fits := np.flatnonzero(rest[: room + 1])):
+                exact = fits[(fits == room) | ((rest[room - fits] > (2 * fits == room)) & (fits < room))]
+                m = int(exact[-1] if len(exact) else fits[-1])
+                rest[m] -= 1
+                pattern[m] = pattern.get(m, 0) + 1
+                room -= m
+            total = capacity - room
+            if padded(total, capacity) > (1 + WASTE) * total:
+                break
+            left = rest
+            yield pattern
+
+
 def cut_documents(docs: DataFrame, tokenizer: str | None = None, end_id: int = 0, capacity: int = 1024) -> DataFrame:
     """Pieces of at most ``capacity`` ids of every document, with their ids, written to the shared folder."""
     path = tokenizer or tokenizer_path()
