@@ -8,14 +8,16 @@ below the threshold are dropped; all others are computed exactly, in double prec
 those count.
 
 Vectors of one label meet in cells: each goes to the cells of the ``probes`` random directions it
-points along most. The number of directions grows with the label, so cells stay small, and labels
-of under 512 vectors have one cell, in which every pair is seen. Large cells (a dense group) are
-dealt out as pairs of blocks. A pair that shares several cells counts in the first.
+points along most. The number of directions grows with the label, up to a million vectors, so cells stay
+small; labels of under 512 vectors have one cell, in which every pair gets its estimate. Large cells (a dense
+group, or a label of many millions) are dealt out as pairs of blocks. A pair that shares several cells
+counts in the first.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -32,13 +34,15 @@ SURE = 4.5
 _AT_ONCE = 100_000
 
 
+@lru_cache(maxsize=4)
 def rotation(dim: int) -> np.ndarray:
     q, r = np.linalg.qr(np.random.default_rng([7, dim]).normal(size=(dim, dim)))
     return q * np.sign(np.diag(r))
 
 
-def directions(dim: int, count: int) -> np.ndarray:
-    p = np.random.default_rng([11, dim]).normal(size=(DIRECTIONS, dim))[:count]
+@lru_cache(maxsize=4)
+def directions(dim: int) -> np.ndarray:
+    p = np.random.default_rng([11, dim]).normal(size=(DIRECTIONS, dim))
     return p / np.linalg.norm(p, axis=1)[:, None]
 
 
@@ -89,7 +93,7 @@ def _cells(index: DataFrame) -> DataFrame:
     def nearest(vec: pd.Series, dim: pd.Series, k: pd.Series) -> pd.Series:
         out: list = [None] * len(vec)
         for (d, count), at in pd.Series(range(len(vec))).groupby([dim.to_numpy(), k.to_numpy()]):
-            p = directions(d, count).T
+            p = directions(d)[:count].T
             for lo in range(0, len(at), 1024):
                 some = at.to_numpy()[lo : lo + 1024]
                 along = _unit(np.stack([np.frombuffer(vec.iloc[i]) for i in some])) @ p
@@ -122,10 +126,8 @@ def compare(f: pd.DataFrame, threshold: float, cell: int, whole: bool) -> pd.Dat
             if whole:
                 maybe &= right[None, :] > rows[:, None]
             i, j = np.nonzero(maybe)
-            if len(i) > 0.05 * maybe.size:
-                exact = (unit[rows] @ unit[right].T)[i, j]
-            else:
-                exact = np.concatenate([np.einsum("ij,ij->i", unit[rows[i[s : s + _AT_ONCE]]], unit[right[j[s : s + _AT_ONCE]]]) for s in range(0, len(i), _AT_ONCE)] or [np.empty(0)])
+            # One way of summing, so that a cosine does not depend on the group.
+            exact = np.concatenate([np.einsum("ij,ij->i", unit[rows[i[s : s + _AT_ONCE]]], unit[right[j[s : s + _AT_ONCE]]]) for s in range(0, len(i), _AT_ONCE)] or [np.empty(0)])
             linked = exact >= threshold
             a, b = rows[i[linked]], right[j[linked]]
             first = np.empty(len(a), bool)
