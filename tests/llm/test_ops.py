@@ -278,6 +278,51 @@ def test_quality_hard_cases(spark):
     assert np.isclose(v @ v, 1) and len(i) == len(set(i))
 
 
+def plain_ftrl(rows, passes, alpha, beta, l1, l2):
+    """Follow the regularised leader, coordinate by coordinate; rows of ({coordinate: value}, label), None is the bias."""
+    z, n = defaultdict(float), defaultdict(float)
+
+    def weight(i):
+        cut = 0 if i is None else l1
+        return 0.0 if abs(z[i]) <= cut else -(z[i] - math.copysign(cut, z[i])) / ((beta + math.sqrt(n[i])) / alpha + l2)
+
+    for _ in range(passes):
+        for x, y in rows:
+            x = {**x, None: 1.0}
+            w = {i: weight(i) for i in x}
+            p = 1 / (1 + math.exp(-sum(w[i] * v for i, v in x.items())))
+            for i, v in x.items():
+                g = (p - y) * v
+                z[i] += g - (math.sqrt(n[i] + g * g) - math.sqrt(n[i])) / alpha * w[i]
+                n[i] += g * g
+    return lambda x: 1 / (1 + math.exp(-sum(weight(i) * v for i, v in {**x, None: 1.0}.items())))
+
+
+def plain_features(text):
+    """Counts of words, pairs and repeats by hash, as logarithms of length one."""
+    import re
+
+    h = [xxhash.xxh64_intdigest(w) for w in re.findall(r"\w+|[^\w\s]+", text or "")]
+    top = (1 << 64) - 1
+    pairs = [((a * 0x9E3779B97F4A7C15 ^ b * 0xC2B2AE3D27D4EB4F ^ b >> 31) & top) * 0xD6E8FEB86659FD93 & top for a, b in zip(h, h[1:])]
+    same = [0x5DEECE66D1CE4E5B for a, b in zip(h, h[1:]) if a == b]
+    v = {i: math.log1p(c) for i, c in Counter(x >> 64 - quality.BITS for x in h + pairs + same).items()}
+    size = math.sqrt(sum(x * x for x in v.values()))
+    return {i: x / size for i, x in v.items()}
+
+
+def test_quality_against_a_plain_learner(spark, data, documents):
+    """Scores of the registered query, by a dictionary version trained on the same rows in the same order."""
+    labels = spark.read.parquet(f"{data}/labels.parquet").groupBy("doc_id").agg(F.max("quality").alias("y"))
+    rows = documents.join(labels, "doc_id").select("doc_id", "text", "y", F.xxhash64("doc_id").alias("h")).collect()
+    rows = sorted((r for r in rows if zlib.crc32(str(r.doc_id).encode()) % 5), key=lambda r: (r.h, r.doc_id))
+    assert len(rows) <= quality.SAMPLE
+    own = plain_ftrl([(plain_features(r.text), r.y) for r in rows], 6, 3.0, 1.0, 0.02, 0.02)
+    want = {r.doc_id: own(plain_features(r.text)) for r in documents.collect()}
+    got = {r.doc_id: r.score for r in queries.queries()["op4_quality"](spark, data).collect()}
+    assert got == pytest.approx(want, abs=1e-4)
+
+
 # --- 5, 7 --------------------------------------------------------------------
 
 
@@ -316,6 +361,55 @@ def test_token_files(spark, data, texts, library):
     assert token_files.round_trip(docs_table(spark, HARD).where("false")).collect() == []
 
 
+def test_null_and_equal_ids(spark, library):
+    """Documents without an id or with another's id are documents of their own; repeated rows count as often as they occur."""
+    rows = [(None, "some text"), (None, "some text"), (4, "one two three"), (4, "other words here"), (4, "one two three"), (None, None), (7, "")]
+    table = docs_table(spark, rows)
+    key = lambda i, t: (str(i), zlib.crc32(np.array([*library(t), 2], "<u4").tobytes()))
+    files = token_files.round_trip(table).collect()
+    assert sorted((str(r.doc_id), r.ids_crc32) for r in files) == sorted(key(i, t) for i, t in rows)
+    assert sorted((r.start, r.n_tokens) for r in files)[-1][0] + files[-1].n_tokens == sum(len(library(t)) + 1 for _, t in rows)
+    packed = packing.pack(table).collect()
+    sizes, want = Counter(), Counter()
+    for r in packed:
+        sizes[r.doc_id] += r.length
+    for i, t in rows:
+        want[i] += len(library(t)) + 1
+    assert sizes == want and len({(r.sequence_id, r.offset) for r in packed}) == len(packed)
+    assert sorted((str(r.doc_id), r.fingerprint) for r in simhash.near_duplicate_components(table).collect()) == sorted((str(i), f"{plain_fingerprint(t):016x}") for i, t in rows)
+    assert sorted((str(r.doc_id), r.n_words) for r in token_counts.count_tokens(table).collect()) == sorted((str(i), len((t or "").split())) for i, t in rows)
+    long = docs_table(spark, [(i, (t or "") * 40) for i, t in rows])
+    assert sorted(str(r.doc_id) for r in suffix.remove_repeats(long).collect() if r.n_bytes and r.n_removed == r.n_bytes) == ["4"] * 3 + ["None"] * 2
+    assert token_counts.count_tokens(table.where("false")).collect() == []
+
+
+def test_columns_that_clash(spark):
+    """Columns named as what the operator says of a row, and a table without n_chars."""
+    docs = spark.createDataFrame([(1, "word " * 90, "mine", 5, "d"), (2, "word " * 90, "yours", 6, "e"), (3, "else", None, 7, "f")], "doc_id long, text string, kept string, n_removed long, mark string")
+    got = {r.doc_id: r for r in suffix.without_repeats(docs).collect()}
+    assert [tuple(got[i])[1:] for i in (1, 2, 3)] == [("", "mine", 5, "d"), ("", "yours", 6, "e"), ("else", None, 7, "f")]
+    assert suffix.remove_repeats(docs, keep=docs.columns).columns == ["doc_id", "text", "mark", *suffix.MADE]
+
+
+def test_shared_folder(spark):
+    """A session on one machine gets a folder; elsewhere it has to be set; paths get the scheme of Spark's file system."""
+    from types import SimpleNamespace
+
+    from tilewright.llm import common
+
+    cluster = SimpleNamespace(conf=SimpleNamespace(get=lambda *_: None), sparkContext=SimpleNamespace(master="spark://host:7077"))
+    with pytest.raises(ValueError, match="checkpoint"):
+        common.shared_dir(cluster)
+    assert common.shared_dir(spark).startswith("file:///")
+    assert common.qualified(spark, "/some/folder") == "file:///some/folder" and common.qualified(spark, "hdfs://a/b") == "hdfs://a/b"
+    with common.scratch(spark):
+        inside = common.materialize(spark.range(3), "inside")
+        folder = inside.inputFiles()[0].rpartition("/")[0].removeprefix("file://")
+    import os
+
+    assert not os.path.exists(folder)
+
+
 def test_seek_table():
     import io
 
