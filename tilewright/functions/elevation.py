@@ -76,3 +76,9 @@ def bilinear(v00: Column, v10: Column, v01: Column, v11: Column, fx: Column, fy:
 
 def cross_fade(a: Column, b: Column, weight: Column, least: float = -10.0) -> Column:
     return clamped(a * (1 - weight) + b * weight, least, None)
+
+
+def contour_shown(elevation: Column, zoom: Column) -> Column:
+    """Whether a contour belongs to a zoom: from 8 every 200 metres but no band of 500, from 10 every 100, from 12 every 20."""
+    least = F.when(zoom >= 12, 20).when(zoom >= 10, 100).otherwise(200)
+    return (elevation % least == 0) & ~((zoom < 10) & (elevation % 500 == 0) & (elevation % 1000 != 0))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -14,7 +15,19 @@ KINDS = ("routes", "terrain", "hillshade", "contours")
 EXTENSIONS = "mbtiles|vtiles"
 ANSI = r"\x1B\[[0-9;]*[A-Za-z]"
 
-LOG_PREFIX = r"^([0-9]+:[0-9]{2}:[0-9]{2}) (?:DEB|INF|WAR|ERR)(?: \[([^\]]*)\])? - (.*)$"
+# Shapes of an engine's log lines.
+LOG_PREFIX = r"^([0-9]+:[0-9]{2}:[0-9]{2})\s+([A-Z]+)\s+(?:\[([^\]]+)\]\s+)?-\s?(.*)$"
+LOG_COUNTER = r"([A-Za-z][A-Za-z_ ]*):\s*\[([^\]]*)\]"
+LOG_FINISHED = r"^Finished (?:z([0-9]+) )?in (\S+)"
+#: Hues that a layer's name suggests; the last that fits wins.
+LAYER_HUES = (
+    ("water|ocean|lake|sea|river", "blue"),
+    ("state|country|place|boundary", "pink"),
+    ("road|highway|transport|route", "orange"),
+    ("contour|landuse", "yellow"),
+    ("wood|forest|park|landcover", "green"),
+    ("building", "monochrome"),
+)
 
 
 def file_name_parts(name: Column, area: Column) -> tuple[Column, Column, Column]:
@@ -75,29 +88,40 @@ def strip_ansi(line: Column) -> Column:
     return F.regexp_replace(line, ANSI, "")
 
 
+def seconds_of(text: Column) -> Column:
+    """Seconds of a duration as ``1h2m3s``, ``2m30s`` or ``54s``; null for other text."""
+    part = lambda unit: F.coalesce(F.regexp_extract(text, f"([0-9]+){unit}", 1).try_cast("int"), F.lit(0))
+    return F.when(text.rlike("^(?:[0-9]+h)?(?:[0-9]+m)?(?:[0-9]+s)?$") & (text != ""), part("h") * 3600 + part("m") * 60 + part("s"))
+
+
 def log_event(line: Column) -> Column:
-    """Struct (event, elapsed, stage, label, percent, seconds) of an engine's log line.
+    """Struct (event, elapsed, stage, label, percent, took, seconds) of an engine's log line.
 
-    Lines without the engine's prefix, and messages of no known kind, are events of kind log.
+    A whole message ``FINISHED!`` ends the run, ``Finished in`` a phase and ``Finished z.. in`` a zoom; a stage
+    starts with the whole message ``Starting...``; progress is the first bracketed counter with a percentage, and
+    needs a stage too. Lines without the engine's prefix and all other messages are events of kind log.
     """
-    plain = strip_ansi(line)
+    plain = F.regexp_replace(strip_ansi(line), r"\s+$", "")
     prefixed = plain.rlike(LOG_PREFIX)
     part = lambda i: F.regexp_extract(plain, LOG_PREFIX, i)
-    text, stage = part(3), F.nullif(part(2), F.lit(""))
-    counter = r"([A-Za-z0-9_ ]+): \[[^\]%]*?([0-9]+)%"
-    ended, zoom_ended = r"^Finished in ([0-9]+)", r"^Finished z([0-9]+) in ([0-9]+)"
+    text, stage = F.trim(part(4)), F.when(prefixed, F.nullif(part(3), F.lit("")))
+    counters = F.filter(F.regexp_extract_all(text, F.lit(LOG_COUNTER), F.lit(0)), lambda c: F.regexp_extract(c, LOG_COUNTER, 2).rlike("[0-9]%"))
+    counter = F.get(counters, F.lit(0))
+    took, zoom = F.nullif(F.regexp_extract(text, LOG_FINISHED, 2), F.lit("")), F.nullif(F.regexp_extract(text, LOG_FINISHED, 1), F.lit(""))
     event = (
-        F.when(~prefixed, "log").when(text.startswith("FINISHED!"), "run_end").when(text.rlike(zoom_ended), "zoom_end").when(text.rlike(ended), "phase_end")
-        .when(text.startswith("Starting"), "phase_start").when(text.rlike(counter), "progress").otherwise("log")
+        F.when(~prefixed, "log").when(text == "FINISHED!", "run_end").when(took.isNotNull(), F.when(zoom.isNotNull(), "zoom_end").otherwise("phase_end"))
+        .when(stage.isNotNull() & (text == "Starting..."), "phase_start").when(stage.isNotNull() & counter.isNotNull(), "progress").otherwise("log")
     )
-    number = lambda pattern, i: F.regexp_extract(text, pattern, i).try_cast("int")
+    ended = event.isin("phase_end", "zoom_end")
+    percent = F.regexp_extract(F.regexp_extract(counter, LOG_COUNTER, 2), "([0-9]{1,3})%", 1).try_cast("int")
     return F.struct(
         event.alias("event"),
         F.when(prefixed, part(1)).alias("elapsed"),
-        F.when(prefixed, stage).alias("stage"),
-        F.when(event == "progress", F.trim(F.regexp_extract(text, counter, 1))).when(event == "zoom_end", F.concat(F.lit("z"), F.regexp_extract(text, zoom_ended, 1))).alias("label"),
-        F.when(event == "progress", F.least(number(counter, 2), F.lit(100))).alias("percent"),
-        F.when(event == "phase_end", number(ended, 1)).when(event == "zoom_end", number(zoom_ended, 2)).alias("seconds"),
+        F.when(ended, F.coalesce(stage, F.lit(""))).otherwise(stage).alias("stage"),
+        F.when(event == "progress", F.trim(F.regexp_extract(counter, LOG_COUNTER, 1))).when(event == "zoom_end", F.concat(F.lit("z"), zoom)).alias("label"),
+        F.when(event == "progress", F.least(percent, F.lit(100))).alias("percent"),
+        F.when(ended, took).alias("took"),
+        F.when(ended, seconds_of(took)).alias("seconds"),
     )
 
 
@@ -120,7 +144,7 @@ def shell_quote(text: Column) -> Column:
 def human_size(size: Column) -> Column:
     out, units = F.concat(size.cast("string"), F.lit(" B")), ("KiB", "MiB", "GiB", "TiB")
     for i, unit in enumerate(units, 1):
-        out = F.when(size >= 1 << (10 * i), F.concat(F.format_number(size / (1 << (10 * i)), "0.0"), F.lit(f" {unit}"))).otherwise(out)
+        out = F.when(size >= 1 << (10 * i), F.concat(F.round(size / (1 << (10 * i)), 1).cast("string"), F.lit(f" {unit}"))).otherwise(out)
     return out
 
 
@@ -152,4 +176,51 @@ def extract_name(area: Column) -> Column:
 
 
 def gzip_magic(blob: Column) -> Column:
-    return F.coalesce(F.substring(F.hex(blob), 1, 4) == "1F8B", F.lit(False))
+    return F.coalesce(F.substring(blob, 1, 2) == F.lit(bytearray(b"\x1f\x8b")), F.lit(False))
+
+
+def layer_hue(layer: Column) -> Column:
+    """The hue that a layer's name suggests, or null."""
+    out = F.lit(None).cast("string")
+    for pattern, hue in LAYER_HUES:
+        out = F.when(layer.rlike(pattern), hue).otherwise(out)
+    return out
+
+
+def trimmed_extent(text: Column, digits: int) -> Column:
+    """The numbers of a comma list with ``digits`` decimals at most; null where one is no number."""
+    numbers = F.transform(F.split(text, ","), lambda p: F.round(F.trim(p).try_cast("double"), digits))
+    return F.when(~F.exists(numbers, lambda n: n.isNull()), F.array_join(F.transform(numbers, lambda n: n.cast("string")), ","))
+
+
+def route_request(locations: Column, costing: Column) -> Column:
+    """A routing request as JSON; ``locations`` is an array of structs (lon, lat)."""
+    units = F.struct(F.lit("kilometers").alias("units"))
+    return F.to_json(F.struct(F.transform(locations, lambda p: F.struct(p["lon"].alias("lon"), p["lat"].alias("lat"))).alias("locations"), costing.alias("costing"), units.alias("directions_options")))
+
+
+def shell_words(text: Column) -> Column:
+    """The words of a command line as a shell splits it, quotes honoured: an array."""
+    word = r"""(?:[^\s'"]|'[^']*'?|"[^"]*"?)+"""
+    return F.transform(F.regexp_extract_all(text, F.lit(f"({word})"), F.lit(1)), lambda w: F.regexp_replace(w, r"""'([^']*)'?|"([^"]*)"?""", "$1$2"))
+
+
+def canonical_options(options: Column) -> Column:
+    """A map as JSON with its keys in order: equal options give equal text."""
+    return F.to_json(F.map_from_entries(F.array_sort(F.map_entries(options))))
+
+
+def fingerprint(text: Column) -> Column:
+    """64-bit FNV-1a of the text's bytes, as 16 hex digits."""
+
+    @F.pandas_udf("string")
+    def fnv(column: pd.Series) -> pd.Series:
+        def one(t: str) -> str:
+            h = 0xCBF29CE484222325  # fixed values of the public hash
+            for b in t.encode():
+                h = (h ^ b) * 0x100000001B3 & 0xFFFFFFFFFFFFFFFF
+            return f"{h:016x}"
+
+        return column.map(one, na_action="ignore")
+
+    return fnv(text)

@@ -12,6 +12,8 @@ from . import clamped
 
 #: Mercator circumference and radius, mean Earth radius, metres a degree.
 CIRCUMFERENCE, RADIUS, EARTH, DEGREE_M = 40075016.686, 6378137.0, 6371008.8, 111320.0
+#: The equator in web mercator, from its radius.
+CIRCUMFERENCE_M = 2 * 3.141592653589793 * RADIUS
 #: Degrees a graph tile, by level.
 GRAPH_DEGREES = {0: 4.0, 1: 1.0, 2: 0.25}
 #: Fixed values of the national conic projection: exponent, constant, false origin, first eccentricity, central meridian.
@@ -209,3 +211,18 @@ def box_centre(west: Column, south: Column, east: Column, north: Column) -> tupl
 
 def native_resolution(degrees_per_pixel: Column) -> Column:
     return degrees_per_pixel * DEGREE_M
+
+
+def project_pixel(px: Column, py: Column, origin: tuple[Column, Column], scale: tuple[Column, Column]) -> tuple[Column, Column]:
+    """(easting, northing) of a raster pixel's centre; the origin is the north-west corner."""
+    return origin[0] + (px + 0.5) * scale[0], origin[1] - (py + 0.5) * scale[1]
+
+
+def pixel_of(easting: Column, northing: Column, origin: tuple[Column, Column], scale: tuple[Column, Column]) -> tuple[Column, Column]:
+    """Fractional pixel (x, y) of a projected point; a pixel's centre is a whole number."""
+    return (easting - origin[0]) / scale[0] - 0.5, (origin[1] - northing) / scale[1] - 0.5
+
+
+def raster_bounds(width: Column, height: Column, origin: tuple[Column, Column], scale: tuple[Column, Column]) -> tuple[Column, Column, Column, Column]:
+    """(west, south, east, north) of a raster in map units."""
+    return origin[0], origin[1] - height * scale[1], origin[0] + width * scale[0], origin[1]

@@ -2,15 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from .functions import elevation as E
 from .functions import text as X
 from .functions import tiles as G
-from .operators import archive, catalog, options, profile, raster
+from .operators import archive, catalog, options, profile, raster, tiling
 from .queries import _KINDED, _MIRRORS, _builds, _c, _mirrors, query
 from .session import load
+from .streaming.logs import tail
 from .views import view
 
 # --- predicates and orders -----------------------------------------------------
@@ -18,12 +18,12 @@ from .views import view
 
 @query("F02_zoom_filter", "SELECT zoom_level, tile_column, tile_row, nbytes FROM fx_tiles WHERE zoom_level <= 6")
 def _(spark, d):
-    return view(spark, d, "fx_tiles").where("zoom_level <= 6").select(*archive.ADDRESS, "nbytes")
+    return archive.at_zooms(view(spark, d, "fx_tiles"), 6).select(*archive.ADDRESS, "nbytes")
 
 
 @query("F12_own_files", "SELECT file_id, file_name FROM fx_files WHERE starts_with(file_name, area)")
 def _(spark, d):
-    return view(spark, d, "fx_files").where(F.startswith("file_name", F.col("area"))).select("file_id", "file_name")
+    return catalog.own_files(view(spark, d, "fx_files")).select("file_id", "file_name")
 
 
 @query("F13_gzip_magic", "SELECT s_suppkey AS id, s_suppkey % 3 = 0 AS gzip FROM supplier")
@@ -35,20 +35,18 @@ def _(spark, d):
 @query("F14_finite_only", "SELECT line_id, seq, elevation_m FROM fx_profile WHERE seq % 5 <> 0")
 def _(spark, d):
     e = F.when(F.col("seq") % 5 == 0, F.lit(float("nan"))).otherwise(F.col("elevation_m"))
-    return view(spark, d, "fx_profile").withColumn("elevation_m", e).where(~F.isnan("elevation_m")).select("line_id", "seq", "elevation_m")
+    return raster.finite(view(spark, d, "fx_profile").withColumn("elevation_m", e), "elevation_m").select("line_id", "seq", "elevation_m")
 
 
 @query("F16_contour_zoom", "SELECT gx, gy, priority, z.zoom FROM fx_pixels, (VALUES (8, 200), (10, 100), (12, 20)) z(zoom, least) WHERE elev % least = 0 AND NOT (zoom = 8 AND elev % 500 = 0 AND elev % 1000 <> 0)")
 def _(spark, d):
-    zooms = F.explode(F.array(*[F.struct(F.lit(z).alias("zoom"), F.lit(n).alias("least")) for z, n in ((8, 200), (10, 100), (12, 20))]))
-    rows = view(spark, d, "fx_pixels").withColumn("z", zooms)
-    return rows.where("elev % z.least = 0 AND NOT (z.zoom = 8 AND elev % 500 = 0 AND elev % 1000 <> 0)").select("gx", "gy", "priority", "z.zoom")
+    rows = view(spark, d, "fx_pixels").withColumn("zoom", F.explode(F.array(*map(F.lit, (8, 10, 12)))))
+    return rows.where(E.contour_shown(F.col("elev"), F.col("zoom"))).select("gx", "gy", "priority", "zoom")
 
 
 @query("F17_wanted_layers", "SELECT DISTINCT layer, field FROM fx_fields WHERE field IN ('Brand#11', 'Brand#22', 'Brand#33') AND field <> 'Brand#22'")
 def _(spark, d):
-    wanted, left = F.split(F.lit("Brand#11,Brand#22,Brand#33"), ","), F.split(F.lit("Brand#22"), ",")
-    return view(spark, d, "fx_fields").where(F.array_contains(wanted, F.col("field")) & ~F.array_contains(left, F.col("field"))).select("layer", "field").distinct()
+    return archive.wanted_layers(view(spark, d, "fx_fields"), "field", "Brand#11,Brand#22,Brand#33", "Brand#22").select("layer", "field").distinct()
 
 
 @query("F19_addable", f"SELECT file_id, file_name FROM ({_KINDED}) k WHERE NOT EXISTS (SELECT 1 FROM fx_files o WHERE o.file_id % 2 = 0 AND o.file_name = k.file_name)")
@@ -61,24 +59,22 @@ def _(spark, d):
 @query("O02_catalogue_order", f"SELECT file_id, row_number() OVER (ORDER BY variant IS NOT NULL, file_name, file_id) AS place FROM ({_KINDED}) WHERE kind = 'terrain'")
 def _(spark, d):
     c = catalog.described(view(spark, d, "fx_files")).where("kind = 'terrain'")
-    place = F.row_number().over(Window.partitionBy("kind").orderBy(*catalog.canonical_order(), "file_id"))
-    return c.select("file_id", place.cast("long").alias("place"))
+    return catalog.ordered(c, "kind", "file_id").select("file_id", "place")
 
 
 @query("O04_rank_by_cost", "SELECT field, n, row_number() OVER (ORDER BY n DESC, field) AS rank FROM (SELECT field, count(*) AS n FROM fx_fields GROUP BY 1)")
 def _(spark, d):
-    costs = view(spark, d, "fx_fields").groupBy("field").agg(F.count(F.lit(1)).alias("n"))  # one row a key
-    return costs.withColumn("rank", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(F.desc("n"), "field")).cast("long"))
+    return archive.ranked(view(spark, d, "fx_fields").groupBy("field").agg(F.count(F.lit(1)).alias("n")), "n", "field")
 
 
-@query("O07_graph_tile_order", "SELECT DISTINCT cast(floor(lon + 180) AS bigint) AS x, cast(floor(lat + 90) AS bigint) AS y FROM fx_points ORDER BY x, y")
+@query("O07_graph_tile_order", "SELECT DISTINCT cast(floor((lon + 180) / deg) AS bigint) AS x, cast(floor((lat + 90) / deg) AS bigint) AS y, level FROM fx_points, (VALUES (0, 4.0), (1, 1.0), (2, 0.25)) l(level, deg)")
 def _(spark, d):
-    return view(spark, d, "fx_points").select(G.floor(F.col("lon") + 180).alias("x"), G.floor(F.col("lat") + 90).alias("y")).distinct().orderBy("x", "y")
+    return tiling.graph_tiles_at(view(spark, d, "fx_points"))
 
 
 @query("O13_log_tail", "SELECT line_no, line FROM (SELECT * FROM fx_log ORDER BY line_no DESC LIMIT 400) ORDER BY line_no DESC LIMIT 25")
 def _(spark, d):
-    return view(spark, d, "fx_log").orderBy(F.desc("line_no")).limit(25).orderBy("line_no")
+    return tail(view(spark, d, "fx_log")).select("line_no", "line")
 
 
 @query("O12_level_choice", "SELECT coalesce((SELECT level FROM (VALUES (1, 10.0), (2, 20.0), (3, 40.0)) l(level, scale) WHERE scale <= 25 ORDER BY scale DESC LIMIT 1), 0) AS level")
@@ -152,15 +148,12 @@ def _(spark, d):
   floor((east + 180.0) / 360.0 * 64) AS x1, floor((1.0 - ln(tan(radians(south)) + 1.0 / cos(radians(south))) / pi()) / 2.0 * 64) AS y1 FROM fx_boxes),
   unnest(generate_series(cast(greatest(x0 - 1, 0) AS bigint), cast(least(x1 + 1, 63) AS bigint))) a(x), unnest(generate_series(cast(greatest(y0 - 1, 0) AS bigint), cast(least(y1 + 1, 63) AS bigint))) b(y)""")
 def _(spark, d):
-    x0, y0, x1, y1 = G.tile_range(*_c("west", "south", "east", "north"), F.lit(6))
-    ring = lambda lo, hi: F.sequence(F.greatest(lo - 1, F.lit(0)), F.least(hi + 1, F.lit(63)))
-    return view(spark, d, "fx_boxes").select("box_id", F.explode(ring(x0, x1)).alias("x"), ring(y0, y1).alias("_y")).select("box_id", "x", F.explode("_y").alias("y"))
+    return tiling.cover_boxes(view(spark, d, "fx_boxes"), 6, 1).select("box_id", "x", "y")
 
 
 @query("T12_macrotiles", "SELECT zoom_level, tile_column // 8 AS mx, tile_row // 8 AS my, count(*) AS tiles FROM fx_tiles GROUP BY 1, 2, 3")
 def _(spark, d):
-    t = view(spark, d, "fx_tiles")
-    return t.groupBy("zoom_level", F.expr("tile_column div 8").alias("mx"), F.expr("tile_row div 8").alias("my")).agg(F.count(F.lit(1)).alias("tiles"))
+    return tiling.macrotiles(view(spark, d, "fx_tiles"), 8)
 
 
 @query("T20_cross_fade", "SELECT a.gx, a.gy, round(greatest(a.elev * (1 - 0.25) + (b.elev - 3000) * 0.25, -10.0), 6) AS elev FROM fx_pixels a JOIN fx_pixels b ON a.gx = b.gx AND a.gy = b.gy AND a.priority = 1 AND b.priority = 2")
@@ -176,12 +169,12 @@ def _(spark, d):
     return n.withColumn("factor", E.refine_factor(F.col("n"), F.lit(3.0)))
 
 
-@query("A22_ring_coverage", """WITH c AS (SELECT DISTINCT gx, gy FROM fx_pixels WHERE priority = 3), p AS (SELECT DISTINCT gx, gy FROM fx_pixels WHERE gx % 8 = 0 AND gy % 8 = 0),
+@query("A22_ring_coverage", """WITH c AS (SELECT DISTINCT gx, gy FROM fx_pixels WHERE priority = 3), p AS (SELECT DISTINCT gx, gy FROM fx_pixels),
   r AS (SELECT * FROM (VALUES (0, 0), (4, 0), (3, 3), (0, 4), (-3, 3), (-4, 0), (-3, -3), (0, -4), (3, -3)) v(dx, dy))
 SELECT p.gx, p.gy, round(avg(CASE WHEN c.gx IS NULL THEN 0.0 ELSE 1.0 END), 9) AS weight FROM p CROSS JOIN r LEFT JOIN c ON c.gx = p.gx + dx AND c.gy = p.gy + dy GROUP BY 1, 2""")
 def _(spark, d):
     px = view(spark, d, "fx_pixels")
-    points = px.where("gx % 8 = 0 AND gy % 8 = 0").select("gx", "gy").distinct()
+    points = px.select("gx", "gy").distinct()
     return raster.ring_coverage(points, px.where("priority = 3"), 4).withColumn("weight", F.round("weight", 9))
 
 
@@ -230,10 +223,7 @@ def _(spark, d):
 
 @query("X28_symbol_ids", "SELECT feature_id, dense_rank() OVER (ORDER BY field) AS symbol FROM fx_fields")
 def _(spark, d):
-    rows = view(spark, d, "fx_fields")
-    # The ids are given out over the distinct values, not over the rows.
-    ids = rows.select("field").distinct().withColumn("symbol", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy("field")).cast("long"))
-    return rows.join(ids, "field").select("feature_id", "symbol")
+    return catalog.symbol_ids(view(spark, d, "fx_fields"), "field").select("feature_id", F.col("symbol_id").alias("symbol"))
 
 
 @query("X30_drop_equal_subclass", "SELECT feature_id, nullif(layer, CASE WHEN feature_id % 2 = 0 THEN layer ELSE field END) AS subclass FROM fx_fields")
@@ -278,14 +268,12 @@ def _(spark, d):
 @query("S41_files_that_exist", "SELECT DISTINCT cast(floor(lon) AS bigint) AS lon, cast(floor(lat) AS bigint) AS lat FROM fx_points p WHERE EXISTS (SELECT 1 FROM fx_boxes b, unnest(generate_series(cast(floor(west) AS bigint), greatest(cast(ceil(east) AS bigint) - 1, cast(floor(west) AS bigint)))) x(a), unnest(generate_series(cast(floor(south) AS bigint), greatest(cast(ceil(north) AS bigint) - 1, cast(floor(south) AS bigint)))) y(o) WHERE a = floor(p.lon) AND o = floor(p.lat))")
 def _(spark, d):
     files = view(spark, d, "fx_points").select(G.floor(F.col("lon")).alias("lon"), G.floor(F.col("lat")).alias("lat")).distinct()
-    wanted = view(spark, d, "fx_boxes").select(F.explode(G.degree_cover(*_c("west", "south", "east", "north"))).alias("c")).select("c.lon", "c.lat").distinct()
-    return files.join(wanted, ["lon", "lat"], "left_semi")
+    return tiling.degree_files(view(spark, d, "fx_boxes"), files)
 
 
 @query("O06_mirror_order", f"WITH m AS ({_MIRRORS.format(s='varchar', t='orders')}) SELECT mirror, row_number() OVER (PARTITION BY hash ORDER BY date, file_len, mirror) AS place FROM m")
 def _(spark, d):
-    place = F.row_number().over(Window.partitionBy("hash").orderBy(F.asc_nulls_last("date"), F.asc_nulls_last("file_len"), "mirror"))
-    return _mirrors(spark, d).select("mirror", place.cast("long").alias("place"))
+    return catalog.mirror_order(_mirrors(spark, d), "hash", "mirror").select("mirror", "place")
 
 
 @query("K09_tile_responses", """WITH r AS (SELECT event_id AS id, 6 AS z, event_id % 64 AS x, event_id % 70 AS y, CASE WHEN event_id % 10 = 0 THEN 'none' ELSE 'a' END AS name FROM events),
@@ -302,33 +290,32 @@ def _(spark, d):
 
 @query("W10_latest_status", "SELECT user_id AS step, arg_max(event_type, event_id) AS status, arg_max(value, event_id) AS value FROM events GROUP BY 1")
 def _(spark, d):
-    return load(spark, d, "events").groupBy(F.col("user_id").alias("step")).agg(F.max_by("event_type", "event_id").alias("status"), F.max_by("value", "event_id").alias("value"))
+    rows = load(spark, d, "events").select(F.col("user_id").alias("step"), "event_id", F.col("event_type").alias("status"), "value")
+    return options.latest_status(rows, "step", "event_id", ["status", "value"])
 
 
 @query("A24_newest_change", "SELECT event_type, cast(floor(epoch(max(ts))) AS bigint) AS newest FROM events GROUP BY 1")
 def _(spark, d):
-    return load(spark, d, "events").groupBy("event_type").agg(F.unix_timestamp(F.max("ts")).alias("newest"))
+    return catalog.newest_change(load(spark, d, "events"), "event_type", "ts").withColumn("newest", F.unix_timestamp("newest"))
 
 
 @query("A25_visible_layers", "SELECT layer, count(*) FILTER (value_id % 2 = 0) AS shown, count(*) AS total FROM fx_fields GROUP BY 1")
 def _(spark, d):
-    return view(spark, d, "fx_fields").groupBy("layer").agg(F.count_if(F.col("value_id") % 2 == 0).alias("shown"), F.count(F.lit(1)).alias("total"))
+    return catalog.visible_layers(view(spark, d, "fx_fields"), "layer", F.col("value_id") % 2 == 0)
 
 
 @query("A29_grouped_options", "SELECT layer, string_agg(field, ',' ORDER BY seq) AS fields FROM (SELECT layer, field, min(feature_id) AS seq FROM fx_fields GROUP BY 1, 2) GROUP BY 1")
 def _(spark, d):
-    first = view(spark, d, "fx_fields").groupBy("layer", "field").agg(F.min("feature_id").alias("seq"))
-    listed = first.groupBy("layer").agg(F.array_sort(F.collect_list(F.struct("seq", "field"))).alias("f"))
-    return listed.select("layer", F.array_join(F.transform("f", lambda x: x["field"]), ",").alias("fields"))
+    return options.grouped_options(view(spark, d, "fx_fields"), "layer", "field", "feature_id").select("layer", F.array_join("options", ",").alias("fields"))
 
 
 @query("J16_manoeuvre_points", """WITH p AS (SELECT line_id, seq, elevation_m, max(seq) OVER (PARTITION BY line_id) AS last FROM fx_profile)
 SELECT line_id, m.k AS manoeuvre, elevation_m FROM p JOIN (VALUES (0, 1), (1, 40), (2, 100000)) m(k, spot) ON p.seq = least(m.spot, p.last)""")
 def _(spark, d):
-    points = view(spark, d, "fx_profile").groupBy("line_id").agg(F.array_sort(F.collect_list(F.struct("seq", "elevation_m"))).alias("p"))
+    points = view(spark, d, "fx_profile").select("line_id", "seq", "elevation_m")
     asked = F.explode(F.array(*[F.struct(F.lit(k).alias("k"), F.lit(at).alias("at")) for k, at in ((0, 1), (1, 40), (2, 100000))])).alias("m")
-    out = points.select("line_id", "p", asked)
-    return out.select("line_id", F.col("m.k").alias("manoeuvre"), F.element_at("p", F.least(F.col("m.at"), F.size("p")))["elevation_m"].alias("elevation_m"))
+    manoeuvres = points.select("line_id").distinct().select("line_id", asked).select("line_id", F.col("m.k").alias("manoeuvre"), F.col("m.at").alias("spot"))
+    return profile.manoeuvre_points(manoeuvres, points).select("line_id", "manoeuvre", "elevation_m")
 
 
 @query("R04_event_windows", "SELECT cast(epoch(time_bucket(INTERVAL '1 day', ts)) AS bigint) AS start, event_type, count(*) AS events FROM events GROUP BY 1, 2")
@@ -340,7 +327,7 @@ def _(spark, d):
 
 @query("W02_profile_segments", "SELECT line_id, seq, lead(seq) OVER (PARTITION BY line_id ORDER BY seq) AS next FROM fx_profile")
 def _(spark, d):
-    return view(spark, d, "fx_profile").select("line_id", "seq", F.lead("seq").over(Window.partitionBy("line_id").orderBy("seq")).alias("next"))
+    return profile.segments(view(spark, d, "fx_profile"), ["seq"]).select("line_id", "seq", F.col("next_seq").alias("next"))
 
 
 @query("S33_vector_tile_round_trip", "SELECT feature_id, 'k' AS key, field AS value FROM fx_fields")
@@ -367,6 +354,12 @@ def _(spark, d):
     return unpack_blobs(pack_blobs(blobs)).select("id", F.col("tile_data").cast("string").alias("name"))
 
 
+@query("W01_trip_offsets", "SELECT trip, count(*) AS legs, cast(max(before) AS bigint) AS last_offset FROM (SELECT o_custkey AS trip, coalesce(sum(o_orderkey % 9 + 1) OVER (PARTITION BY o_custkey ORDER BY o_orderkey ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM orders) GROUP BY 1")
+def _(spark, d):
+    legs = load(spark, d, "orders").select(F.col("o_custkey").alias("trip_id"), F.col("o_orderkey").alias("leg"), (F.col("o_orderkey") % 9 + 2).alias("size"))
+    return profile.running_offset(legs).groupBy(F.col("trip_id").alias("trip")).agg(F.count(F.lit(1)).alias("legs"), F.max("offset").alias("last_offset"))
+
+
 @query("W01_leg_lengths", "SELECT o_custkey AS trip, count(*) AS legs, cast(sum(o_orderkey % 9 + 2) AS bigint) AS points FROM orders GROUP BY 1")
 def _(spark, d):
     legs = load(spark, d, "orders").select(F.col("o_custkey").alias("trip_id"), F.col("o_orderkey").alias("leg"), (F.col("o_orderkey") % 9 + 2).alias("size"))

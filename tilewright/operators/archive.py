@@ -141,11 +141,37 @@ def layer_pivot(rows: DataFrame, layer: str, variant: str, size: str, variants:
 
 
 def size_ladder(stats: DataFrame, name: str, base: str) -> DataFrame:
-    """Each row's bytes as a percentage of the row called ``base``."""
-    one = stats.where(F.col(name) == base).select(F.col("bytes").alias("_base"))
+    """Each row's bytes as a percentage of those of the rows called ``base``, of which one is expected."""
+    one = stats.agg(F.max(F.when(F.col(name) == base, F.col("bytes"))).alias("_base"))
+    # One row, whatever the table.
     return stats.join(F.broadcast(one), F.lit(True)).withColumn("percent", F.col("bytes") / F.col("_base") * 100.0).drop("_base")
 
 
+def at_zooms(tiles: DataFrame, most: int, exact: bool = False) -> DataFrame:
+    """The tiles of one zoom, or of all up to it."""
+    return tiles.where(F.col("zoom_level") == most if exact else F.col("zoom_level") <= most)
+
+
+def wanted_layers(rows: DataFrame, layer: str, include: str | None, exclude: str | None) -> DataFrame:
+    """Rows of the layers in the comma list ``include`` (all, if null) and not in ``exclude``."""
+    has = lambda text: F.array_contains(F.split(F.lit(text), ","), F.col(layer))
+    out = rows if include is None else rows.where(has(include))
+    return out if exclude is None else out.where(~has(exclude))
+
+
+def ranked(costs: DataFrame, cost: str, tie: str) -> DataFrame:
+    """``rank`` by descending cost, of a table with one row a key."""
+    return costs.withColumn("rank", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(F.desc(cost), tie)).cast("long"))
+
+
+def keep_by_mask(tiles: DataFrame, mask_tiles: DataFrame) -> DataFrame:
+    """The tiles that a mask, given as its tiles (leaves stand for all below them), holds."""
+    from .masks import contained
+
+    inside = contained(tiles.select(*ADDRESS).distinct(), mask_tiles)
+    return tiles.join(inside, ADDRESS, "left_semi")
+
+
 def package_report(tiles: DataFrame, raw: str, packed: str) -> DataFrame:
     out = tiles.agg(_count().alias("written"), total(raw).alias("raw_bytes"), total(packed).alias("packed_bytes"))
     return out.withColumn("ratio", F.when(F.col("raw_bytes") > 0, F.col("packed_bytes") / F.col("raw_bytes")).otherwise(0.0))

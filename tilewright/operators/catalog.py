@@ -30,6 +30,69 @@ def area_sizes(catalogue: DataFrame) -> DataFrame:
     return catalogue.groupBy("area", "kind").agg(F.count(F.lit(1)).alias("files"), F.sum("size_bytes").alias("bytes"), F.max("file_name").alias("last_name"))
 
 
+def listed(catalogue: DataFrame, area: str | None = None) -> DataFrame:
+    """The catalogue by area and file name, of one area if it is named."""
+    rows = catalogue if area is None else catalogue.where(F.col("area") == area)
+    return rows.orderBy("area", "file_name")
+
+
+def servable(catalogue: DataFrame) -> DataFrame:
+    """Files that hold map tiles: readable, and no routing package."""
+    return catalogue.where("error IS NULL AND (format IS NULL OR format <> 'gph3')")
+
+
+def own_files(files: DataFrame) -> DataFrame:
+    """Files whose name begins with their area's; a longer area's name begins with a shorter one's too."""
+    return files.where(F.startswith("file_name", F.col("area")))
+
+
+def ordered(catalogue: DataFrame, by: str, tie: str) -> DataFrame:
+    """``place`` in each group of ``by``: canonical files first, then variants."""
+    place = F.row_number().over(Window.partitionBy(by).orderBy(*canonical_order(), tie))
+    return catalogue.withColumn("place", place.cast("long"))
+
+
+def newest_change(files: DataFrame, by: str, at: str) -> DataFrame:
+    return files.groupBy(by).agg(F.max(at).alias("newest"))
+
+
+def visible_layers(layers: DataFrame, by: str, visible: Column) -> DataFrame:
+    """``(by, shown, total)``: how many of a source's layers are shown."""
+    return layers.groupBy(by).agg(F.count_if(visible).alias("shown"), F.count(F.lit(1)).alias("total"))
+
+
+def visible_kinds(layers: DataFrame, wanted: str = "all") -> DataFrame:
+    """``layers (kind, source_visible, layer_visible)`` with ``on``: rasters pass any filter of kinds, others only their own or all."""
+    allowed = (F.col("kind") == "rasters") | F.lit(wanted == "all") | (F.col("kind") == wanted)
+    return layers.withColumn("on", F.col("source_visible") & F.col("layer_visible") & allowed)
+
+
+def symbol_ids(rows: DataFrame, symbol: str) -> DataFrame:
+    """``rows`` with ``symbol_id``: a number for each distinct symbol, in order. The ids are given out over the distinct values."""
+    ids = rows.select(symbol).distinct().withColumn("symbol_id", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(symbol)).cast("long"))
+    return rows.join(ids, symbol)
+
+
+def mirror_order(mirrors: DataFrame, by: str, tie: str) -> DataFrame:
+    """``place`` in each group: by date and then length, those without one last."""
+    place = F.row_number().over(Window.partitionBy(by).orderBy(F.asc_nulls_last("date"), F.asc_nulls_last("file_len"), tie))
+    return mirrors.withColumn("place", place.cast("long"))
+
+
+def newest_jar(files: DataFrame, by: str) -> DataFrame:
+    """``(by, jar)``: of each folder's jars with their dependencies, the highest name."""
+    return files.where(F.endswith("file_name", F.lit("-with-deps.jar"))).groupBy(by).agg(F.max("file_name").alias("jar"))
+
+
+def with_md5(listing: DataFrame) -> DataFrame:
+    """Data files of ``listing (href)`` with the ``md5`` link of the same name; null where there is none."""
+    suffix = ".md5"
+    is_md5 = F.endswith("href", F.lit(suffix))
+    sums = listing.where(is_md5).select(F.regexp_replace("href", r"\.md5$", "").alias("_of"), F.col("href").alias("md5")).distinct()
+    data = listing.where(~is_md5)
+    return data.join(sums, data["href"] == sums["_of"], "left").drop("_of")
+
+
 def addable(catalogue: DataFrame, listed: DataFrame) -> DataFrame:
     """Readable files that are no routing package and not listed yet."""
     return catalogue.where("format IS NULL OR format <> 'gph3'").join(listed.select("file_name").distinct(), "file_name", "left_anti")
@@ -49,10 +112,18 @@ def with_hash_by_length(known: DataFrame, unknown: DataFrame) -> DataFrame:
     return unknown.drop("hash").join(sure, "file_len", "left")
 
 
-def resolved(extracts: DataFrame, name: str) -> DataFrame:
-    """The extract of an id, else of a name, whatever the case; at most one row."""
+def resolved(extracts: DataFrame, name: str, fallback: DataFrame | None = None) -> DataFrame:
+    """The extract of an id, else the first of a name, whatever the case, that has a url; at most one row.
+
+    ``fallback`` is a second index that is asked only where the first is empty.
+    """
+    if fallback is not None:
+        empty = extracts.limit(1).agg((F.count(F.lit(1)) == 0).alias("_empty"))
+        # One row decides; the other index is read where it is needed.
+        extracts = extracts.unionByName(fallback.join(F.broadcast(empty.where("_empty")), F.lit(True)).drop("_empty"))
     rank = F.when(F.lower("id") == name.lower(), 0).when(F.lower("name") == name.lower(), 1)
-    return extracts.withColumn("_rank", rank).where("_rank IS NOT NULL").orderBy("_rank", "id").limit(1).drop("_rank")
+    has_url = F.col("url").isNotNull() if "url" in extracts.columns else F.lit(True)
+    return extracts.where(has_url).withColumn("_rank", rank).where("_rank IS NOT NULL").orderBy("_rank", "id").limit(1).drop("_rank")
 
 
 def extract_paths(extracts: DataFrame, hops: int = 10) -> DataFrame:
@@ -66,13 +137,45 @@ def extract_paths(extracts: DataFrame, hops: int = 10) -> DataFrame:
     return out.select("id", F.when(F.col("up").isNull(), F.col("path")).alias("path"))
 
 
+#: Names of archives and of the parts of split ones.
+ARCHIVE = r"^(.*?)(?:\.part[0-9]+)?\.(?:zip|7z|tar|tgz|tar\.gz)(?:\.([0-9]{3}))?$"
+
+
+def archive_stem(name: Column) -> Column:
+    """The name that the parts of a split archive share; null for other files."""
+    return F.when(name.rlike(ARCHIVE), F.regexp_extract(name, ARCHIVE, 1))
+
+
 def archive_groups(listing: DataFrame) -> DataFrame:
     """Parts of split archives together: (stem, parts in order, bytes)."""
-    pattern = r"^(.*?)(?:\.part[0-9]+)?\.(?:zip|7z|tar|tgz|tar\.gz)(?:\.([0-9]{3}))?$"
-    rows = listing.where(F.col("name").rlike(pattern)).withColumn("stem", F.regexp_extract("name", pattern, 1))
+    rows = listing.withColumn("stem", archive_stem(F.col("name"))).where("stem IS NOT NULL")
     return rows.groupBy("stem").agg(F.array_sort(F.collect_list("name")).alias("parts"), F.sum("size").alias("bytes"))
 
 
+def wanted_archives(listing: DataFrame, box: tuple[float, float, float, float], allow_all: bool = False) -> DataFrame:
+    """``(stem, parts, named)``: the groups of remote files that a box (west, south, east, north) needs.
+
+    Files whose name has a degree square are kept where it shares area with the box; others can only be had
+    all together: they are kept if ``allow_all``, else their presence is an error when rows are read.
+    """
+    from ..functions.tiles import parse_degree_name
+
+    named = listing.withColumn("stem", F.coalesce(archive_stem(F.col("name")), F.col("name")))
+    groups = named.groupBy("stem").agg(F.array_sort(F.collect_list("name")).alias("parts"))
+    square = F.regexp_extract("stem", "(?i)([NS][0-9]{2}[EW][0-9]{3})", 1)
+    lon, lat = parse_degree_name(square)
+    w, s, e, n = box
+    inside = (lon < e) & (lon + 1 > w) & (lat < n) & (lat + 1 > s)
+    refused = F.lit(True) if allow_all else F.raise_error(F.lit("files without coordinates in their names: allow the full download")).cast("boolean")
+    return groups.where(F.when(square != "", inside).otherwise(refused)).select("stem", "parts", (square != "").alias("named"))
+
+
+def touching_files(index: DataFrame, box: tuple[float, float, float, float]) -> DataFrame:
+    """Files of a bounds index (path, west, south, east, north) that share area with the box; those without known bounds are kept."""
+    w, s, e, n = box
+    return index.where(F.col("west").isNull() | ((F.col("west") < e) & (F.col("east") > w) & (F.col("south") < n) & (F.col("north") > s)))
+
+
 def tile_json(artifacts: DataFrame, base: str) -> DataFrame:
     """A TileJSON document for each artifact (name, format, minzoom, maxzoom, bounds)."""
     url = F.concat(F.lit(base.rstrip("/") + "/"), "name", F.lit("/{z}/{x}/{y}"))

@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+#: Doubled areas, in square degrees, that count as none.
+EPSILON = 1e-12
+
 
 def edges(ring_vertices: DataFrame, closed: bool) -> DataFrame:
     """(ring_id, is_hole, x1, y1, x2, y2) of ``ring_vertices (ring_id, is_hole, seq, lon, lat)``; ``closed`` adds last to first."""
@@ -17,11 +20,6 @@ def edges(ring_vertices: DataFrame, closed: bool) -> DataFrame:
     return out.where("x2 IS NOT NULL")
 
 
-def ring_array(ring_vertices: DataFrame, closed: bool = True) -> DataFrame:
-    """One row a shape: its edges as an array, a value of bounded size that expressions can fold over."""
-    return edges(ring_vertices, closed).agg(F.collect_list(F.struct("ring_id", "is_hole", "x1", "y1", "x2", "y2")).alias("edges"))
-
-
 def crosses_ray(edge: Column, lon: Column, lat: Column) -> Column:
     """Whether a ray to the east of the point crosses the edge."""
     spans = (edge["y1"] > lat) != (edge["y2"] > lat)
@@ -36,9 +34,18 @@ def inside(edge_array: Column, lon: Column, lat: Column) -> Column:
     return odd(hits(0)) & ~odd(hits(1))
 
 
-def points_in_shape(points: DataFrame, ring_vertices: DataFrame) -> DataFrame:
-    """The points inside the shape. The shape is one row of bounded size; points are only scanned."""
-    return points.join(F.broadcast(ring_array(ring_vertices)), F.lit(True)).where(inside(F.col("edges"), F.col("lon"), F.col("lat"))).drop("edges")
+def edges_by_band(ring_vertices: DataFrame, degrees: float, closed: bool = True) -> DataFrame:
+    """``(band, edges)``: the edges that reach into each band of latitude, as an array; what a shape has in one band."""
+    band = lambda c: F.floor(c / degrees).cast("long")
+    low, high = F.least("y1", "y2"), F.greatest("y1", "y2")
+    rows = edges(ring_vertices, closed).withColumn("band", F.explode(F.sequence(band(low), band(high))))
+    return rows.groupBy("band").agg(F.collect_list(F.struct("ring_id", "is_hole", "x1", "y1", "x2", "y2")).alias("edges"))
+
+
+def points_in_shape(points: DataFrame, ring_vertices: DataFrame, degrees: float = 1.0, closed: bool = True) -> DataFrame:
+    """The points inside the shape: an equi-join on bands of latitude, since a ray to the east stays in its band."""
+    keyed = points.withColumn("band", F.floor(F.col("lat") / degrees).cast("long"))
+    return keyed.join(edges_by_band(ring_vertices, degrees, closed), "band").where(inside(F.col("edges"), F.col("lon"), F.col("lat"))).drop("band", "edges")
 
 
 def boxes_overlap_open(a: tuple[Column, ...], b: tuple[Column, ...]) -> Column:
@@ -52,36 +59,29 @@ def boxes_overlap_closed(a: tuple[Column, ...], b: tuple[Column, ...]) -> Column
 
 def _side(px: Column, py: Column, qx: Column, qy: Column, rx: Column, ry: Column) -> Column:
     v = (qx - px) * (ry - py) - (qy - py) * (rx - px)
-    return F.when(F.abs(v) < 1e-12, 0).otherwise(F.signum(v))
+    return F.when(F.abs(v) < EPSILON, 0).otherwise(F.signum(v))
 
 
 def segments_cross(p: tuple[Column, Column], q: tuple[Column, Column], r: tuple[Column, Column], s: tuple[Column, Column]) -> Column:
-    """Whether the segments pq and rs meet, by orientation signs."""
+    """Whether the segments pq and rs meet, by orientation signs.
+
+    Three points count as in line from a doubled area under ``EPSILON``, and touching counts, of segments
+    in line too: a box that only shares a stretch of its border with an edge touches the shape.
+    """
     d1, d2, d3, d4 = _side(*p, *q, *r), _side(*p, *q, *s), _side(*r, *s, *p), _side(*r, *s, *q)
     between = lambda a, b, c: (c[0] >= F.least(a[0], b[0])) & (c[0] <= F.greatest(a[0], b[0])) & (c[1] >= F.least(a[1], b[1])) & (c[1] <= F.greatest(a[1], b[1]))
     proper = (d1 != d2) & (d3 != d4)
     return proper | ((d1 == 0) & between(p, q, r)) | ((d2 == 0) & between(p, q, s)) | ((d3 == 0) & between(r, s, p)) | ((d4 == 0) & between(r, s, q))
 
 
-def box_touches(edge_array: Column, box: tuple[Column, Column, Column, Column]) -> Column:
-    """A box touches a shape if a corner or its centre is inside, a vertex is in the box, or an outer edge crosses it."""
+def _box_cut(edge: dict[str, Column], box: tuple[Column, Column, Column, Column]) -> Column:
+    """Whether an edge has a vertex in the box or crosses its border."""
     w, s, e, n = box
     corners = [(w, s), (e, s), (e, n), (w, n)]
-    probes = [*corners, ((w + e) / 2, (s + n) / 2)]
-    any_inside = inside(edge_array, *probes[0])
-    for p in probes[1:]:
-        any_inside = any_inside | inside(edge_array, *p)
-    outer = F.filter(edge_array, lambda x: x["is_hole"] == 0)
-    vertex = F.exists(outer, lambda x: (x["x1"] >= w) & (x["x1"] <= e) & (x["y1"] >= s) & (x["y1"] <= n))
-
-    def cut(x: Column) -> Column:
-        out = None
-        for a, b in zip(corners, corners[1:] + corners[:1]):
-            c = segments_cross((x["x1"], x["y1"]), (x["x2"], x["y2"]), a, b)
-            out = c if out is None else out | c
-        return out
-
-    return any_inside | vertex | F.exists(outer, cut)
+    out = (edge["x1"] >= w) & (edge["x1"] <= e) & (edge["y1"] >= s) & (edge["y1"] <= n)
+    for a, b in zip(corners, corners[1:] + corners[:1]):
+        out = out | segments_cross((edge["x1"], edge["y1"]), (edge["x2"], edge["y2"]), a, b)
+    return out
 
 
 def grown(box: tuple[Column, ...], by: Column) -> tuple[Column, ...]:
@@ -90,11 +90,27 @@ def grown(box: tuple[Column, ...], by: Column) -> tuple[Column, ...]:
     return w - (e - w) * by, s - (n - s) * by, e + (e - w) * by, n + (n - s) * by
 
 
-def boxes_touching_shape(boxes: DataFrame, ring_vertices: DataFrame, buffer: float = 0.0) -> DataFrame:
-    """The rows of ``boxes (west, south, east, north)`` that touch the shape grown by ``buffer`` boxes."""
-    box = tuple(F.col(c) for c in ("west", "south", "east", "north"))
-    box = grown(box, F.lit(buffer)) if buffer else box
-    return boxes.join(F.broadcast(ring_array(ring_vertices, closed=False)), F.lit(True)).where(box_touches(F.col("edges"), box)).drop("edges")
+def boxes_touching_shape(boxes: DataFrame, ring_vertices: DataFrame, buffer: float = 0.0, degrees: float = 4.0) -> DataFrame:
+    """The rows of ``boxes (west, south, east, north)`` that touch the shape grown by ``buffer`` boxes.
+
+    A box touches if a corner or its centre is inside, or an outer edge has a vertex in it or crosses it.
+    Probes meet the shape by bands of latitude, boxes and edges by the grid cells both touch. Edges are those
+    between vertices that follow each other; a ring is not closed for this. Two known limits: hole edges do
+    not count, and a box whose probes all lie in holes is missed where it reaches between them.
+    """
+    sides = ("west", "south", "east", "north")
+    w, s, e, n = grown(tuple(F.col(c) for c in sides), F.lit(buffer))
+    probes = [(w, s), (e, s), (e, n), (w, n), ((w + e) / 2, (s + n) / 2)]
+    only = boxes.select(*sides).distinct()
+    asked = only.withColumn("p", F.explode(F.array(*[F.struct(x.alias("lon"), y.alias("lat")) for x, y in probes]))).select(*sides, F.col("p.lon").alias("lon"), F.col("p.lat").alias("lat"))
+    hit = points_in_shape(asked, ring_vertices).select(*sides)
+    spread = boxes_on_grid(only.select(*[F.col(c).alias(f"own_{c}") for c in sides], w.alias("west"), s.alias("south"), e.alias("east"), n.alias("north")), degrees)
+    outer = edges(ring_vertices, False).where("is_hole = 0")
+    cells = boxes_on_grid(outer.select("*", F.least("x1", "x2").alias("west"), F.least("y1", "y2").alias("south"), F.greatest("x1", "x2").alias("east"), F.greatest("y1", "y2").alias("north")), degrees)
+    both = spread.join(cells.select("cell_x", "cell_y", "x1", "y1", "x2", "y2"), ["cell_x", "cell_y"])
+    cut = both.where(_box_cut({c: F.col(c) for c in ("x1", "y1", "x2", "y2")}, tuple(F.col(c) for c in sides)))
+    found = hit.unionByName(cut.select(*[F.col(f"own_{c}").alias(c) for c in sides])).distinct()
+    return boxes.join(found, list(sides), "left_semi")
 
 
 def boxes_on_grid(boxes: DataFrame, degrees: float) -> DataFrame:

@@ -77,20 +77,23 @@ def full_parents(tiles: DataFrame) -> DataFrame:
 
 
 def mask_bits(tiles: DataFrame, max_zoom: int) -> DataFrame:
-    """One row with ``bits``: the depth-first bits of the mask of ``tiles`` at ``max_zoom``.
+    """One row with ``bits``: the depth-first bits of the mask of ``tiles`` of ``max_zoom`` and above.
 
-    Nodes are made bottom up, a zoom at a time: a node is inside if it has a tile below; a node whose
-    four children are all full collapses to a full leaf. The text is put together from the nodes'
-    strings along the tree, so it costs a grouping a zoom.
+    Nodes are made bottom up, a zoom at a time: a node is inside if it is a tile or has one below, so tiles need
+    no ancestors among them; a node whose four children are all full collapses to a full leaf. The text is put
+    together from the nodes' strings along the tree, so it costs a grouping a zoom. The whole mask is one string:
+    an export, of thousands of tiles. To filter tiles by a mask, use its tiles (:func:`contained`).
     """
-    level = tiles.where(F.col("zoom_level") == max_zoom).select("tile_column", "tile_row").distinct().withColumn("bits", F.lit("01"))
-    for _ in range(max_zoom):
+    own = lambda zoom, bits: tiles.where(F.col("zoom_level") == zoom).select("tile_column", "tile_row").distinct().withColumn("bits", F.lit(bits))
+    level = own(max_zoom, "01")
+    for zoom in range(max_zoom - 1, -1, -1):
         quadrant = (F.col("tile_row") % 2) * 2 + F.col("tile_column") % 2
         parts = level.groupBy(F.shiftright("tile_column", 1).alias("tile_column"), F.shiftright("tile_row", 1).alias("tile_row")).agg(
             F.map_from_entries(F.collect_list(F.struct(quadrant.cast("int"), "bits"))).alias("q")
         )
         below = F.concat(*[F.coalesce(F.try_element_at("q", F.lit(i)), F.lit("00")) for i in range(4)])
-        level = parts.select("tile_column", "tile_row", F.when(below == "01010101", "01").otherwise(F.concat(F.lit("11"), below)).alias("bits"))
+        made = parts.select("tile_column", "tile_row", F.when(below == "01010101", "01").otherwise(F.concat(F.lit("11"), below)).alias("bits"))
+        level = made.unionByName(own(zoom, "1100000000")).groupBy("tile_column", "tile_row").agg(F.max_by("bits", F.when(F.col("bits") == "1100000000", 0).otherwise(1)).alias("bits"))
     return level.select("bits")
 
 
@@ -102,6 +105,21 @@ def mask_text(bits: DataFrame) -> DataFrame:
     return bits.withColumn("mask", encode("bits"))
 
 
+def mask_of(tiles: DataFrame, max_zoom: int) -> DataFrame:
+    """One row with ``mask``: the text of a mask of tiles from an archive, a list or a shape, down to ``max_zoom`` or the deepest tile."""
+    deepest = tiles.agg(F.max("zoom_level")).first()[0]
+    return mask_text(mask_bits(tiles, min(max_zoom, deepest or 0)))
+
+
+def mask_zoom(tiles: DataFrame, zooms: range, least: int = 512) -> DataFrame:
+    """One row, ``zoom``: the first whose mask has ``least`` characters, else the last tried."""
+    sizes = None
+    for zoom in zooms:
+        one = mask_text(mask_bits(tiles, zoom)).select(F.lit(zoom).alias("zoom"), F.length("mask").alias("length"))
+        sizes = one if sizes is None else sizes.unionByName(one)
+    return zoom_by_size(sizes, least)
+
+
 def contained(tiles: DataFrame, mask_leaves: DataFrame) -> DataFrame:
     """The tiles that a leaf of the mask or one above them holds: an equi-join on their ancestors."""
     own = tiles.withColumn("_up", F.explode(F.sequence(F.lit(0), F.col("zoom_level").cast("int"))))

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from collections.abc import Iterator
+
+import pandas as pd
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.tiles import haversine
@@ -30,27 +33,44 @@ def naive_ascent(profile: DataFrame, line: str = "line_id", seq: str = "seq", el
     return steps.groupBy(line).agg(F.coalesce(F.sum(F.greatest("rise", F.lit(0.0))), F.lit(0.0)).alias("ascent_m"), F.coalesce(F.sum(F.greatest(-F.col("rise"), F.lit(0.0))), F.lit(0.0)).alias("descent_m"))
 
 
-def fold_ascent(ordered: Column, threshold: float) -> Column:
-    """Struct (anchor, ascent, descent): only moves of the threshold or more from the last anchor count, and move it."""
-    start = F.struct(F.lit(None).cast("double").alias("anchor"), F.lit(0.0).alias("ascent"), F.lit(0.0).alias("descent"))
-
-    def step(acc: Column, e: Column) -> Column:
-        d = e - acc["anchor"]
-        counts = F.abs(d) >= threshold
-        return F.struct(
-            F.when(acc["anchor"].isNull() | counts, e).otherwise(acc["anchor"]).alias("anchor"),
-            (acc["ascent"] + F.when(counts & (d > 0), d).otherwise(0.0)).alias("ascent"),
-            (acc["descent"] + F.when(counts & (d < 0), -d).otherwise(0.0)).alias("descent"),
-        )
-
-    return F.aggregate(ordered, start, step)
+def hysteresis_ascent(profile: DataFrame, threshold: float = 3.0, line: str = "line_id", seq: str = "seq", elevation: str = "elevation_m") -> DataFrame:
+    """Ascent and descent of each line: only moves of ``threshold`` or more from the last anchor count, and move it.
+
+    Points without elevation are skipped. The lines of a partition are folded as they stream past in order, three
+    numbers at a time, so a line may have any length.
+    """
+    kind = profile.schema[line].dataType
+    rows = profile.where(F.col(elevation).isNotNull()).select(F.col(line), F.col(seq), F.col(elevation).cast("double").alias("_e"))
+
+    def fold(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        own, anchor, up, down = None, 0.0, 0.0, 0.0
+        for f in frames:
+            done = []
+            for key, e in zip(f[line], f["_e"]):
+                if key != own:
+                    if own is not None:
+                        done.append((own, up, down))
+                    own, anchor, up, down = key, e, 0.0, 0.0
+                elif abs(e - anchor) >= threshold:
+                    up, down, anchor = up + max(e - anchor, 0.0), down + max(anchor - e, 0.0), e
+            yield pd.DataFrame(done, columns=[line, "ascent_m", "descent_m"])
+        if own is not None:
+            yield pd.DataFrame([(own, up, down)], columns=[line, "ascent_m", "descent_m"])
+
+    return rows.repartition(line).sortWithinPartitions(line, seq).mapInPandas(fold, f"`{line}` {kind.simpleString()}, ascent_m double, descent_m double")
+
+
+def segments(points: DataFrame, columns: list[str], line: str = "line_id", seq: str = "seq") -> DataFrame:
+    """``points`` with the ``columns`` of the next point of their line as ``next_<column>``; null for the last."""
+    order = Window.partitionBy(line).orderBy(seq)
+    return points.withColumns({f"next_{c}": F.lead(c).over(order) for c in columns})
 
 
-def hysteresis_ascent(profile: DataFrame, threshold: float = 3.0, line: str = "line_id", seq: str = "seq", elevation: str = "elevation_m") -> DataFrame:
-    """Ascent and descent of each line with moves under the threshold ignored; points without elevation are skipped."""
-    points = profile.where(F.col(elevation).isNotNull()).groupBy(line).agg(F.array_sort(F.collect_list(F.struct(F.col(seq).alias("s"), F.col(elevation).cast("double").alias("e")))).alias("p"))
-    folded = points.withColumn("f", fold_ascent(F.transform("p", lambda p: p["e"]), threshold))
-    return folded.select(line, F.col("f.ascent").alias("ascent_m"), F.col("f.descent").alias("descent_m"))
+def manoeuvre_points(manoeuvres: DataFrame, points: DataFrame, line: str = "line_id", seq: str = "seq", at: str = "spot") -> DataFrame:
+    """``manoeuvres (line, at, ...)`` with the point of their line that ``at`` numbers, the last one beyond the end."""
+    last = points.groupBy(line).agg(F.max(seq).alias("_last"))
+    placed = manoeuvres.join(last, line).withColumn(seq, F.least(F.col(at), F.col("_last")).cast(points.schema[seq].dataType)).drop("_last")
+    return placed.join(points, [line, seq])
 
 
 def densify(points: DataFrame, metres: float, line: str = "line_id", seq: str = "seq") -> DataFrame:

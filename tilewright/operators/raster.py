@@ -17,6 +17,12 @@ def highest_priority(pixels: DataFrame, value: str = "elev") -> DataFrame:
     return pixels.where(F.col(value).isNotNull()).groupBy("gx", "gy").agg(F.max_by(value, "priority").alias(value), F.max("priority").alias("priority"))
 
 
+def finite(rows: DataFrame, value: str = "elev") -> DataFrame:
+    """The rows whose value is a finite number."""
+    v = F.col(value).cast("double")
+    return rows.where(v.isNotNull() & ~F.isnan(v) & (F.abs(v) != float("inf")))
+
+
 def pyramid_level(pixels: DataFrame, value: str = "elev", by: tuple[str, ...] = ()) -> DataFrame:
     """The grid at half the size: the mean of the covered pixels among four."""
     half = lambda c: F.floor(F.col(c) / 2).cast("long").alias(c)

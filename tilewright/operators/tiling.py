@@ -11,23 +11,134 @@ from ..functions import tiles as G
 from . import geometry
 
 
-def tiles_of_shape(ring_vertices: DataFrame, max_zoom: int, buffer: float = 0.0) -> DataFrame:
-    """Tiles of every zoom up to ``max_zoom`` that touch the shape: each zoom asks only the children of what touched above."""
-    spark = ring_vertices.sparkSession
-    shape = F.broadcast(geometry.ring_array(ring_vertices, closed=False))
-    level = spark.createDataFrame([(0, 0, 0)], "zoom_level int, tile_column long, tile_row long")
-    out = None
-    for zoom in range(max_zoom + 1):
-        if zoom:
-            child = F.explode(G.children(F.col("zoom_level"), F.col("tile_column"), F.col("tile_row"))).alias("c")
-            level = level.select(child).select(F.col("c.zoom").cast("int").alias("zoom_level"), F.col("c.x").alias("tile_column"), F.col("c.y").alias("tile_row"))
-        box = G.tile_box(F.col("tile_column"), F.col("tile_row"), F.col("zoom_level"))
-        box = geometry.grown(box, F.lit(buffer)) if buffer else box
-        level = level.join(shape, F.lit(True)).where(geometry.box_touches(F.col("edges"), box)).drop("edges")
-        out = level if out is None else out.unionByName(level)
+def _boxed(tiles: DataFrame) -> DataFrame:
+    sides = G.tile_box(F.col("tile_column"), F.col("tile_row"), F.col("zoom_level"))
+    return tiles.withColumns(dict(zip(("west", "south", "east", "north"), sides)))
+
+
+def tiles_of_shape(ring_vertices: DataFrame, max_zoom: int, buffer: float = 0.0, step: int = 5) -> DataFrame:
+    """Tiles of every zoom up to ``max_zoom`` that touch the shape grown by ``buffer`` tiles.
+
+    ``step`` zooms are asked at a time: those that touch at the lowest of them are split into all tiles below,
+    so a thin shape costs what it touches and the plan has a join for each step, not for each tile.
+    """
+    start = ring_vertices.sparkSession.createDataFrame([(0, 0, 0)], "zoom_level int, tile_column long, tile_row long")
+    out, first = None, 0
+    while first <= max_zoom:
+        last = min(max_zoom, first + step)
+        below = F.explode(F.sequence(F.lit(0), F.lit(last) - F.col("zoom_level"))).alias("d")
+        many = F.sequence(F.lit(0).cast("long"), F.expr("shiftleft(1L, d) - 1"))
+        level = (
+            start.select("*", below)
+            .select("zoom_level", "d", "tile_row", F.col("tile_column"), F.explode(many).alias("dx"))
+            .select("zoom_level", "d", "tile_row", "tile_column", "dx", F.explode(many).alias("dy"))
+            .select(
+                (F.col("zoom_level") + F.col("d")).alias("zoom_level"),
+                (F.expr("shiftleft(tile_column, d)") + F.col("dx")).alias("tile_column"),
+                (F.expr("shiftleft(tile_row, d)") + F.col("dy")).alias("tile_row"),
+            )
+        )
+        found = geometry.boxes_touching_shape(_boxed(level), ring_vertices, buffer).select("zoom_level", "tile_column", "tile_row")
+        part = found if first == 0 else found.where(F.col("zoom_level") > first)
+        out = part if out is None else out.unionByName(part)
+        start = found.where(F.col("zoom_level") == last)
+        first = last if last < max_zoom else max_zoom + 1
     return out
 
 
+def cover_boxes(boxes: DataFrame, zoom: int, ring: int = 0) -> DataFrame:
+    """``boxes`` with a row for each tile (x, y) of a zoom they touch, and ``ring`` tiles around."""
+    x0, y0, x1, y1 = G.tile_range(*[F.col(c) for c in ("west", "south", "east", "north")], F.lit(zoom))
+    top = (1 << zoom) - 1
+    span = lambda lo, hi: F.sequence(F.greatest(lo - ring, F.lit(0)), F.least(hi + ring, F.lit(top)))
+    return boxes.withColumn("x", F.explode(span(x0, x1))).withColumn("y", F.explode(span(y0, y1)))
+
+
+def macrotiles(tiles: DataFrame, side: int) -> DataFrame:
+    """``(zoom_level, mx, my, tiles)``: the blocks of ``side`` by ``side`` tiles that are rendered together."""
+    at = lambda c, n: F.floor(F.col(c) / side).cast("long").alias(n)
+    return tiles.groupBy("zoom_level", at("tile_column", "mx"), at("tile_row", "my")).agg(F.count(F.lit(1)).alias("tiles"))
+
+
+def graph_tiles_at(points: DataFrame, levels: tuple[int, ...] = (0, 1, 2)) -> DataFrame:
+    """The graph tiles (x, y, level) that hold the points (lon, lat), each once, in their order."""
+    rows = points.select("lon", "lat", F.explode(F.array(*map(F.lit, levels))).alias("level"))
+    deg = G.graph_degrees(F.col("level"))
+    at = rows.select(G.floor((F.col("lon") + 180.0) / deg).alias("x"), G.floor((F.col("lat") + 90.0) / deg).alias("y"), "level")
+    return at.distinct().orderBy("x", "y", "level")
+
+
+def degree_files(boxes: DataFrame, files: DataFrame) -> DataFrame:
+    """The one-degree squares (lon, lat) among ``files`` that the boxes lie in."""
+    wanted = boxes.select(F.explode(G.degree_cover(*[F.col(c) for c in ("west", "south", "east", "north")])).alias("c")).select("c.lon", "c.lat").distinct()
+    return files.join(wanted, ["lon", "lat"], "left_semi")
+
+
+def resolved_files(wanted: DataFrame, listing: DataFrame, root: str) -> DataFrame:
+    """``wanted (x, y, level)`` graph tiles with their path under ``root`` and ``found``: whether ``listing (path)`` has it."""
+    paths = wanted.withColumn("path", F.concat(F.lit(root.rstrip("/") + "/"), G.graph_path(F.col("x"), F.col("y"), F.col("level"))))
+    return paths.join(listing.select("path", F.lit(True).alias("found")).distinct(), "path", "left").fillna(False, ["found"])
+
+
+def tile_counts(store: DataFrame) -> DataFrame:
+    """``(zoom_level, stored, wanted, extra)`` for tiles that are to be stored: those to be made also have the
+    children of the tiles stored a zoom above among them, of zooms that are stored."""
+    address = ["zoom_level", "tile_column", "tile_row"]
+    own = store.select(*address).distinct()
+    zooms = own.select("zoom_level").distinct()
+    child = own.select(F.explode(G.children(F.col("zoom_level"), F.col("tile_column"), F.col("tile_row"))).alias("c"))
+    below = child.select(F.col("c.zoom").alias("zoom_level"), F.col("c.x").alias("tile_column"), F.col("c.y").alias("tile_row")).join(zooms, "zoom_level", "left_semi")
+    both = own.withColumn("stored", F.lit(1)).unionByName(below.withColumn("stored", F.lit(0)))
+    each = both.groupBy(*address).agg(F.max("stored").alias("stored"))
+    return each.groupBy("zoom_level").agg(F.sum("stored").alias("stored"), F.count(F.lit(1)).alias("wanted"), (F.count(F.lit(1)) - F.sum("stored")).alias("extra"))
+
+
+def dry_run(bounds: DataFrame, min_zoom: int, max_zoom: int) -> DataFrame:
+    """``bounds`` with ``tiles``: how many tiles its box has from one zoom to another, whatever the shape."""
+
+    def at(zoom: Column) -> Column:
+        x0, y0, x1, y1 = G.tile_range(*[F.col(c) for c in ("west", "south", "east", "north")], zoom)
+        return (x1 - x0 + 1) * (y1 - y0 + 1)
+
+    zooms = F.sequence(F.lit(min_zoom), F.lit(max_zoom))
+    return bounds.withColumn("tiles", F.aggregate(F.transform(zooms, at), F.lit(0).cast("long"), lambda a, b: a + b))
+
+
+def halo(max_zoom: int, size: int, blur: float) -> tuple[int, float]:
+    """(pixels, metres) around a block that a blur of ``blur`` metres reads, and the margin of the sources around all."""
+    metres = G.CIRCUMFERENCE_M / ((1 << max_zoom) * size)
+    pixels = 2 * int(blur / metres) + 4 if blur else 0
+    return pixels, (pixels + size) * metres
+
+
+def outline(tiles: DataFrame, max_zoom: int) -> DataFrame:
+    """``(x1, y1, x2, y2)``: the border of the tiles' union, in sides of tiles of ``max_zoom``; rows count from the north.
+
+    A side that two tiles share is inside. Tiles above ``max_zoom`` stand for all tiles below them.
+    """
+    deep = tiles.where(F.col("zoom_level") <= max_zoom).withColumn("d", F.lit(max_zoom) - F.col("zoom_level"))
+    many = F.sequence(F.lit(0).cast("long"), F.expr("shiftleft(1L, d) - 1"))
+    full = deep.withColumn("dx", F.explode(many)).withColumn("dy", F.explode(many))
+    cells = full.select((F.expr("shiftleft(tile_column, d)") + F.col("dx")).alias("x"), (F.expr("shiftleft(tile_row, d)") + F.col("dy")).alias("y")).distinct()
+    x, y = F.col("x"), F.col("y")
+    side = lambda a, b, c, d: F.struct(a.alias("x1"), b.alias("y1"), c.alias("x2"), d.alias("y2"))
+    sides = F.array(side(x, y, x + 1, y), side(x, y + 1, x + 1, y + 1), side(x, y, x, y + 1), side(x + 1, y, x + 1, y + 1))
+    return cells.select(F.explode(sides).alias("s")).groupBy("s.x1", "s.y1", "s.x2", "s.y2").count().where("count = 1").drop("count")
+
+
+def world_file(max_zoom: int) -> str:
+    """The six lines that place a picture of ``2**max_zoom`` pixels a side in web mercator."""
+    half = G.CIRCUMFERENCE_M / 2
+    pixel = 2 * half / (1 << max_zoom)
+    return "\n".join(str(v) for v in (pixel, 0, 0, -pixel, -half + pixel / 2, half - pixel / 2))
+
+
+def mask_picture(tiles: DataFrame, max_zoom: int) -> DataFrame:
+    """``(px, py)``: the black pixels of a mask's picture, a pixel a tile of ``max_zoom``; rows of ``tiles`` count from the south."""
+    own = tiles.where(F.col("zoom_level") == max_zoom)
+    return own.select(F.col("tile_column").alias("px"), (F.lit((1 << max_zoom) - 1) - F.col("tile_row")).alias("py")).distinct()
+
+
 def mask_to_graph_tiles(tiles: DataFrame, levels: tuple[int, ...] = (0, 1, 2), least_zoom: int = 10) -> DataFrame:
     """Graph tiles (x, y, level) that mask tiles of zoom ``least_zoom`` and more touch."""
     w, s, e, n = G.tile_box(F.col("tile_column"), F.col("tile_row"), F.col("zoom_level"))
@@ -97,6 +208,17 @@ def geojson_grid(tiles: DataFrame, most: int) -> DataFrame:
     return tiles.orderBy("zoom_level", "tile_column", "tile_row").limit(most).select(F.to_json(feature).alias("feature"))
 
 
+def add_metadata(metadata: DataFrame, name: str, value: str) -> DataFrame:
+    """The rows and one more, whatever names are there already."""
+    return metadata.unionByName(metadata.sparkSession.createDataFrame([(name, value)], "name string, value string"))
+
+
+def geojson_points(points: DataFrame, properties: list[str]) -> DataFrame:
+    """A GeoJSON point feature for each row (lon, lat) with its ``properties``: a trip's manoeuvres."""
+    place = F.struct(F.lit("Point").alias("type"), F.array("lon", "lat").alias("coordinates"))
+    return points.select(*properties, F.to_json(F.struct(F.lit("Feature").alias("type"), place.alias("geometry"), F.struct(*properties).alias("properties"))).alias("feature"))
+
+
 def geojson_line(points: DataFrame, line: str = "line_id", seq: str = "seq") -> DataFrame:
     """A GeoJSON line feature for each line of points (lon, lat)."""
     listed = points.groupBy(line).agg(F.array_sort(F.collect_list(F.struct(F.col(seq).alias("s"), "lon", "lat"))).alias("p"))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: A step and the steps it needs.
 NEEDS = {
@@ -45,3 +46,26 @@ def in_order(wanted: list[str]) -> list[str]:
     for step in wanted:
         visit(step)
     return out
+
+
+#: What each step writes for an area, by folder and name.
+OUTPUTS = {
+    "basemap": ("area", "{area}.mbtiles"),
+    "routes": ("area", "{area}_routes.mbtiles"),
+    "terrain": ("area", "{area}_terrain.mbtiles"),
+    "hillshade": ("area", "{area}_hillshade.mbtiles"),
+    "valhalla_package": ("area", "{area}.vtiles"),
+    "download": ("data", "{area_}.osm.pbf"),
+    "elevation": ("elevation", ""),
+    "valhalla_tiles": ("graph", ""),
+}
+
+
+def outputs(areas: DataFrame, folders: dict[str, str]) -> DataFrame:
+    """``(area, step, path)`` of what every step writes for each area; an area's own folder is below ``folders['area']``."""
+    spark = areas.sparkSession
+    rows = [(step, folders[folder].rstrip("/"), folder == "area", name) for step, (folder, name) in OUTPUTS.items()]
+    table = F.broadcast(spark.createDataFrame(rows, "step string, folder string, own boolean, name string"))  # eight rows
+    name = F.replace(F.replace("name", F.lit("{area}"), F.col("area")), F.lit("{area_}"), F.replace("area", F.lit("-"), F.lit("_")))
+    path = F.concat_ws("/", "folder", F.when(F.col("own"), F.col("area")), F.nullif(name, F.lit("")))
+    return areas.select("area").distinct().join(table, F.lit(True)).select("area", "step", path.alias("path"))

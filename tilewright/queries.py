@@ -31,13 +31,13 @@ def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
 
 
 def queries() -> dict[str, Query]:
-    from . import more_queries  # noqa: F401  registers its own
+    from . import more_queries, source_queries  # noqa: F401  they register their own
 
     return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    from . import more_queries  # noqa: F401
+    from . import more_queries, source_queries  # noqa: F401
 
     return dict(_SQL)
 
@@ -141,7 +141,7 @@ def _(spark, d):
     return archive.package_report(t, "nbytes", "packed").withColumn("ratio", F.round("ratio", 9))
 
 
-_MIRRORS = "SELECT o_orderkey AS mirror, concat('h', cast(o_custkey % 5 AS {s})) AS hash, cast(o_orderdate AS date) AS date, cast(floor(o_totalprice) AS bigint) % 7 AS file_len FROM {t} WHERE o_orderkey < 400"
+_MIRRORS = "SELECT o_orderkey AS mirror, concat('h', cast(o_custkey % 5 AS {s})) AS hash, cast(o_orderdate AS date) AS date, cast(floor(o_totalprice) AS bigint) % 7 AS file_len FROM {t}"
 
 
 def _mirrors(spark, d):
@@ -179,9 +179,9 @@ def _(spark, d):
     return archive.common_tiles(a.select(*archive.ADDRESS).distinct(), b)
 
 
-@query("J03_orphan_blobs", "SELECT tile_data_id, tile_data FROM fx_blobs WHERE tile_data_id NOT IN (SELECT tile_data_id FROM fx_tiles WHERE zoom_level = 11 AND tile_column % 50 = 1)")
+@query("J03_orphan_blobs", "SELECT tile_data_id, tile_data FROM fx_blobs WHERE tile_data_id NOT IN (SELECT tile_data_id FROM fx_tiles)")
 def _(spark, d):
-    return archive.orphan_blobs(view(spark, d, "fx_blobs"), view(spark, d, "fx_tiles").where("zoom_level = 11 AND tile_column % 50 = 1"))
+    return archive.orphan_blobs(view(spark, d, "fx_blobs"), view(spark, d, "fx_tiles"))
 
 
 @query("U01_tiles_only_in_a", "SELECT zoom_level, tile_column, tile_row, nbytes FROM fx_tiles t WHERE build = 'a' AND NOT EXISTS (SELECT 1 FROM fx_tiles o WHERE o.build = 'b' AND o.zoom_level = t.zoom_level AND o.tile_column = t.tile_column AND o.tile_row = t.tile_row)")
@@ -394,14 +394,14 @@ def _(spark, d):
 
 @query(
     "G26_densify",
-    """WITH p AS (SELECT point_id % 50 AS line_id, point_id AS seq, lon, lat FROM fx_points WHERE point_id < 300),
+    """WITH p AS (SELECT point_id % 50 AS line_id, point_id AS seq, lon, lat FROM fx_points),
   s AS (SELECT *, lead(lon) OVER w AS lon2, lead(lat) OVER w AS lat2 FROM p WINDOW w AS (PARTITION BY line_id ORDER BY seq)),
   n AS (SELECT *, coalesce(cast(floor(2 * 6371008.8 * asin(sqrt(power(sin(radians(lat2 - lat) / 2), 2) + cos(radians(lat)) * cos(radians(lat2)) * power(sin(radians(lon2 - lon) / 2), 2))) / 500000) AS int), 0) AS k FROM s)
 SELECT line_id, seq, cast(part AS int) AS part, round(CASE WHEN part = 0 THEN lon ELSE lon + (lon2 - lon) * part / k END, 6) AS lon, round(CASE WHEN part = 0 THEN lat ELSE lat + (lat2 - lat) * part / k END, 6) AS lat
 FROM n, unnest(generate_series(0, greatest(k - 1, 0))) u(part)""",
 )
 def _(spark, d):
-    p = view(spark, d, "fx_points").where("point_id < 300").select((F.col("point_id") % 50).alias("line_id"), F.col("point_id").alias("seq"), "lon", "lat")
+    p = view(spark, d, "fx_points").select((F.col("point_id") % 50).alias("line_id"), F.col("point_id").alias("seq"), "lon", "lat")
     return profile.densify(p, 500000).withColumn("lon", F.round("lon", 6)).withColumn("lat", F.round("lat", 6))
 
 
@@ -527,12 +527,12 @@ def _(spark, d):
 
 @query(
     "A16_window_maximum",
-    """WITH p AS (SELECT DISTINCT gx, gy FROM fx_pixels WHERE gx % 16 = 3 AND gy % 16 = 5), g AS (SELECT * FROM fx_pixels WHERE priority = 1)
+    """WITH p AS (SELECT DISTINCT gx, gy FROM fx_pixels), g AS (SELECT * FROM fx_pixels WHERE priority = 1)
 SELECT p.gx, p.gy, max(g.elev) AS highest FROM p JOIN g ON abs(g.gx - p.gx) <= 4 AND abs(g.gy - p.gy) <= 4 GROUP BY 1, 2""",
 )
 def _(spark, d):
     px = view(spark, d, "fx_pixels")
-    return raster.window_maximum(px.where("gx % 16 = 3 AND gy % 16 = 5"), px.where("priority = 1"), 4)
+    return raster.window_maximum(px, px.where("priority = 1"), 4)
 
 
 @query(
@@ -652,18 +652,25 @@ def _(spark, d):
 
 # --- logs, names, options ----------------------------------------------------
 
-_EVENT = r"""SELECT line_no, CASE WHEN NOT regexp_matches(line, '^[0-9]+:[0-9]{2}:[0-9]{2} (DEB|INF|WAR|ERR)') THEN 'log' WHEN regexp_matches(line, '- Finished z[0-9]+ in') THEN 'zoom_end'
-  WHEN regexp_matches(line, '- Finished in [0-9]+') THEN 'phase_end' WHEN regexp_matches(line, '- Starting') THEN 'phase_start' WHEN regexp_matches(line, '\[[^\]%]*%') THEN 'progress' ELSE 'log' END AS event,
-  nullif(regexp_extract(line, '^[0-9]+:[0-9]{2}:[0-9]{2}'), '') AS elapsed, nullif(regexp_extract(line, '^[^\[]* INF \[([^\]]*)\]', 1), '') AS stage, try_cast(nullif(regexp_extract(line, ' ([0-9]+)%', 1), '') AS int) AS percent, line FROM fx_log"""
+_EVENT = r"""SELECT line_no, event, elapsed, CASE WHEN event IN ('phase_end', 'zoom_end') THEN coalesce(stage, '') ELSE stage END AS stage,
+  CASE event WHEN 'progress' THEN trim(regexp_extract(counter, '([A-Za-z][A-Za-z_ ]*):', 1)) WHEN 'zoom_end' THEN concat('z', zoom) END AS label,
+  CASE event WHEN 'progress' THEN least(cast(regexp_extract(counter, '\[[^\]%]*?([0-9]{1,3})%', 1) AS int), 100) END AS percent, CASE WHEN event IN ('phase_end', 'zoom_end') THEN took END AS took,
+  CASE WHEN event IN ('phase_end', 'zoom_end') THEN coalesce(try_cast(regexp_extract(took, '([0-9]+)h', 1) AS int), 0) * 3600 + coalesce(try_cast(regexp_extract(took, '([0-9]+)m', 1) AS int), 0) * 60 + coalesce(try_cast(regexp_extract(took, '([0-9]+)s', 1) AS int), 0) END AS seconds, line
+FROM (SELECT *, CASE WHEN elapsed IS NULL THEN 'log' WHEN c = 'FINISHED!' THEN 'run_end' WHEN took IS NOT NULL AND zoom IS NOT NULL THEN 'zoom_end' WHEN took IS NOT NULL THEN 'phase_end'
+    WHEN stage IS NOT NULL AND c = 'Starting...' THEN 'phase_start' WHEN stage IS NOT NULL AND counter IS NOT NULL THEN 'progress' ELSE 'log' END AS event
+  FROM (SELECT *, nullif(regexp_extract(c, '^Finished (?:z([0-9]+) )?in (\S+)', 1), '') AS zoom, nullif(regexp_extract(c, '^Finished (?:z([0-9]+) )?in (\S+)', 2), '') AS took, nullif(regexp_extract(c, '[A-Za-z][A-Za-z_ ]*:\s*\[[^\]]*[0-9]%[^\]]*\]'), '') AS counter
+    FROM (SELECT line_no, line, nullif(regexp_extract(t, '^([0-9]+:[0-9]{2}:[0-9]{2})\s+[A-Z]+\s+(\[[^\]]+\]\s+)?-', 1), '') AS elapsed, nullif(regexp_extract(t, '^[0-9]+:[0-9]{2}:[0-9]{2}\s+[A-Z]+\s+\[([^\]]+)\]', 1), '') AS stage,
+        trim(regexp_extract(t, '^[0-9]+:[0-9]{2}:[0-9]{2}\s+[A-Z]+\s+(?:\[[^\]]+\]\s+)?-\s?(.*)$', 1)) AS c
+      FROM (SELECT *, regexp_replace(regexp_replace(line, concat(chr(27), '\[[0-9;]*[a-zA-Z]'), '', 'g'), '\s+$', '') AS t FROM fx_log))))"""
 
 
 def _events(spark, d):
     return view(spark, d, "fx_log").withColumn("e", X.log_event(F.col("line"))).select("line_no", "e.*")
 
 
-@query("X10_log_events", f"WITH e AS ({_EVENT}) SELECT line_no, event, elapsed, stage, CASE WHEN event = 'progress' THEN percent END AS percent FROM e")
+@query("X10_log_events", f"WITH e AS ({_EVENT}) SELECT line_no, event, elapsed, stage, label, percent, took, seconds FROM e")
 def _(spark, d):
-    return _events(spark, d).select("line_no", "event", "elapsed", "stage", "percent")
+    return _events(spark, d).select("line_no", "event", "elapsed", "stage", "label", "percent", "took", "seconds")
 
 
 @query("A26_event_tallies", f"WITH e AS ({_EVENT}) SELECT event, count(*) AS n FROM e GROUP BY 1")

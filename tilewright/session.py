@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import os
+import tempfile
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -16,3 +20,19 @@ def session(master: str | None = None, **conf: str) -> SparkSession:
 
 def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def scratch(spark: SparkSession) -> str:
+    """A new folder below the one that ``spark.checkpoint.dir`` names, as a plain path that every machine mounts.
+
+    Where that is unset, which only a session on one machine may leave so, it is a temporary one.
+    """
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        return tempfile.mkdtemp(prefix="tilewright-")
+    path = f"{base.removeprefix('file://').removeprefix('file:').rstrip('/')}/tilewright-{uuid.uuid4().hex}"
+    os.makedirs(path)
+    return path

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator
 
 import pandas as pd
@@ -16,8 +17,11 @@ PROBED = "metadata map<string,string>, min_zoom int, max_zoom int, layout string
 def list_files(spark: SparkSession, root: str) -> DataFrame:
     """``(area, path, file_name, size_bytes, modified)`` of files one folder below ``root``; dot files and dot folders are left out.
 
-    The area is the folder's name. Contents are not read.
+    The area is the folder's name. Contents are not read. A root that is not there has no files.
     """
+    at = spark._jvm.org.apache.hadoop.fs.Path(root)
+    if not at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at):
+        return spark.createDataFrame([], "area string, path string, file_name string, size_bytes long, modified timestamp")
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root).select("path", "length", "modificationTime")
     parts = F.split("path", "/")
     out = files.select(
@@ -81,3 +85,30 @@ def bounds_of_header(text: Column) -> Column:
     """Struct (west, south, east, north) of ``name: value`` lines of an extract's statistics."""
     side = lambda key: F.regexp_extract(text, rf"(?m)\b{key}\s*[:=]\s*(-?[0-9.]+)", 1).try_cast("double")
     return F.struct(side("minlon").alias("west"), side("minlat").alias("south"), side("maxlon").alias("east"), side("maxlat").alias("north"))
+
+
+def tile_list(spark: SparkSession, path: str) -> DataFrame:
+    """Tiles of a tab-separated list with a header: x, y, zoom."""
+    rows = spark.read.csv(path, sep="\t", header=True)
+    x, y, z = (F.col(f"`{c}`") for c in rows.columns[:3])
+    return rows.select(z.cast("int").alias("zoom_level"), x.cast("long").alias("tile_column"), y.cast("long").alias("tile_row"))
+
+
+def read_document(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """A JSON document of settings, presets or state as one row; one that is missing or malformed has nulls."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if not at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at):
+        return spark.range(1).select(F.from_json(F.lit(None).cast("string"), schema).alias("d")).select("d.*")
+    return spark.read.text(path, wholetext=True).select(F.from_json("value", schema).alias("d")).select("d.*")
+
+
+def write_document(spark: SparkSession, path: str, document: dict) -> None:
+    """Write a small JSON document: under another name first, so that readers see the old one or the new one."""
+    fs_path = spark._jvm.org.apache.hadoop.fs.Path
+    at, part = fs_path(path), fs_path(f"{path}.part")
+    fs = at.getFileSystem(spark._jsc.hadoopConfiguration())
+    out = fs.create(part, True)
+    out.write(bytearray((json.dumps(document, indent=2, sort_keys=True) + "\n").encode()))
+    out.close()
+    fs.delete(at, False)
+    fs.rename(part, at)

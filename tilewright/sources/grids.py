@@ -161,3 +161,61 @@ def unpack_blobs(tiles: DataFrame) -> DataFrame:
         return blobs.map(lambda b: gzip.decompress(b) if b is not None and bytes(b[:2]) == b"\x1f\x8b" else b)
 
     return tiles.withColumn("tile_data", unpacked("tile_data"))
+
+
+def recompress(tiles: DataFrame, level: int = 9) -> tuple[DataFrame, DataFrame]:
+    """The tiles with their blobs packed anew, and one row ``(tiles, before_bytes, after_bytes, saved)``."""
+    before = F.sum(F.octet_length("_before"))
+    packed = pack_blobs(unpack_blobs(tiles.withColumn("_before", F.col("tile_data"))), level)
+    report = packed.agg(F.count(F.lit(1)).alias("tiles"), F.coalesce(before, F.lit(0)).alias("before_bytes"), F.coalesce(F.sum("packed_bytes"), F.lit(0)).alias("after_bytes"))
+    saved = F.when(F.col("before_bytes") > 0, 1.0 - F.col("after_bytes") / F.col("before_bytes")).otherwise(0.0)
+    return packed.drop("_before", "raw_bytes", "packed_bytes"), report.withColumn("saved", saved)
+
+
+def write_tree(blobs: DataFrame, folder: str) -> DataFrame:
+    """Write ``blobs (path, tile_data)`` as files below ``folder``, gzip unpacked; ``(path, bytes)`` of what was written.
+
+    Each file is renamed when whole, so a repeated task leaves the same tree.
+    """
+
+    def each(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        import os
+        import uuid
+
+        for f in frames:
+            sizes = []
+            for path, blob in zip(f["path"], f["tile_data"]):
+                at = f"{folder}/{path}"
+                os.makedirs(os.path.dirname(at), exist_ok=True)
+                part = f"{at}.{uuid.uuid4().hex}.part"
+                with open(part, "wb") as out:
+                    sizes.append(out.write(bytes(blob or b"")))
+                os.replace(part, at)
+            yield pd.DataFrame({"path": f["path"], "bytes": sizes})
+
+    return unpack_blobs(blobs.select("path", "tile_data")).mapInPandas(each, "path string, bytes long")
+
+
+def located_hgt(wanted: DataFrame, listing: DataFrame, root: str) -> DataFrame:
+    """``wanted (lon, lat)`` squares with the ``path`` of their file in ``listing (path)``, null where there is none.
+
+    A file in the folder of its latitude comes before one directly under the root.
+    """
+    from ..functions.tiles import degree_name
+
+    name = degree_name(F.col("lon"), F.col("lat"))
+    turn = lambda k, path: F.struct(F.lit(k).alias("rank"), path.alias("path"))
+    base = F.lit(root.rstrip("/") + "/")
+    turns = F.array(turn(0, F.concat(base, F.substring(name, 1, 3), F.lit("/"), name, F.lit(".hgt"))), turn(1, F.concat(base, name, F.lit(".hgt"))))
+    asked = wanted.select("lon", "lat").distinct().withColumn("t", F.explode(turns)).select("lon", "lat", "t.rank", "t.path")
+    have = listing.select(F.col("path").alias("has")).distinct()
+    return asked.join(have, asked["path"] == have["has"], "left").groupBy("lon", "lat").agg(F.min_by("has", F.when(F.col("has").isNotNull(), F.col("rank"))).alias("path"))
+
+
+def hgt_coverage(listing: DataFrame) -> DataFrame:
+    """The squares (lon, lat) that ``listing (path)`` has files of, each once, in order; other names are passed over."""
+    from ..functions.tiles import parse_degree_name
+
+    file = F.element_at(F.split("path", "/"), -1)
+    lon, lat = parse_degree_name(F.when(file.rlike("(?i)^[ns][0-9]{2}[ew][0-9]{3}.*[.]hgt$"), file))
+    return listing.select(lon.cast("int").alias("lon"), lat.cast("int").alias("lat")).where("lon IS NOT NULL").distinct().orderBy("lon", "lat")

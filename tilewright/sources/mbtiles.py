@@ -5,18 +5,23 @@
 address and upper bounds of the zoom go into the file. Classic, compact and legacy layouts read alike.
 
 Writing makes one part archive a task and joins them when the job commits, in a single file that
-appears under its name only when whole. Paths are of a file system every executor has mounted.
+appears under its name only when whole: an export of what fits one file. ``write_shards`` writes any number of
+tiles, a file for each block of them. ``option("layout", "compact")`` keeps each content once. Paths are of a file
+system every executor has mounted.
 """
 
 from __future__ import annotations
 
+import hashlib
 import os
 import sqlite3
 import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
 
-from pyspark.sql import SparkSession
+import pandas as pd
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, EqualTo, InputPartition, LessThanOrEqual, WriterCommitMessage
 
 TILES = "zoom_level int, tile_column bigint, tile_row bigint, tile_data binary"
@@ -40,6 +45,63 @@ def layout(path: str) -> str:
     return "legacy" if {"map", "images"} <= tables else "classic"
 
 
+def new_archive(path: str, layout: str = "classic") -> sqlite3.Connection:
+    db = sqlite3.connect(path)
+    db.execute("PRAGMA page_size = 4096")
+    if layout == "compact":
+        db.execute("CREATE TABLE tiles_data (tile_data_id TEXT PRIMARY KEY, tile_data BLOB)")
+        db.execute("CREATE TABLE tiles_shallow (zoom_level INTEGER, tile_column INTEGER, tile_row INTEGER, tile_data_id TEXT, PRIMARY KEY (zoom_level, tile_column, tile_row))")
+        db.execute(f"CREATE VIEW tiles AS {LAYOUTS['compact']}")
+    else:
+        db.execute("CREATE TABLE tiles (zoom_level INTEGER, tile_column INTEGER, tile_row INTEGER, tile_data BLOB)")
+    db.execute("CREATE TABLE metadata (name TEXT, value TEXT)")
+    return db
+
+
+def _plain(row) -> tuple:
+    return row[0], row[1], row[2], bytes(row[3]) if row[3] is not None else None
+
+
+def add_compact(db: sqlite3.Connection, rows) -> None:
+    """Put tiles into a compact archive: an address takes its new content, contents are kept once."""
+    for z, x, y, blob in map(_plain, rows):
+        digest = hashlib.sha256(blob or b"").hexdigest()
+        db.execute("INSERT OR IGNORE INTO tiles_data VALUES (?, ?)", (digest, blob))
+        db.execute("INSERT OR REPLACE INTO tiles_shallow VALUES (?, ?, ?, ?)", (z, x, y, digest))
+
+
+def delete_compact(db: sqlite3.Connection, addresses) -> None:
+    """Take addresses out of a compact archive, and contents that no address has any more."""
+    db.executemany("DELETE FROM tiles_shallow WHERE zoom_level = ? AND tile_column = ? AND tile_row = ?", addresses)
+    db.execute("DELETE FROM tiles_data WHERE tile_data_id NOT IN (SELECT tile_data_id FROM tiles_shallow)")
+
+
+def write_shards(tiles: DataFrame, folder: str, side: int = 256) -> DataFrame:
+    """Write ``tiles`` as one archive for each block of ``side`` by ``side`` tiles of a zoom; a row a file comes back.
+
+    ``(zoom_level, mx, my, path, tiles, bytes)``. A file is put together by one task and renamed when whole, so
+    a repeated task replaces it with the same.
+    """
+
+    def write(key: tuple, f: pd.DataFrame) -> pd.DataFrame:
+        z, mx, my = map(int, key)
+        os.makedirs(folder, exist_ok=True)
+        path = f"{folder}/z{z:02d}-{mx}-{my}.mbtiles"
+        part = f"{path}.{uuid.uuid4().hex}.part"
+        db = new_archive(part)
+        rows = zip(*(f[c].tolist() for c in ("zoom_level", "tile_column", "tile_row", "tile_data")))
+        db.executemany("INSERT INTO tiles VALUES (?, ?, ?, ?)", map(_plain, rows))
+        db.execute("CREATE UNIQUE INDEX tile_index ON tiles (zoom_level, tile_column, tile_row)")
+        db.commit()
+        db.close()
+        os.replace(part, path)
+        return pd.DataFrame({"zoom_level": [z], "mx": [mx], "my": [my], "path": [path], "tiles": [len(f)], "bytes": [int(sum(len(b) for b in f["tile_data"] if b is not None))]})
+
+    at = lambda c: F.floor(F.col(c) / side).cast("long")
+    rows = tiles.select("zoom_level", "tile_column", "tile_row", "tile_data", at("tile_column").alias("mx"), at("tile_row").alias("my"))
+    return rows.groupBy("zoom_level", "mx", "my").applyInPandas(write, "zoom_level int, mx long, my long, path string, tiles long, bytes long")
+
+
 @dataclass
 class _Zoom(InputPartition):
     zoom: int | None
@@ -84,38 +146,34 @@ class _Part(WriterCommitMessage):
 
 
 class _Writer(DataSourceWriter):
-    def __init__(self, path: str, metadata: dict[str, str]):
-        self.path, self.metadata = path, metadata
-
-    @staticmethod
-    def _new(path: str) -> sqlite3.Connection:
-        db = sqlite3.connect(path)
-        db.execute("PRAGMA page_size = 4096")
-        db.execute("CREATE TABLE tiles (zoom_level INTEGER, tile_column INTEGER, tile_row INTEGER, tile_data BLOB)")
-        db.execute("CREATE TABLE metadata (name TEXT, value TEXT)")
-        return db
+    def __init__(self, path: str, metadata: dict[str, str], layout: str = "classic"):
+        self.path, self.metadata, self.layout = path, metadata, layout
 
     def write(self, rows) -> _Part:
         part = f"{self.path}.{uuid.uuid4().hex}.part"
-        db = self._new(part)
-        db.executemany("INSERT INTO tiles VALUES (?, ?, ?, ?)", ((r[0], r[1], r[2], bytes(r[3]) if r[3] is not None else None) for r in rows))
+        db = new_archive(part)
+        db.executemany("INSERT INTO tiles VALUES (?, ?, ?, ?)", map(_plain, rows))
         db.commit()
         db.close()
         return _Part(part)
 
     def commit(self, messages) -> None:
         whole = f"{self.path}.{uuid.uuid4().hex}.part"
-        db = self._new(whole)
+        db = new_archive(whole, self.layout)
         for m in messages:
             if m is None:
                 continue
             db.execute("ATTACH ? AS part", (m.path,))
-            db.execute("INSERT INTO tiles SELECT * FROM part.tiles")
+            if self.layout == "compact":
+                add_compact(db, db.execute("SELECT * FROM part.tiles"))
+            else:
+                db.execute("INSERT INTO tiles SELECT * FROM part.tiles")
             db.commit()
             db.execute("DETACH part")
             os.remove(m.path)
         db.executemany("INSERT INTO metadata VALUES (?, ?)", sorted(self.metadata.items()))
-        db.execute("CREATE UNIQUE INDEX tile_index ON tiles (zoom_level, tile_column, tile_row)")
+        if self.layout == "classic":
+            db.execute("CREATE UNIQUE INDEX tile_index ON tiles (zoom_level, tile_column, tile_row)")
         db.commit()
         db.execute("VACUUM")
         db.close()
@@ -142,7 +200,7 @@ class MBTiles(DataSource):
         path = self.options["path"]
         if os.path.exists(path) and not overwrite:
             raise ValueError(f"{path} exists")
-        return _Writer(path, {k.removeprefix("metadata."): v for k, v in self.options.items() if k.startswith("metadata.")})
+        return _Writer(path, {k.removeprefix("metadata."): v for k, v in self.options.items() if k.startswith("metadata.")}, self.options.get("layout", "classic"))
 
 
 def register(spark: SparkSession) -> None:

@@ -1,13 +1,14 @@
 """Tiled float rasters (TIFF): levels and blocks as tables, sampling as joins.
 
-The reader takes the tags from each file's header and yields one row a block, so a raster of any size
-is spread over the cluster by block; values are decoded where they are needed.
+A first pass reads the tags of each file, a few kilobytes wherever they lie in it, and lists one row a block:
+where its bytes are. The rows are dealt out, and tasks read and decode their own byte ranges, so a raster of any
+size is spread over the cluster by block. Paths are of any file system that Arrow and Spark both reach.
 """
 
 from __future__ import annotations
 
 import struct
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -40,7 +41,14 @@ class Level:
     counts: list[int]
 
 
-def _directories(raw: bytes) -> Iterator[dict[int, tuple]]:
+#: Directories and entries of a directory that are read at most: a chain that points back to itself ends.
+MOST_LEVELS, MOST_ENTRIES = 32, 4096
+
+Read = Callable[[int, int], bytes]
+
+
+def _directories(read: Read) -> Iterator[dict[int, tuple]]:
+    raw = read(0, 16)
     order = {b"II": "<", b"MM": ">"}.get(raw[:2])
     if order is None:
         raise ValueError("not a TIFF")
@@ -48,35 +56,46 @@ def _directories(raw: bytes) -> Iterator[dict[int, tuple]]:
     if kind not in (42, 43):
         raise ValueError("not a TIFF")
     big = kind == 43
-    at = struct.unpack(order + ("Q" if big else "I"), raw[8:16] if big else raw[4:8])[0]
+    word = order + ("Q" if big else "I")
+    at = struct.unpack(word, raw[8:16] if big else raw[4:8])[0]
     entry, head, value = (20, 8, 8) if big else (12, 2, 4)
-    while at:
-        (n,) = struct.unpack_from(order + ("Q" if big else "H"), raw, at)
+    seen: set[int] = set()
+    while at and at not in seen and len(seen) < MOST_LEVELS:
+        seen.add(at)
+        (n,) = struct.unpack(order + ("Q" if big else "H"), read(at, head))
+        if n > MOST_ENTRIES:
+            raise ValueError(f"a directory of {n} entries")
+        body = read(at + head, n * entry + value)
         tags: dict[int, tuple] = {}
-        for i in range(n):
-            here = at + head + i * entry
-            tag, code = struct.unpack_from(order + "HH", raw, here)
-            (count,) = struct.unpack_from(order + ("Q" if big else "I"), raw, here + 4)
-            where = here + entry - value
-            if TYPE_SIZE.get(code, 1) * count > value:
-                (where,) = struct.unpack_from(order + ("Q" if big else "I"), raw, where)
+        for here in range(0, n * entry, entry):
+            tag, code = struct.unpack_from(order + "HH", body, here)
+            (count,) = struct.unpack_from(word, body, here + 4)
+            if code not in TYPE_SIZE:
+                continue
+            size = TYPE_SIZE[code] * count
+            own = body[here + entry - value : here + entry]
+            own = own[:size] if size <= value else read(struct.unpack(word, own)[0], size)
             if code == 2:
-                tags[tag] = (raw[where : where + count].rstrip(b"\0").decode(),)
+                tags[tag] = (own.rstrip(b"\0").decode(),)
             elif code in TYPE_CODE:
-                tags[tag] = struct.unpack_from(f"{order}{count}{TYPE_CODE[code]}", raw, where)
+                tags[tag] = struct.unpack(f"{order}{count}{TYPE_CODE[code]}", own)
         yield tags
-        (at,) = struct.unpack_from(order + ("Q" if big else "I"), raw, at + head + n * entry)
+        (at,) = struct.unpack(word, body[n * entry :])
 
 
-def levels(raw: bytes) -> list[Level]:
-    """All levels, the full resolution first. ValueError for rasters that are not tiled 32-bit floats."""
+def levels(source: bytes | Read) -> list[Level]:
+    """All levels, the full resolution first, of a file's bytes or of a function (offset, size) that reads them.
+
+    Directories that are no tiled 32-bit floats (masks, thumbnails) are passed over; ValueError if none is left.
+    """
+    read = source if callable(source) else lambda at, size: source[at : at + size]
     out: list[Level] = []
-    for tags in _directories(raw):
-        if tags.get(BITS, (0,))[0] != 32 or tags.get(FORMAT, (1,))[0] != 3 or TILE_WIDTH not in tags:
-            raise ValueError("only tiled 32-bit float rasters are read")
+    nodata = None
+    for tags in _directories(read):
+        nodata = float(tags[NODATA][0]) if nodata is None and NODATA in tags else nodata
         codec = CODECS.get(tags.get(COMPRESSION, (1,))[0])
-        if codec is None:
-            raise ValueError(f"no codec for compression {tags[COMPRESSION][0]}")
+        if tags.get(BITS, (0,))[0] != 32 or tags.get(FORMAT, (1,))[0] != 3 or TILE_WIDTH not in tags or codec is None:
+            continue
         width, height = tags[WIDTH][0], tags[HEIGHT][0]
         if out:  # overviews have the scale of their size
             scale = (out[0].scale[0] * out[0].width / width, out[0].scale[1] * out[0].height / height)
@@ -85,35 +104,77 @@ def levels(raw: bytes) -> list[Level]:
             scale = tuple(map(float, tags.get(SCALE, (1.0, 1.0))[:2]))
             tie = tags.get(TIEPOINT, (0.0,) * 6)
             origin = (tie[3] - tie[0] * scale[0], tie[4] + tie[1] * scale[1])
-        nodata = float(tags[NODATA][0]) if NODATA in tags else (out[0].nodata if out else None)
         out.append(Level(width, height, (tags[TILE_WIDTH][0], tags[TILE_HEIGHT][0]), origin, scale, codec, tags.get(PREDICTOR, (1,))[0], nodata, list(tags[OFFSETS]), list(tags[COUNTS])))
+    if not out:
+        raise ValueError("no tiled 32-bit float image in the file")
+    for level in out:
+        level.nodata = nodata
     return out
 
 
-def read_blocks(spark: SparkSession, path: str, level: int = 0) -> DataFrame:
-    """``(path, level, gx0, gy0, width, height, origin_x, origin_y, scale_x, scale_y, data)``: the blocks of a level.
+def _opened(path: str):
+    """An Arrow file of a path as Spark lists it (``file:/a``, ``hdfs://h/a``)."""
+    from pyarrow import fs as pafs
 
-    ``data`` is little-endian 32-bit floats, row by row, NaN without a value; null for an empty block.
+    fs, at = pafs.FileSystem.from_uri(path if "://" in path else path.replace("file:", "file://", 1))
+    return fs.open_input_file(at)
+
+
+_PLACE = "level int, gx0 int, gy0 int, width int, height int, origin_x double, origin_y double, scale_x double, scale_y double"
+
+
+def list_blocks(spark: SparkSession, path: str | list[str], level: int | None = None) -> DataFrame:
+    """``(path, level, gx0, gy0, width, height, origin_x, ..., codec, predictor, nodata, offset, size)``: one row a block of one level or all.
+
+    ``path`` is a file, a folder, a glob or a list of them. Only the tags are read.
     """
 
     def each(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
-            for at, raw in zip(f["path"], f["content"]):
-                own = levels(raw)[level]
-                across = -(-own.width // own.block[0])
-                for i, (offset, count) in enumerate(zip(own.offsets, own.counts)):
-                    grid = decode_block(raw[offset : offset + count], *own.block, own.codec, own.predictor, own.nodata)
-                    y, x = divmod(i, across)
+            for at in f["path"]:
+                with _opened(at) as source:
+
+                    def read(offset: int, size: int) -> bytes:
+                        source.seek(offset)
+                        return source.read(size)
+
+                    found = levels(read)
+                for k, own in enumerate(found):
+                    if level is not None and k != level:
+                        continue
+                    across = -(-own.width // own.block[0])
+                    y, x = np.divmod(np.arange(len(own.offsets)), across)
                     yield pd.DataFrame(
                         {
-                            "path": [at], "level": [level], "gx0": [x * own.block[0]], "gy0": [y * own.block[1]], "width": [own.block[0]], "height": [own.block[1]],
-                            "origin_x": [own.origin[0]], "origin_y": [own.origin[1]], "scale_x": [own.scale[0]], "scale_y": [own.scale[1]],
-                            "data": [None if grid is None else grid.astype("<f4").tobytes()],
+                            "path": at, "level": k, "gx0": x * own.block[0], "gy0": y * own.block[1], "width": own.block[0], "height": own.block[1],
+                            "origin_x": own.origin[0], "origin_y": own.origin[1], "scale_x": own.scale[0], "scale_y": own.scale[1],
+                            "codec": own.codec, "predictor": own.predictor, "nodata": np.nan if own.nodata is None else own.nodata, "offset": own.offsets, "size": own.counts,
                         }
                     )
 
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.tif*").load(path).select("path", "content")
-    return files.mapInPandas(each, "path string, level int, gx0 int, gy0 int, width int, height int, origin_x double, origin_y double, scale_x double, scale_y double, data binary")
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.tif*").load(path).select("path")
+    return files.mapInPandas(each, f"path string, {_PLACE}, codec string, predictor int, nodata double, offset long, size long")
+
+
+def read_blocks(spark: SparkSession, path: str | list[str], level: int = 0) -> DataFrame:
+    """``(path, level, gx0, gy0, width, height, origin_x, origin_y, scale_x, scale_y, data)``: the blocks of a level.
+
+    ``data`` is little-endian 32-bit floats, row by row, NaN without a value; null for an empty block.
+    """
+
+    def each(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            for at, own in f.groupby("path", sort=False):
+                data = []
+                with _opened(at) as source:
+                    for b in own.itertuples():
+                        source.seek(b.offset)
+                        grid = decode_block(source.read(b.size), b.width, b.height, b.codec, b.predictor, None if np.isnan(b.nodata) else b.nodata)
+                        data.append(None if grid is None else grid.astype("<f4").tobytes())
+                yield own.drop(columns=["codec", "predictor", "nodata", "offset", "size"]).assign(data=data)
+
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    return list_blocks(spark, path, level).repartition(parts, "path", "gx0", "gy0").mapInPandas(each, f"path string, {_PLACE}, data binary")
 
 
 def block_pixels(blocks: DataFrame) -> DataFrame:

@@ -6,7 +6,8 @@ import struct
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
 from pyspark.sql.functions import udtf
 
 
@@ -51,6 +52,40 @@ def read_poly(spark: SparkSession, path: str) -> DataFrame:
     return files.select("path", "content").mapInPandas(each, "path string, name string, ring_id int, is_hole int, seq int, lon double, lat double")
 
 
+_RINGS = "array<array<array<double>>>"
+
+
+def poly_geojson(vertices: DataFrame, by: str = "path") -> DataFrame:
+    """``(by, feature)``: a GeoJSON feature of each polygon of ``vertices (by, ring_id, is_hole, seq, lon, lat)``, holes honoured.
+
+    Each outer ring is a polygon, with the holes that follow it and come before the next outer ring.
+    """
+    rings = vertices.groupBy(by, "ring_id", "is_hole").agg(F.array_sort(F.collect_list(F.struct("seq", "lon", "lat"))).alias("p"))  # of one ring
+    rings = rings.withColumn("ring", F.transform("p", lambda v: F.array(v["lon"], v["lat"])))
+    shape = F.sum((F.col("is_hole") == 0).cast("int")).over(Window.partitionBy(by).orderBy("ring_id"))
+    shapes = rings.withColumn("shape", shape).groupBy(by, "shape").agg(F.array_sort(F.collect_list(F.struct("ring_id", "ring"))).alias("r"))
+    polygons = shapes.groupBy(by).agg(F.array_sort(F.collect_list(F.struct("shape", F.transform("r", lambda x: x["ring"]).alias("rings")))).alias("s"))
+    geometry = F.struct(F.lit("MultiPolygon").alias("type"), F.transform("s", lambda x: x["rings"]).alias("coordinates"))
+    return polygons.select(by, F.to_json(F.struct(F.lit("Feature").alias("type"), geometry.alias("geometry"), F.struct(F.col(by).alias("name")).alias("properties"))).alias("feature"))
+
+
+def geojson_rings(documents: DataFrame, column: str = "value") -> DataFrame:
+    """``(ring_id, is_hole, seq, lon, lat)`` of the polygons in GeoJSON texts: a feature, a collection or a bare geometry.
+
+    All polygons of a text are one shape: what is inside any of them is inside. Other geometries have no rings.
+    """
+    plain = lambda kind: F.from_json(F.col(column), f"type string, {kind}")
+    shape = "struct<type:string,coordinates:string>"
+    document = plain(f"features array<struct<geometry:{shape}>>, geometry {shape}, coordinates string")
+    one = lambda d: F.struct(d["type"].alias("type"), d["coordinates"].alias("coordinates"))
+    listed = F.when(document["type"] == "FeatureCollection", F.transform(document["features"], lambda f: f["geometry"])).when(document["type"] == "Feature", F.array(document["geometry"])).otherwise(F.array(one(document)))
+    rows = documents.select(F.xxhash64(column).alias("text"), F.posexplode(listed).alias("feature", "g"))
+    rings = F.when(F.col("g.type") == "Polygon", F.array(F.from_json("g.coordinates", _RINGS))).when(F.col("g.type") == "MultiPolygon", F.from_json("g.coordinates", f"array<{_RINGS}>"))
+    polygons = rows.select("text", "feature", F.posexplode(rings).alias("k", "polygon")).select("text", "feature", "k", F.posexplode("polygon").alias("n", "ring"))
+    points = polygons.select(F.xxhash64("text", "feature", "k", "n").alias("ring_id"), (F.col("n") > 0).cast("int").alias("is_hole"), F.posexplode("ring").alias("seq", "p"))
+    return points.select("ring_id", "is_hole", "seq", F.get("p", F.lit(0)).alias("lon"), F.get("p", F.lit(1)).alias("lat"))
+
+
 def decode_polyline(text: str, precision: int = 6) -> Iterator[tuple[int, float, float]]:
     """(index, lon, lat) of an encoded line; ValueError where it is cut off."""
     at, lat, lon, n = 0, 0, 0, 0

@@ -36,6 +36,11 @@ def percent_changes(events: DataFrame) -> DataFrame:
     return events.where("event = 'progress'").select("stage", "percent").dropDuplicates(["stage", "percent"])
 
 
+def tail(lines: DataFrame, order: str = "line_no", keep: int = 400, show: int = 25) -> DataFrame:
+    """The last ``show`` of the last ``keep`` lines, in order."""
+    return lines.orderBy(F.desc(order)).limit(min(keep, show)).orderBy(order)
+
+
 def stage_durations(events: DataFrame) -> DataFrame:
     """Stateful: (stage, seconds, ends), the last duration each stage reported and how many, updated as batches come."""
 
