@@ -223,6 +223,8 @@ def near_duplicate_components(docs: DataFrame, words: int = 3, most: int = 3, gr
 
 #: Bits of a set's parity map; of one set in so many, the shingles seen so often are common, so many at most.
 PARITY_BITS, COMMON_SHARE, COMMON_SEEN, COMMON_MOST = 512, 16, 4, 500_000
+#: Parts that candidate pairs are verified in, one after the other.
+VERIFY_PARTS = 2
 _MAP = [f"m{i}" for i in range(PARITY_BITS // 64)]
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -331,16 +333,24 @@ def _distinct_pairs(node: np.ndarray, found: list[tuple[np.ndarray, np.ndarray]]
 
 
 def _alike(pairs: DataFrame, docs: DataFrame, words: int, similarity: float) -> DataFrame:
-    """The pairs whose sets' Jaccard similarity, computed exactly, is at least ``similarity``."""
-    pairs = materialize(pairs.select("a", "b").distinct(), "candidates")
-    ends = pairs.select(F.explode(F.array("a", "b")).alias("doc_id"))
-    sets = materialize(_sets(join_ids(docs, ends, "doc_id", "left_semi"), words), "sets")
-    both = pairs.join(sets.select(F.col("node").alias("a"), F.col("set").alias("x")), "a").join(
-        sets.select(F.col("node").alias("b"), F.col("set").alias("y")), "b"
-    )
-    same = F.size(F.array_intersect("x", "y"))
-    out = materialize(both.where(same >= similarity * (F.size("x") + F.size("y") - same)).select("a", "b").distinct(), "alike")
-    drop_materialized(sets)
+    """The pairs whose sets' Jaccard similarity, computed exactly, is at least ``similarity``.
+
+    The sets of all documents that are in question are large: they are made, compared and deleted for one
+    part of the pairs after the other.
+    """
+    pairs, out = materialize(pairs.select("a", "b").distinct(), "candidates"), None
+    for part in range(VERIFY_PARTS):
+        some = pairs.where(F.pmod(F.xxhash64("b"), F.lit(VERIFY_PARTS)) == part)
+        ends = some.select(F.explode(F.array("a", "b")).alias("doc_id"))
+        sets = materialize(_sets(join_ids(docs, ends, "doc_id", "left_semi"), words), "sets")
+        both = some.join(sets.select(F.col("node").alias("a"), F.col("set").alias("x")), "a").join(
+            sets.select(F.col("node").alias("b"), F.col("set").alias("y")), "b"
+        )
+        same = F.size(F.array_intersect("x", "y"))
+        found = materialize(both.where(same >= similarity * (F.size("x") + F.size("y") - same)).select("a", "b").distinct(), "alike")
+        out = found if out is None else out.unionByName(found)
+        drop_materialized(sets)
+        docs.sparkSession._jvm.System.gc()  # lets Spark delete the shuffle files of the comparison
     drop_materialized(pairs)
     return out
 
