@@ -16,7 +16,6 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -33,8 +32,8 @@ _TEXT_AT_ONCE = 1 << 20
 RARE, LEAST_SEEDS = 1e-8, 8
 #: Alignment: match, mismatch, gap.
 MATCH, MISMATCH, GAP = 2, -1, -1
-#: Bits of a bit map at most (16 MB), and bits for each hash in it where there is room.
-MAP_BITS, BITS_EACH = 1 << 27, 64
+#: Bits of a bit map at most (16 MB), bits for each hash in it where there is room, and where a hash's bits are taken from.
+MAP_BITS, BITS_EACH, SHIFTS = 1 << 27, 64, (0, 19, 37)
 #: Characters of a benchmark whose items are broadcast to the passages; those of a larger one are joined by shuffle.
 SMALL_BENCHMARK = 8_000_000
 #: Cells of an alignment matrix row that are computed at a time.
@@ -45,9 +44,17 @@ def words(text: str | None) -> list[str]:
     return _WORDS.findall((text or "").lower())
 
 
-@lru_cache(maxsize=50_000)
-def _word(w: str) -> int:
-    return xxhash.xxh64_intdigest(w.encode("utf-8", "surrogatepass"))
+class _Hashes(dict):
+    """Hashes of words, remembered up to a number."""
+
+    def __missing__(self, w: str) -> int:
+        if len(self) >= 200_000:
+            self.clear()
+        self[w] = h = xxhash.xxh64_intdigest(w.encode("utf-8", "surrogatepass"))
+        return h
+
+
+_hash_of = _Hashes().__getitem__
 
 
 def word_hashes(text: str | None) -> np.ndarray:
@@ -57,7 +64,7 @@ def word_hashes(text: str | None) -> np.ndarray:
         end = min(len(text), at + _TEXT_AT_ONCE)
         while end < len(text) and not text[end].isspace():
             end += 1
-        out.append(np.fromiter(map(_word, words(text[at:end])), np.uint64))
+        out.append(np.fromiter(map(_hash_of, words(text[at:end])), np.uint64))
         at = end
     return out[0] if len(out) == 1 else np.concatenate([*out, np.empty(0, np.uint64)])
 
@@ -72,7 +79,10 @@ def grams(h: np.ndarray, n: int) -> np.ndarray:
 
 
 class BitMap:
-    """Which hashes may be in a set: one bit for each low part of a hash, in a number of bits that is bounded."""
+    """Which hashes may be in a set: a few bits for each hash, in a number of bits that is bounded.
+
+    With room for all, one in some ten thousand other hashes passes; with less, more do, and are joined in vain.
+    """
 
     def __init__(self, words_: np.ndarray):
         self.words = words_
@@ -83,16 +93,21 @@ class BitMap:
         bits = 1 << 10
         while bits < min(MAP_BITS, BITS_EACH * hashes.count()):
             bits *= 2
-        place = F.col(column).bitwiseAND(F.lit(bits - 1))
-        rows = hashes.select(F.shiftright(place, 6).alias("at"), F.expr(f"shiftleft(1L, cast({column} & 63 as int))").alias("bit"))
-        found = rows.groupBy("at").agg(F.bit_or("bit").alias("bits")).toArrow()
+        places = F.array(*[F.shiftrightunsigned(column, n).bitwiseAND(F.lit(bits - 1)) for n in SHIFTS])
+        rows = hashes.select(F.explode(places).alias("place"))
+        words_ = rows.groupBy(F.shiftright("place", 6).alias("at")).agg(F.expr("bit_or(shiftleft(1L, cast(place & 63 as int)))").alias("bits")).toArrow()
         out = np.zeros(bits // 64, np.int64)
-        out[found["at"].to_numpy()] = found["bits"].to_numpy()
+        out[words_["at"].to_numpy()] = words_["bits"].to_numpy()
         return hashes.sparkSession.sparkContext.broadcast(cls(out.view(np.uint64)))
 
     def may_have(self, h: np.ndarray) -> np.ndarray:
-        at = h & np.uint64(64 * len(self.words) - 1)
-        return (self.words[(at >> np.uint64(6)).view(np.int64)] >> (at & np.uint64(63)) & np.uint64(1)).astype(bool)
+        found = np.arange(len(h))
+        for n in SHIFTS:
+            at = h[found] >> np.uint64(n) & np.uint64(64 * len(self.words) - 1)
+            found = found[(self.words[(at >> np.uint64(6)).view(np.int64)] >> (at & np.uint64(63)) & np.uint64(1)).astype(bool)]
+        out = np.zeros(len(h), bool)
+        out[found] = True
+        return out
 
 
 def _items(benchmark: DataFrame) -> DataFrame:
