@@ -28,6 +28,8 @@ from .common import join_ids, materialize, need, row_key
 
 _WORDS = re.compile(r"\w+")
 _TEXT_AT_ONCE = 1 << 20
+#: What an ASCII character is to words: itself in lower case, or a space.
+_ASCII = {i: c.lower() if _WORDS.match(c) else " " for i, c in enumerate(map(chr, range(128)))}
 #: A seed's probability by chance at most, and how many of its rarest sequences an item has as seeds anyway.
 RARE, LEAST_SEEDS = 1e-8, 8
 #: Alignment: match, mismatch, gap.
@@ -41,7 +43,8 @@ _CELLS = 200_000
 
 
 def words(text: str | None) -> list[str]:
-    return _WORDS.findall((text or "").lower())
+    text = text or ""
+    return text.translate(_ASCII).split() if text.isascii() else _WORDS.findall(text.lower())
 
 
 class _Hashes(dict):
@@ -125,20 +128,19 @@ def _word_counts(docs: DataFrame, wanted: Broadcast) -> DataFrame:
     """``(word, n)`` over all documents, of the words that the map may have; the null word's n is that of all words."""
 
     def summed(held: list[np.ndarray], total: int) -> pd.DataFrame:
-        at, n = np.unique(np.concatenate([*held, np.empty(0, np.uint64)]), return_counts=True)
+        h = np.concatenate([*held, np.empty(0, np.uint64)])
+        at, n = np.unique(h[wanted.value.may_have(h)], return_counts=True)
         return pd.DataFrame({"word": pd.array([*at.view(np.int64).tolist(), None], "Int64"), "n": np.append(n, total)})
 
     def count(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held, size, total = [], 0, 0
+        held, total = [], 0
         for f in frames:
             for t in f["text"]:
-                h = word_hashes(t)
-                total += len(h)
-                held.append(h[wanted.value.may_have(h)])
-                size += len(held[-1])
-            if size > 1_000_000:
-                yield summed(held, total)
-                held, size, total = [], 0, 0
+                held.append(word_hashes(t))
+                total += len(held[-1])
+                if total > 1_000_000:
+                    yield summed(held, total)
+                    held, total = [], 0
         yield summed(held, total)
 
     return docs.select("text").mapInPandas(count, "word long, n long").groupBy("word").agg(F.sum("n").alias("n"))
