@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, embeddings, html_text, packing, quality, simhash, suffix, token_counts, token_files, urls
+from . import decontaminate, embeddings, exact, fill_in_middle, html_text, packing, quality, simhash, suffix, token_counts, token_files, urls, vector_codes
 from .common import load
 
 
@@ -54,13 +54,26 @@ def op10_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text.main_text(load(spark, sf_dir, "pages"))
 
 
+def op11_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact.exact_duplicates(load(spark, sf_dir, "documents"))
+
+
+def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_codes.vector_codes(load(spark, sf_dir, "embeddings"))
+
+
+def op13_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fill_in_middle.digests(load(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     own = (
         op1_simhash, op2_decontaminate, op3_suffix, op4_quality, op5_token_files,
         op6_url_filters, op7_packing, op8_token_counts, op9_embeddings, op10_html_text,
+        op11_exact, op12_vector_codes, op13_fill_in_middle,
     )
     return {f.__name__: f for f in own}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_url_filters": urls.ORACLE}
+    return {"op6_url_filters": urls.ORACLE, "op11_exact": exact.ORACLE, "op12_vector_codes": vector_codes.ORACLE, "op13_fill_in_middle": fill_in_middle.ORACLE}
