@@ -31,13 +31,13 @@ def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
 
 
 def queries() -> dict[str, Query]:
-    from . import more_queries, source_queries  # noqa: F401  they register their own
+    from . import more_queries, shape_queries, source_queries  # noqa: F401  they register their own
 
     return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    from . import more_queries, source_queries  # noqa: F401
+    from . import more_queries, shape_queries, source_queries  # noqa: F401
 
     return dict(_SQL)
 
