@@ -7,7 +7,7 @@ from collections import defaultdict
 import pytest
 from pyspark.sql import functions as F
 
-from tilewright.operators import chains, contours, polygons
+from tilewright.operators import chains, contours, polygons, simplify
 
 # --- chains ------------------------------------------------------------------
 
@@ -236,3 +236,162 @@ def test_mask_polygons_in_metres(spark):
     rings, corners = polygons.mask_polygons(tiles, 2)
     assert [(r.area, r.is_hole) for r in rings.collect()] == [(5, False)]
     assert corners.agg(F.min("easting"), F.max("easting"), F.max("northing"), F.min("northing")).first() == pytest.approx((-20037508.342789244, 10018754.171394622, 20037508.342789244, 0.0))
+
+
+# --- simplification and union ------------------------------------------------
+
+
+def rings_of(regions):
+    """Rings of regions of cells, each vertex moved a little: (shape, ring, seq, x, y), the region on the left."""
+    r = random.Random(5)
+    moved = {}
+    rows = []
+    for shape, cells in regions.items():
+        after = defaultdict(list)
+        for x, y in cells:
+            for a, b, n in (((x, y), (x + 1, y), (x, y - 1)), ((x + 1, y), (x + 1, y + 1), (x + 1, y)), ((x + 1, y + 1), (x, y + 1), (x, y + 1)), ((x, y + 1), (x, y), (x - 1, y))):
+                if n not in cells:
+                    after[a].append((b, (x, y)))
+        ring = 0
+        while after:
+            at, (nxt, cell) = next((a, after[a][0]) for a in sorted(after))
+            first, way = at, []
+            while True:
+                after[at].remove((nxt, cell))
+                if not after[at]:
+                    del after[at]
+                way.append(at)
+                at = nxt
+                if at == first and not any(c == cell for _, c in after.get(at, [])):
+                    break
+                nxt, cell = min(after[at], key=lambda o: o[1] != cell) if at in after else (None, None)
+                if nxt is None:
+                    break
+            for seq, p in enumerate(way):
+                x, y = moved.setdefault(p, (p[0] + r.uniform(-0.4, 0.4), p[1] + r.uniform(-0.4, 0.4)))
+                rows.append((shape, ring, seq, x, y))
+            ring += 1
+    return rows
+
+
+RING = "shape string, ring int, seq int, x double, y double"
+
+
+def blobs(seed, size=24):
+    r = random.Random(seed)
+    seeds = {s: (r.uniform(0, size), r.uniform(0, size)) for s in "abcdefg"}
+    label = {(x, y): min(seeds, key=lambda s: math.dist(seeds[s], (x + math.sin(y), y))) for x in range(size) for y in range(size)}
+    label |= {(x, y): "island" for x in range(3, 6) for y in range(3, 6)}
+    regions = defaultdict(set)
+    for c, s in label.items():
+        regions[s].add(c)
+    return regions
+
+
+def sides_of(rows):
+    rings = defaultdict(list)
+    for shape, ring, seq, x, y in rows:
+        rings[shape, ring].append((seq, (x, y)))
+    out = []
+    for v in rings.values():
+        way = [p for _, p in sorted(v)]
+        out += zip(way, way[1:] + way[:1])
+    return out
+
+
+def plain_simplified(rows, area):
+    """Arcs between points where not two sides meet, the smallest triangle out of all of an arc taken again and again."""
+    near = defaultdict(set)
+    for a, b in sides_of(rows):
+        near[a].add(b)
+        near[b].add(a)
+    fixed = {p for p, n in near.items() if len(n) != 2}
+    rings, out = defaultdict(list), set()
+    for shape, ring, seq, x, y in sorted(rows):
+        rings[shape, ring].append((x, y))
+    for key, way in rings.items():
+        if not fixed & set(way):
+            fixed_here = {min(way)}
+        else:
+            fixed_here = fixed
+        at = next(i for i, p in enumerate(way) if p in fixed_here)
+        way = way[at:] + way[: at + 1]
+        kept, arc = [], [way[0]]
+        for p in way[1:]:
+            arc.append(p)
+            if p in fixed_here:
+                floor = {}
+                while len(arc) > (4 if arc[0] == arc[-1] else 2):
+                    size = {}
+                    for i in range(1, len(arc) - 1):
+                        (ax, ay), (bx, by), (cx, cy) = sorted(arc[i - 1 : i + 2])
+                        size[i] = max(abs((bx - ax) * (cy - ay) - (cx - ax) * (by - ay)) / 2, floor.get(arc[i], 0))
+                    i = min(size, key=lambda i: (size[i], arc[i]))
+                    if size[i] >= area:
+                        break
+                    floor[arc[i - 1]] = floor[arc[i + 1]] = size[i]
+                    del arc[i]
+                kept += arc[:-1]
+                arc = [p]
+        if len(kept) > 2:
+            out |= {(key, p) for p in kept}
+    return out
+
+
+@pytest.mark.parametrize("area", [0.3, 1.5])
+def test_simplified_neighbours_keep_their_borders(spark, area):
+    rows = rings_of(blobs(3))
+    got = simplify.simplified(spark.createDataFrame(rows, RING), area, 1 << 62)
+    got = [tuple(r) for r in got.collect()]
+    assert {((s, k), (x, y)) for s, k, _, x, y in got} == plain_simplified(rows, area)
+    assert len(got) < 0.75 * len(rows)
+    left = {}
+    for a, b in sides_of(got):
+        left[a, b] = left.get((a, b), 0) + 1
+    alone = [s for s in left if (s[1], s[0]) not in left]
+    assert set(left.values()) == {1}
+    around = [p for p, _ in alone]
+    assert len(around) == len(set(around)) == len({q for _, q in alone})  # what is alone goes once around all
+    span = lambda sides: sum(a[0] * b[1] - b[0] * a[1] for a, b in sides) / 2
+    assert span(left) == pytest.approx(span(alone)) and span(alone) > 500
+
+
+def test_arcs_are_of_bounded_length(spark):
+    n = 3000
+    circle = [("s", 0, i, math.cos(2 * math.pi * i / n), math.sin(2 * math.pi * i / n)) for i in range(n)]
+    other = [("t", 7, i, x, y) for i, (_, _, _, x, y) in enumerate(reversed(circle))]
+    table = spark.createDataFrame(circle + other, RING)
+    arcs = simplify.in_arcs(simplify.fixed_vertices(table, 50)).groupBy("shape", "ring", "arc").count().collect()
+    assert len(arcs) > 60 and max(a["count"] for a in arcs) < 600
+    got = simplify.simplified(table, 1e-3, 50).collect()
+    points = [{(r.x, r.y) for r in got if r.shape == s} for s in "st"]
+    assert points[0] == points[1] and 60 < len(points[0]) < 400
+    whole = simplify.simplified(table, 1e9, 1 << 62)
+    assert whole.groupBy("shape").count().collect() == [] or {r["count"] for r in whole.groupBy("shape").count().collect()} == {3}
+    assert simplify.simplified(table.where("false"), 1.0).collect() == []
+
+
+def test_union_and_small_ones(spark):
+    regions = blobs(4)
+    rows = rings_of(regions)
+    table = spark.createDataFrame(rows, RING)
+    whole = simplify.united(table)
+    sides = sides_of(rows)
+    assert sorted(sides_of([(None, tuple(r.ring), r.seq, r.x, r.y) for r in whole.collect()])) == sorted(s for s in sides if (s[1], s[0]) not in set(sides))
+    assert whole.select("ring").distinct().count() == 1
+    apart = simplify.united(table.where("shape IN ('island', 'a')"))
+    assert apart.groupBy("ring").count().count() >= 1
+    areas = {(r.shape, r.ring): r.area for r in simplify.ring_areas(table).collect()}
+    large = simplify.without_small(table, 6.0).select("shape", "ring").distinct().collect()
+    assert {tuple(r) for r in large} == {k for k, a in areas.items() if abs(a) >= 36.0}
+    assert ("island", 0) in areas and areas["island", 0] < 36
+    again = simplify.renumbered(table.where("seq % 3 <> 0")).groupBy("shape", "ring").agg(F.max("seq").alias("m"), F.count("*").alias("n"), F.countDistinct("seq").alias("d")).collect()
+    assert all(r.m + 1 == r.n == r.d for r in again)
+
+
+def test_union_of_squares_that_touch_at_corners(spark):
+    squares = [(0, 0), (1, 1), (2, 0), (1, -1), (5, 5), (6, 5)]
+    rows = [(f"s{i}", 0, k, float(x + dx), float(y + dy)) for i, (x, y) in enumerate(squares) for k, (dx, dy) in enumerate(((0, 0), (1, 0), (1, 1), (0, 1)))]
+    rings = simplify.united(spark.createDataFrame(rows, RING))
+    areas = sorted(r.area for r in simplify.ring_areas(rings).collect())
+    assert areas == [1.0, 1.0, 1.0, 1.0, 2.0]

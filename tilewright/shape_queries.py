@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from .functions import elevation as E
-from .operators import contours, polygons, raster
+from .functions import tiles as G
+from .operators import contours, polygons, raster, simplify
 from .queries import query
 from .views import view
 
@@ -84,3 +85,61 @@ def _(spark, d):
     """The union's polygons, each by its first tile from the north: what its rings go around, less its holes, and their corners."""
     rings, _ = polygons.mask_polygons(view(spark, d, "fx_archive").where("zoom_level = 6"), 6, 16)
     return rings.groupBy("polygon").agg(F.sum("area").alias("tiles"), F.sum("length").alias("corners")).select("polygon.x", "polygon.y", "tiles", "corners")
+
+
+# --- union and simplification ------------------------------------------------
+
+#: Of cells c (x, y): the border's sides, and its corners, of which a point where cells only touch has two.
+_BORDER = """e AS (SELECT x, y, 0 AS up, x AS x2, y AS y2 FROM c UNION ALL SELECT x, y, 1, x, y FROM c UNION ALL SELECT x, y, 0, x, y + 1 FROM c UNION ALL SELECT x, y, 1, x + 1, y FROM c),
+  side AS (SELECT up, x2, y2 FROM e GROUP BY ALL HAVING count(*) = 1),
+  v AS (SELECT x + dx AS vx, y + dy AS vy, count(*) AS n, bool_or(dx = dy) AND bool_or(dx <> dy) AS beside FROM c, range(2) a(dx), range(2) b(dy) GROUP BY ALL),
+  corner AS (SELECT vx, vy FROM v WHERE n IN (1, 3) OR (n = 2 AND NOT beside) UNION ALL SELECT vx, vy FROM v WHERE n = 2 AND NOT beside)"""
+
+
+def _squares(cells):
+    """A ring for each cell (x, y), around to the left."""
+    corners = F.array(*[F.struct(F.lit(k).alias("seq"), (F.col("x") + dx).cast("double").alias("x"), (F.col("y") + dy).cast("double").alias("y")) for k, (dx, dy) in enumerate(((0, 0), (1, 0), (1, 1), (0, 1)))])
+    return cells.select(F.concat_ws("/", "x", "y").alias("shape"), F.lit(0).alias("ring"), F.explode(corners).alias("c")).select("shape", "ring", "c.seq", "c.x", "c.y")
+
+
+def _tile_cells(spark, d):
+    return view(spark, d, "fx_archive").where("zoom_level = 6").select(F.col("tile_column").alias("x"), F.col("tile_row").alias("y"))
+
+
+@query(
+    "U07_united_tiles",
+    f"""WITH {_CELLS}, {_BORDER}, p AS (SELECT (SELECT count(*) FROM c a JOIN c b ON b.y = a.y AND b.x = a.x + 1) + (SELECT count(*) FROM c a JOIN c b ON b.x = a.x AND b.y = a.y + 1) AS pairs, (SELECT count(*) FROM v WHERE n = 4) AS fours)
+SELECT CAST((SELECT count(*) FROM c) AS DOUBLE) AS area, (SELECT count(*) FROM side) AS sides, (SELECT count(*) FROM c) - pairs + fours AS outer_less_holes FROM p""",
+)
+def _(spark, d):
+    """Tiles as rings of their own, united; outer rings less holes is what Euler's formula gives for the tiles."""
+    rings = simplify.united(_squares(_tile_cells(spark, d)))
+    areas = simplify.ring_areas(rings).select(F.sum("area").alias("area"), F.sum(F.signum("area")).cast("long").alias("outer_less_holes"))
+    return areas.crossJoin(rings.agg(F.count(F.lit(1)).alias("sides")))
+
+
+@query("F18_simplified_border", f"WITH {_CELLS}, {_BORDER} SELECT CAST(vx AS DOUBLE) AS x, CAST(vy AS DOUBLE) AS y FROM corner")
+def _(spark, d):
+    """A threshold just above nothing leaves the corners of a border."""
+    return simplify.simplified(simplify.united(_squares(_tile_cells(spark, d))), 1e-9, 1 << 62).select("x", "y")
+
+
+@query("F18_small_shapes", "SELECT CAST(point_id AS VARCHAR) AS shape FROM fx_points WHERE (point_id % 10) / 2.0 * ((point_id % 7) / 2.0) >= 2.25")
+def _(spark, d):
+    width, height = F.col("point_id") % 10 / 2.0, F.col("point_id") % 7 / 2.0
+    corners = F.array(*[F.struct(F.lit(k).alias("seq"), (F.col("lon") + width * dx).alias("x"), (F.col("lat") + height * dy).alias("y")) for k, (dx, dy) in enumerate(((0, 0), (1, 0), (1, 1), (0, 1)))])
+    boxes = view(spark, d, "fx_points").select(F.col("point_id").cast("string").alias("shape"), F.lit(0).alias("ring"), F.explode(corners).alias("c"))
+    return simplify.without_small(boxes.select("shape", "ring", "c.seq", "c.x", "c.y"), 1.5 - 1e-9).select("shape").distinct()
+
+
+@query(
+    "S31_projected_shape",
+    f"""WITH c AS (SELECT DISTINCT CAST(floor(lon) AS BIGINT) AS x, CAST(floor(lat) AS BIGINT) AS y FROM fx_points), {_BORDER}
+SELECT round(6378137.0 * radians(vx), 3) AS easting, round(6378137.0 * ln(tan(pi() / 4 + radians(vy) / 2)), 3) AS northing FROM corner""",
+)
+def _(spark, d):
+    """Degree squares that hold points, united, projected and simplified by 20 m squared."""
+    cells = view(spark, d, "fx_points").select(F.floor("lon").alias("x"), F.floor("lat").alias("y")).distinct()
+    easting, northing = G.to_mercator(F.col("x"), F.col("y"))
+    shape = simplify.united(_squares(cells)).select("shape", "ring", "seq", easting.alias("x"), northing.alias("y"))
+    return simplify.simplified(shape, 400.0, 1 << 62).select(F.round("x", 3).alias("easting"), F.round("y", 3).alias("northing"))
