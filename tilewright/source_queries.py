@@ -12,7 +12,7 @@ from .functions import elevation as E
 from .functions import sql as SQL
 from .functions import text as X
 from .functions import tiles as G
-from .operators import archive, catalog, geometry, masks, options, raster, sampling, tiling
+from .operators import archive, blocks, catalog, geometry, masks, options, raster, sampling, tiling
 from .plans import steps
 from .queries import _EVENT, _KINDED, _builds, _c, _events, query
 from .session import load, scratch
@@ -235,7 +235,7 @@ def _grid_pixels(spark) -> DataFrame:
 @query("T07_raster_sample", _bilinear("fx_points", "point_id", "(lon + 180.0) / 5.0 - 0.5", "(85.0 - lat) / 5.0 - 0.5", _GRID))
 def _(spark, d):
     points = view(spark, d, "fx_points").select("point_id", F.col("lon").alias("easting"), F.col("lat").alias("northing"))
-    return sampling.sample_raster(points, _grid_pixels(spark), _LEVEL, ["point_id"]).withColumn("elev", F.round("elev", 5))
+    return blocks.sample_raster(points, blocks.from_pixels(_grid_pixels(spark), 16), 16, _LEVEL, ["point_id"]).withColumn("elev", F.round("elev", 5))
 
 
 _CENTRES = """(SELECT zoom_level, tile_column, tile_row, px0 AS px_, py0 AS py_, (tile_column * 4 + px0 + 0.5) / (power(2, zoom_level) * 4) * 360.0 - 180.0 AS lon, degrees(atan(sinh(pi() * (1.0 - 2.0 * (tile_row * 4 + py0 + 0.5) / (power(2, zoom_level) * 4))))) AS lat
@@ -244,10 +244,11 @@ FROM (SELECT * FROM fx_archive WHERE zoom_level = 3), range(4) a(px0), range(4)
 
 @query("T14_warp", "SELECT zoom_level, tile_column, tile_row, px_ AS px, py_ AS py, elev FROM (" + _bilinear(_CENTRES, "zoom_level, tile_column, tile_row, px_, py_", "(lon + 180.0) / 5.0 - 0.5", "(85.0 - lat) / 5.0 - 0.5", _GRID) + ")")
 def _(spark, d):
-    def sample(points: DataFrame, by: list[str]) -> DataFrame:
-        return sampling.sample_raster(points.withColumns({"easting": F.col("lon"), "northing": F.col("lat")}), _grid_pixels(spark), _LEVEL, by)
-
-    return sampling.warp(view(spark, d, "fx_archive").where("zoom_level = 3"), 4, sample).withColumn("elev", F.round("elev", 5))
+    tiles, size = view(spark, d, "fx_archive").where("zoom_level = 3"), 4
+    made = blocks.warp(tiles, size, blocks.from_pixels(_grid_pixels(spark), 16), 16, (72, 34), blocks.affine(_LEVEL))
+    found = blocks.tile_pixels(made, size).withColumn("elev", F.round("elev", 5))
+    many = F.explode(F.sequence(F.lit(0), F.lit(size - 1)))
+    return made.select(*ADDRESS, many.alias("px")).select("*", many.alias("py")).join(found, [*ADDRESS, "px", "py"], "left")
 
 
 @query("G20_pixel_round_trip", "SELECT point_id, (lon + 180.0) / 5.0 - 0.5 AS px, (85.0 - lat) / 5.0 - 0.5 AS py, round(lon, 6) AS easting, round(lat, 6) AS northing FROM fx_points")
@@ -280,12 +281,11 @@ _TILE_VALUE = "CASE WHEN gx >= 0 AND gy >= 0 AND gx < 128 AND gy < 128 AND (gx /
 SELECT point_id, CASE WHEN has THEN round((v00 * (1 - fx) + coalesce(v10, v00) * fx) * (1 - fy) + (coalesce(v01, v00) * (1 - fx) + coalesce(v11, v10, v00) * fx) * fy, 5) END AS elev FROM n""",
 )
 def _(spark, d):
-    """Across tile seams; the tiles' size is learned from the tiles."""
+    """Across tile seams, from tiles as blocks with the edges of those around them."""
     grid = spark.range(128).select(F.col("id").alias("wx"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(127).cast("long"))).alias("wy"))
-    tile = lambda c: F.floor(F.col(c) / 16).cast("long")
-    pixels = grid.select(F.lit(3).alias("zoom_level"), tile("wx").alias("tile_column"), tile("wy").alias("tile_row"), (F.col("wx") % 16).alias("gx"), (F.col("wy") % 16).alias("gy"), ((F.col("wx") * 7 + F.col("wy") * 13) % 300).alias("elev"))
-    pixels = pixels.where("(tile_column + tile_row) % 5 <> 0")
-    return sampling.sample_archive(view(spark, d, "fx_points"), pixels, 3, ["point_id"]).withColumn("elev", F.round("elev", 5))
+    pixels = grid.select(F.col("wx").alias("gx"), F.col("wy").alias("gy"), ((F.col("wx") * 7 + F.col("wy") * 13) % 300).alias("elev"))
+    tiles = blocks.from_pixels(pixels.where("(gx div 16 + gy div 16) % 5 <> 0"), 16).withColumnsRenamed({"bx": "tile_column", "by": "tile_row"})
+    return blocks.sample_tiles(view(spark, d, "fx_points"), tiles, 3, 16, ["point_id"]).withColumn("elev", F.round("elev", 5))
 
 
 @query("T09_clamped_zoom", "SELECT cast(greatest(least(20, max(zoom_level)), min(zoom_level)) AS int) AS zoom FROM fx_archive")
