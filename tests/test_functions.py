@@ -88,6 +88,23 @@ def test_metadata(spark):
         ("0:00:54 INF - FINISHED!", "run_end", None, None),
         ("    cpus: 0.7 gc:  0%", "log", None, None),
         ("", "log", None, None),
+        (None, "log", None, None),
+        ("0:00:02 INF [a] -  x: [ 300% ] y z: [ 5 / 6 12% ] w: [ 90% ]", "progress", "a", 12),
+        ("0:00:02 INF [a] -  x: [ 1234% ]", "progress", "a", 100),
+        ("0:00:02 INF [a] -  x: [ 999% ]", "log", "a", None),
+        ("0:00:53 INF [archive] -  features: [  22M 100% 3.7M/s ] 1.7G  tiles: [  21k 3.6k/s ] 296M", "progress", "archive", 100),
+        ("0:00:02 INF [a] -   read     1x(19% 0.2s)", "log", "a", None),
+        ("0:00:02 INF [a-b] -Starting...", "phase_start", "a-b", None),
+        ("0:00:02 INF [a]- Starting...", "log", None, None),
+        ("0:00:02 INF [] - Starting...", "log", None, None),
+        ("0:00:02 inf [a] - Starting...", "log", None, None),
+        ("0:0:02 INF [a] - Starting...", "log", None, None),
+        ("0:00:02\tINF - Starting...", "log", None, None),
+        ("0:00:02 INF - Finished in 5s", "phase_end", "", None),
+        ("0:00:02 INF [a] - Finished z300 in 5s", "phase_end", "a", None),
+        ("0:00:02 INF [a] - Finished  in 5s", "log", "a", None),
+        ("0:00:02 INF [a] - Finished in", "log", "a", None),
+        ("0:00:02 INF [a] - 12: [ 5% ]", "log", "a", None),
     ],
 )
 def test_log_lines(spark, line, event, stage, percent):

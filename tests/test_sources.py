@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tilewright.sources import grids, mbtiles, vectors
-from tilewright.streaming import logs
+from tilewright.streaming import logs, tail
 
 
 @pytest.fixture(scope="module", autouse=True)
@@ -108,16 +108,54 @@ def test_double_value():
     assert vectors._value(b"\x19" + struct.pack("<d", 0.5)) == "0.5"
 
 
-def test_log_stream(spark, tmp_path):
-    lines = ["0:00:01 INF [a] - Starting...", "0:00:02 INF [a] -  read: [ 1 50% 3/s ]", "0:00:02 INF [a] -  read: [ 1 50% 3/s ]", "0:00:09 INF [a] - Finished in 8s cpu:3s", "noise"]
+def follow(spark, tmp_path, make, name):
+    """All rows written so far by a query over the growing logs, after it took what is new."""
+    tail.register(spark)
+    made = make(logs.parsed(spark.readStream.format("log_tail").load(str(tmp_path / "in")), "line"))
+    made.writeStream.format("parquet").option("path", str(tmp_path / name)).option("checkpointLocation", str(tmp_path / f"{name}-state")).trigger(availableNow=True).start().awaitTermination(120)
+    return sorted((tuple(r)[0].rpartition("/")[2], *tuple(r)[1:]) for r in spark.read.schema(made.schema).parquet(str(tmp_path / name)).collect())
+
+
+def test_growing_logs(spark, tmp_path):
+    """Lines are taken once, when they are whole; a query that is started again goes on, with what it held."""
     (tmp_path / "in").mkdir()
-    (tmp_path / "in" / "1.log").write_text("\n".join(lines))
-    events = logs.parsed(logs.read_log_stream(spark, str(tmp_path / "in")))
-    for name, df, mode in (("changes", logs.percent_changes(events), "append"), ("durations", logs.stage_durations(events), "update")):
-        query = df.writeStream.format("memory").queryName(name).outputMode(mode).option("checkpointLocation", str(tmp_path / name)).trigger(availableNow=True).start()
-        query.awaitTermination(120)
-    assert spark.table("changes").collect() == [("a", 50)]
-    assert [tuple(r) for r in spark.table("durations").collect()] == [("a", 8, 1)]
+    one, two = tmp_path / "in" / "1.log", tmp_path / "in" / "2.log"
+    first = ["0:00:01 INF [a] - Starting...", "0:00:02 INF [a] -  read: [ 1 50% 3/s ]", "0:00:02 INF [a] -  read: [ 1 50% 3/s ]", "0:00:09 INF [a] - Finished in 8s cpu:3s", "noise"]
+    one.write_text("\n".join(first) + "\n0:00:10 INF [b] - Fini")
+    two.write_text("0:00:03 INF [a] -  read: [ 1 7% ]\r\n0:00:54 INF - FINISHED!\n")
+    lines = lambda: follow(spark, tmp_path, lambda e: e.select("path", "offset", "line"), "lines")
+    at = [sum(len(x) + 1 for x in first[:i]) for i in range(6)]
+    assert lines() == [("1.log", at[i], x) for i, x in enumerate(first)] + [("2.log", 0, "0:00:03 INF [a] -  read: [ 1 7% ]"), ("2.log", 35, "0:00:54 INF - FINISHED!")]
+    ends = lambda: [r[::2] for r in follow(spark, tmp_path, logs.run_durations, "ends")]
+    changes = lambda: [(r[0], r[1], r[3]) for r in follow(spark, tmp_path, logs.percent_changes, "changes")]
+    assert ends() == [("2.log", None)] and sorted(changes()) == [("1.log", "a", 50), ("2.log", "a", 7)]
+    with one.open("a") as out:
+        out.write("shed in 3m10s cpu:1s\n0:00:11 INF [a] - read: [ 50% ]\n0:00:12 INF [a] - read: [ 51% ]\n0:00:13 INF [a] - read: [ 50% ]\n0:00:54 INF - FINISHED!\n0:00:55 INF - FINISHED!\n")
+    # One duration a run, of the last stage that ended, whatever the stage; the second end has none.
+    assert ends() == [("1.log", "3m10s"), ("1.log", None), ("2.log", None)]
+    assert sorted(c[2] for c in changes() if c[0] == "1.log") == [50, 50, 51]
+    assert len(lines()) == 13 and lines() == lines()
+
+
+def test_ranges_of_a_log_meet_at_lines(tmp_path, monkeypatch):
+    monkeypatch.setattr(tail, "_PART", 7)
+    monkeypatch.setattr(tail, "_LOOK", 3)
+    text = "a\n\nbb\n" + "x" * 30 + "\n" + "".join(f"line {i}\n" for i in range(20)) + "rest"
+    (tmp_path / "a.log").write_text(text)
+    reader = tail._Tail([str(tmp_path)])
+    end = reader.latestOffset()
+    got = [row for part in reader.partitions(reader.initialOffset(), end) for row in reader.read(part)]
+    assert [r[2] for r in got] == text.split("\n")[:-1]
+    assert all(text[at:].startswith(line + "\n") for _, at, line in got)
+    assert reader.partitions(end, end) == []
+
+
+def test_held_durations(spark, monkeypatch):
+    monkeypatch.setattr(logs, "_RUN", 3)
+    kinds = ["run_end", "phase_end", "log", "zoom_end", "progress", "log", "log", "log", "run_end", "run_end", "phase_end", "phase_end", "run_end", "log", "phase_end"]
+    rows = [(i, k, f"{i}s" if k in ("phase_end", "zoom_end") else None) for i, k in enumerate(kinds)]
+    got = logs.held_durations(spark.createDataFrame(rows, "line_no long, event string, took string")).collect()
+    assert {r.line_no: r.took for r in got} == {0: None, 8: "1s", 9: None, 12: "11s"}
 
 
 def test_event_windows(spark, data):

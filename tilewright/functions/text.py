@@ -15,10 +15,6 @@ KINDS = ("routes", "terrain", "hillshade", "contours")
 EXTENSIONS = "mbtiles|vtiles"
 ANSI = r"\x1B\[[0-9;]*[A-Za-z]"
 
-# Shapes of an engine's log lines.
-LOG_PREFIX = r"^([0-9]+:[0-9]{2}:[0-9]{2})\s+([A-Z]+)\s+(?:\[([^\]]+)\]\s+)?-\s?(.*)$"
-LOG_COUNTER = r"([A-Za-z][A-Za-z_ ]*):\s*\[([^\]]*)\]"
-LOG_FINISHED = r"^Finished (?:z([0-9]+) )?in (\S+)"
 #: Hues that a layer's name suggests; the last that fits wins.
 LAYER_HUES = (
     ("water|ocean|lake|sea|river", "blue"),
@@ -94,35 +90,96 @@ def seconds_of(text: Column) -> Column:
     return F.when(text.rlike("^(?:[0-9]+h)?(?:[0-9]+m)?(?:[0-9]+s)?$") & (text != ""), part("h") * 3600 + part("m") * 60 + part("s"))
 
 
+def _let(value: Column, use) -> Column:
+    """``use`` of a value that is computed once, however often it is named."""
+    return F.transform(F.array(value), use)[0]
+
+
+def _stripped(text: Column) -> Column:
+    return F.regexp_replace(text, r"^\s+|\s+$", "")
+
+
+def _log_head(plain: Column) -> Column:
+    """Struct (time, stage, message) of ``<clock> <LEVEL> [stage] - message``, the stage optional; nulls for other lines."""
+
+    def read(words: Column) -> Column:
+        rest = F.get(words, F.lit(2))
+        close = F.locate("]", rest)
+        staged = rest.startswith("[") & (close > 2)
+        # After a stage there is white space, then the dash.
+        after = F.when(staged, F.substring(rest, close + 1, F.length(rest))).otherwise(rest)
+        dashed = F.when(staged, F.regexp_replace(after, r"^\s+", "")).otherwise(after)
+        fits = words[0].rlike("^[0-9]+(:[0-9][0-9]){2}$") & F.get(words, F.lit(1)).rlike("^[A-Z]+$") & dashed.startswith("-") & (~staged | (F.length(dashed) < F.length(after)))
+        return F.when(
+            fits,
+            F.struct(words[0].alias("time"), F.when(staged, F.substring(rest, F.lit(2), close - 2)).alias("stage"), _stripped(F.substring(dashed, F.lit(2), F.length(dashed))).alias("message")),
+        )
+
+    return _let(F.split(plain, r"\s+", 3), read)
+
+
+def _finished(message: Column) -> Column:
+    """Struct (zoom, took) of ``Finished in 5s ...`` and ``Finished z3 in 5s ...``; a zoom over 255 is none."""
+
+    def read(words: Column) -> Column:
+        own = F.get(words, F.lit(1))
+        zoom = F.when(own.rlike("^z[0-9]+$"), F.substring(own, F.lit(2), F.length(own)))
+        took = F.when(own == "in", F.get(words, F.lit(2))).when(zoom.isNotNull() & (F.get(words, F.lit(2)) == "in"), F.get(words, F.lit(3)))
+        return F.struct(F.when(zoom.try_cast("int") <= 255, zoom).alias("zoom"), F.nullif(F.split(took, r"\s")[0], F.lit("")).alias("took"))
+
+    return F.when(message.startswith("Finished "), _let(F.split(message, " "), read))
+
+
+def _counter(message: Column) -> Column:
+    """Struct (label, percent) of the first ``label: [ ... 12% ... ]`` whose percentage is a number up to 255; above 100 is 100."""
+
+    def read(piece: Column) -> Column:
+        parts = F.split(piece, r":\s*\[", 2)
+        label = F.regexp_extract(parts[0], "[A-Za-z][A-Za-z_ ]*$", 0)
+        shares = F.split(F.get(parts, F.lit(1)), "%")
+        numbers = F.transform(F.slice(shares, 1, F.size(shares) - 1), lambda s: F.regexp_extract(s, "[0-9]{1,3}$", 0).try_cast("int"))
+        return F.struct(F.nullif(F.trim(label), F.lit("")).alias("label"), F.get(F.filter(numbers, lambda n: n.isNotNull()), F.lit(0)).alias("percent"))
+
+    closed = F.split(message, "]")
+    pieces = F.filter(F.slice(closed, 1, F.size(closed) - 1), lambda p: p.contains("[") & p.contains("%"))
+    found = F.get(F.filter(F.transform(pieces, read), lambda c: c["label"].isNotNull() & (c["percent"] <= 255)), F.lit(0))
+    return F.when(message.contains("%"), found)
+
+
 def log_event(line: Column) -> Column:
     """Struct (event, elapsed, stage, label, percent, took, seconds) of an engine's log line.
 
     A whole message ``FINISHED!`` ends the run, ``Finished in`` a phase and ``Finished z.. in`` a zoom; a stage
     starts with the whole message ``Starting...``; progress is the first bracketed counter with a percentage, and
-    needs a stage too. Lines without the engine's prefix and all other messages are events of kind log.
+    needs a stage too. Lines without the engine's head and all other messages are events of kind log.
     """
-    plain = F.regexp_replace(strip_ansi(line), r"\s+$", "")
-    prefixed = plain.rlike(LOG_PREFIX)
-    part = lambda i: F.regexp_extract(plain, LOG_PREFIX, i)
-    text, stage = F.trim(part(4)), F.when(prefixed, F.nullif(part(3), F.lit("")))
-    counters = F.filter(F.regexp_extract_all(text, F.lit(LOG_COUNTER), F.lit(0)), lambda c: F.regexp_extract(c, LOG_COUNTER, 2).rlike("[0-9]%"))
-    counter = F.get(counters, F.lit(0))
-    took, zoom = F.nullif(F.regexp_extract(text, LOG_FINISHED, 2), F.lit("")), F.nullif(F.regexp_extract(text, LOG_FINISHED, 1), F.lit(""))
-    event = (
-        F.when(~prefixed, "log").when(text == "FINISHED!", "run_end").when(took.isNotNull(), F.when(zoom.isNotNull(), "zoom_end").otherwise("phase_end"))
-        .when(stage.isNotNull() & (text == "Starting..."), "phase_start").when(stage.isNotNull() & counter.isNotNull(), "progress").otherwise("log")
-    )
-    ended = event.isin("phase_end", "zoom_end")
-    percent = F.regexp_extract(F.regexp_extract(counter, LOG_COUNTER, 2), "([0-9]{1,3})%", 1).try_cast("int")
-    return F.struct(
-        event.alias("event"),
-        F.when(prefixed, part(1)).alias("elapsed"),
-        F.when(ended, F.coalesce(stage, F.lit(""))).otherwise(stage).alias("stage"),
-        F.when(event == "progress", F.trim(F.regexp_extract(counter, LOG_COUNTER, 1))).when(event == "zoom_end", F.concat(F.lit("z"), zoom)).alias("label"),
-        F.when(event == "progress", F.least(percent, F.lit(100))).alias("percent"),
-        F.when(ended, took).alias("took"),
-        F.when(ended, seconds_of(took)).alias("seconds"),
-    )
+
+    def told(e: Column) -> Column:
+        head, done, count = e["head"], e["done"], e["count"]
+        event = (
+            F.when(head.isNull(), "log").when(head["message"] == "FINISHED!", "run_end")
+            .when(done["took"].isNotNull(), F.when(done["zoom"].isNotNull(), "zoom_end").otherwise("phase_end"))
+            .when(head["stage"].isNotNull() & (head["message"] == "Starting..."), "phase_start")
+            .when(head["stage"].isNotNull() & count.isNotNull(), "progress").otherwise("log")
+        )
+        return F.struct(event.alias("event"), head.alias("head"), done.alias("done"), count.alias("count"))
+
+    def named(e: Column) -> Column:
+        ended, progress = e["event"].isin("phase_end", "zoom_end"), e["event"] == "progress"
+        took = F.when(ended, e["done"]["took"])
+        return F.struct(
+            e["event"].alias("event"),
+            e["head"]["time"].alias("elapsed"),
+            F.when(ended, F.coalesce(e["head"]["stage"], F.lit(""))).otherwise(e["head"]["stage"]).alias("stage"),
+            F.when(progress, e["count"]["label"]).when(e["event"] == "zoom_end", F.concat(F.lit("z"), e["done"]["zoom"])).alias("label"),
+            F.when(progress, F.least(e["count"]["percent"], F.lit(100))).alias("percent"),
+            took.alias("took"),
+            seconds_of(took).alias("seconds"),
+        )
+
+    head = _log_head(F.regexp_replace(strip_ansi(line), r"\s+$", ""))
+    parts = _let(head, lambda h: F.struct(h.alias("head"), _finished(h["message"]).alias("done"), F.when(h["stage"].isNotNull(), _counter(h["message"])).alias("count")))
+    return _let(_let(parts, told), named)
 
 
 def banner_phase(line: Column) -> Column:

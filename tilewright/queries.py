@@ -13,6 +13,7 @@ from .functions import tiles as G
 from .operators import archive, catalog, geometry, masks, options, profile, raster
 from .plans import steps
 from .session import load
+from .streaming import logs
 from .views import checked, view
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -654,14 +655,16 @@ def _(spark, d):
 
 _EVENT = r"""SELECT line_no, event, elapsed, CASE WHEN event IN ('phase_end', 'zoom_end') THEN coalesce(stage, '') ELSE stage END AS stage,
   CASE event WHEN 'progress' THEN trim(regexp_extract(counter, '([A-Za-z][A-Za-z_ ]*):', 1)) WHEN 'zoom_end' THEN concat('z', zoom) END AS label,
-  CASE event WHEN 'progress' THEN least(cast(regexp_extract(counter, '\[[^\]%]*?([0-9]{1,3})%', 1) AS int), 100) END AS percent, CASE WHEN event IN ('phase_end', 'zoom_end') THEN took END AS took,
+  CASE event WHEN 'progress' THEN least(cast(regexp_extract(counter, '([0-9]{1,3})%', 1) AS int), 100) END AS percent, CASE WHEN event IN ('phase_end', 'zoom_end') THEN took END AS took,
   CASE WHEN event IN ('phase_end', 'zoom_end') THEN coalesce(try_cast(regexp_extract(took, '([0-9]+)h', 1) AS int), 0) * 3600 + coalesce(try_cast(regexp_extract(took, '([0-9]+)m', 1) AS int), 0) * 60 + coalesce(try_cast(regexp_extract(took, '([0-9]+)s', 1) AS int), 0) END AS seconds, line
 FROM (SELECT *, CASE WHEN elapsed IS NULL THEN 'log' WHEN c = 'FINISHED!' THEN 'run_end' WHEN took IS NOT NULL AND zoom IS NOT NULL THEN 'zoom_end' WHEN took IS NOT NULL THEN 'phase_end'
     WHEN stage IS NOT NULL AND c = 'Starting...' THEN 'phase_start' WHEN stage IS NOT NULL AND counter IS NOT NULL THEN 'progress' ELSE 'log' END AS event
-  FROM (SELECT *, nullif(regexp_extract(c, '^Finished (?:z([0-9]+) )?in (\S+)', 1), '') AS zoom, nullif(regexp_extract(c, '^Finished (?:z([0-9]+) )?in (\S+)', 2), '') AS took, nullif(regexp_extract(c, '[A-Za-z][A-Za-z_ ]*:\s*\[[^\]]*[0-9]%[^\]]*\]'), '') AS counter
+  FROM (SELECT * EXCLUDE (zoom), CASE WHEN cast(zoom AS int) <= 255 THEN zoom END AS zoom,
+      list_filter(regexp_extract_all(c, '[A-Za-z][A-Za-z_ ]*:\s*\[[^\]]*\]'), lambda x: coalesce(try_cast(regexp_extract(x, '([0-9]{1,3})%', 1) AS int), 999) <= 255)[1] AS counter
+    FROM (SELECT *, nullif(regexp_extract(c, '^Finished (?:z([0-9]+) )?in (\S+)', 1), '') AS zoom, nullif(regexp_extract(c, '^Finished (?:z([0-9]+) )?in (\S+)', 2), '') AS took
     FROM (SELECT line_no, line, nullif(regexp_extract(t, '^([0-9]+:[0-9]{2}:[0-9]{2})\s+[A-Z]+\s+(\[[^\]]+\]\s+)?-', 1), '') AS elapsed, nullif(regexp_extract(t, '^[0-9]+:[0-9]{2}:[0-9]{2}\s+[A-Z]+\s+\[([^\]]+)\]', 1), '') AS stage,
         trim(regexp_extract(t, '^[0-9]+:[0-9]{2}:[0-9]{2}\s+[A-Z]+\s+(?:\[[^\]]+\]\s+)?-\s?(.*)$', 1)) AS c
-      FROM (SELECT *, regexp_replace(regexp_replace(line, concat(chr(27), '\[[0-9;]*[a-zA-Z]'), '', 'g'), '\s+$', '') AS t FROM fx_log))))"""
+      FROM (SELECT *, regexp_replace(regexp_replace(line, concat(chr(27), '\[[0-9;]*[a-zA-Z]'), '', 'g'), '\s+$', '') AS t FROM fx_log)))))"""
 
 
 def _events(spark, d):
@@ -680,11 +683,11 @@ def _(spark, d):
 
 @query(
     "W04_last_elapsed",
-    f"""WITH e AS ({_EVENT}) SELECT line_no, stage, last_value(CASE WHEN event = 'phase_end' THEN elapsed END IGNORE NULLS) OVER (PARTITION BY stage ORDER BY line_no ROWS UNBOUNDED PRECEDING) AS last_elapsed FROM e WHERE stage IS NOT NULL""",
+    f"""WITH e AS ({_EVENT}) SELECT line_no, took FROM (SELECT line_no, event, nullif(last_value(CASE event WHEN 'phase_end' THEN took WHEN 'run_end' THEN '' END IGNORE NULLS) OVER (ORDER BY line_no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), '') AS took FROM e) WHERE event = 'run_end'""",
 )
 def _(spark, d):
-    held = F.last(F.when(F.col("event") == "phase_end", F.col("elapsed")), ignorenulls=True).over(Window.partitionBy("stage").orderBy("line_no").rowsBetween(Window.unboundedPreceding, 0))
-    return _events(spark, d).where("stage IS NOT NULL").select("line_no", "stage", held.alias("last_elapsed"))
+    """One duration is held for the run, whatever the stage; the end of the run gives it out."""
+    return logs.held_durations(_events(spark, d)).select("line_no", "took")
 
 
 @query(
@@ -748,6 +751,13 @@ def _(spark, d):
     return catalog.newest_per_name(m, 2).select("name", F.col("date").cast("string").alias("date"), F.col("place").cast("long").alias("place"))
 
 
-@query("P01_plan_closure", "SELECT * FROM (VALUES ('basemap', 'download'), ('routes', 'download'), ('terrain', 'elevation'), ('hillshade', 'elevation'), ('valhalla_tiles', 'download'), ('valhalla_tiles', 'elevation'), ('valhalla_package', 'valhalla_tiles'), ('valhalla_package', 'download'), ('valhalla_package', 'elevation')) t(step, needs)")
+_NEEDS = "n AS (SELECT p_partkey AS step, CASE WHEN p_partkey < 7 THEN p_partkey % 6 + 1 ELSE p_partkey // 7 END AS needs FROM part UNION ALL SELECT p_partkey, p_size FROM part WHERE p_size < p_partkey AND p_partkey > 60)"
+
+
+@query("P01_plan_closure", f"WITH RECURSIVE {_NEEDS}, c AS (SELECT step, needs FROM n UNION SELECT c.step, n.needs FROM c JOIN n ON c.needs = n.step) SELECT step, needs FROM c WHERE step <> needs")
 def _(spark, d):
-    return steps.closure(spark)
+    """Steps that need others, some of them in a circle."""
+    p = load(spark, d, "part")
+    first = p.select(F.col("p_partkey").alias("step"), F.when(F.col("p_partkey") < 7, F.col("p_partkey") % 6 + 1).otherwise(F.floor(F.col("p_partkey") / 7)).cast("long").alias("needs"))
+    second = p.where("p_size < p_partkey AND p_partkey > 60").select(F.col("p_partkey").alias("step"), F.col("p_size").cast("long").alias("needs"))
+    return steps.closure(spark, first.union(second))
\ No newline at end of file

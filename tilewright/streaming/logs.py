@@ -1,18 +1,17 @@
 """Build logs and events as streams.
 
-The same expressions parse a log in batch and as a stream; state is needed only to remember a
-stage's last duration and to report changed percentages once.
+The same expressions parse a log in batch and as a stream; state is needed only to hold a run's last
+duration until the run ends, and to report a percentage when it changes.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from typing import Any
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 from ..functions.text import log_event
 
@@ -31,30 +30,110 @@ def parsed(lines: DataFrame, column: str = "value") -> DataFrame:
     return lines.select("*", log_event(F.col(column)).alias("_e")).select("*", "_e.*").drop("_e")
 
 
-def percent_changes(events: DataFrame) -> DataFrame:
-    """Each stage's percentages once: progress is throttled to what has not been reported yet."""
-    return events.where("event = 'progress'").select("stage", "percent").dropDuplicates(["stage", "percent"])
-
-
 def tail(lines: DataFrame, order: str = "line_no", keep: int = 400, show: int = 25) -> DataFrame:
     """The last ``show`` of the last ``keep`` lines, in order."""
     return lines.orderBy(F.desc(order)).limit(min(keep, show)).orderBy(order)
 
 
-def stage_durations(events: DataFrame) -> DataFrame:
-    """Stateful: (stage, seconds, ends), the last duration each stage reported and how many, updated as batches come."""
+#: Lines that are looked at together for what is held before each.
+_RUN = 10_000
+
+
+def held_durations(events: DataFrame, order: str = "line_no") -> DataFrame:
+    """``(order, took)`` of each end of a run: the duration that the last end of a phase since the end before gave, else null.
+
+    Found in blocks of lines, and over the blocks by the last of each, so no task sorts the whole log.
+    """
+    mark = F.when(F.col("event").isin("phase_end", "run_end"), F.struct("event", "took"))
+    rows = events.select(order, "event", "took", mark.alias("mark"), F.floor(F.col(order) / _RUN).alias("block"))
+    lasts = rows.groupBy("block").agg(F.max_by("mark", F.when(F.col("mark").isNotNull(), F.col(order))).alias("last"))
+    before = Window.orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    blocks = lasts.select("block", F.last("last", ignorenulls=True).over(before).alias("first"))
+    inside = Window.partitionBy("block").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    held = rows.join(blocks, "block").withColumn("held", F.coalesce(F.last("mark", ignorenulls=True).over(inside), F.col("first")))
+    return held.where("event = 'run_end'").select(order, F.when(F.col("held.event") == "phase_end", F.col("held.took")).alias("took"))
+
+
+class _HeldDuration(StatefulProcessor):
+    """The duration of a run's last ended phase, until the run ends or nothing has come for a while."""
+
+    def __init__(self, order: str, idle_ms: int):
+        self.order, self.idle_ms = order, idle_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.held = handle.getValueState("held", "took string")
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        lines = pd.concat(rows).sort_values(self.order, kind="stable")
+        held = self.held.get()[0] if self.held.exists() else None
+        ends = []
+        for at, event, took in zip(lines[self.order], lines["event"], lines["took"]):
+            if event == "phase_end":
+                held = took
+            else:
+                ends.append((key[0], at, held))
+                held = None
+        for timer in list(self.handle.listTimers()):
+            self.handle.deleteTimer(timer)
+        if held is None:
+            self.held.clear()
+        else:
+            self.held.update((held,))
+            self.handle.registerTimer(timerValues.getCurrentProcessingTimeInMs() + self.idle_ms)
+        yield pd.DataFrame(ends, columns=["run", self.order, "took"]).astype({self.order: "int64"})
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        self.held.clear()
+        yield pd.DataFrame({"run": [], self.order: pd.array([], "int64"), "took": []})
+
+    def close(self) -> None:
+        pass
+
+
+class _Changes(StatefulProcessor):
+    """The last percentage of a stage; a row for each that differs from the one before."""
+
+    def __init__(self, order: str):
+        self.order = order
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.last = handle.getValueState("last", "percent int")
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        lines = pd.concat(rows).sort_values(self.order, kind="stable")
+        before = lines["percent"].shift(1).astype("float")
+        if self.last.exists():
+            before.iloc[0] = self.last.get()[0]
+        changed = lines[before.isna() | (before != lines["percent"])]
+        self.last.update((int(lines["percent"].iloc[-1]),))
+        yield pd.DataFrame({"run": key[0], "stage": key[1], self.order: changed[self.order].to_numpy(), "percent": changed["percent"].to_numpy()}).astype({self.order: "int64", "percent": "int32"})
+
+    def close(self) -> None:
+        pass
+
+
+def _with_state(spark: SparkSession) -> None:
+    """State of processors is kept in RocksDB; the setting is the session's."""
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+
+
+def run_durations(events: DataFrame, run: str = "path", order: str = "offset", idle_ms: int = 86_400_000) -> DataFrame:
+    """Streaming: ``(run, order, took)`` at each end of a run, with the duration its last ended phase gave.
+
+    One duration is held for a run; it is given out and forgotten at the end, and forgotten after ``idle_ms`` without a
+    line. Lines of a run have to come in order, batch after batch; inside a batch they are sorted by ``order``.
+    """
+    _with_state(events.sparkSession)
+    ended = events.where("event IN ('phase_end', 'run_end')").select(F.col(run).cast("string").alias("run"), F.col(order).cast("long").alias(order), "event", "took")
+    return ended.groupBy("run").transformWithStateInPandas(_HeldDuration(order, idle_ms), f"run string, {order} long, took string", "append", "ProcessingTime")
 
-    def update(key: tuple[Any, ...], frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        seconds, ends = state.get if state.exists else (-1, 0)
-        for f in frames:
-            own = f["seconds"].dropna()
-            if len(own):
-                seconds, ends = int(own.iloc[-1]), ends + len(own)
-        state.update((seconds, ends))
-        yield pd.DataFrame({"stage": [key[0]], "seconds": [seconds], "ends": [ends]})
 
-    ended = events.where("event = 'phase_end' AND stage IS NOT NULL").select("stage", "seconds")
-    return ended.groupBy("stage").applyInPandasWithState(update, "stage string, seconds int, ends int", "seconds int, ends int", "update", GroupStateTimeout.NoTimeout)
+def percent_changes(events: DataFrame, run: str = "path", order: str = "offset") -> DataFrame:
+    """Streaming: ``(run, stage, order, percent)`` of the progress lines whose percentage is not that of the stage's line before."""
+    _with_state(events.sparkSession)
+    own = events.where("event = 'progress'").select(F.col(run).cast("string").alias("run"), "stage", F.col(order).cast("long").alias(order), "percent")
+    return own.groupBy("run", "stage").transformWithStateInPandas(_Changes(order), f"run string, stage string, {order} long, percent int", "append", "None")
 
 
 def windowed_counts(events: DataFrame, width: str = "1 day", late: str = "2 days", slide: str | None = None) -> DataFrame:

@@ -44,11 +44,11 @@ VIEWS = {
   when 0 then concat('0:00:02 INF [stage', cast(user_id % 5 as string), '] -  read: [  22 ', cast(event_id % 101 as string), '%  53/s ]')
   when 1 then concat('0:00:01 INF [stage', cast(user_id % 5 as string), '] - Starting...')
   when 2 then concat('0:00:09 INF [stage', cast(user_id % 5 as string), '] - Finished in ', cast(event_id % 60 as string), 's cpu:3s avg:2.7')
-  when 3 then concat('0:00:50 INF [archive:write] - Finished z', cast(event_id % 15 as string), ' in 1s cpu:20s, now starting z1')
+  when 3 then concat('0:00:50 INF [archive:write] - Finished z', cast(event_id % 300 as string), ' in 1s cpu:20s, now starting z1')
   when 4 then '0:00:54 INF - FINISHED!'
   when 5 then '0:00:54 INF - FINISHED! at last'
   when 6 then concat('0:00:01 INF [stage', cast(user_id % 5 as string), '] - Starting... soon')
-  when 7 then concat('0:00:07 DEB  [stage', cast(user_id % 5 as string), '] - tiles: [ 21k 3.6k/s ] write x: [ ', cast(event_id % 150 as string), '% 3/s ]   ')
+  when 7 then concat('0:00:07 DEB  [stage', cast(user_id % 5 as string), '] - tiles: [ 21k 3.6k/s ] write x: [ ', cast(event_id % 400 as string), '% 3/s ] then: [ 7%]   ')
   when 8 then concat('0:00:01 INF [stage', cast(user_id % 5 as string), '] - ', chr(27), '[32mStarting...', chr(27), '[0m')
   when 9 then concat('1:01:03 TRACE [stage', cast(user_id % 5 as string), '] - Finished in ', cast(event_id % 3 as string), 'h1m3s cpu:2m')
   when 10 then '0:00:01 INF - Starting...'
