@@ -116,8 +116,9 @@ def test_errors_are_raised(spark):
         options.chosen_bounds(none, none, none, "box_id").collect()
 
 
-def test_halo():
-    assert tiling.halo(11, 512, 0.0)[0] == 0 and tiling.world_file(0).count("\n") == 5
+def test_halo(spark):
+    one = spark.range(1).select(tiling.halo(F.lit(11), 512, F.lit(0.0))[0], tiling.world_file(F.lit(0))).first()
+    assert one[0] == 0 and [float(v) for v in one[1].split("\n")] == pytest.approx([40075016.685578, 0, 0, -40075016.685578, 0, 0])
 
 
 def test_holes_in_geojson(spark):

@@ -77,9 +77,13 @@ def _(spark, d):
     return tail(view(spark, d, "fx_log")).select("line_no", "line")
 
 
-@query("O12_level_choice", "SELECT coalesce((SELECT level FROM (VALUES (1, 10.0), (2, 20.0), (3, 40.0)) l(level, scale) WHERE scale <= 25 ORDER BY scale DESC LIMIT 1), 0) AS level")
+@query("O12_level_choice", "SELECT coalesce((SELECT level FROM (SELECT DISTINCT priority AS level, 10.0 * power(2, priority) AS scale FROM fx_pixels) WHERE scale <= (SELECT avg(elev) / 10 FROM fx_pixels) ORDER BY scale DESC LIMIT 1), 0) AS level")
 def _(spark, d):
-    return raster.level_choice(spark.createDataFrame([(1, 10.0), (2, 20.0), (3, 40.0)], "level int, scale double"), F.lit(25.0))
+    """Of overviews with the priorities' numbers, the one for a resolution that the elevations say."""
+    pixels = view(spark, d, "fx_pixels")
+    levels = pixels.select(F.col("priority").alias("level"), (10.0 * F.pow(F.lit(2.0), "priority")).alias("scale")).distinct()
+    target = pixels.agg((F.avg("elev") / 10).alias("target"))
+    return raster.level_choice(levels.crossJoin(F.broadcast(target)), F.col("target"))
 
 
 @query("U08_all_areas", "SELECT DISTINCT area FROM (SELECT area FROM fx_files UNION SELECT lower(n_name) FROM nation)")

@@ -104,10 +104,10 @@ def dry_run(bounds: DataFrame, min_zoom: int, max_zoom: int) -> DataFrame:
     return bounds.withColumn("tiles", F.aggregate(F.transform(zooms, at), F.lit(0).cast("long"), lambda a, b: a + b))
 
 
-def halo(max_zoom: int, size: int, blur: float) -> tuple[int, float]:
+def halo(max_zoom: Column, size: int, blur: Column) -> tuple[Column, Column]:
     """(pixels, metres) around a block that a blur of ``blur`` metres reads, and the margin of the sources around all."""
-    metres = G.CIRCUMFERENCE_M / ((1 << max_zoom) * size)
-    pixels = 2 * int(blur / metres) + 4 if blur else 0
+    metres = G.CIRCUMFERENCE_M / (G.pow2(max_zoom) * size)
+    pixels = F.when(blur != 0, 2 * F.floor(blur / metres) + 4).otherwise(0).cast("long")
     return pixels, (pixels + size) * metres
 
 
@@ -126,11 +126,11 @@ def outline(tiles: DataFrame, max_zoom: int) -> DataFrame:
     return cells.select(F.explode(sides).alias("s")).groupBy("s.x1", "s.y1", "s.x2", "s.y2").count().where("count = 1").drop("count")
 
 
-def world_file(max_zoom: int) -> str:
+def world_file(max_zoom: Column) -> Column:
     """The six lines that place a picture of ``2**max_zoom`` pixels a side in web mercator."""
     half = G.CIRCUMFERENCE_M / 2
-    pixel = 2 * half / (1 << max_zoom)
-    return "\n".join(str(v) for v in (pixel, 0, 0, -pixel, -half + pixel / 2, half - pixel / 2))
+    pixel = 2 * half / G.pow2(max_zoom)
+    return F.concat_ws("\n", *[v.cast("string") for v in (pixel, F.lit(0), F.lit(0), -pixel, pixel / 2 - half, half - pixel / 2)])
 
 
 def mask_picture(tiles: DataFrame, max_zoom: int) -> DataFrame:

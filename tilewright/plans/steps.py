@@ -23,10 +23,14 @@ def needs_table(spark: SparkSession) -> DataFrame:
 
 
 def closure(spark: SparkSession, needs: DataFrame | None = None) -> DataFrame:
-    """(step, needs) for everything a step needs, directly or not."""
+    """(step, needs) for everything a step needs, directly or not, at any depth.
+
+    A recursive query that is safe in circles: a way stops where it would come to a step for the second time.
+    """
     needs = needs_table(spark) if needs is None else needs
     return spark.sql(
-        "WITH RECURSIVE c AS (SELECT step, needs, 1 AS hop FROM {n} UNION ALL SELECT c.step, n.needs, hop + 1 FROM c JOIN {n} n ON c.needs = n.step WHERE hop < 10) "
+        "WITH RECURSIVE c MAX RECURSION LEVEL 10000 AS (SELECT step, needs, array(step, needs) AS way FROM {n} WHERE step <> needs "
+        "UNION ALL SELECT c.step, n.needs, array_append(c.way, n.needs) FROM c JOIN {n} n ON c.needs = n.step WHERE NOT array_contains(c.way, n.needs)) "
         "SELECT DISTINCT step, needs FROM c",
         n=needs,
     )

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from .functions import elevation as E
 from .functions import tiles as G
-from .operators import contours, polygons, raster, simplify
+from .operators import contours, cover, polygons, raster, simplify
 from .queries import query
 from .views import view
 
@@ -143,3 +143,39 @@ def _(spark, d):
     easting, northing = G.to_mercator(F.col("x"), F.col("y"))
     shape = simplify.united(_squares(cells)).select("shape", "ring", "seq", easting.alias("x"), northing.alias("y"))
     return simplify.simplified(shape, 400.0, 1 << 62).select(F.round("x", 3).alias("easting"), F.round("y", 3).alias("northing"))
+
+
+# --- inside and boundary cells ---------------------------------------------------
+
+_HOLED = "b AS (SELECT west, south, east, north, west + 0.8 AS hw, south + 0.8 AS hs, east - 0.8 AS he, north - 0.8 AS hn FROM fx_boxes)"
+
+
+def _holed_boxes(spark, d):
+    """Each box as a ring, with one in it that is a hole."""
+    hole = F.explode(F.array(F.lit(0), F.lit(1))).alias("is_hole")
+    grown = F.col("is_hole") * 0.8
+    corners = F.array(*[F.struct(F.lit(k).alias("seq"), x.alias("lon"), y.alias("lat")) for k, (x, y) in enumerate((x, y) for x, y in ((F.col("west") + grown, F.col("south") + grown), (F.col("east") - grown, F.col("south") + grown), (F.col("east") - grown, F.col("north") - grown), (F.col("west") + grown, F.col("north") - grown)))])
+    rows = view(spark, d, "fx_boxes").select("*", hole).select((F.col("box_id") * 2 + F.col("is_hole")).cast("int").alias("ring_id"), "is_hole", F.explode(corners).alias("c"))
+    return rows.select("ring_id", "is_hole", "c.seq", "c.lon", "c.lat")
+
+
+@query(
+    "F06_points_by_cells",
+    f"""WITH {_HOLED} SELECT point_id FROM fx_points WHERE EXISTS (SELECT 1 FROM b WHERE lon > west AND lon < east AND lat > south AND lat < north) AND NOT EXISTS (SELECT 1 FROM b WHERE lon > hw AND lon < he AND lat > hs AND lat < hn)""",
+)
+def _(spark, d):
+    """Points in any box and in no box's hole."""
+    cells = cover.shape_cells(_holed_boxes(spark, d), 9, 8)
+    return cover.points_in_cells(view(spark, d, "fx_points"), cells, 9).select("point_id")
+
+
+@query(
+    "Q06_tiles_by_cells",
+    """WITH t AS (SELECT z AS zoom_level, x, y, x / power(2, z) * 360.0 - 180.0 AS w, (x + 1) / power(2, z) * 360.0 - 180.0 AS e,
+  degrees(atan(sinh(pi() * (1.0 - 2.0 * (y + 1) / power(2, z))))) AS s, degrees(atan(sinh(pi() * (1.0 - 2.0 * y / power(2, z))))) AS n
+  FROM (SELECT cast(z AS int) AS z, x, y FROM range(9) a(z), range(256) b(x), range(256) c(y) WHERE x < power(2, z) AND y < power(2, z)))
+SELECT DISTINCT zoom_level, x AS tile_column, y AS tile_row FROM t, fx_boxes b WHERE t.w <= b.east AND t.e >= b.west AND t.s <= b.north AND t.n >= b.south""",
+)
+def _(spark, d):
+    """Tiles that have a point of any box; below a tile that is inside none is asked."""
+    return cover.shape_tiles(_holed_boxes(spark, d).where("is_hole = 0"), 8)

@@ -5,7 +5,8 @@ from __future__ import annotations
 import os
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession
+import pandas as pd
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .functions import elevation as E
@@ -18,7 +19,7 @@ from .queries import _EVENT, _KINDED, _builds, _c, _events, query
 from .session import load, scratch
 from .sources import catalog as files
 from .sources import grids, mbtiles, rasters, vectors
-from .streaming import logs
+from .streaming import logs, tail
 from .views import view
 
 ADDRESS = archive.ADDRESS
@@ -48,9 +49,17 @@ def _(spark, d):
     return spark.read.format("mbtiles").option("table", "metadata").load(_archive(spark, d))
 
 
-@query("S03_archive_layouts", "SELECT * FROM (VALUES ('classic'), ('compact')) t(layout)")
+@query("S03_archive_layouts", "SELECT layout, count(*) AS tiles, count(DISTINCT CASE WHEN layout = 'compact' THEN cast(tile_column AS varchar) ELSE concat(zoom_level, '/', tile_column, '/', tile_row) END) AS blobs FROM fx_archive, (VALUES ('classic'), ('compact')) t(layout) GROUP BY 1")
 def _(spark, d):
-    return spark.createDataFrame([(mbtiles.layout(_archive(spark, d, kind)),) for kind in ("classic", "compact")], "layout string")
+    """Each layout as it is found in an archive, with what the archive keeps."""
+    out = None
+    for kind in ("classic", "compact"):
+        path = _archive(spark, d, kind)
+        own = _read(spark, path).agg(F.count(F.lit(1)).alias("tiles"), F.count_distinct("tile_data").alias("contents"))
+        found = mbtiles.layout(path)
+        one = own.select(F.lit(found).alias("layout"), "tiles", F.col("contents" if found == "compact" else "tiles").alias("blobs"))
+        out = one if out is None else out.unionByName(one)
+    return out
 
 
 @query("S04_tile_lookup", "SELECT tile_column AS x, 7 - tile_row AS y, concat('t', cast(tile_column AS varchar)) AS content FROM fx_archive WHERE zoom_level = 3 AND tile_column = 5 AND tile_row = 4")
@@ -118,10 +127,11 @@ def _(spark, d):
     return tiling.mask_picture(view(spark, d, "fx_archive"), 5)
 
 
-@query("K08_world_file", "SELECT round(2 * pi() * 6378137.0 / 32, 6) AS pixel, round(-pi() * 6378137.0 + pi() * 6378137.0 / 32, 6) AS west")
+@query("K08_world_file", "SELECT DISTINCT zoom_level, round(2 * pi() * 6378137.0 / power(2, zoom_level), 6) AS pixel, round(pi() * 6378137.0 / power(2, zoom_level) - pi() * 6378137.0, 6) AS west FROM fx_archive")
 def _(spark, d):
-    lines = [float(v) for v in tiling.world_file(5).split("\n")]
-    return spark.createDataFrame([(round(lines[0], 6), round(lines[4], 6))], "pixel double, west double")
+    lines = F.split(tiling.world_file(F.col("zoom_level")), "\n")
+    at = lambda i: F.round(F.get(lines, F.lit(i)).cast("double"), 6)
+    return view(spark, d, "fx_archive").select("zoom_level").distinct().select("zoom_level", at(0).alias("pixel"), at(4).alias("west"))
 
 
 @query("K10_tile_json", "SELECT file_name AS name, concat('http://own/', file_name, '/{z}/{x}/{y}') AS url, 14 AS maxzoom FROM fx_files")
@@ -163,13 +173,13 @@ def _grid_values(width: int, height: int, void: float) -> np.ndarray:
     return np.where((x + y) % 7 == 0, void, (x * 7 + y * 13) % 300)
 
 
-@query("S06_hgt_samples", f"SELECT name, gx, gy, {_GRID} AS elev FROM (VALUES ('N44E006'), ('S01W002')) f(name), range(11) a(gx), range(11) b(gy)")
+@query("S06_hgt_samples", "WITH p AS (SELECT DISTINCT priority FROM fx_pixels) SELECT concat('N4', p.priority, 'E006') AS name, x AS gx, y AS gy, elev FROM p CROSS JOIN range(64) a(x) CROSS JOIN range(64) b(y) LEFT JOIN fx_pixels f ON f.priority = p.priority AND f.gx = x AND f.gy = y")
 def _(spark, d):
+    """A degree square of each priority, some in folders of their own, written and read back."""
+    name = F.concat(F.lit("N4"), "bx", F.lit("E006"))
+    path = F.concat(F.when(F.col("bx") % 2 == 0, F.concat(F.lit("N4"), "bx", F.lit("/"))).otherwise(""), name, F.lit(".hgt"))
     folder = scratch(spark)
-    os.makedirs(f"{folder}/N44")
-    for name in ("N44/N44E006", "S01W002"):
-        with open(f"{folder}/{name}.hgt", "wb") as out:
-            out.write(_grid_values(11, 11, grids.VOID).astype(">i2").tobytes())
+    files.write_files(_priorities(spark, d).select(path.alias("path"), grids.hgt_bytes(F.col("data")).alias("data")), folder).count()
     return grids.read_hgt(spark, folder).drop("path")
 
 
@@ -201,23 +211,37 @@ def _(spark, d):
 _LEVEL = {"width": 72, "height": 34, "origin_x": -180.0, "origin_y": 85.0, "scale_x": 5.0, "scale_y": 5.0}
 
 
-def _raster(spark) -> str:
+def _priorities(spark: SparkSession, d: str) -> DataFrame:
+    """The grid of each priority as a block; ``bx`` is the priority."""
+    pixels = view(spark, d, "fx_pixels")
+    return blocks.from_pixels(pixels.select((F.col("gx") + 64 * F.col("priority")).alias("gx"), "gy", "elev"), 64)
+
+
+def _rasters(spark: SparkSession, d: str) -> str:
+    """A folder with a raster file of each priority, and a file that is none."""
     folder = scratch(spark)
-    with open(f"{folder}/own.tif", "wb") as out:
-        out.write(rasters.write_tiff(_grid_values(72, 34, -9999.0), 32, (-180.0, 85.0), 5.0, -9999.0))
+
+    @F.pandas_udf("binary")
+    def tiff(priority: pd.Series, data: pd.Series) -> pd.Series:
+        made = lambda p, v: rasters.write_tiff(np.nan_to_num(np.frombuffer(v).reshape(64, 64), nan=-9999.0), 32, (10.0 * p, 85.0), 5.0, -9999.0)
+        return pd.Series([made(p, v) for p, v in zip(priority, data)])
+
+    files.write_files(_priorities(spark, d).select(F.concat("bx", F.lit(".tif")).alias("path"), tiff("bx", "data").alias("data")), folder).count()
     with open(f"{folder}/other.txt", "w") as out:
         out.write("no raster")
     return folder
 
 
-@query("S09_raster_blocks", "SELECT 0 AS level, cast(x * 32 AS int) AS gx0, cast(y * 32 AS int) AS gy0, 32 AS width, -180.0 AS origin_x, 5.0 AS scale_y, 'deflate' AS codec FROM range(3) a(x), range(2) b(y)")
+@query("S09_raster_blocks", "SELECT priority, 0 AS level, cast(x * 32 AS int) AS gx0, cast(y * 32 AS int) AS gy0, 32 AS width, 10.0 * priority AS origin_x, 5.0 AS scale_y, 'deflate' AS codec FROM (SELECT DISTINCT priority FROM fx_pixels), range(2) a(x), range(2) b(y)")
 def _(spark, d):
-    return rasters.list_blocks(spark, _raster(spark)).select("level", "gx0", "gy0", "width", "origin_x", "scale_y", "codec")
+    found = rasters.list_blocks(spark, _rasters(spark, d))
+    return found.select(F.regexp_extract("path", "([0-9]+).tif$", 1).cast("int").alias("priority"), "level", "gx0", "gy0", "width", "origin_x", "scale_y", "codec")
 
 
-@query("S11_raster_pixels", f"SELECT gx, gy, cast({_GRID} AS double) AS elev FROM range(72) a(gx), range(34) b(gy) WHERE (gx + gy) % 7 <> 0")
+@query("S11_raster_pixels", "SELECT priority, gx, gy, cast(elev AS double) AS elev FROM fx_pixels")
 def _(spark, d):
-    return rasters.block_pixels(rasters.read_blocks(spark, [f"{_raster(spark)}/*.tif"])).select("gx", "gy", "elev")
+    found = rasters.block_pixels(rasters.read_blocks(spark, [f"{_rasters(spark, d)}/*.tif"]))
+    return found.select(F.regexp_extract("path", "([0-9]+).tif$", 1).cast("int").alias("priority"), F.col("gx").cast("int").alias("gx"), F.col("gy").cast("int").alias("gy"), "elev")
 
 
 def _bilinear(points: str, keys: str, x: str, y: str, value: str) -> str:
@@ -320,10 +344,11 @@ def _(spark, d):
     return sampling.blend_sources(covered, ["gx", "gy"]).withColumn("elev", F.round("elev", 6))
 
 
-@query("T13_halo", "SELECT 2 * cast(floor(100 / m) AS int) + 4 AS pixels, round((2 * cast(floor(100 / m) AS int) + 4 + 512) * m, 6) AS metres FROM (SELECT 2 * pi() * 6378137.0 / (2048 * 512) AS m)")
+@query("T13_halo", """SELECT point_id, CASE WHEN blur = 0 THEN 0 ELSE 2 * cast(floor(blur / m) AS bigint) + 4 END AS pixels, round((CASE WHEN blur = 0 THEN 0 ELSE 2 * cast(floor(blur / m) AS bigint) + 4 END + 512) * m, 4) AS metres
+FROM (SELECT point_id, cast(point_id % 300 AS double) AS blur, 2 * pi() * 6378137.0 / (power(2, 5 + point_id % 10) * 512) AS m FROM fx_points)""")
 def _(spark, d):
-    pixels, metres = tiling.halo(11, 512, 100.0)
-    return spark.createDataFrame([(pixels, round(metres, 6))], "pixels int, metres double")
+    pixels, metres = tiling.halo(5 + F.col("point_id") % 10, 512, (F.col("point_id") % 300).cast("double"))
+    return view(spark, d, "fx_points").select("point_id", pixels.alias("pixels"), F.round(metres, 4).alias("metres"))
 
 
 @query("T23_step_schedule", "SELECT point_id, power(2.0, round_even(log2((abs(lat) + 1) / 3.0), 0)) AS step FROM fx_points")
@@ -343,25 +368,32 @@ def _(spark, d):
 
 # --- shapes and masks ------------------------------------------------------------------
 
-_POLY = "area\n1\n  -40 -30\n  -40 30\n  40 30\n  40 -30\n  -40 -30\nEND\n!2\n  -10 -10\n  -10 10\n  10 10\n  10 -10\n  -10 -10\nEND\nEND\n"
+_BOX_RINGS = "SELECT box_id, is_hole, seq, CASE WHEN seq IN (1, 2) THEN east - is_hole * 0.5 ELSE west + is_hole * 0.5 END AS lon, CASE WHEN seq IN (2, 3) THEN north - is_hole * 0.5 ELSE south + is_hole * 0.5 END AS lat FROM fx_boxes, range(2) h(is_hole), range(5) s(seq)"
+
 
+def _polys(spark: SparkSession, d: str) -> DataFrame:
+    """A polygon file of each box, with a hole in the middle, written and read."""
 
-def _poly(spark) -> DataFrame:
+    def ring(head: str, inner: float):
+        corners = [("west", "south", 1, 1), ("east", "south", -1, 1), ("east", "north", -1, -1), ("west", "north", 1, -1), ("west", "south", 1, 1)]
+        return F.concat_ws("\n", F.lit(head), *[F.concat(F.lit("  "), (F.col(x) + i * inner).cast("string"), F.lit(" "), (F.col(y) + j * inner).cast("string")) for x, y, i, j in corners], F.lit("END"))
+
+    text = F.concat_ws("\n", "name", ring("1", 0.0), ring("!2", 0.5), F.lit("END\n"))
     folder = scratch(spark)
-    with open(f"{folder}/own.poly", "w") as out:
-        out.write(_POLY)
+    files.write_files(view(spark, d, "fx_boxes").select(F.concat("box_id", F.lit(".poly")).alias("path"), text.alias("data")), folder).count()
     return vectors.read_poly(spark, folder)
 
 
-@query("S13_poly", "SELECT ring_id, is_hole, seq, lon, lat FROM fx_ring")
+@query("S13_poly", f"SELECT cast(box_id AS int) AS box_id, cast(is_hole AS int) AS ring_id, cast(is_hole AS int) AS is_hole, cast(seq AS int) AS seq, round(lon, 6) AS lon, round(lat, 6) AS lat FROM ({_BOX_RINGS})")
 def _(spark, d):
-    return _poly(spark).drop("path", "name")
+    box = F.regexp_extract("path", "([0-9]+).poly$", 1).cast("int").alias("box_id")
+    return _polys(spark, d).select(box, "ring_id", "is_hole", "seq", F.round("lon", 6).alias("lon"), F.round("lat", 6).alias("lat"))
 
 
-@query("S14_poly_geojson", "SELECT is_hole, seq, lon, lat FROM fx_ring")
+@query("S14_poly_geojson", f"SELECT cast(is_hole AS int) AS is_hole, cast(seq AS int) AS seq, round(lon, 6) AS lon, round(lat, 6) AS lat FROM ({_BOX_RINGS})")
 def _(spark, d):
-    """A polygon file written as GeoJSON and read back (S31)."""
-    return vectors.geojson_rings(vectors.poly_geojson(_poly(spark), "name"), "feature").select("is_hole", "seq", "lon", "lat")
+    """Polygon files written as GeoJSON and read back (S31)."""
+    return vectors.geojson_rings(vectors.poly_geojson(_polys(spark, d), "name"), "feature").select("is_hole", "seq", F.round("lon", 6).alias("lon"), F.round("lat", 6).alias("lat"))
 
 
 @query("S31_geojson_shape", "SELECT point_id FROM fx_points WHERE (lon > 0 AND lon < 10 AND lat > 0 AND lat < 10) OR (lon > 20 AND lon < 30 AND lat > 20 AND lat < 30)")
@@ -461,11 +493,15 @@ def _(spark, d):
 # --- catalogues ----------------------------------------------------------------------------
 
 
-@query("S16_source_list", "SELECT * FROM (VALUES (0, 'global', 'hgt', -10.0), (1, 'local', 'raster', NULL)) t(priority, name, type, clamp_min)")
+@query("S16_source_list", "SELECT cast(row_number() OVER (ORDER BY s_suppkey) - 1 AS int) AS priority, s_name AS name, CASE WHEN s_suppkey % 2 = 0 THEN 'hgt' ELSE 'raster' END AS type, CASE WHEN s_suppkey % 3 = 0 THEN -cast(s_suppkey AS double) END AS clamp_min FROM supplier")
 def _(spark, d):
-    path = f"{scratch(spark)}/sources.json"
-    files.write_document(spark, path, {"sources": [{"name": "global", "type": "hgt", "path": "dem", "clamp_min": -10}, {"name": "local", "type": "raster", "path": "own.tif"}]})
-    return files.source_list(spark, path).select("priority", "name", "type", "clamp_min")
+    """One document that lists a source for each supplier."""
+    own = F.struct(F.col("s_suppkey").alias("k"), F.struct(F.col("s_name").alias("name"), F.when(F.col("s_suppkey") % 2 == 0, "hgt").otherwise("raster").alias("type"), F.lit("dem").alias("path"), F.when(F.col("s_suppkey") % 3 == 0, -F.col("s_suppkey").cast("double")).alias("clamp_min")).alias("s"))
+    listed = load(spark, d, "supplier").agg(F.array_sort(F.collect_list(own)).alias("l"))
+    document = F.to_json(F.struct(F.transform("l", lambda x: x["s"]).alias("sources")))
+    folder = scratch(spark)
+    files.write_files(listed.select(F.lit("sources.json").alias("path"), document.alias("data")), folder).count()
+    return files.source_list(spark, f"{folder}/sources.json").select("priority", "name", "type", "clamp_min")
 
 
 @query("S17_catalogue", "SELECT * FROM (VALUES ('alps', 'alps.mbtiles', 'classic', true), ('alps', 'alps_routes.mbtiles', 'compact', true), ('alps', 'broken.mbtiles', NULL, false)) t(area, file_name, layout, readable)")
@@ -534,13 +570,14 @@ def _(spark, d):
     return catalog.touching_files(view(spark, d, "fx_boxes").withColumns(sides), (-20.0, -20.0, 20.0, 20.0)).select("box_id")
 
 
-@query("S37_documents", "SELECT 'own' AS output_root, 14 AS maxzoom, NULL AS missing")
+@query("S37_documents", "SELECT s_name AS output_root, cast(s_suppkey % 15 AS int) AS maxzoom, NULL AS missing FROM supplier WHERE s_suppkey % 4 <> 0 UNION ALL SELECT NULL, NULL, NULL FROM supplier WHERE s_suppkey % 4 = 0")
 def _(spark, d):
-    path = f"{scratch(spark)}/settings.json"
-    files.write_document(spark, path, {"output_root": "old"})
-    files.write_document(spark, path, {"output_root": "own", "maxzoom": 14, "unknown": [1]})
-    own = files.read_document(spark, path, "output_root string, maxzoom int")
-    none = files.read_document(spark, f"{path}.none", "output_root string")
+    """A settings document of each supplier, every fourth of them broken; one that is not there reads as nulls."""
+    text = F.when(F.col("s_suppkey") % 4 == 0, "{").otherwise(F.to_json(F.struct(F.col("s_name").alias("output_root"), (F.col("s_suppkey") % 15).alias("maxzoom"), F.array(F.lit(1)).alias("unknown"))))
+    folder = scratch(spark)
+    files.write_files(load(spark, d, "supplier").select(F.concat("s_suppkey", F.lit("/settings.json")).alias("path"), text.alias("data")), folder).count()
+    own = files.read_document(spark, f"{folder}/*/settings.json", "output_root string, maxzoom int")
+    none = files.read_document(spark, f"{folder}/none.json", "output_root string")
     return own.join(none.select(F.col("output_root").alias("missing")), F.lit(True))
 
 
@@ -652,10 +689,12 @@ def _(spark, d):
     return load(spark, d, "nation").select(F.col("n_nationkey").alias("id"), X.fingerprint(X.canonical_options(options_)).alias("fingerprint"))
 
 
-@query("X19_polyline", "SELECT i AS \"index\", lon, lat FROM (VALUES (0, -120.2, 38.5), (1, -120.95, 40.7), (2, -126.453, 43.252)) t(i, lon, lat)")
+@query("X19_polyline", """SELECT point_id // 20 AS line, row_number() OVER (PARTITION BY point_id // 20 ORDER BY point_id) - 1 AS "index", lon, lat FROM fx_points""")
 def _(spark, d):
+    """Lines of twenty points, encoded and decoded."""
     vectors.register(spark)
-    return spark.sql("SELECT * FROM decode_polyline('_izlhA~rlgdF_{geC~ywl@_kwzCn`{nI')")
+    lines = view(spark, d, "fx_points").groupBy(F.floor(F.col("point_id") / 20).alias("line")).agg(F.array_sort(F.collect_list(F.struct("point_id", "lon", "lat"))).alias("points"))
+    return spark.sql('SELECT l.line, p.index, p.lon, p.lat FROM {l} l, LATERAL decode_polyline(l.polyline) p', l=vectors.polylines(lines, "line"))
 
 
 @query("X21_route_request", "SELECT point_id, 'pedestrian' AS costing, 'kilometers' AS units, lat FROM fx_points")
@@ -768,14 +807,42 @@ def _(spark, d):
     return _streamed(spark, d, lambda e: e.select("event", "stage")).groupBy("event", "stage").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("R03_stage_durations", f"WITH e AS ({_EVENT}) SELECT stage, count(seconds) AS ends FROM e WHERE event = 'phase_end' GROUP BY 1")
+#: Lines of a run; each run is a log file of its own.
+_LINES = 500
+
+
+def _followed(spark: SparkSession, d: str, make) -> DataFrame:
+    """The rows that a query over the runs' log files, followed as they are, has written."""
+    tail.register(spark)
+    folder = scratch(spark)
+    lines = view(spark, d, "fx_log").select(F.floor(F.col("line_no") / _LINES).alias("run"), "line_no", "line")
+    lines.repartition("run").sortWithinPartitions("run", "line_no").drop("line_no").write.partitionBy("run").text(f"{folder}/logs")
+    made = make(logs.parsed(spark.readStream.format("log_tail").load(f"{folder}/logs"), "line"))
+    query = made.writeStream.format("parquet").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start()
+    query.awaitTermination()
+    return spark.read.schema(made.schema).parquet(f"{folder}/out").withColumn("run", F.regexp_extract("run", "run=([0-9]+)", 1).cast("long"))
+
+
+@query(
+    "R03_run_durations",
+    f"""WITH e AS ({_EVENT}), h AS (SELECT line_no // {_LINES} AS run, line_no, event, nullif(last_value(CASE event WHEN 'phase_end' THEN took WHEN 'run_end' THEN '' END IGNORE NULLS) OVER (PARTITION BY line_no // {_LINES} ORDER BY line_no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), '') AS took FROM e)
+SELECT run, row_number() OVER (PARTITION BY run ORDER BY line_no) AS place, took FROM h WHERE event = 'run_end'""",
+)
 def _(spark, d):
-    return _streamed(spark, d, logs.stage_durations, "update").groupBy("stage").agg(F.max("ends").cast("long").alias("ends"))
+    """The duration each run holds when it ends, by state that is cleared then."""
+    ends = _followed(spark, d, logs.run_durations)
+    return ends.select("run", F.row_number().over(Window.partitionBy("run").orderBy("offset")).cast("long").alias("place"), "took")
 
 
-@query("R04_progress_throttle", f"WITH e AS ({_EVENT}) SELECT DISTINCT stage, percent FROM e WHERE event = 'progress'")
+@query(
+    "R04_progress_throttle",
+    f"""WITH e AS ({_EVENT}), c AS (SELECT line_no // {_LINES} AS run, line_no, stage, percent, lag(percent) OVER (PARTITION BY line_no // {_LINES}, stage ORDER BY line_no) AS before FROM e WHERE event = 'progress')
+SELECT run, stage, row_number() OVER (PARTITION BY run, stage ORDER BY line_no) AS place, percent FROM c WHERE before IS DISTINCT FROM percent""",
+)
 def _(spark, d):
-    return _streamed(spark, d, logs.percent_changes)
+    """Each change of a stage's percentage, also back to one that it had before."""
+    changes = _followed(spark, d, logs.percent_changes)
+    return changes.select("run", "stage", F.row_number().over(Window.partitionBy("run", "stage").orderBy("offset")).cast("long").alias("place"), "percent")
 
 
 @query("W04_elapsed_of_events", f"WITH e AS ({_EVENT}) SELECT stage, max(seconds) AS longest FROM e WHERE event IN ('phase_end', 'zoom_end') GROUP BY 1")

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import json
+import os
+import uuid
 from collections.abc import Iterator
 
 import pandas as pd
@@ -95,9 +97,9 @@ def tile_list(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_document(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """A JSON document of settings, presets or state as one row; one that is missing or malformed has nulls."""
+    """JSON documents of settings, presets or state, a row each, by path or pattern; one that is missing or malformed has nulls."""
     at = spark._jvm.org.apache.hadoop.fs.Path(path)
-    if not at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at):
+    if not at.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(at):
         return spark.range(1).select(F.from_json(F.lit(None).cast("string"), schema).alias("d")).select("d.*")
     return spark.read.text(path, wholetext=True).select(F.from_json("value", schema).alias("d")).select("d.*")
 
@@ -112,3 +114,23 @@ def write_document(spark: SparkSession, path: str, document: dict) -> None:
     out.close()
     fs.delete(at, False)
     fs.rename(part, at)
+
+
+def write_files(files: DataFrame, folder: str) -> DataFrame:
+    """Writes ``files (path, data)``, binary or text, below ``folder``; ``(path, bytes)`` of what was written.
+
+    Each file is renamed when whole, so a repeated task leaves the same files.
+    """
+
+    def each(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            for path, data in zip(f["path"], f["data"]):
+                at = f"{folder}/{path}"
+                os.makedirs(os.path.dirname(at), exist_ok=True)
+                part = f"{at}.{uuid.uuid4().hex}.part"
+                with open(part, "wb") as out:
+                    out.write(data)
+                os.replace(part, at)
+            yield pd.DataFrame({"path": f["path"], "bytes": f["data"].map(len)})
+
+    return files.select("path", F.col("data").cast("binary").alias("data")).mapInPandas(each, "path string, bytes long")

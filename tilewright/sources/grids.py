@@ -11,7 +11,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 VOID = -32768
@@ -41,6 +41,16 @@ def read_hgt(spark: SparkSession, path: str) -> DataFrame:
     return files.select("path", "content").mapInPandas(each, "path string, name string, gx int, gy int, elev int")
 
 
+def hgt_bytes(data: Column) -> Column:
+    """The content of a .hgt file from a square of doubles, NaN or null for a void."""
+
+    @F.pandas_udf("binary")
+    def packed(column: pd.Series) -> pd.Series:
+        return column.map(lambda d: np.nan_to_num(np.frombuffer(d), nan=VOID).astype(">i2").tobytes())
+
+    return packed(data)
+
+
 def undo_float_predictor(raw: bytes, width: int, height: int) -> np.ndarray:
     """Rows of 32-bit floats from bytes that hold each row's differences, highest bytes of all values first."""
     rows = np.frombuffer(raw, np.uint8, 4 * width * height).reshape(height, 4 * width)
@@ -97,27 +107,31 @@ def decode_png(raw: bytes) -> np.ndarray:
     if depth != 8 or channels is None or interlace:
         raise ValueError("unsupported PNG")
     rows = np.frombuffer(zlib.decompress(data), np.uint8).reshape(h, 1 + w * channels)
-    out = np.zeros((h, w * channels), np.int64)
-    for y in range(h):
-        kind, line = rows[y, 0], rows[y, 1:].astype(np.int64)
-        up = out[y - 1] if y else np.zeros(w * channels, np.int64)
-        if kind == 0:
-            out[y] = line
-        elif kind == 1:
-            out[y] = np.cumsum(line.reshape(w, channels), axis=0).ravel() % 256
-        elif kind == 2:
-            out[y] = (line + up) % 256
-        else:
-            for x in range(w * channels):
-                left = out[y, x - channels] if x >= channels else 0
-                corner = up[x - channels] if x >= channels else 0
-                if kind == 3:
-                    guess = (left + up[x]) // 2
-                else:
-                    p = left + up[x] - corner
-                    guess = min((left, up[x], corner), key=lambda v: abs(p - v))
-                out[y, x] = (line[x] + guess) % 256
-    return out.astype(np.uint8).reshape(h, w, channels)
+    return _unfiltered(rows[:, 0].copy(), rows[:, 1:].reshape(h, w, channels).astype(np.int32)).astype(np.uint8)
+
+
+def _unfiltered(kind: np.ndarray, line: np.ndarray) -> np.ndarray:
+    """Pixels from a PNG's lines ``[y, x, channel]`` and each line's filter.
+
+    Lines that differ from the one before or from the pixel before at most are sums. Means and Paeth's choice need the
+    pixels to the left, above and between, all of which lie on the two anti-diagonals before: one goes at a time.
+    """
+    h, w, channels = line.shape
+    out = np.zeros((h + 1, w + 1, channels), np.int32)
+    if kind.max(initial=0) < 3:
+        for y in range(h):
+            own = np.cumsum(line[y], axis=0) if kind[y] == 1 else line[y] + (out[y, 1:] if kind[y] == 2 else 0)
+            out[y + 1, 1:] = own & 255
+        return out[1:, 1:]
+    for d in range(w + h - 1):
+        y = np.arange(max(0, d - w + 1), min(h, d + 1))
+        x = d - y
+        left, up, corner = out[y + 1, x], out[y, x + 1], out[y, x]
+        to_left, to_up, to_corner = np.abs(up - corner), np.abs(left - corner), np.abs(left + up - 2 * corner)
+        paeth = np.where((to_left <= to_up) & (to_left <= to_corner), left, np.where(to_up <= to_corner, up, corner))
+        guess = np.choose(np.broadcast_to(kind[y, None], left.shape), [0, left, up, (left + up) >> 1, paeth])
+        out[y + 1, x + 1] = (line[y, x] + guess) & 255
+    return out[1:, 1:]
 
 
 def tile_pixels(tiles: DataFrame, encoding: str = "terrarium") -> DataFrame:

@@ -108,6 +108,31 @@ def decode_polyline(text: str, precision: int = 6) -> Iterator[tuple[int, float,
         n += 1
 
 
+def encode_polyline(points: list[tuple[float, float]], precision: int = 6) -> str:
+    """The text of a line of (lon, lat), to so many decimals."""
+    out, before = [], (0, 0)
+    for lon, lat in points:
+        now = (round(lat * 10**precision), round(lon * 10**precision))
+        for a, b in zip(before, now):
+            left = (b - a) << 1 if b >= a else ~((b - a) << 1)
+            while left >= 32:
+                out.append(chr((left & 31 | 32) + 63))
+                left >>= 5
+            out.append(chr(left + 63))
+        before = now
+    return "".join(out)
+
+
+def polylines(lines: DataFrame, by: str, points: str = "points") -> DataFrame:
+    """``(by, polyline)``: the encoded text of each line's array of structs (lon, lat)."""
+
+    @F.pandas_udf("string")
+    def encoded(column: pd.Series) -> pd.Series:
+        return column.map(lambda ps: None if ps is None else encode_polyline([(p["lon"], p["lat"]) for p in ps]))
+
+    return lines.select(by, encoded(F.col(points)).alias("polyline"))
+
+
 @udtf(returnType="index int, lon double, lat double")
 class DecodePolyline:
     """SQL: ``decode_polyline(text)``."""
