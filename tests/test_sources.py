@@ -92,6 +92,33 @@ def test_polyline(spark):
     assert spark.sql("SELECT * FROM decode_polyline('_p~iF~ps|U')").count() == 1
 
 
+def test_partitions_of_like_bytes(spark, tmp_path):
+    """Most bytes are in one zoom, a tenth of them in one column; partitions are like, and filters are the file's alone."""
+    import random
+
+    r = random.Random(1)
+    path = str(tmp_path / "a.mbtiles")
+    mbtiles.register(spark)
+    sizes = {(z, x, y): r.randrange(200, 400) for z in range(8) for x in range(min(1 << z, 60)) for y in range(min(1 << z, 40))} | {(7, 5, y): 3000 for y in range(40)}
+    db = mbtiles.new_archive(path)
+    db.executemany("INSERT INTO tiles VALUES (?, ?, ?, ?)", [(*k, b"x" * n) for k, n in sizes.items()])
+    db.execute("CREATE UNIQUE INDEX tile_index ON tiles (zoom_level, tile_column, tile_row)")
+    db.commit()
+    db.close()
+    reader = mbtiles._Reader(path, "tiles", 50_000)
+    parts = [sum(len(row[3]) for row in reader.read(p)) for p in reader.partitions()]
+    assert sum(parts) == sum(sizes.values()) and max(parts) <= 2 * sum(parts) / len(parts) and len(parts) > 20
+    t = spark.read.format("mbtiles").option("splitBytes", 50_000).load(path)
+    assert {tuple(x)[:3]: len(x.tile_data) for x in t.collect()} == sizes
+    for where in ("zoom_level >= 6 AND tile_column BETWEEN 3 AND 7", "zoom_level IN (2, 5) AND tile_row > 1", "zoom_level = 7 AND tile_column = 5 AND tile_row < 20", "tile_column < 0"):
+        some = t.where(where)
+        assert "Filter (" not in some._jdf.queryExecution().executedPlan().toString().replace("PushedFilters", "")
+        plain = where.replace("AND 7", "and 7").replace(" AND ", " and ").replace("tile_column BETWEEN 3 and 7", "3 <= tile_column <= 7").replace("IN (", "in (").replace("tile_row = ", "tile_row == ").replace("zoom_level = ", "zoom_level == ").replace("tile_column = ", "tile_column == ")
+        assert {tuple(x)[:3] for x in some.collect()} == {k for k in sizes if eval(plain, {}, dict(zip(mbtiles.ADDRESS, k)))}
+    sized = spark.read.format("mbtiles").option("table", "addresses").load(path).where("zoom_level > 4")
+    assert {tuple(x)[:3]: x.nbytes for x in sized.collect()} == {k: n for k, n in sizes.items() if k[0] > 4}
+
+
 def test_vector_tile(spark):
     def field(n, body):
         return bytes([n << 3 | 2, len(body)]) + body

@@ -60,3 +60,10 @@ def drop_written(df: DataFrame) -> None:
     for folder in {f.rpartition("/")[0] for f in df.inputFiles()}:
         at = spark._jvm.org.apache.hadoop.fs.Path(folder)
         at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def bounded_batches(spark: SparkSession, most: int = 16 << 20) -> None:
+    """At most so many bytes of rows go to a Python worker at a time, for this session; a smaller setting stays."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if not 0 < int(spark.conf.get(name).rstrip("bB")) <= most:
+        spark.conf.set(name, most)

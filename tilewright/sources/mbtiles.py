@@ -1,8 +1,10 @@
 """Tile archives (SQLite files) as a Spark data source.
 
 ``spark.read.format("mbtiles").load(path)`` gives zoom_level, tile_column, tile_row (TMS), tile_data;
-``option("table", "metadata")`` gives name, value. One partition a zoom; equality filters on the
-address and upper bounds of the zoom go into the file. Classic, compact and legacy layouts read alike.
+``option("table", "metadata")`` gives name, value and ``option("table", "addresses")`` the tiles with ``nbytes`` in the
+place of their content, which is not read then. Partitions are ranges of columns, and of rows where a column
+is large, of about ``option("splitBytes")`` each, small zooms together; comparisons of the address with values go into
+the file. Classic, compact and legacy layouts read alike.
 
 Writing makes one part archive a task and joins them when the job commits, in a single file that
 appears under its name only when whole: an export of what fits one file. ``write_shards`` writes any number of
@@ -16,15 +18,24 @@ import hashlib
 import os
 import sqlite3
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, EqualTo, InputPartition, LessThanOrEqual, WriterCommitMessage
+from pyspark.sql.datasource import (
+    DataSource, DataSourceReader, DataSourceWriter, EqualTo, GreaterThan, GreaterThanOrEqual, In, InputPartition, IsNotNull, LessThan, LessThanOrEqual, WriterCommitMessage,
+)
 
+from ..session import bounded_batches
+
+ADDRESS = ("zoom_level", "tile_column", "tile_row")
 TILES = "zoom_level int, tile_column bigint, tile_row bigint, tile_data binary"
+ADDRESSES = "zoom_level int, tile_column bigint, tile_row bigint, nbytes bigint"
+#: Bytes of a partition, about.
+SPLIT = 64 << 20
+_COMPARED = {EqualTo: "=", LessThanOrEqual: "<=", LessThan: "<", GreaterThanOrEqual: ">=", GreaterThan: ">"}
 #: How each layout joins addresses and blobs.
 LAYOUTS = {
     "compact": "SELECT zoom_level, tile_column, tile_row, tile_data FROM tiles_shallow JOIN tiles_data USING (tile_data_id)",
@@ -79,65 +90,132 @@ def delete_compact(db: sqlite3.Connection, addresses) -> None:
 def write_shards(tiles: DataFrame, folder: str, side: int = 256) -> DataFrame:
     """Write ``tiles`` as one archive for each block of ``side`` by ``side`` tiles of a zoom; a row a file comes back.
 
-    ``(zoom_level, mx, my, path, tiles, bytes)``. A file is put together by one task and renamed when whole, so
-    a repeated task replaces it with the same.
+    ``(zoom_level, mx, my, path, tiles, bytes)``. A file is put together by one task, from rows that come in batches of some
+    megabytes in the order of the blocks, and renamed when whole, so a repeated task replaces it with the same.
     """
 
-    def write(key: tuple, f: pd.DataFrame) -> pd.DataFrame:
-        z, mx, my = map(int, key)
+    def begin(key: tuple) -> tuple[sqlite3.Connection, str, str]:
+        z, mx, my = key
         os.makedirs(folder, exist_ok=True)
         path = f"{folder}/z{z:02d}-{mx}-{my}.mbtiles"
         part = f"{path}.{uuid.uuid4().hex}.part"
-        db = new_archive(part)
-        rows = zip(*(f[c].tolist() for c in ("zoom_level", "tile_column", "tile_row", "tile_data")))
-        db.executemany("INSERT INTO tiles VALUES (?, ?, ?, ?)", map(_plain, rows))
+        return new_archive(part), part, path
+
+    def end(key: tuple, db: sqlite3.Connection, part: str, path: str) -> pd.DataFrame:
+        tiles, size = db.execute("SELECT count(*), coalesce(sum(length(tile_data)), 0) FROM tiles").fetchone()
         db.execute("CREATE UNIQUE INDEX tile_index ON tiles (zoom_level, tile_column, tile_row)")
         db.commit()
         db.close()
         os.replace(part, path)
-        return pd.DataFrame({"zoom_level": [z], "mx": [mx], "my": [my], "path": [path], "tiles": [len(f)], "bytes": [int(sum(len(b) for b in f["tile_data"] if b is not None))]})
-
+        return pd.DataFrame({"zoom_level": [key[0]], "mx": [key[1]], "my": [key[2]], "path": [path], "tiles": [tiles], "bytes": [size]})
+
+    def write(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        key, own = None, None
+        for f in frames:
+            for now, some in f.groupby(["zoom_level", "mx", "my"]):
+                now = tuple(map(int, now))
+                if now != key:
+                    if own:
+                        yield end(key, *own)
+                    key, own = now, begin(now)
+                rows = zip(*(some[c].tolist() for c in (*ADDRESS, "tile_data")))
+                own[0].executemany("INSERT INTO tiles VALUES (?, ?, ?, ?)", map(_plain, rows))
+        if own:
+            yield end(key, *own)
+
+    bounded_batches(tiles.sparkSession)
     at = lambda c: F.floor(F.col(c) / side).cast("long")
-    rows = tiles.select("zoom_level", "tile_column", "tile_row", "tile_data", at("tile_column").alias("mx"), at("tile_row").alias("my"))
-    return rows.groupBy("zoom_level", "mx", "my").applyInPandas(write, "zoom_level int, mx long, my long, path string, tiles long, bytes long")
+    block = ["zoom_level", "mx", "my"]
+    rows = tiles.select(*ADDRESS, "tile_data", at("tile_column").alias("mx"), at("tile_row").alias("my"))
+    return rows.repartition(*block).sortWithinPartitions(*block).mapInPandas(write, "zoom_level int, mx long, my long, path string, tiles long, bytes long")
+
+
+#: Columns and rows, from and to, of a zoom.
+Range = tuple[int, int, int, int, int]
 
 
 @dataclass
-class _Zoom(InputPartition):
-    zoom: int | None
+class _Ranges(InputPartition):
+    ranges: list[Range] | None
+
+
+def split(sizes: Iterator[tuple[int, int, int]], rows: Callable[[int, int], Iterator[tuple[int, int]]], most: int) -> list[list[Range]]:
+    """Ranges of like bytes from ``sizes`` (zoom, column, bytes) in order; ``rows`` gives the (row, bytes) of a column that is large."""
+    out: list[list[Range]] = [[]]
+    held, top = 0, 1 << 62
+
+    def add(one: Range, size: int) -> None:
+        nonlocal held
+        if held and held + size > most:
+            out.append([])
+            held = 0
+        last = out[-1][-1] if out[-1] else None
+        # A range grows where the next columns, or rows of the same column, follow.
+        if last and last[0] == one[0] and last[3:] == one[3:] == (0, top):
+            out[-1][-1] = (*last[:2], one[2], 0, top)
+        elif last and last[:3] == one[:3]:
+            out[-1][-1] = (*last[:4], one[4])
+        else:
+            out[-1].append(one)
+        held += size
+
+    for zoom, column, size in sizes:
+        if size <= most:
+            add((zoom, column, column, 0, top), size)
+        else:
+            for row, own in rows(zoom, column):
+                add((zoom, column, column, row, row), own)
+    return [part for part in out if part]
 
 
 class _Reader(DataSourceReader):
-    def __init__(self, path: str, table: str):
-        self.path, self.table, self.where = path, table, []
+    def __init__(self, path: str, table: str, most: int):
+        self.path, self.table, self.most = path, table, most
+        self.where: list[tuple[str, list]] = []
 
     def pushFilters(self, filters):
         for f in filters:
-            if self.table == "tiles" and isinstance(f, EqualTo) and f.attribute[0] in ("zoom_level", "tile_column", "tile_row"):
-                self.where.append((f"{f.attribute[0]} = ?", f.value))
-            elif self.table == "tiles" and isinstance(f, LessThanOrEqual) and f.attribute == ("zoom_level",):
-                self.where.append(("zoom_level <= ?", f.value))
+            name = f.attribute[0] if len(getattr(f, "attribute", ())) == 1 else None
+            if self.table == "metadata" or name not in ADDRESS:
+                yield f
+            elif type(f) in _COMPARED:
+                self.where.append((f"{name} {_COMPARED[type(f)]} ?", [f.value]))
+            elif isinstance(f, In):
+                values = [v for v in f.value if v is not None]
+                self.where.append((f"{name} IN ({', '.join('?' * len(values))})", values))
+            elif isinstance(f, IsNotNull):
+                self.where.append((f"{name} IS NOT NULL", []))
             else:
                 yield f
 
-    def _clause(self) -> tuple[str, list]:
-        return "".join(f" AND {w}" for w, _ in self.where), [v for _, v in self.where]
+    def _select(self, columns: str, more: str = "true", values: tuple = ()) -> tuple[str, list]:
+        """A query of the tiles that pass the filters."""
+        text = "".join(f" AND {w}" for w, _ in self.where)
+        return f"SELECT {columns} FROM ({LAYOUTS[layout(self.path)]}) WHERE {more}{text}", [*values, *(v for _, vs in self.where for v in vs)]
 
     def partitions(self):
         if self.table == "metadata":
-            return [_Zoom(None)]
-        clause, values = self._clause()
+            return [_Ranges(None)]
+        size = "coalesce(sum(length(tile_data)), 0) + 64 * count(*)"  # length() does not read the content
         with _open(self.path) as db:
-            zooms = db.execute(f"SELECT DISTINCT zoom_level FROM ({LAYOUTS[layout(self.path)].replace(', tile_data FROM', ' FROM')}) WHERE true{clause} ORDER BY 1", values)
-            return [_Zoom(z) for (z,) in zooms]
+            query, values = self._select(f"zoom_level, tile_column, {size}")
+            sizes = db.execute(f"{query} GROUP BY 1, 2 ORDER BY 1, 2", values)
+
+            def rows(zoom: int, column: int) -> Iterator[tuple[int, int]]:
+                query, values = self._select(f"tile_row, {size}", "zoom_level = ? AND tile_column = ?", (zoom, column))
+                return db.execute(f"{query} GROUP BY 1 ORDER BY 1", values)
+
+            return [_Ranges(part) for part in split(sizes, rows, self.most)] or [_Ranges([])]
 
-    def read(self, partition: _Zoom) -> Iterator[tuple]:
+    def read(self, partition: _Ranges) -> Iterator[tuple]:
         with _open(self.path) as db:
-            if partition.zoom is None:
+            if partition.ranges is None:
                 yield from db.execute("SELECT name, value FROM metadata")
                 return
-            clause, values = self._clause()
-            yield from db.execute(f"SELECT * FROM ({LAYOUTS[layout(self.path)]}) WHERE zoom_level = ?{clause}", [partition.zoom, *values])
+            content = "length(tile_data)" if self.table == "addresses" else "tile_data"
+            for one in partition.ranges:
+                query, values = self._select(f"zoom_level, tile_column, tile_row, {content}", "zoom_level = ? AND tile_column BETWEEN ? AND ? AND tile_row BETWEEN ? AND ?", one)
+                yield from db.execute(query, values)
 
 
 @dataclass
@@ -191,10 +269,10 @@ class MBTiles(DataSource):
         return "mbtiles"
 
     def schema(self) -> str:
-        return "name string, value string" if self.options.get("table") == "metadata" else TILES
+        return {"metadata": "name string, value string", "addresses": ADDRESSES}.get(self.options.get("table", "tiles"), TILES)
 
     def reader(self, schema) -> DataSourceReader:
-        return _Reader(self.options["path"], self.options.get("table", "tiles"))
+        return _Reader(self.options["path"], self.options.get("table", "tiles"), int(self.options.get("splitBytes", SPLIT)))
 
     def writer(self, schema, overwrite: bool) -> DataSourceWriter:
         path = self.options["path"]
