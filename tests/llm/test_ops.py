@@ -652,6 +652,59 @@ def test_main_text_of_unmarked_pages():
     assert dict(zip(pages, html_text.extract(list(pages), html_text.labeller()))) == pages
 
 
+_NOUNS = "the of and market river people house garden water light story paper window city morning evening record season travel music".split()
+
+
+def other_page(r, names, layout):
+    """A page of another maker than the labeller was trained with, and its article's texts."""
+    sentence = lambda a, b: " ".join(r.choice(_NOUNS) for _ in range(r.randrange(a, b))).capitalize() + "."
+    menu = "<ul>" + "".join(f"<li><a href='/{i}'>{r.choice(_NOUNS)} {r.choice(_NOUNS)}</a></li>" for i in range(r.randrange(4, 9))) + "</ul>"
+    paragraphs = [" ".join(sentence(8, 20) for _ in range(r.randrange(2, 5))) for _ in range(r.randrange(3, 9))]
+    title = sentence(3, 7)
+    article = f"<h1>{title}</h1>" + "".join(f"<p>{p}</p>" for p in paragraphs)
+    side = f"<h3>{sentence(2, 4)}</h3><ul>" + "".join(f"<li><a href='/s{i}'>{sentence(3, 7)}</a></li>" for i in range(r.randrange(3, 6))) + "</ul>"
+    if layout == "table":
+        page = f"<table><tr><td colspan=3>{menu}</td></tr><tr><td>{side}</td><td>{article}</td></tr><tr><td colspan=2>last changed 1999</td></tr></table>"
+    else:
+        parts = (menu, article, side, f"<p>&copy; 2024 {r.choice(_NOUNS)}. All rights reserved.</p>")
+        page = "".join(f"<div{f' class={n}' if n else ''}>{part}</div>" for n, part in zip(names, parts))
+        page = f"<div class=outer-x><div>{page}</div></div>" if layout == "wrapped" else page
+    return f"<html><body>{page}</body></html>", [title, *paragraphs]
+
+
+@pytest.mark.parametrize(
+    "names, layout",
+    [("nav content sidebar footer", "plain"), ("l-head l-body l-extra l-end", "plain"), ("zq-top zq-mid zq-r zq-b", "plain"), ("box box box box", "plain"), ("", "plain"), ("qa qb qc qd", "wrapped"), ("", "table")],
+)
+def test_main_text_without_known_names(names, layout):
+    r, right, total, whole = random.Random(names + layout), 0, 0, 0
+    for _ in range(60):
+        page, article = other_page(r, names.split() or [""] * 4, layout)
+        blocks = html_text.blocks(page)
+        got = html_text.labeller().label([blocks])[0]
+        want = [b.text in article for b in blocks]
+        right, total, whole = right + sum(a == b for a, b in zip(got, want)), total + len(want), whole + (got.tolist() == want)
+    assert right >= 0.97 * total and whole >= 54
+
+
+def test_long_pages_go_in_segments(monkeypatch):
+    """Segments give what the whole page at once gives, and hold no more for a longer page than its blocks."""
+    page, _ = other_page(random.Random(1), [""] * 4, "plain")
+    blocks = html_text.blocks("<div>" + page * 40 + "</div>")
+    model = html_text.labeller()
+    whole = model.label([blocks])[0]
+    monkeypatch.setattr(html_text, "SEGMENT", 64)
+    assert len(blocks) > 640 and model.label([blocks])[0].tolist() == whole.tolist()
+    monkeypatch.undo()
+    html = "<p>some words of a paragraph</p>" * 60_000
+    tracemalloc.start()
+    found = html_text.extract([html], model)[0]
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 140_000_000, f"{peak / 1e6:.0f} MB"
+    assert found == "" or set(found.split("\n")) == {"some words of a paragraph"}
+
+
 @pytest.mark.parametrize("page", ["<div>x" * 50_000, "<b>x" * 50_000 + "<p>y" * 2000, "<li>" * 50_000, "<template>" * 50_000, "<p" * 50_000])
 def test_deep_pages_take_linear_time(page):
     began = time.process_time()
