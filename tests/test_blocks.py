@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tilewright.operators import blocks, sampling
+from tilewright.operators import blocks, profile, sampling
 from tilewright.sources import rasters
 
 
@@ -118,3 +118,21 @@ def test_a_grid_moves_once(spark):
     made = blocks.warp(tiles, size, source, side, (n * side, n * side), blocks.affine(level))
     moved = shuffled(spark, lambda: made.write.format("noop").mode("overwrite").save())
     assert 0 < moved < 2 * 8 * (n * side) ** 2 + 12 * 64 * size * size
+
+
+def test_whole_profiles(spark):
+    """A ramp of 10 m a pixel with a void, walked to and fro; a line of one point has no profile."""
+    size, zoom = 16, 0
+    pixels = pixels_of(spark, {(x, y): 10.0 * x for x in range(16) for y in range(16) if x != 12})
+    tiles = blocks.from_pixels(pixels, size).withColumnsRenamed({"bx": "tile_column", "by": "tile_row"})
+    lon = lambda x: (x + 0.5) / 16 * 360 - 180
+    rows = [("there", 0, lon(2), 0.0), ("there", 1, lon(6), 0.0), ("back", 0, lon(6), 0.0), ("back", 1, lon(2), 0.0), ("void", 0, lon(10), 0.0), ("void", 1, lon(12), 0.0), ("one", 0, 0.0, 0.0)]
+    points = spark.createDataFrame(rows, "line_id string, seq int, lon double, lat double")
+    got = {r.line_id: r for r in profile.of_lines(points, tiles, zoom, size, 500_000.0).collect()}
+    assert set(got) == {"there", "back", "void"}
+    there, back, void = got["there"], got["back"], got["void"]
+    far = 4 * 2 * np.pi * 6371008.8 / 16
+    assert there.distance_m == pytest.approx(far) and there.points == int(far // 500_000) + 1
+    assert (there.ascent_m, there.descent_m, there.min_m, there.max_m, there.gaps) == pytest.approx((40.0, 0.0, 20.0, 60.0, 0))
+    assert (back.ascent_m, back.descent_m) == pytest.approx((0.0, 40.0))
+    assert void.gaps == 1 and void.min_m == pytest.approx(100.0)

@@ -185,6 +185,38 @@ def test_held_durations(spark, monkeypatch):
     assert {r.line_no: r.took for r in got} == {0: None, 8: "1s", 9: None, 12: "11s"}
 
 
+def test_late_events(spark, tmp_path):
+    """Pairs over two batches, and what comes after the watermark: it is left out of closed windows, and counted."""
+    import datetime as dt
+
+    at = lambda h: dt.datetime(2024, 1, 1) + dt.timedelta(hours=h)
+    schema = "event_id long, user_id long, ts timestamp, event_type string, value double"
+
+    def run(make, name, mode):
+        stream = spark.readStream.schema(schema).parquet(str(tmp_path / "in"))
+        query = make(stream).writeStream.format("parquet" if mode == "append" else "noop").outputMode(mode).option("path", str(tmp_path / name)).option("checkpointLocation", str(tmp_path / f"{name}-state")).trigger(availableNow=True).start()
+        query.awaitTermination(120)
+        return query
+
+    def batch(rows):
+        spark.createDataFrame([(i, u, at(h), "a", 1.0) for i, u, h in rows], schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+
+    pairs = lambda s: logs.pairs_within(s, s, "1 hour", "2 hours")
+    counts = lambda s: logs.windowed_counts(s, "1 hour", "2 hours")
+    batch([(1, 7, 0.0), (2, 7, 0.5), (3, 8, 0.6), (4, 7, 0.9)])
+    run(pairs, "pairs", "append"), run(counts, "counts", "append")
+    batch([(5, 7, 1.2), (6, 9, 50.0)])
+    run(pairs, "pairs", "append"), run(counts, "counts", "append")
+    batch([(7, 9, 50.5), (8, 8, 0.7)])  # the last is two days late
+    run(pairs, "pairs", "append")
+    late = sum(p["numRowsDroppedByWatermark"] for progress in run(counts, "counts", "append").recentProgress for p in progress["stateOperators"])
+    got = {(r.first_id, r.second_id) for r in spark.read.parquet(str(tmp_path / "pairs")).collect()}
+    assert got == {(1, 2), (1, 4), (2, 4), (2, 5), (4, 5), (6, 7)}
+    assert late == 1
+    closed = {(r.start.hour, r.events) for r in spark.read.parquet(str(tmp_path / "counts")).collect()}
+    assert closed == {(0, 4), (1, 1)}
+
+
 def test_event_windows(spark, data):
     e = spark.read.parquet(f"{data}/events.parquet")
     assert logs.windowed_counts(e).agg(F.sum("events")).first()[0] == e.count() == logs.sessions(e).agg(F.sum("events")).first()[0]

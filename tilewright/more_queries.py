@@ -8,7 +8,7 @@ from .functions import elevation as E
 from .functions import text as X
 from .functions import tiles as G
 from .operators import archive, catalog, options, profile, raster, tiling
-from .queries import _KINDED, _MIRRORS, _builds, _c, _mirrors, query
+from .queries import _LINE, _STEP, _line, _KINDED, _MIRRORS, _builds, _c, _mirrors, query
 from .session import load
 from .streaming.logs import tail
 from .views import view
@@ -364,7 +364,8 @@ def _(spark, d):
     return profile.running_offset(legs).groupBy(F.col("trip_id").alias("trip")).agg(F.count(F.lit(1)).alias("legs"), F.max("offset").alias("last_offset"))
 
 
-@query("W01_leg_lengths", "SELECT o_custkey AS trip, count(*) AS legs, cast(sum(o_orderkey % 9 + 2) AS bigint) AS points FROM orders GROUP BY 1")
+@query("W01_leg_lengths", f"WITH p AS ({_LINE}), s AS (SELECT line_id, seq, coalesce({_STEP}, 0) AS step FROM p WINDOW w AS (PARTITION BY line_id ORDER BY seq)), d AS (SELECT line_id, seq, sum(step) OVER (PARTITION BY line_id ORDER BY seq) AS distance_m FROM s) SELECT line_id, cast(seq // 10 AS bigint) AS leg, round(max(distance_m) - min(distance_m), 4) AS length_m FROM d GROUP BY 1, 2")
 def _(spark, d):
-    legs = load(spark, d, "orders").select(F.col("o_custkey").alias("trip_id"), F.col("o_orderkey").alias("leg"), (F.col("o_orderkey") % 9 + 2).alias("size"))
-    return profile.running_offset(legs).groupBy(F.col("trip_id").alias("trip")).agg(F.count(F.lit(1)).alias("legs"), F.sum("size").alias("points"))
+    """Lines cut into legs of ten points, each as long as the line gets longer on it."""
+    far = profile.with_distance(_line(spark, d)).groupBy("line_id", F.floor(F.col("seq") / 10).alias("leg"))
+    return far.agg(F.round(F.max("distance_m") - F.min("distance_m"), 4).alias("length_m"))

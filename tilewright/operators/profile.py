@@ -94,3 +94,24 @@ def running_offset(legs: DataFrame, size: str = "size", by: str = "trip_id", ord
     """Where each leg's points begin in the joined line, when legs share their end points."""
     before = Window.partitionBy(by).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
     return legs.withColumn("offset", F.coalesce(F.sum(F.col(size) - 1).over(before), F.lit(0)))
+
+
+def of_lines(points: DataFrame, tiles: DataFrame, zoom: int, side: int, metres: float, threshold: float = 3.0, line: str = "line_id", seq: str = "seq") -> DataFrame:
+    """``(line, distance_m, ascent_m, descent_m, min_m, max_m, gaps, points)`` of lines of points (lon, lat).
+
+    Lines get points in between every ``metres`` or so, each is sampled from decoded tiles (see :func:`blocks.sample_tiles`), and
+    ascents and descents count from ``threshold`` on. ``gaps`` are points that no tile has an elevation for; a line of
+    nothing else climbs nothing. Lines of one point have no profile.
+    """
+    from . import blocks
+
+    long_enough = points.groupBy(line).count().where("count > 1").select(line)
+    dense = densify(points.join(long_enough, line, "left_semi"), metres, line, seq)
+    placed = dense.select(line, (F.col(seq).cast("long") * (1 << 32) + F.col("part")).alias("at"), "lon", "lat")
+    elevation = blocks.sample_tiles(placed, tiles, zoom, side, [line, "at"], "elevation_m")
+    both = with_distance(placed, line, "at").join(elevation, [line, "at"])
+    totals = summary(both, line).withColumnRenamed("length_m", "distance_m").join(both.groupBy(line).agg(F.count(F.lit(1)).alias("points")), line)
+    climbs = hysteresis_ascent(both, threshold, line, "at")
+    return totals.join(climbs, line, "left").select(
+        line, "distance_m", *[F.coalesce(c, F.lit(0.0)).alias(c) for c in ("ascent_m", "descent_m")], "min_m", "max_m", "gaps", "points"
+    )

@@ -13,7 +13,7 @@ from .functions import elevation as E
 from .functions import sql as SQL
 from .functions import text as X
 from .functions import tiles as G
-from .operators import archive, blocks, catalog, geometry, masks, options, raster, sampling, tiling
+from .operators import archive, blocks, catalog, geometry, masks, options, profile, raster, sampling, tiling
 from .plans import steps
 from .queries import _EVENT, _KINDED, _builds, _c, _events, query
 from .session import load, scratch
@@ -154,8 +154,6 @@ def _(spark, d):
 @query("K07_manoeuvre_features", """WITH p AS (SELECT line_id, seq, max(seq) OVER (PARTITION BY line_id) AS last FROM fx_profile)
 SELECT line_id, m.k AS manoeuvre, cast(seq AS double) AS lon FROM p JOIN (VALUES (0, 1), (1, 40)) m(k, spot) ON p.seq = least(m.spot, p.last)""")
 def _(spark, d):
-    from .operators import profile
-
     points = view(spark, d, "fx_profile").select("line_id", "seq", F.col("seq").cast("double").alias("lon"), F.lit(45.0).alias("lat"))
     asked = points.select("line_id").distinct().withColumn("m", F.explode(F.array(*[F.struct(F.lit(k).alias("k"), F.lit(at).alias("at")) for k, at in ((0, 1), (1, 40))]))).select("line_id", F.col("m.k").alias("manoeuvre"), F.col("m.at").alias("spot"))
     made = tiling.geojson_points(profile.manoeuvre_points(asked, points), ["line_id", "manoeuvre"])
@@ -306,10 +304,44 @@ SELECT point_id, CASE WHEN has THEN round((v00 * (1 - fx) + coalesce(v10, v00) *
 )
 def _(spark, d):
     """Across tile seams, from tiles as blocks with the edges of those around them."""
-    grid = spark.range(128).select(F.col("id").alias("wx"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(127).cast("long"))).alias("wy"))
-    pixels = grid.select(F.col("wx").alias("gx"), F.col("wy").alias("gy"), ((F.col("wx") * 7 + F.col("wy") * 13) % 300).alias("elev"))
-    tiles = blocks.from_pixels(pixels.where("(gx div 16 + gy div 16) % 5 <> 0"), 16).withColumnsRenamed({"bx": "tile_column", "by": "tile_row"})
-    return blocks.sample_tiles(view(spark, d, "fx_points"), tiles, 3, 16, ["point_id"]).withColumn("elev", F.round("elev", 5))
+    return blocks.sample_tiles(view(spark, d, "fx_points"), _formula_tiles(spark), 3, 16, ["point_id"]).withColumn("elev", F.round("elev", 5))
+
+
+def _formula_tiles(spark: SparkSession) -> DataFrame:
+    """Decoded tiles of zoom 3, a fifth of them missing."""
+    grid = spark.range(128).select(F.col("id").alias("gx"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(127).cast("long"))).alias("gy"))
+    pixels = grid.select("gx", "gy", ((F.col("gx") * 7 + F.col("gy") * 13) % 300).alias("elev"))
+    return blocks.from_pixels(pixels.where("(gx div 16 + gy div 16) % 5 <> 0"), 16).withColumnsRenamed({"bx": "tile_column", "by": "tile_row"})
+
+
+_METRES = "2 * 6371008.8 * asin(least(1.0, sqrt(power(sin(radians(lat2 - lat) / 2), 2) + cos(radians(lat)) * cos(radians(lat2)) * power(sin(radians(lon2 - lon) / 2), 2))))"
+
+
+@query(
+    "A12_line_profiles",
+    f"""WITH RECURSIVE s AS (SELECT point_id // 20 AS line_id, point_id % 20 AS seq, lon, lat, lead(lon) OVER w AS lon2, lead(lat) OVER w AS lat2 FROM fx_points WINDOW w AS (PARTITION BY point_id // 20 ORDER BY point_id)),
+  n AS (SELECT *, CASE WHEN lon2 IS NULL THEN 1 ELSE greatest(cast(floor({_METRES} / 400000) AS int), 1) END AS pieces FROM s),
+  d AS (SELECT line_id, seq, part, CASE WHEN part = 0 THEN lon ELSE lon + (lon2 - lon) * part / pieces END AS lon, CASE WHEN part = 0 THEN lat ELSE lat + (lat2 - lat) * part / pieces END AS lat FROM n, unnest(generate_series(0, pieces - 1)) u(part)),
+  o AS (SELECT line_id, row_number() OVER (PARTITION BY line_id ORDER BY seq, part) AS k, lon, lat FROM d),
+  p AS (SELECT line_id, k, (lon + 180.0) / 360.0 * 8 AS tx, (1.0 - ln(tan(radians(lat)) + 1.0 / cos(radians(lat))) / pi()) / 2.0 * 8 AS ty FROM o),
+  w AS (SELECT line_id, k, tx * 16 - 0.5 AS wx, ty * 16 - 0.5 AS wy, (cast(floor(tx) AS bigint) + cast(floor(ty) AS bigint)) % 5 <> 0 AND tx < 8 AS has FROM p),
+  v AS (SELECT *, wx - floor(wx) AS fx, wy - floor(wy) AS fy, {", ".join(f"(SELECT {_TILE_VALUE} FROM (SELECT cast(floor(wx) AS bigint) + {dx} AS gx, cast(floor(wy) AS bigint) + {dy} AS gy)) AS v{dx}{dy}" for dx, dy in ((0, 0), (1, 0), (0, 1), (1, 1)))} FROM w),
+  e AS (SELECT line_id, k, CASE WHEN has THEN (v00 * (1 - fx) + coalesce(v10, v00) * fx) * (1 - fy) + (coalesce(v01, v00) * (1 - fx) + coalesce(v11, v10, v00) * fx) * fy END AS e FROM v),
+  known AS MATERIALIZED (SELECT line_id, row_number() OVER (PARTITION BY line_id ORDER BY k) AS k, e FROM e WHERE e IS NOT NULL),
+  f AS (SELECT line_id, k, e AS anchor, cast(0 AS double) AS up, cast(0 AS double) AS down FROM known WHERE k = 1 UNION ALL
+    SELECT x.line_id, x.k, CASE WHEN abs(x.e - f.anchor) >= 3 THEN x.e ELSE f.anchor END, f.up + CASE WHEN x.e - f.anchor >= 3 THEN x.e - f.anchor ELSE 0 END, f.down + CASE WHEN f.anchor - x.e >= 3 THEN f.anchor - x.e ELSE 0 END
+    FROM f JOIN known x ON x.line_id = f.line_id AND x.k = f.k + 1),
+  climbs AS (SELECT line_id, arg_max(up, k) AS up, arg_max(down, k) AS down FROM f GROUP BY 1),
+  way AS (SELECT line_id, sum(CASE WHEN lon2 IS NULL THEN 0 ELSE {_METRES} END) AS far FROM (SELECT line_id, lon, lat, lead(lon) OVER w AS lon2, lead(lat) OVER w AS lat2 FROM o WINDOW w AS (PARTITION BY line_id ORDER BY k)) GROUP BY 1),
+  seen AS (SELECT line_id, min(e) AS low, max(e) AS high, count(*) - count(e) AS gaps, count(*) AS points FROM e GROUP BY 1)
+SELECT line_id, round(far, 2) AS distance_m, round(coalesce(up, 0), 4) AS ascent_m, round(coalesce(down, 0), 4) AS descent_m, round(low, 4) AS min_m, round(high, 4) AS max_m, gaps, points
+FROM seen JOIN way USING (line_id) LEFT JOIN climbs USING (line_id)""",
+)
+def _(spark, d):
+    """Whole profiles: lines of twenty points, made denser, sampled over tile seams, measured and climbed."""
+    points = view(spark, d, "fx_points").select(F.floor(F.col("point_id") / 20).alias("line_id"), (F.col("point_id") % 20).alias("seq"), "lon", "lat")
+    made = profile.of_lines(points, _formula_tiles(spark), 3, 16, 400_000.0)
+    return made.select("line_id", F.round("distance_m", 2).alias("distance_m"), *[F.round(c, 4).alias(c) for c in ("ascent_m", "descent_m", "min_m", "max_m")], "gaps", "points")
 
 
 @query("T09_clamped_zoom", "SELECT cast(greatest(least(20, max(zoom_level)), min(zoom_level)) AS int) AS zoom FROM fx_archive")
@@ -845,6 +877,25 @@ def _(spark, d):
     return changes.select("run", "stage", F.row_number().over(Window.partitionBy("run", "stage").orderBy("offset")).cast("long").alias("place"), "percent")
 
 
+def _event_stream(spark: SparkSession, d: str, made, name: str) -> DataFrame:
+    """What a query over the events' files as streams writes, and is read back with its columns."""
+    folder = scratch(spark)
+    load(spark, d, "events").write.parquet(f"{folder}/events")
+    stream = spark.readStream.schema(load(spark, d, "events").schema).parquet(f"{folder}/events")
+    out = made(stream)
+    out.writeStream.format("parquet").option("path", f"{folder}/{name}").option("checkpointLocation", f"{folder}/{name}-state").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema(out.schema).parquet(f"{folder}/{name}")
+
+
+@query(
+    "R07_event_pairs",
+    "SELECT a.user_id, a.event_id AS first_id, b.event_id AS second_id FROM events a JOIN events b ON a.user_id = b.user_id AND a.event_id <> b.event_id AND b.ts >= a.ts AND b.ts <= a.ts + INTERVAL 6 HOUR",
+)
+def _(spark, d):
+    """Two streams of the events joined on the user and on time."""
+    return _event_stream(spark, d, lambda e: logs.pairs_within(e, e, "6 hours"), "pairs").select("user_id", "first_id", "second_id")
+
+
 @query("W04_elapsed_of_events", f"WITH e AS ({_EVENT}) SELECT stage, max(seconds) AS longest FROM e WHERE event IN ('phase_end', 'zoom_end') GROUP BY 1")
 def _(spark, d):
     return _events(spark, d).where("event IN ('phase_end', 'zoom_end')").groupBy("stage").agg(F.max("seconds").alias("longest"))

@@ -139,11 +139,23 @@ def percent_changes(events: DataFrame, run: str = "path", order: str = "offset")
 def windowed_counts(events: DataFrame, width: str = "1 day", late: str = "2 days", slide: str | None = None) -> DataFrame:
     """Events (ts, event_type, value) counted and summed in event-time windows; later ones than ``late`` are left out of closed windows."""
     window = F.window("ts", width, slide) if slide else F.window("ts", width)
-    out = events.withWatermark("ts", late).groupBy(window, "event_type").agg(F.count(F.lit(1)).alias("events"), F.sum("value").alias("total"))
+    out = events.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", late).groupBy(window, "event_type").agg(F.count(F.lit(1)).alias("events"), F.sum("value").alias("total"))
     return out.select(F.col("window.start").alias("start"), F.col("window.end").alias("end"), "event_type", "events", "total")
 
 
 def sessions(events: DataFrame, gap: str = "30 minutes", late: str = "2 hours") -> DataFrame:
     """Events of each user in sessions that end with a gap."""
-    out = events.withWatermark("ts", late).groupBy(F.session_window("ts", gap), "user_id").agg(F.count(F.lit(1)).alias("events"))
+    out = events.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", late).groupBy(F.session_window("ts", gap), "user_id").agg(F.count(F.lit(1)).alias("events"))
     return out.select("user_id", F.col("session_window.start").alias("start"), F.col("session_window.end").alias("end"), "events")
+
+
+def pairs_within(first: DataFrame, second: DataFrame, within: str = "1 hour", late: str = "2 hours", by: str = "user_id") -> DataFrame:
+    """``(by, first_id, second_id, first_ts, second_ts)``: each event of ``second`` that follows one of ``first`` of the same user in time.
+
+    Two streams of events (event_id, user_id, ts): both have a watermark, and the interval says how long a row has to be
+    kept for the other side, so state is dropped as time goes on. Rows later than the watermark find no partner that is gone.
+    """
+    a = first.select(F.col(by), F.col("event_id").alias("first_id"), F.col("ts").cast("timestamp").alias("first_ts")).withWatermark("first_ts", late)
+    b = second.select(F.col(by).alias("_by"), F.col("event_id").alias("second_id"), F.col("ts").cast("timestamp").alias("second_ts")).withWatermark("second_ts", late)
+    near = (F.col("second_ts") >= F.col("first_ts")) & (F.col("second_ts") <= F.col("first_ts") + F.expr(f"INTERVAL {within}"))
+    return a.join(b, (F.col(by) == F.col("_by")) & near).where("first_id <> second_id").drop("_by")
