@@ -111,11 +111,12 @@ def test_partitions_of_like_bytes(spark, tmp_path):
     t = spark.read.format("mbtiles").option("splitBytes", 50_000).load(path)
     assert {tuple(x)[:3]: len(x.tile_data) for x in t.collect()} == sizes
     for where in ("zoom_level >= 6 AND tile_column BETWEEN 3 AND 7", "zoom_level IN (2, 5) AND tile_row > 1", "zoom_level = 7 AND tile_column = 5 AND tile_row < 20", "tile_column < 0"):
-        some = t.where(where)
+        some = mbtiles.pushed(spark, "mbtiles", path).where(where)
         assert "Filter (" not in some._jdf.queryExecution().executedPlan().toString().replace("PushedFilters", "")
         plain = where.replace("AND 7", "and 7").replace(" AND ", " and ").replace("tile_column BETWEEN 3 and 7", "3 <= tile_column <= 7").replace("IN (", "in (").replace("tile_row = ", "tile_row == ").replace("zoom_level = ", "zoom_level == ").replace("tile_column = ", "tile_column == ")
         assert {tuple(x)[:3] for x in some.collect()} == {k for k in sizes if eval(plain, {}, dict(zip(mbtiles.ADDRESS, k)))}
-    sized = spark.read.format("mbtiles").option("table", "addresses").load(path).where("zoom_level > 4")
+    assert t.where("zoom_level = 2").unionByName(t).count() == len(sizes) + 16 and t.count() == len(sizes)
+    sized = mbtiles.pushed(spark, "mbtiles", path, table="addresses").where("zoom_level > 4")
     assert {tuple(x)[:3]: x.nbytes for x in sized.collect()} == {k: n for k, n in sizes.items() if k[0] > 4}
 
 

@@ -17,8 +17,8 @@ from .operators import archive, blocks, catalog, geometry, masks, options, profi
 from .plans import steps
 from .queries import _EVENT, _KINDED, _builds, _c, _events, query
 from .session import load, scratch
+from .sources import bounds, formats, grids, mbtiles, rasters, vectors
 from .sources import catalog as files
-from .sources import grids, mbtiles, rasters, vectors
 from .streaming import logs, tail
 from .views import view
 
@@ -36,7 +36,7 @@ def _archive(spark: SparkSession, d: str, layout: str = "classic", content: str
 
 
 def _read(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.format("mbtiles").load(path)
+    return mbtiles.pushed(spark, "mbtiles", path)
 
 
 @query("S01_archive_scan", "SELECT zoom_level, tile_column, tile_row, concat('t', cast(tile_column AS varchar)) AS content FROM fx_archive WHERE zoom_level <= 5")
@@ -181,6 +181,17 @@ def _(spark, d):
     return grids.read_hgt(spark, folder).drop("path")
 
 
+@query("S06_hgt_format", "WITH p AS (SELECT DISTINCT priority FROM fx_pixels) SELECT 40 + p.priority AS lat_deg, x AS gx, y AS gy, elev FROM p CROSS JOIN range(64) a(x) CROSS JOIN range(20) b(y) LEFT JOIN fx_pixels f ON f.priority = p.priority AND f.gx = x AND f.gy = y WHERE p.priority IN (2, 3, 5) AND x <> 7")
+def _(spark, d):
+    """Some squares' northern lines: other files are not opened, other lines not read."""
+    formats.register(spark)
+    folder = scratch(spark)
+    path = F.concat(F.lit("N4"), "bx", F.lit("E006.hgt"))
+    files.write_files(_priorities(spark, d).select(path.alias("path"), grids.hgt_bytes(F.col("data")).alias("data")), folder).count()
+    found = mbtiles.pushed(spark, "hgt", folder).where("lon_deg = 6 AND lat_deg IN (42, 43, 45) AND gy < 20").where("gx <> 7")
+    return found.select("lat_deg", "gx", "gy", "elev")
+
+
 _NAME = """concat(CASE WHEN floor(lat) < 0 THEN 'S' ELSE 'N' END, lpad(cast(cast(abs(floor(lat)) AS bigint) AS varchar), 2, '0'), CASE WHEN floor(lon) < 0 THEN 'W' ELSE 'E' END, lpad(cast(cast(abs(floor(lon)) AS bigint) AS varchar), 3, '0'))"""
 _LISTING = f"SELECT DISTINCT concat('/dem/', CASE WHEN point_id % 2 = 0 THEN concat(substr(name, 1, 3), '/') ELSE '' END, name, '.hgt') AS path FROM (SELECT point_id, {_NAME} AS name FROM fx_points) WHERE point_id % 3 <> 0"
 
@@ -242,6 +253,31 @@ def _(spark, d):
     return found.select(F.regexp_extract("path", "([0-9]+).tif$", 1).cast("int").alias("priority"), F.col("gx").cast("int").alias("gx"), F.col("gy").cast("int").alias("gy"), "elev")
 
 
+@query(
+    "S11_raster_format",
+    "SELECT priority, cast(gx AS bigint) AS gx, cast(gy AS bigint) AS gy, cast(elev AS double) AS elev FROM fx_pixels WHERE gx BETWEEN 20 AND 40 AND gy >= 30",
+)
+def _(spark, d):
+    """The blocks that a window touches, and of them its pixels."""
+    formats.register(spark)
+    found = mbtiles.pushed(spark, "raster", _rasters(spark, d)).where("level = 0 AND gx BETWEEN 20 AND 40 AND gy >= 30")
+    return found.select(F.regexp_extract("path", "([0-9]+).tif$", 1).cast("int").alias("priority"), "gx", "gy", "elev")
+
+
+@query(
+    "S29_bounds_index",
+    "SELECT priority, 10.0 * priority AS west, 85.0 - 320 AS south, 10.0 * priority + 320 AS east, 85.0 AS north, 0 AS opened_again FROM (SELECT DISTINCT priority FROM fx_pixels) WHERE 10.0 * priority < 25 AND 10.0 * priority + 320 > 20",
+)
+def _(spark, d):
+    """Files whose bounds meet a box, from an index that is made and then found to be as the files are."""
+    folder, index = _rasters(spark, d), f"{scratch(spark)}/index"
+    files_ = bounds.listed(spark, folder)
+    bounds.refresh(spark, files_, index, bounds.raster_bounds)
+    again = bounds.refresh(spark, files_, index, bounds.raster_bounds).agg(F.count(F.lit(1)).cast("int").alias("opened_again"))
+    priority = F.regexp_extract("path", "([0-9]+).tif$", 1).cast("int").alias("priority")
+    return bounds.touching(spark, index, (20.0, -10.0, 25.0, 10.0)).select(priority, "west", "south", "east", "north").crossJoin(F.broadcast(again))
+
+
 def _bilinear(points: str, keys: str, x: str, y: str, value: str) -> str:
     """SQL of a bilinear sample of the grid of formulas at fractional pixels, with borrowed neighbours."""
     at = lambda n, dx, dy: f"(SELECT {value} FROM (SELECT least(cast(floor(px) AS bigint) + {dx}, 71) AS gx, least(cast(floor(py) AS bigint) + {dy}, 33) AS gy)) AS {n}"
@@ -404,7 +440,11 @@ _BOX_RINGS = "SELECT box_id, is_hole, seq, CASE WHEN seq IN (1, 2) THEN east - i
 
 
 def _polys(spark: SparkSession, d: str) -> DataFrame:
-    """A polygon file of each box, with a hole in the middle, written and read."""
+    return vectors.read_poly(spark, _poly_folder(spark, d))
+
+
+def _poly_folder(spark: SparkSession, d: str) -> str:
+    """A polygon file of each box, with a hole in the middle."""
 
     def ring(head: str, inner: float):
         corners = [("west", "south", 1, 1), ("east", "south", -1, 1), ("east", "north", -1, -1), ("west", "north", 1, -1), ("west", "south", 1, 1)]
@@ -413,7 +453,7 @@ def _polys(spark: SparkSession, d: str) -> DataFrame:
     text = F.concat_ws("\n", "name", ring("1", 0.0), ring("!2", 0.5), F.lit("END\n"))
     folder = scratch(spark)
     files.write_files(view(spark, d, "fx_boxes").select(F.concat("box_id", F.lit(".poly")).alias("path"), text.alias("data")), folder).count()
-    return vectors.read_poly(spark, folder)
+    return folder
 
 
 @query("S13_poly", f"SELECT cast(box_id AS int) AS box_id, cast(is_hole AS int) AS ring_id, cast(is_hole AS int) AS is_hole, cast(seq AS int) AS seq, round(lon, 6) AS lon, round(lat, 6) AS lat FROM ({_BOX_RINGS})")
@@ -422,6 +462,14 @@ def _(spark, d):
     return _polys(spark, d).select(box, "ring_id", "is_hole", "seq", F.round("lon", 6).alias("lon"), F.round("lat", 6).alias("lat"))
 
 
+@query("S13_poly_format", f"SELECT cast(box_id AS varchar) AS file, cast(is_hole AS int) AS is_hole, cast(seq AS int) AS seq, round(lon, 6) AS lon, round(lat, 6) AS lat FROM ({_BOX_RINGS}) WHERE box_id IN (3, 7, 11)")
+def _(spark, d):
+    """Three of the boxes' polygon files; the others are not opened."""
+    formats.register(spark)
+    found = mbtiles.pushed(spark, "poly", _poly_folder(spark, d)).where("file IN ('3', '7', '11')")
+    return found.select("file", "is_hole", "seq", F.round("lon", 6).alias("lon"), F.round("lat", 6).alias("lat"))
+
+
 @query("S14_poly_geojson", f"SELECT cast(is_hole AS int) AS is_hole, cast(seq AS int) AS seq, round(lon, 6) AS lon, round(lat, 6) AS lat FROM ({_BOX_RINGS})")
 def _(spark, d):
     """Polygon files written as GeoJSON and read back (S31)."""

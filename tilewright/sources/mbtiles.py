@@ -3,8 +3,8 @@
 ``spark.read.format("mbtiles").load(path)`` gives zoom_level, tile_column, tile_row (TMS), tile_data;
 ``option("table", "metadata")`` gives name, value and ``option("table", "addresses")`` the tiles with ``nbytes`` in the
 place of their content, which is not read then. Partitions are ranges of columns, and of rows where a column
-is large, of about ``option("splitBytes")`` each, small zooms together; comparisons of the address with values go into
-the file. Classic, compact and legacy layouts read alike.
+is large, of about ``option("splitBytes")`` each, small zooms together. With ``option("pushFilters", "true")`` comparisons of
+the address with values go into the file; see :func:`pushed` for when. Classic, compact and legacy layouts read alike.
 
 Writing makes one part archive a task and joins them when the job commits, in a single file that
 appears under its name only when whole: an export of what fits one file. ``write_shards`` writes any number of
@@ -169,14 +169,14 @@ def split(sizes: Iterator[tuple[int, int, int]], rows: Callable[[int, int], Iter
 
 
 class _Reader(DataSourceReader):
-    def __init__(self, path: str, table: str, most: int):
-        self.path, self.table, self.most = path, table, most
+    def __init__(self, path: str, table: str, most: int, push: bool = True):
+        self.path, self.table, self.most, self.push = path, table, most, push
         self.where: list[tuple[str, list]] = []
 
     def pushFilters(self, filters):
         for f in filters:
             name = f.attribute[0] if len(getattr(f, "attribute", ())) == 1 else None
-            if self.table == "metadata" or name not in ADDRESS:
+            if not self.push or self.table == "metadata" or name not in ADDRESS:
                 yield f
             elif type(f) in _COMPARED:
                 self.where.append((f"{name} {_COMPARED[type(f)]} ?", [f.value]))
@@ -272,7 +272,7 @@ class MBTiles(DataSource):
         return {"metadata": "name string, value string", "addresses": ADDRESSES}.get(self.options.get("table", "tiles"), TILES)
 
     def reader(self, schema) -> DataSourceReader:
-        return _Reader(self.options["path"], self.options.get("table", "tiles"), int(self.options.get("splitBytes", SPLIT)))
+        return _Reader(self.options["path"], self.options.get("table", "tiles"), int(self.options.get("splitBytes", SPLIT)), self.options.get("pushFilters") == "true")
 
     def writer(self, schema, overwrite: bool) -> DataSourceWriter:
         path = self.options["path"]
@@ -282,6 +282,16 @@ class MBTiles(DataSource):
 
 
 def register(spark: SparkSession) -> None:
-    """Make the format known; filters are pushed into files from here on."""
+    """Make the format known; where a reader is asked to, it takes filters from here on."""
     spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
     spark.dataSource.register(MBTiles)
+
+
+def pushed(spark: SparkSession, kind: str, path: str, **options: str) -> DataFrame:
+    """A table of a format of this package that takes the filters put on it, to be used with one set of filters.
+
+    Spark keeps the filters that a Python reader took with what was loaded, not with the plan: another plan of the same
+    loaded table, or the table twice in one plan, would read by the last filters alone. So filters are taken only where
+    ``pushFilters`` says so, and each use loads anew, as this function does.
+    """
+    return spark.read.format(kind).options(pushFilters="true", **options).load(path)
