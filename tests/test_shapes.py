@@ -7,7 +7,7 @@ from collections import defaultdict
 import pytest
 from pyspark.sql import functions as F
 
-from tilewright.operators import chains, contours, polygons, simplify
+from tilewright.operators import chains, contours, order, polygons, simplify
 
 # --- chains ------------------------------------------------------------------
 
@@ -395,3 +395,16 @@ def test_union_of_squares_that_touch_at_corners(spark):
     rings = simplify.united(spark.createDataFrame(rows, RING))
     areas = sorted(r.area for r in simplify.ring_areas(rings).collect())
     assert areas == [1.0, 1.0, 1.0, 1.0, 2.0]
+
+
+# --- numbers in order --------------------------------------------------------
+
+
+def test_numbers_over_ranges(spark):
+    r = random.Random(2)
+    values = [(r.randrange(40), i) for i in range(500)]
+    rows = spark.createDataFrame(values, "cost long, tie long").repartition(7)
+    got = order.numbered(rows, "rank", F.desc("cost"), F.col("tie")).collect()
+    want = {v: i + 1 for i, v in enumerate(sorted(values, key=lambda v: (-v[0], v[1])))}
+    assert {(g.cost, g.tie): g["rank"] for g in got} == want
+    assert order.numbered(rows.where("false"), "rank", "tie").collect() == []

@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .order import numbered
+
 ADDRESS = ["zoom_level", "tile_column", "tile_row"]
 
 
@@ -161,7 +163,7 @@ def wanted_layers(rows: DataFrame, layer: str, include: str | None, exclude: str
 
 def ranked(costs: DataFrame, cost: str, tie: str) -> DataFrame:
     """``rank`` by descending cost, of a table with one row a key."""
-    return costs.withColumn("rank", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(F.desc(cost), tie)).cast("long"))
+    return numbered(costs, "rank", F.desc(cost), F.col(tie))
 
 
 def keep_by_mask(tiles: DataFrame, mask_tiles: DataFrame) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from .order import numbered
 
 
 def described(files: DataFrame) -> DataFrame:
@@ -69,8 +70,7 @@ def visible_kinds(layers: DataFrame, wanted: str = "all") -> DataFrame:
 
 def symbol_ids(rows: DataFrame, symbol: str) -> DataFrame:
     """``rows`` with ``symbol_id``: a number for each distinct symbol, in order. The ids are given out over the distinct values."""
-    ids = rows.select(symbol).distinct().withColumn("symbol_id", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(symbol)).cast("long"))
-    return rows.join(ids, symbol)
+    return rows.join(numbered(rows.select(symbol).distinct(), "symbol_id", symbol), symbol)
 
 
 def mirror_order(mirrors: DataFrame, by: str, tie: str) -> DataFrame:

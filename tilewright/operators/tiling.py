@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from ..functions import elevation as E
 from ..functions import tiles as G
+from ..session import written
 from . import geometry
 
 
@@ -38,7 +39,7 @@ def tiles_of_shape(ring_vertices: DataFrame, max_zoom: int, buffer: float = 0.0,
                 (F.expr("shiftleft(tile_row, d)") + F.col("dy")).alias("tile_row"),
             )
         )
-        found = geometry.boxes_touching_shape(_boxed(level), ring_vertices, buffer).select("zoom_level", "tile_column", "tile_row")
+        found = written(geometry.boxes_touching_shape(_boxed(level), ring_vertices, buffer).select("zoom_level", "tile_column", "tile_row"))
         part = found if first == 0 else found.where(F.col("zoom_level") > first)
         out = part if out is None else out.unionByName(part)
         start = found.where(F.col("zoom_level") == last)
