@@ -132,6 +132,14 @@ def test_vector_tile(spark):
     assert spark.sql("SELECT d.key FROM {t} t, LATERAL decode_tile(t.tile_data) d", t=t).count() == 2
 
 
+def test_encoded_tiles():
+    features = [("road", 2, [("name", "A1"), ("lanes", 2), ("toll", False), ("km", 1.5)]), ("poi", 1, []), ("road", 2, [("name", "A1"), ("level", -3), ("far", 1 << 40), ("deep", -(1 << 40)), ("é", "日")])]
+    want = [("road", 4096, 0, "line", "name", "A1"), ("road", 4096, 0, "line", "lanes", "2"), ("road", 4096, 0, "line", "toll", "false"), ("road", 4096, 0, "line", "km", "1.5")]
+    want += [("road", 4096, 1, "line", "name", "A1"), ("road", 4096, 1, "line", "level", "-3"), ("road", 4096, 1, "line", "far", str(1 << 40)), ("road", 4096, 1, "line", "deep", str(-(1 << 40))), ("road", 4096, 1, "line", "é", "日")]
+    assert list(vectors.decode_tile(vectors.encode_tile(features))) == [*want, ("poi", 4096, 0, "point", None, None)]
+    assert vectors.encode_tile([]) == b""
+
+
 def test_double_value():
     assert vectors._value(b"\x19" + struct.pack("<d", 0.5)) == "0.5"
 

@@ -164,9 +164,9 @@ def _(spark, d):
     return archive.unique_or_null(_mirrors(spark, d), "hash", "file_len")
 
 
-@query("A20_ring_bounds", "SELECT ring_id, min(lon) AS west, min(lat) AS south, max(lon) AS east, max(lat) AS north FROM fx_ring GROUP BY 1")
+@query("A20_ring_bounds", "SELECT point_id // 20 AS ring_id, min(lon) AS west, min(lat) AS south, max(lon) AS east, max(lat) AS north FROM fx_points GROUP BY 1")
 def _(spark, d):
-    return geometry.bounding_box(view(spark, d, "fx_ring"), ["ring_id"])
+    return geometry.bounding_box(view(spark, d, "fx_points").withColumn("ring_id", F.floor(F.col("point_id") / 20)), ["ring_id"])
 
 
 @query("J01_compact_view", "SELECT t.tile_data_id, zoom_level, tile_column, tile_row, nbytes, build, tile_data FROM fx_tiles t JOIN fx_blobs b ON t.tile_data_id = b.tile_data_id")

@@ -476,6 +476,25 @@ def _(spark, d):
     return vectors.geojson_rings(vectors.poly_geojson(_polys(spark, d), "name"), "feature").select("is_hole", "seq", F.round("lon", 6).alias("lon"), F.round("lat", 6).alias("lat"))
 
 
+@query(
+    "S33_vector_tiles",
+    """WITH f AS (SELECT feature_id % 40 AS tile, layer, row_number() OVER (PARTITION BY feature_id % 40, layer ORDER BY feature_id) - 1 AS feature, CASE feature_id % 3 WHEN 0 THEN 'point' WHEN 1 THEN 'line' ELSE 'polygon' END AS geometry, field, value_id, feature_id FROM fx_fields)
+SELECT tile, layer, feature, geometry, 'field' AS key, field AS value FROM f UNION ALL SELECT tile, layer, feature, geometry, 'size', cast(value_id - 20 AS varchar) FROM f
+UNION ALL SELECT tile, layer, feature, geometry, 'part', cast(cast(value_id / 4.0 AS double) AS varchar) FROM f UNION ALL SELECT tile, layer, feature, geometry, 'odd', CASE WHEN value_id % 2 = 1 THEN 'true' ELSE 'false' END FROM f WHERE value_id % 5 <> 0""",
+)
+def _(spark, d):
+    """Tiles of many layers, features and kinds of values, encoded and decoded."""
+    vectors.register(spark)
+    none = {"text": "string", "whole": "long", "real": "double", "flag": "boolean"}
+    tag = lambda key, **own: F.struct(F.lit(key).alias("key"), *[own.get(n, F.lit(None)).cast(t).alias(n) for n, t in none.items()])
+    size = F.col("value_id")
+    tags = F.array(tag("field", text=F.col("field")), tag("size", whole=size - 20), tag("part", real=size / 4.0), tag("odd", flag=size % 2 == 1))
+    tags = F.when(size % 5 == 0, F.slice(tags, 1, 3)).otherwise(tags)
+    features = view(spark, d, "fx_fields").select((F.col("feature_id") % 40).alias("tile"), "feature_id", "layer", (F.col("feature_id") % 3 + 1).cast("int").alias("kind"), tags.alias("tags"))
+    made = vectors.vector_tiles(features, ["tile"], "feature_id")
+    return spark.sql("SELECT t.tile, d.layer, d.feature, d.geometry, d.key, d.value FROM {t} t, LATERAL decode_tile(t.tile_data) d", t=made)
+
+
 @query("S31_geojson_shape", "SELECT point_id FROM fx_points WHERE (lon > 0 AND lon < 10 AND lat > 0 AND lat < 10) OR (lon > 20 AND lon < 30 AND lat > 20 AND lat < 30)")
 def _(spark, d):
     ring = lambda a: f"[[[{a},{a}],[{a},{a + 10}],[{a + 10},{a + 10}],[{a + 10},{a}],[{a},{a}]]]"
@@ -503,13 +522,17 @@ def _(spark, d):
 
 @query(
     "Q06_shape_tiles",
-    """SELECT zoom_level, x AS tile_column, y AS tile_row FROM (SELECT z AS zoom_level, x, y, x / power(2, z) * 360.0 - 180.0 AS w, (x + 1) / power(2, z) * 360.0 - 180.0 AS e,
+    """WITH t AS (SELECT z AS zoom_level, x, y, x / power(2, z) * 360.0 - 180.0 AS w, (x + 1) / power(2, z) * 360.0 - 180.0 AS e,
   degrees(atan(sinh(pi() * (1.0 - 2.0 * (y + 1) / power(2, z))))) AS s, degrees(atan(sinh(pi() * (1.0 - 2.0 * y / power(2, z))))) AS n
   FROM (SELECT cast(z AS int) AS z, x, y FROM range(8) a(z), range(128) b(x), range(128) c(y) WHERE x < power(2, z) AND y < power(2, z)))
-WHERE w <= 40 AND e >= -40 AND s <= 30 AND n >= -30 AND NOT (w > -10 AND e < 10 AND s > -10 AND n < 10)""",
+SELECT DISTINCT zoom_level, x AS tile_column, y AS tile_row FROM t, fx_boxes b WHERE t.w <= b.east AND t.e >= b.west AND t.s <= b.north AND t.n >= b.south""",
 )
 def _(spark, d):
-    return tiling.tiles_of_shape(view(spark, d, "fx_ring"), 7)
+    """Tiles that touch a shape of many rings, one a box."""
+    sides = [("west", "south"), ("east", "south"), ("east", "north"), ("west", "north"), ("west", "south")]
+    corners = F.array(*[F.struct(F.lit(k).alias("seq"), F.col(x).alias("lon"), F.col(y).alias("lat")) for k, (x, y) in enumerate(sides)])
+    rings = view(spark, d, "fx_boxes").select(F.col("box_id").alias("ring_id"), F.lit(0).alias("is_hole"), F.explode(corners).alias("c"))
+    return tiling.tiles_of_shape(rings.select("ring_id", "is_hole", "c.seq", "c.lon", "c.lat"), 7)
 
 
 @query("Q07_mask_of_archive", "SELECT DISTINCT cast(zoom_level - k AS int) AS zoom_level, tile_column >> k AS tile_column, tile_row >> k AS tile_row FROM fx_archive, unnest(generate_series(0, zoom_level)) u(k) WHERE zoom_level <= 5")

@@ -229,6 +229,76 @@ def decode_tile(raw: bytes) -> Iterator[tuple[str, int, int, str, str, str]]:
                 yield name, extent, i, kind, keys[k], values[v]
 
 
+def _number(value: int) -> bytes:
+    out = bytearray()
+    while value > 127:
+        out.append(value & 127 | 128)
+        value >>= 7
+    out.append(value)
+    return bytes(out)
+
+
+def _part(number: int, body: bytes) -> bytes:
+    return _number(number << 3 | 2) + _number(len(body)) + body
+
+
+def _typed(value: str | bool | int | float) -> bytes:
+    """A value in the field of its kind: text, double, truth, or a whole number with or without a sign."""
+    if isinstance(value, str):
+        return _part(1, value.encode())
+    if isinstance(value, float):
+        return _number(3 << 3 | 1) + struct.pack("<d", value)
+    if isinstance(value, bool):
+        return _number(7 << 3) + _number(value)
+    return _number(5 << 3) + _number(value) if value >= 0 else _number(6 << 3) + _number(-2 * value - 1)
+
+
+def encode_tile(features: list[tuple[str, int, list[tuple[str, object]]]], extent: int = 4096) -> bytes:
+    """A vector tile of features (layer, geometry kind, tags), layers in the order they come first in; geometries are empty.
+
+    A layer has each key and each value once, and features the places of theirs.
+    """
+    layers: dict[str, list] = {}
+    for layer, kind, tags in features:
+        layers.setdefault(layer, []).append((kind, tags))
+    out = b""
+    for name, own in layers.items():
+        keys: dict[str, int] = {}
+        values: dict[bytes, int] = {}
+        body = _part(1, name.encode())
+        for kind, tags in own:
+            places = b"".join(_number(keys.setdefault(k, len(keys))) + _number(values.setdefault(_typed(v), len(values))) for k, v in tags)
+            body += _part(2, (_part(2, places) if tags else b"") + _number(3 << 3) + _number(kind))
+        body += b"".join(_part(3, k.encode()) for k in keys) + b"".join(_part(4, v) for v in values) + _number(5 << 3) + _number(extent) + _number(15 << 3) + _number(2)
+        out += _part(3, body)
+    return out
+
+
+#: Tags of a feature: one of the last four is the value.
+TAGS = "array<struct<key: string, text: string, whole: long, real: double, flag: boolean>>"
+
+
+def vector_tiles(features: DataFrame, by: list[str], order: str) -> DataFrame:
+    """``(by, tile_data)``: a tile of each group of ``features (by, order, layer, kind, tags)``; ``tags`` are of type ``TAGS``.
+
+    A group is what one tile shows, which is bounded by what a map can draw.
+    """
+
+    @F.pandas_udf("binary")
+    def encoded(column: pd.Series) -> pd.Series:
+        def value(t) -> object:
+            if t["whole"] is not None:
+                return int(t["whole"])
+            return next(v for v in (t["text"], t["flag"], t["real"]) if v is not None)
+
+        return column.map(lambda fs: encode_tile([(f["layer"], f["kind"], [(t["key"], value(t)) for t in f["tags"]]) for f in fs]))
+
+    # Whole numbers travel as text: pandas would make those beside nulls floating ones.
+    tags = F.transform("tags", lambda t: F.struct(t["key"].alias("key"), t["text"].alias("text"), t["whole"].cast("string").alias("whole"), t["real"].alias("real"), t["flag"].alias("flag")))
+    listed = features.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct(order, "layer", "kind", tags.alias("tags")))).alias("f"))
+    return listed.select(*by, encoded("f").alias("tile_data"))
+
+
 @udtf(returnType="layer string, extent int, feature int, geometry string, key string, value string")
 class DecodeTile:
     """SQL: ``decode_tile(tile_data)``."""
