@@ -136,3 +136,14 @@ def test_whole_profiles(spark):
     assert (there.ascent_m, there.descent_m, there.min_m, there.max_m, there.gaps) == pytest.approx((40.0, 0.0, 20.0, 60.0, 0))
     assert (back.ascent_m, back.descent_m) == pytest.approx((0.0, 40.0))
     assert void.gaps == 1 and void.min_m == pytest.approx(100.0)
+
+
+def test_profiles_are_not_joined_by_line(spark):
+    """The figures of a line come from one pass over its points: only blocks are joined, and a point's place travels with it."""
+    rows = [(k, i, float(i % 7), float(k % 5)) for k in range(40) for i in range(1 + k % 4)] + [(None, 0, 1.0, 1.0), (None, 1, 2.0, 2.0)]
+    points = spark.createDataFrame(rows, "line_id long, seq int, lon double, lat double")
+    tiles = blocks.from_pixels(pixels_of(spark, {(x, y): 10.0 * x for x in range(16) for y in range(16)}), 16).withColumnsRenamed({"bx": "tile_column", "by": "tile_row"})
+    made = profile.of_lines(points, tiles, 0, 16, 500_000.0)
+    plan = made._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Join ") == 2 and "line_id" not in "".join(x for x in plan.splitlines() if "Join " in x)
+    assert {r.line_id: r.points for r in made.collect()} == {k: 1 + k % 4 for k in range(40) if k % 4}

@@ -105,13 +105,45 @@ def of_lines(points: DataFrame, tiles: DataFrame, zoom: int, side: int, metres:
     """
     from . import blocks
 
-    long_enough = points.groupBy(line).count().where("count > 1").select(line)
-    dense = densify(points.join(long_enough, line, "left_semi"), metres, line, seq)
+    count = F.count(F.lit(1)).over(Window.partitionBy(line))
+    many = points.where(F.col(line).isNotNull()).withColumn("_n", count).where("_n > 1").drop("_n")
+    dense = densify(many, metres, line, seq)
     placed = dense.select(line, (F.col(seq).cast("long") * (1 << 32) + F.col("part")).alias("at"), "lon", "lat")
-    elevation = blocks.sample_tiles(placed, tiles, zoom, side, [line, "at"], "elevation_m")
-    both = with_distance(placed, line, "at").join(elevation, [line, "at"])
-    totals = summary(both, line).withColumnRenamed("length_m", "distance_m").join(both.groupBy(line).agg(F.count(F.lit(1)).alias("points")), line)
-    climbs = hysteresis_ascent(both, threshold, line, "at")
-    return totals.join(climbs, line, "left").select(
-        line, "distance_m", *[F.coalesce(c, F.lit(0.0)).alias(c) for c in ("ascent_m", "descent_m")], "min_m", "max_m", "gaps", "points"
-    )
+    found = blocks.sample_tiles(placed, tiles, zoom, side, [line, "at", "lon", "lat"], "elevation_m")
+    return _folded(with_distance(found.repartition(line).sortWithinPartitions(line, "at"), line, "at"), threshold, line)
+
+
+def _folded(profile: DataFrame, threshold: float, line: str) -> DataFrame:
+    """The figures of :func:`of_lines` from ``profile (line, distance_m, elevation_m)`` whose partitions hold whole lines in order.
+
+    All are taken in one pass, since joining them by line would make the profile anew for each and gather lines on the driver.
+    """
+    kind = profile.schema[line].dataType.simpleString()
+    columns = [line, "distance_m", "ascent_m", "descent_m", "min_m", "max_m", "gaps", "points"]
+
+    def fold(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        own, row = None, None
+        for f in frames:
+            done = []
+            for key, far, e in zip(f[line].tolist(), f["distance_m"].tolist(), f["elevation_m"].tolist()):
+                if row is None or key != own:
+                    if row is not None:
+                        done.append((own, *row))
+                    own, row, anchor = key, [far, 0.0, 0.0, None, None, 0, 0], None
+                row[0] = max(row[0], far)
+                row[6] += 1
+                if e is None or e != e:
+                    row[5] += 1
+                    continue
+                if anchor is None:
+                    anchor = row[3] = row[4] = e
+                elif abs(e - anchor) >= threshold:
+                    row[1 if e > anchor else 2] += abs(e - anchor)
+                    anchor = e
+                row[3], row[4] = min(row[3], e), max(row[4], e)
+            yield pd.DataFrame(done, columns=columns)
+        if row is not None:
+            yield pd.DataFrame([(own, *row)], columns=columns)
+
+    rows = profile.select(line, "distance_m", F.col("elevation_m").cast("double").alias("elevation_m"))
+    return rows.mapInPandas(fold, f"`{line}` {kind}, distance_m double, ascent_m double, descent_m double, min_m double, max_m double, gaps long, points long")
