@@ -143,3 +143,17 @@ def test_deep_and_circular_needs(spark):
     got = {tuple(r) for r in steps.closure(spark, spark.createDataFrame(needs, "step string, needs string")).collect()}
     want = {(f"s{i}", f"s{j}") for i in range(41) for j in range(i + 1, 41)} | {(x, y) for x in "abc" for y in "abc" if x != y} | {("d", x) for x in "abc"}
     assert got == want
+
+
+def test_many_ways_to_what_is_needed(spark, monkeypatch):
+    """Layers of two steps that each need both of the next, and a way back: millions of ways, each pair found once."""
+    n = 42
+    needs = [(a, b) for a in range(n) for b in range(n) if b // 2 == a // 2 + 1] + [(n - 2, 6)]
+    want, new = set(), set(needs)
+    while new:
+        want |= new
+        new = {(a, d) for a, b in new for c, d in needs if b == c} - want
+    for by_one in (16, 1):
+        monkeypatch.setattr(steps, "_BY_ONE", by_one)
+        got = [tuple(r) for r in steps.closure(spark, spark.createDataFrame(needs, "step long, needs long")).collect()]
+        assert len(got) == len(set(got)) and set(got) == {(a, b) for a, b in want if a != b}

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import written
+
 #: A step and the steps it needs.
 NEEDS = {
     "download": (),
@@ -22,18 +24,27 @@ def needs_table(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame([(s, n) for s, needs in NEEDS.items() for n in needs], "step string, needs string")
 
 
+#: Rounds that lengthen ways by one step; after them, ways double, so that deep needs take few rounds.
+_BY_ONE = 16
+
+
 def closure(spark: SparkSession, needs: DataFrame | None = None) -> DataFrame:
     """(step, needs) for everything a step needs, directly or not, at any depth.
 
-    A recursive query that is safe in circles: a way stops where it would come to a step for the second time.
+    Each round keeps only the pairs that no round before has found, so a pair costs one row however many ways lead to it,
+    and circles end. The joins are by merging: small files may hold too many pairs for a table on the driver.
     """
     needs = needs_table(spark) if needs is None else needs
-    return spark.sql(
-        "WITH RECURSIVE c MAX RECURSION LEVEL 10000 AS (SELECT step, needs, array(step, needs) AS way FROM {n} WHERE step <> needs "
-        "UNION ALL SELECT c.step, n.needs, array_append(c.way, n.needs) FROM c JOIN {n} n ON c.needs = n.step WHERE NOT array_contains(c.way, n.needs)) "
-        "SELECT DISTINCT step, needs FROM c",
-        n=needs,
-    )
+    direct = written(needs.select("step", "needs").where("step <> needs").distinct())
+    known = last = direct
+    rounds = 0
+    while not last.isEmpty():
+        rounds += 1
+        ahead = (direct if rounds <= _BY_ONE else known).select(F.col("step").alias("needs"), F.col("needs").alias("_next"))
+        longer = last.join(ahead.hint("merge"), "needs").where("step <> _next").select("step", F.col("_next").alias("needs")).distinct()
+        last = written(longer.join(known.hint("merge"), ["step", "needs"], "left_anti"))
+        known = known.unionByName(last)
+    return known
 
 
 def in_order(wanted: list[str]) -> list[str]:
