@@ -53,6 +53,15 @@ def test_shape(spark, ring):
     assert sorted(r.name for r in geometry.boxes_touching_shape(b, ring).collect()) == ["around", "band", "in"]
 
 
+def test_points_on_edges(spark):
+    """Strictly, a point on an outer edge or corner is out, and one on a hole's is in."""
+    box = lambda ring, hole, a: [(ring, hole, i, x, y) for i, (x, y) in enumerate([(-a, -a), (-a, a), (a, a), (a, -a), (-a, -a)])]
+    shape = spark.createDataFrame(box(0, 0, 10.0) + box(1, 1, 5.1), "ring_id int, is_hole int, seq int, lon double, lat double")
+    rows = [(float(x), float(y)) for x in (-10, -5.1, 0, 5.1, 7, 10) for y in (-10, -5.1, 0, 5.1, 7, 10)]
+    found = geometry.points_in_shape(spark.createDataFrame(rows, "lon double, lat double"), shape, strict=True)
+    assert {tuple(r) for r in found.collect()} == {(x, y) for x, y in rows if max(abs(x), abs(y)) < 10 and not max(abs(x), abs(y)) < 5.1}
+
+
 def test_touching_is_not_overlap(spark):
     a, b = [[F.lit(float(v)) for v in box] for box in ((0, 0, 1, 1), (1, 0, 2, 1))]
     assert tuple(spark.range(1).select(geometry.boxes_overlap_open(a, b), geometry.boxes_overlap_closed(a, b)).first()) == (False, True)

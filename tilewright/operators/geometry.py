@@ -27,10 +27,22 @@ def crosses_ray(edge: Column, lon: Column, lat: Column) -> Column:
     return F.coalesce(spans & (lon < at), F.lit(False))
 
 
-def inside(edge_array: Column, lon: Column, lat: Column) -> Column:
-    """Even-odd over all rings: inside any outer ring and no hole, for rings that do not overlap otherwise."""
+def on_edge(edge: Column, lon: Column, lat: Column) -> Column:
+    """Whether the point lies on the edge, its ends included."""
+    between = lambda at, a, b: (at >= F.least(edge[a], edge[b])) & (at <= F.greatest(edge[a], edge[b]))
+    in_line = (edge["x2"] - edge["x1"]) * (lat - edge["y1"]) == (edge["y2"] - edge["y1"]) * (lon - edge["x1"])
+    return in_line & between(lon, "x1", "x2") & between(lat, "y1", "y2")
+
+
+def inside(edge_array: Column, lon: Column, lat: Column, strict: bool = False) -> Column:
+    """Even-odd over all rings: inside any outer ring and no hole, for rings that do not overlap otherwise.
+
+    A ray leaves a point on a ring's western and southern edges inside and one on the others outside; with ``strict`` it
+    is in no ring that it lies on, be it an outer ring or a hole.
+    """
     hits = lambda hole: F.filter(edge_array, lambda e: (e["is_hole"] == hole) & crosses_ray(e, lon, lat))
-    odd = lambda found: F.exists(F.transform(F.array_distinct(F.transform(found, lambda e: e["ring_id"])), lambda r: F.size(F.filter(found, lambda e: e["ring_id"] == r)) % 2 == 1), lambda b: b)
+    off = lambda r: ~F.exists(edge_array, lambda e: (e["ring_id"] == r) & on_edge(e, lon, lat)) if strict else F.lit(True)
+    odd = lambda found: F.exists(F.transform(F.array_distinct(F.transform(found, lambda e: e["ring_id"])), lambda r: (F.size(F.filter(found, lambda e: e["ring_id"] == r)) % 2 == 1) & off(r)), lambda b: b)
     return odd(hits(0)) & ~odd(hits(1))
 
 
@@ -42,10 +54,13 @@ def edges_by_band(ring_vertices: DataFrame, degrees: float, closed: bool = True)
     return rows.groupBy("band").agg(F.collect_list(F.struct("ring_id", "is_hole", "x1", "y1", "x2", "y2")).alias("edges"))
 
 
-def points_in_shape(points: DataFrame, ring_vertices: DataFrame, degrees: float = 1.0, closed: bool = True) -> DataFrame:
-    """The points inside the shape: an equi-join on bands of latitude, since a ray to the east stays in its band."""
+def points_in_shape(points: DataFrame, ring_vertices: DataFrame, degrees: float = 1.0, closed: bool = True, strict: bool = False) -> DataFrame:
+    """The points inside the shape: an equi-join on bands of latitude, since a ray to the east stays in its band.
+
+    ``strict`` leaves out points on an outer edge and takes those on a hole's, see :func:`inside`.
+    """
     keyed = points.withColumn("band", F.floor(F.col("lat") / degrees).cast("long"))
-    return keyed.join(edges_by_band(ring_vertices, degrees, closed), "band").where(inside(F.col("edges"), F.col("lon"), F.col("lat"))).drop("band", "edges")
+    return keyed.join(edges_by_band(ring_vertices, degrees, closed), "band").where(inside(F.col("edges"), F.col("lon"), F.col("lat"), strict)).drop("band", "edges")
 
 
 def boxes_overlap_open(a: tuple[Column, ...], b: tuple[Column, ...]) -> Column:

@@ -501,7 +501,7 @@ def _(spark, d):
     feature = '{{"type":"Feature","properties":{{}},"geometry":{{"type":"{}","coordinates":{}}}}}'.format
     text = f'{{"type":"FeatureCollection","features":[{feature("Polygon", ring(0))},{feature("MultiPolygon", "[" + ring(20) + "]")},{feature("Point", "[1,1]")}]}}'
     shape = vectors.geojson_rings(spark.createDataFrame([(text,)], "value string"))
-    return geometry.points_in_shape(view(spark, d, "fx_points"), shape).select("point_id")
+    return geometry.points_in_shape(view(spark, d, "fx_points"), shape, strict=True).select("point_id")
 
 
 @query("S15_tile_list", "SELECT zoom_level, tile_column, tile_row FROM fx_archive")
