@@ -157,3 +157,16 @@ def test_many_ways_to_what_is_needed(spark, monkeypatch):
         monkeypatch.setattr(steps, "_BY_ONE", by_one)
         got = [tuple(r) for r in steps.closure(spark, spark.createDataFrame(needs, "step long, needs long")).collect()]
         assert len(got) == len(set(got)) and set(got) == {(a, b) for a, b in want if a != b}
+
+
+def test_points_on_cell_edges(spark):
+    """Strictly, a point on an outer edge or corner is out, and one on a hole's is in."""
+    box = lambda ring, hole, w, s, e, n: [(ring, hole, i, x, y) for i, (x, y) in enumerate([(w, s), (e, s), (e, n), (w, n)])]
+    shape = box(0, 0, -20.0, -10.0, 20.0, 10.0) + box(1, 1, -5.1, -5.1, 5.1, 5.1) + [(2, 0, 0, 40.0, 0.0), (2, 0, 1, 48.0, 8.0), (2, 0, 2, 40.0, 8.0)]
+    rows = [(i, x, y) for i, (x, y) in enumerate((x, y) for x in (-20.0, -5.1, 0.0, 5.1, 20.0, 19.999999) for y in (-10.0, -5.1, 0.0, 5.1, 10.0, 9.999999))]
+    rows += [(100, 40.0, 4.0), (101, 44.0, 4.0), (102, 43.0, 4.0), (103, 44.0, 8.0), (104, 48.0, 8.0)]
+    want = {i for i, x, y in rows if i < 100 and abs(x) < 20 and abs(y) < 10 and not (abs(x) < 5.1 and abs(y) < 5.1)} | {102}
+    points = spark.createDataFrame(rows, "id long, lon double, lat double")
+    for most in (1, 32):
+        cells = cover.shape_cells(spark.createDataFrame(shape, RING), 8, most)
+        assert {p.id for p in cover.points_in_cells(points, cells, 8, strict=True).collect()} == want

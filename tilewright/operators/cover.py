@@ -118,11 +118,12 @@ def shape_cells(ring_vertices: DataFrame, max_zoom: int, most: int = 32, step: i
         zoom += down
 
 
-def points_in_cells(points: DataFrame, cells: tuple[DataFrame, DataFrame], deepest: int, step: int = 2) -> DataFrame:
+def points_in_cells(points: DataFrame, cells: tuple[DataFrame, DataFrame], deepest: int, step: int = 2, strict: bool = False) -> DataFrame:
     """The rows of ``points (lon, lat, ...)`` inside the shape that ``cells`` of :func:`shape_cells` cover, in degrees.
 
     A point asks for the cells above it at the zooms there are, an equi-join; an inside cell answers, a boundary cell by its
-    own edges, of which there are few. ``deepest`` and ``step`` are those the cells were made with.
+    own edges, of which there are few. ``deepest`` and ``step`` are those the cells were made with. With ``strict`` a point
+    is in no ring that it lies on, be it an outer ring or a hole.
     """
     inside, boundary = cells
     zooms = sorted({*range(0, deepest, step), deepest})
@@ -135,7 +136,10 @@ def points_in_cells(points: DataFrame, cells: tuple[DataFrame, DataFrame], deepe
     hits = F.transform(F.filter("_edges", lambda e: _on_the_way(lambda c: e[c], a, p) == 1), lambda e: F.struct(e["ring_id"].alias("ring_id"), e["is_hole"].alias("is_hole")))
     odd = F.filter(F.array_distinct("_hits"), lambda r: F.size(F.filter("_hits", lambda h: h == r)) % 2 == 1)
     near = asked.join(boundary.select(*named, F.col("within").alias("_within"), F.col("edges").alias("_edges")), ["_z", "_x", "_y"]).withColumn("_hits", hits)
-    tested = near.where(_is_inside(_swapped(F.col("_within"), odd)))
+    within = _swapped(F.col("_within"), odd)
+    if strict:
+        within = F.filter(within, lambda r: ~F.exists("_edges", lambda e: (e["ring_id"] == r["ring_id"]) & geometry.on_edge(e, *p)))
+    tested = near.where(_is_inside(within))
     return sure.unionByName(tested.select(*sure.columns)).drop("_z", "_x", "_y")
 
 

@@ -166,7 +166,7 @@ def _holed_boxes(spark, d):
 def _(spark, d):
     """Points in any box and in no box's hole."""
     cells = cover.shape_cells(_holed_boxes(spark, d), 9, 8)
-    return cover.points_in_cells(view(spark, d, "fx_points"), cells, 9).select("point_id")
+    return cover.points_in_cells(view(spark, d, "fx_points"), cells, 9, strict=True).select("point_id")
 
 
 @query(
