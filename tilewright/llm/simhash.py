@@ -168,6 +168,16 @@ def _shared(rows: DataFrame, name: str) -> DataFrame:
     return out
 
 
+def _shared_variants(rows: DataFrame) -> DataFrame:
+    """:func:`_shared` for variants, which are many a fingerprint and mostly alone: they are counted where they are brought together.
+
+    So they move once. Counted first and joined to the counts, they would move twice, or once while the counts are
+    small enough for a broadcast.
+    """
+    members = F.count(F.lit(1)).over(Window.partitionBy("key"))
+    return materialize(rows.withColumn("members", members).where("members > 1"), "variants")
+
+
 def near_links(nodes: DataFrame, most: int = 3, group: int = 2048) -> DataFrame:
     """Links ``(a, b, dist)`` between nodes ``(id, fp0)`` whose fingerprints differ in at most ``most`` bits.
 
@@ -179,7 +189,7 @@ def near_links(nodes: DataFrame, most: int = 3, group: int = 2048) -> DataFrame:
     own, found = nodes.select("id", F.col("fp0").alias("cur")), None
     rows = own.select("*", F.lit(0).cast("long").alias("key"), F.lit(0).alias("lo"), F.lit(64).alias("width"))
     for level, cut in enumerate(((most + 2) // 2, 2, 2)):
-        shared = _shared(variants(rows, cut), "variants")
+        shared = _shared_variants(variants(rows, cut))
         small = shared if level == 2 else shared.where(F.col("members") <= group)
         links = (
             small.select("key", "id")
