@@ -186,6 +186,24 @@ def test_ranges_of_a_log_meet_at_lines(tmp_path, monkeypatch):
     assert reader.partitions(end, end) == []
 
 
+def test_small_logs_share_a_task(tmp_path, monkeypatch):
+    """Files are read in tasks of many bytes, not in one each, and looked at again only where they have grown."""
+    for i in range(200):
+        (tmp_path / f"{i}.log").write_text(f"line {i}\nmore\n")
+    reader = tail._Tail([str(tmp_path)])
+    first = reader.latestOffset()
+    parts = reader.partitions(reader.initialOffset(), first)
+    assert len(parts) == 1
+    assert sorted((r[0].rpartition("/")[2], r[2]) for r in reader.read(parts[0])) == sorted((f"{i}.log", x) for i in range(200) for x in (f"line {i}", "more"))
+    with (tmp_path / "7.log").open("a") as out:
+        out.write("new\nopen")
+    looked = []
+    whole = tail._whole_lines
+    monkeypatch.setattr(tail, "_whole_lines", lambda fs, path, size: looked.append(path) or whole(fs, path, size))
+    (part,) = reader.partitions(first, reader.latestOffset())
+    assert [r[2] for r in reader.read(part)] == ["new"] and [p.rpartition("/")[2] for p in looked] == ["7.log"]
+
+
 def test_held_durations(spark, monkeypatch):
     monkeypatch.setattr(logs, "_RUN", 3)
     kinds = ["run_end", "phase_end", "log", "zoom_end", "progress", "log", "log", "log", "run_end", "run_end", "phase_end", "phase_end", "run_end", "log", "phase_end"]

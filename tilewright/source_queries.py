@@ -919,7 +919,8 @@ def _followed(spark: SparkSession, d: str, make) -> DataFrame:
     tail.register(spark)
     folder = scratch(spark)
     lines = view(spark, d, "fx_log").select(F.floor(F.col("line_no") / _LINES).alias("run"), "line_no", "line")
-    lines.repartition("run").sortWithinPartitions("run", "line_no").drop("line_no").write.partitionBy("run").text(f"{folder}/logs")
+    own = lines.repartition("run").sortWithinPartitions("run", "line_no").drop("line_no").write.partitionBy("run")
+    own.option("mapreduce.fileoutputcommitter.algorithm.version", "2").text(f"{folder}/logs")  # tasks put their files in place, not the driver one by one
     made = make(logs.parsed(spark.readStream.format("log_tail").load(f"{folder}/logs"), "line"))
     query = made.writeStream.format("parquet").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start()
     query.awaitTermination()

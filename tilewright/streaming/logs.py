@@ -8,8 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, Row, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
@@ -64,28 +63,27 @@ class _HeldDuration(StatefulProcessor):
         self.handle = handle
         self.held = handle.getValueState("held", "took string")
 
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        lines = pd.concat(rows).sort_values(self.order, kind="stable")
-        held = self.held.get()[0] if self.held.exists() else None
-        ends = []
-        for at, event, took in zip(lines[self.order], lines["event"], lines["took"]):
-            if event == "phase_end":
-                held = took
+    def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
+        before = self.held.get()
+        held = before[0] if before else None
+        for line in sorted(rows, key=lambda r: r[self.order]):
+            if line["event"] == "phase_end":
+                held = line["took"]
             else:
-                ends.append((key[0], at, held))
+                yield Row(**{"run": key[0], self.order: line[self.order], "took": held})
                 held = None
-        for timer in list(self.handle.listTimers()):
-            self.handle.deleteTimer(timer)
-        if held is None:
-            self.held.clear()
-        else:
+        if before:  # there is a timer while something is held
+            for timer in list(self.handle.listTimers()):
+                self.handle.deleteTimer(timer)
+        if held is not None:
             self.held.update((held,))
             self.handle.registerTimer(timerValues.getCurrentProcessingTimeInMs() + self.idle_ms)
-        yield pd.DataFrame(ends, columns=["run", self.order, "took"]).astype({self.order: "int64"})
+        elif before:
+            self.held.clear()
 
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
         self.held.clear()
-        yield pd.DataFrame({"run": [], self.order: pd.array([], "int64"), "took": []})
+        return iter([])
 
     def close(self) -> None:
         pass
@@ -100,14 +98,15 @@ class _Changes(StatefulProcessor):
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.last = handle.getValueState("last", "percent int")
 
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        lines = pd.concat(rows).sort_values(self.order, kind="stable")
-        before = lines["percent"].shift(1).astype("float")
-        if self.last.exists():
-            before.iloc[0] = self.last.get()[0]
-        changed = lines[before.isna() | (before != lines["percent"])]
-        self.last.update((int(lines["percent"].iloc[-1]),))
-        yield pd.DataFrame({"run": key[0], "stage": key[1], self.order: changed[self.order].to_numpy(), "percent": changed["percent"].to_numpy()}).astype({self.order: "int64", "percent": "int32"})
+    def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
+        known = self.last.get()
+        before = last = known[0] if known else None
+        for line in sorted(rows, key=lambda r: r[self.order]):
+            if line["percent"] != last:
+                last = line["percent"]
+                yield Row(**{"run": key[0], "stage": key[1], self.order: line[self.order], "percent": last})
+        if last != before:
+            self.last.update((last,))
 
     def close(self) -> None:
         pass
@@ -126,14 +125,14 @@ def run_durations(events: DataFrame, run: str = "path", order: str = "offset", i
     """
     _with_state(events.sparkSession)
     ended = events.where("event IN ('phase_end', 'run_end')").select(F.col(run).cast("string").alias("run"), F.col(order).cast("long").alias(order), "event", "took")
-    return ended.groupBy("run").transformWithStateInPandas(_HeldDuration(order, idle_ms), f"run string, {order} long, took string", "append", "ProcessingTime")
+    return ended.groupBy("run").transformWithState(_HeldDuration(order, idle_ms), f"run string, {order} long, took string", "append", "ProcessingTime")
 
 
 def percent_changes(events: DataFrame, run: str = "path", order: str = "offset") -> DataFrame:
     """Streaming: ``(run, stage, order, percent)`` of the progress lines whose percentage is not that of the stage's line before."""
     _with_state(events.sparkSession)
     own = events.where("event = 'progress'").select(F.col(run).cast("string").alias("run"), "stage", F.col(order).cast("long").alias(order), "percent")
-    return own.groupBy("run", "stage").transformWithStateInPandas(_Changes(order), f"run string, stage string, {order} long, percent int", "append", "None")
+    return own.groupBy("run", "stage").transformWithState(_Changes(order), f"run string, stage string, {order} long, percent int", "append", "None")
 
 
 def windowed_counts(events: DataFrame, width: str = "1 day", late: str = "2 days", slide: str | None = None) -> DataFrame:

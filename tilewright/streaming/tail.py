@@ -10,13 +10,16 @@ from __future__ import annotations
 import io
 import json
 from collections.abc import Iterator
+from concurrent.futures import ThreadPoolExecutor
 
 from pyarrow import fs as pafs
 from pyspark.sql import SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceStreamReader, InputPartition
 
-#: Bytes that are looked at together for the last line break, and that one task reads of a file, about.
-_LOOK, _PART = 1 << 16, 64 << 20
+#: Bytes that are looked at together for the last line break, and that one task reads, of a file or of several, about.
+_LOOK, _PART = 1 << 16, 4 << 20
+#: Files that are looked at for their last line break at a time.
+_AT_ONCE = 16
 
 
 def _file_system(path: str) -> tuple[pafs.FileSystem, str]:
@@ -25,14 +28,17 @@ def _file_system(path: str) -> tuple[pafs.FileSystem, str]:
     return pafs.FileSystem.from_uri(path)
 
 
-class _Range(InputPartition):
-    def __init__(self, root: str, path: str, start: int, end: int):
-        self.root, self.path, self.start, self.end = root, path, start, end
+class _Ranges(InputPartition):
+    """What one task reads: ``(root, path, start, end)`` of each file, since a task for each small file costs more than its lines."""
+
+    def __init__(self, ranges: list[tuple[str, str, int, int]]):
+        self.ranges = ranges
 
 
 class _Tail(DataSourceStreamReader):
     def __init__(self, roots: list[str]):
         self.roots = roots
+        self.seen: dict[str, tuple[int, int]] = {}
 
     def initialOffset(self) -> dict:
         return {"files": "{}"}
@@ -43,31 +49,41 @@ class _Tail(DataSourceStreamReader):
             fs, at = _file_system(root)
             for info in fs.get_file_info(pafs.FileSelector(at, recursive=True, allow_not_found=True)):
                 if info.type == pafs.FileType.File and not info.base_name.startswith((".", "_")):
-                    found[f"{root}\n{info.path}"] = _whole_lines(fs, info.path, info.size)
-        return {"files": json.dumps(found, sort_keys=True)}
-
-    def partitions(self, start: dict, end: dict) -> list[_Range]:
+                    found[f"{root}\n{info.path}"] = fs, info
+        grown = {name: v for name, v in found.items() if self.seen.get(name, (-1, 0))[0] != v[1].size}
+        with ThreadPoolExecutor(_AT_ONCE) as pool:
+            whole = pool.map(lambda v: _whole_lines(v[0], v[1].path, v[1].size), grown.values())
+            self.seen |= {name: (v[1].size, end) for (name, v), end in zip(grown.items(), whole)}
+        return {"files": json.dumps({name: self.seen[name][1] for name in found}, sort_keys=True)}
+
+    def partitions(self, start: dict, end: dict) -> list[_Ranges]:
         before, now = (json.loads(o["files"]) for o in (start, end))
-        out = []
+        out, held = [], _PART
         for name, size in now.items():
             root, path = name.split("\n")
             for lo in range(before.get(name, 0), size, _PART):
-                out.append(_Range(root, path, lo, min(lo + _PART, size)))
+                hi = min(lo + _PART, size)
+                if held + hi - lo > _PART:
+                    out.append(_Ranges([]))
+                    held = 0
+                out[-1].ranges.append((root, path, lo, hi))
+                held += hi - lo
         return out
 
-    def read(self, part: _Range) -> Iterator[tuple[str, int, str]]:
-        """The lines that start inside the range; the one over its end is read on."""
-        fs, _ = _file_system(part.root)
-        with io.BufferedReader(fs.open_input_file(part.path), _LOOK) as source:
-            at = part.start
-            if at:  # a line that starts before belongs to the range before
-                source.seek(at - 1)
-                at += len(source.readline()) - 1
-            source.seek(at)
-            while at < part.end:
-                line = source.readline()
-                yield part.path, at, line.rstrip(b"\r\n").decode("utf-8", "replace")
-                at += len(line)
+    def read(self, part: _Ranges) -> Iterator[tuple[str, int, str]]:
+        """The lines that start inside each range; the one over its end is read on."""
+        systems = {root: _file_system(root)[0] for root, *_ in part.ranges}
+        for root, path, start, end in part.ranges:
+            with io.BufferedReader(systems[root].open_input_file(path), _LOOK) as source:
+                at = start
+                if at:  # a line that starts before belongs to the range before
+                    source.seek(at - 1)
+                    at += len(source.readline()) - 1
+                source.seek(at)
+                while at < end:
+                    line = source.readline()
+                    yield path, at, line.rstrip(b"\r\n").decode("utf-8", "replace")
+                    at += len(line)
 
     def commit(self, end: dict) -> None:
         pass
