@@ -1,12 +1,14 @@
 """Each stage of the pipeline against a plain version."""
 
 import random
+import re
+import tracemalloc
 from collections import defaultdict
 
 import pytest
 
 import corpus_pipeline
-from tilewright.llm import decontaminate, quality, simhash
+from tilewright.llm import common, decontaminate, quality, simhash, suffix
 
 from .test_ops import check_packing, components, docs_table, library, plain_alignment, plain_removal  # noqa: F401
 
@@ -171,3 +173,37 @@ def test_nulls_and_repeated_rows(spark, data):
         assert stage(spark, docs, data).columns == COLUMNS
         stage(spark, docs, data).collect()
     assert corpus_pipeline.pack_sequences(spark, docs, data).count() >= len(rows)
+
+
+def test_contexts_take_little_memory():
+    text = random.Random(3).randbytes(1 << 22)
+    tracemalloc.start()
+    for _ in suffix.contexts_of([text], 200, 32):
+        pass
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    suffix._POWERS.clear()
+    assert peak < 50 << 20
+
+
+def test_task_gives_back_memory():
+    """A stage's task forgets what packing held in its worker, and leaves none of its freed memory there."""
+
+    def anonymous():
+        with open("/proc/self/smaps_rollup") as f:
+            return int(re.search(r"\nPss_Anon:\s+(\d+)", f.read())[1]) >> 10
+
+    kept = []
+
+    def each(frames):
+        some = [bytearray(1000) for _ in range(100_000)]
+        kept.append(bytearray(1000))  # above the others, so that the heap's top stays where it is
+        yield anonymous()
+        del some
+        yield from frames
+
+    common.held("tokenizer", lambda: 1)
+    full, = common.lean(each, holds=True)(iter([]))
+    assert common._HELD and anonymous() < full - 80
+    assert list(common.lean(lambda it: it)(iter([1, 2]))) == [1, 2]
+    assert not common._HELD

@@ -24,7 +24,7 @@ from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import join_ids, materialize, need, row_key
+from .common import join_ids, lean, materialize, need, row_key
 
 _WORDS = re.compile(r"\w+")
 _TEXT_AT_ONCE = 1 << 20
@@ -121,7 +121,7 @@ def _items(benchmark: DataFrame) -> DataFrame:
             yield pd.DataFrame({"item": f["item"], "item_id": f["item_id"].astype("Int64"), "words": pd.Series([word_hashes(t).view(np.int64) for t in f["text"]], dtype=object, index=f.index)})
 
     rows = need(benchmark, ["item_id", "text"]).select(F.xxhash64("item_id", "text").alias("item"), "item_id", "text").dropDuplicates(["item"])
-    return materialize(rows.mapInPandas(each, "item long, item_id long, words array<long>").where("size(words) > 0"), "items")
+    return materialize(rows.mapInPandas(lean(each), "item long, item_id long, words array<long>").where("size(words) > 0"), "items")
 
 
 def _word_counts(docs: DataFrame, wanted: Broadcast) -> DataFrame:
@@ -143,7 +143,7 @@ def _word_counts(docs: DataFrame, wanted: Broadcast) -> DataFrame:
                     held, total = [], 0
         yield summed(held, total)
 
-    return docs.select("text").mapInPandas(count, "word long, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    return docs.select("text").mapInPandas(lean(count), "word long, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
 def _seeds(items: DataFrame, docs: DataFrame) -> DataFrame:
@@ -174,7 +174,7 @@ def _seeds(items: DataFrame, docs: DataFrame) -> DataFrame:
                 out += [(code, item, at) for rank, (p, _, code, at) in enumerate(found) if rank < LEAST_SEEDS or p <= np.log(RARE)]
             yield pd.DataFrame(out, columns=["gram", "item", "place"])
 
-    return materialize(listed.mapInPandas(choose, "gram long, item long, place int"), "seeds")
+    return materialize(listed.mapInPandas(lean(choose), "gram long, item long, place int"), "seeds")
 
 
 def _passages(docs: DataFrame, wanted: Broadcast, reach: int) -> DataFrame:
@@ -221,7 +221,7 @@ def _passages(docs: DataFrame, wanted: Broadcast, reach: int) -> DataFrame:
 
     doc, mark = row_key(docs)
     rows = docs.select(doc.alias("doc"), mark.alias("mark"), "doc_id", "text")
-    made = rows.mapInPandas(each, "doc long, mark long, doc_id long, start long, words array<long>, hits array<struct<gram: long, at: int>>")
+    made = rows.mapInPandas(lean(each), "doc long, mark long, doc_id long, start long, words array<long>, hits array<struct<gram: long, at: int>>")
     once = made.groupBy("doc", "mark", "start").agg(F.first("doc_id").alias("doc_id"), F.first("words").alias("words"), F.first("hits").alias("hits"), F.count(F.lit(1)).alias("copies"))
     return materialize(once, "passages")
 
@@ -307,7 +307,7 @@ def _found(docs: DataFrame, benchmark: DataFrame, least: float) -> DataFrame:
     pairs = shifts.groupBy(*key, "item").agg(F.array_sort(F.collect_list(F.struct("shift", "n"))).alias("shifts"))  # of one passage
     both = pairs.join(passages.select(*key, "doc_id", "copies", F.col("words").alias("passage")), key).join(own(items), "item")
     schema = "doc long, mark long, doc_id long, copies long, item_id long, item long, score double, first_word long, n_words long, n_seeds long"
-    found = both.select(*key, "doc_id", "copies", "item", "item_id", "passage", "words", "shifts").mapInPandas(lambda it: _aligned(it, least), schema)
+    found = both.select(*key, "doc_id", "copies", "item", "item_id", "passage", "words", "shifts").mapInPandas(lean(lambda it: _aligned(it, least)), schema)
     best = F.max_by(F.struct("score", "first_word", "n_words", "n_seeds"), F.struct("score", -F.col("first_word")))
     return found.groupBy("doc", "mark", "item").agg(F.first("doc_id").alias("doc_id"), F.first("item_id").alias("item_id"), F.first("copies").alias("copies"), best.alias("b"))
 

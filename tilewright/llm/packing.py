@@ -22,7 +22,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import gathered, materialize, need
+from .common import gathered, lean, materialize, need
 from .tokens import encoder, tokenizer_path
 
 #: Leftover pieces (five numbers each) that are broadcast to fetch their ids; more are joined by shuffle.
@@ -259,7 +259,7 @@ def cut_documents(docs: DataFrame, tokenizer: str | None = None, end_id: int = 0
             if rows:
                 yield _frame(rows)
 
-    return materialize(need(docs, ["doc_id", "text"]).mapInPandas(each, PIECES), "pieces")
+    return materialize(need(docs, ["doc_id", "text"]).mapInPandas(lean(each, holds=True), PIECES), "pieces")
 
 
 def _frame(rows: list[tuple]) -> pd.DataFrame:
@@ -311,7 +311,7 @@ def pack(docs: DataFrame, tokenizer: str | None = None, end_id: int = 0, capacit
             yield out
 
     schema = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
-    placed = materialize(ranked.mapInPandas(place, schema), "placed")
+    placed = materialize(ranked.mapInPandas(lean(place), schema), "placed")
 
     def cut(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
@@ -331,5 +331,5 @@ def pack(docs: DataFrame, tokenizer: str | None = None, end_id: int = 0, capacit
         lost = F.broadcast(lost)
     ids = pieces.join(lost, [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys], "left_semi")
     ids = ids.dropDuplicates(keys).select(*[F.col(k).alias(f"_{k}") for k in keys], "ids")
-    split = left.join(ids, [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys]).select(*keys, "offset", "ids").mapInPandas(cut, schema)
+    split = left.join(ids, [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys]).select(*keys, "offset", "ids").mapInPandas(lean(cut), schema)
     return placed.where("sequence_id >= 0").unionByName(split)

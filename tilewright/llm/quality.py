@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import need
+from .common import lean, need
 
 BITS = 18
 SAMPLE = 10_000  # labelled rows that training uses at most, chosen by a hash of doc_id
@@ -119,7 +119,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, passes: int =
             made = [features(t) for t in f["text"]]
             yield pd.DataFrame({"doc_id": f["doc_id"], "y": f["y"], "places": [i.astype(np.int32) for i, _ in made], "vals": [v.astype(np.float32) for _, v in made]})
 
-    made = rows.mapInPandas(each, "doc_id long, y int, places array<int>, vals array<float>")
+    made = rows.mapInPandas(lean(each), "doc_id long, y int, places array<int>, vals array<float>")
 
     def learn(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         def stream():
@@ -131,7 +131,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, passes: int =
         yield pd.DataFrame({"place": np.append(at, -1), "weight": np.append(model.weights[at], model.bias)})
 
     order = made.repartition(1).sortWithinPartitions(F.xxhash64("doc_id"), "doc_id")
-    weights = order.mapInPandas(learn, "place long, weight double").toPandas()  # at most 2**BITS + 1 rows
+    weights = order.mapInPandas(lean(learn), "place long, weight double").toPandas()  # at most 2**BITS + 1 rows
     model = Model(np.zeros(1 << BITS), 0.0)
     for place, weight in zip(weights["place"], weights["weight"]):
         if place < 0:
@@ -152,6 +152,7 @@ def score(docs: DataFrame, model: Model, keep: list[str] | None = None, name: st
     sent = spark.sparkContext.broadcast((at, model.weights[at].astype(np.float32), model.bias))
 
     @F.pandas_udf("double")
+    @lean
     def scored(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         at, w, bias = sent.value
         own = Model(np.zeros(1 << BITS), bias)

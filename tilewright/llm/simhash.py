@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import drop_materialized, free_name, join_counted, join_ids, materialize, need
+from .common import drop_materialized, free_name, join_counted, join_ids, lean, materialize, need
 from .components import connected_components, spanning_forest
 
 _BITS_AT_ONCE = 1 << 15
@@ -85,7 +85,7 @@ def fingerprints(docs: DataFrame, words: int = 3) -> DataFrame:
             fps = np.array([majority_bits(shingle_hashes(t, words)) for t in f["text"]], np.uint64)
             yield pd.DataFrame({"doc_id": f["doc_id"], "fp0": fps.view(np.int64)})
 
-    return need(docs, ["doc_id", "text"]).mapInPandas(each, "doc_id long, fp0 long")
+    return need(docs, ["doc_id", "text"]).mapInPandas(lean(each), "doc_id long, fp0 long")
 
 
 def variants(rows: DataFrame, segments: int) -> DataFrame:
@@ -196,7 +196,7 @@ def near_links(nodes: DataFrame, most: int = 3, group: int = 2048) -> DataFrame:
             .join(nodes.select("id", "fp0"), "id")
             .repartition(_parts(nodes), "key")
             .sortWithinPartitions("key", "id")
-            .mapInPandas(lambda it: _forest(it, most), "a long, b long, dist long")
+            .mapInPandas(lean(lambda it: _forest(it, most)), "a long, b long, dist long")
         )
         found = links if found is None else found.unionByName(links)
         hot = shared.where(F.col("members") > group)
@@ -251,7 +251,7 @@ def _sets(docs: DataFrame, words: int) -> DataFrame:
             sets = [shingle_hashes(t, words, distinct=True).view(np.int64) for t in f["text"]]
             yield pd.DataFrame({"node": f["doc_id"].to_numpy(), "set": pd.Series(sets, dtype=object)})
 
-    return docs.mapInPandas(each, "node long, set array<long>")
+    return docs.mapInPandas(lean(each), "node long, set array<long>")
 
 
 def _described(docs: DataFrame, words: int, similarity: float) -> DataFrame:
@@ -293,7 +293,7 @@ def _described(docs: DataFrame, words: int, similarity: float) -> DataFrame:
             )
 
     schema = f"node long, fp0 long, size int, {', '.join(f'{m} long' for m in _MAP)}, prefix array<long>"
-    return materialize(docs.mapInPandas(each, schema).where("size > 0"), "described")
+    return materialize(docs.mapInPandas(lean(each), schema).where("size > 0"), "described")
 
 
 def _candidates(frames: Iterator[pd.DataFrame], similarity: float, star: bool) -> Iterator[pd.DataFrame]:
@@ -390,7 +390,7 @@ def _alike_links(docs: DataFrame, words: int, similarity: float, most: int, grou
             rows.join(facts, "node")
             .repartition(_parts(docs), "key")
             .sortWithinPartitions("key", "node")
-            .mapInPandas(lambda it: _candidates(it, similarity, star), "a long, b long")
+            .mapInPandas(lean(lambda it: _candidates(it, similarity, star)), "a long, b long")
         )
 
     blocks = f"cast(ceil(members / {group}) as int)"

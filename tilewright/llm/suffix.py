@@ -27,13 +27,13 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import join_counted, materialize, need, row_key
+from .common import join_counted, lean, materialize, need, row_key
 
 LENGTH = 200
 GRAMS = (32, 100, 160, 190)  # then the window itself
 GROUP = 2048  # different contexts of one gram that one index takes
 BLOCK = 1 << 18  # bytes of contexts in one index
-_SEGMENT = 1 << 20
+_SEGMENT = 1 << 18  # bytes of text whose contexts are chosen at a time; arrays of 8 bytes for each are some twelve
 
 _rng = np.random.default_rng(20240229)
 _BYTE = _rng.integers(1, 1 << 63, 256, dtype=np.uint64) | np.uint64(1)
@@ -300,7 +300,7 @@ def repeated_ranges(docs: DataFrame, length: int = LENGTH, grams: tuple[int, ...
             for i, first, count, gram in contexts_of([_raw(t) for t in f["text"]], length, levels[0]):
                 yield pd.DataFrame({"doc": doc[i], "mark": mark[i], "place": (first << 16) | count, "gram": gram})
 
-    chosen = rows.select("doc", "mark", "text").where(F.octet_length("text") >= length).mapInPandas(pick, "doc long, mark long, place long, gram long")
+    chosen = rows.select("doc", "mark", "text").where(F.octet_length("text") >= length).mapInPandas(lean(pick), "doc long, mark long, place long, gram long")
     often = materialize(chosen.groupBy("gram").agg(F.count(F.lit(1)).alias("times")).where("times > 1"), "repeated-grams")
     wanted = join_counted(chosen, often, "gram", "times").groupBy("doc", "mark").agg(F.collect_set(F.struct("place", "gram")).alias("places"))
 
@@ -320,7 +320,7 @@ def repeated_ranges(docs: DataFrame, length: int = LENGTH, grams: tuple[int, ...
             yield pd.DataFrame(out, columns=["gram", "h1", "h2", "doc", "mark", "first", "ctx"])
 
     found = materialize(
-        rows.select("doc", "mark", "text").join(wanted, ["doc", "mark"]).mapInPandas(lift, "gram long, h1 long, h2 long, doc long, mark long, first long, ctx binary"),
+        rows.select("doc", "mark", "text").join(wanted, ["doc", "mark"]).mapInPandas(lean(lift), "gram long, h1 long, h2 long, doc long, mark long, first long, ctx binary"),
         "contexts",
     )
     places = found.select("h1", "h2", "doc", "mark", "first")
@@ -333,7 +333,7 @@ def repeated_ranges(docs: DataFrame, length: int = LENGTH, grams: tuple[int, ...
         hot = materialize(ctx.groupBy("gram").count().where(F.col("count") > group).select("gram"), "hot-grams")
         any_hot = k is not None and not hot.isEmpty()
         cold = ctx.join(hot, "gram", "left_anti") if any_hot else ctx
-        ranges = _sorted_groups(cold).mapInPandas(lambda it: _marked(it, length), "h1 long, h2 long, n long, lo array<int>, hi array<int>")
+        ranges = _sorted_groups(cold).mapInPandas(lean(lambda it: _marked(it, length)), "h1 long, h2 long, n long, lo array<int>, hi array<int>")
         part = (
             join_counted(places, materialize(ranges, "ranges"), ["h1", "h2"], "n")
             .select("doc", "mark", "first", F.explode(F.arrays_zip("lo", "hi")).alias("r"))
@@ -352,7 +352,7 @@ def repeated_ranges(docs: DataFrame, length: int = LENGTH, grams: tuple[int, ...
                     yield pd.DataFrame({"o1": h1[i], "o2": h2[i], "shift": first, "gram": gram, "h1": h[:, 0], "h2": h[:, 1], "n": n[i], "ctx": sub})
 
         finer = materialize(
-            ctx.join(hot, "gram", "left_semi").mapInPandas(cut, "o1 long, o2 long, shift long, gram long, h1 long, h2 long, n long, ctx binary"), "finer-contexts"
+            ctx.join(hot, "gram", "left_semi").mapInPandas(lean(cut), "o1 long, o2 long, shift long, gram long, h1 long, h2 long, n long, ctx binary"), "finer-contexts"
         )
         often = finer.groupBy("gram").agg(F.sum("n").alias("times")).where("times > 1").select("gram")
         finer = finer.join(often, "gram")
@@ -409,7 +409,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, grams: tuple[int, ...]
             yield pd.concat([f[names].reset_index(drop=True), pd.DataFrame(out, columns=list(MADE))], axis=1)
 
     head = ", ".join(f"`{n}` {joined.schema[n].dataType.simpleString()}" for n in names)
-    return joined.mapInPandas(each, f"{head}, {made}").withColumnsRenamed(dict(zip(names, keep)))
+    return joined.mapInPandas(lean(each), f"{head}, {made}").withColumnsRenamed(dict(zip(names, keep)))
 
 
 def without_repeats(docs: DataFrame) -> DataFrame:
