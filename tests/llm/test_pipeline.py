@@ -1,14 +1,17 @@
 """Each stage of the pipeline against a plain version."""
 
+import gc
 import random
 import re
 import tracemalloc
+import weakref
 from collections import defaultdict
 
+import pandas as pd
 import pytest
 
 import corpus_pipeline
-from tilewright.llm import common, decontaminate, quality, simhash, suffix
+from tilewright.llm import common, decontaminate, quality, simhash, suffix, tokens
 
 from .test_ops import check_packing, components, docs_table, library, plain_alignment, plain_removal  # noqa: F401
 
@@ -207,3 +210,45 @@ def test_task_gives_back_memory():
     assert common._HELD and anonymous() < full - 80
     assert list(common.lean(lambda it: it)(iter([1, 2]))) == [1, 2]
     assert not common._HELD
+
+
+def test_gathered_frames_go_at_once():
+    """No frame waits for Python to look for circles, so that a task holds a few of them and not all."""
+    seen = []
+
+    def frames():
+        for _ in range(5):
+            f = pd.DataFrame({"text": ["one two", None, "three"]})
+            seen.append(weakref.ref(f["text"]))
+            yield f
+
+    gc.collect()
+    gc.disable()
+    try:
+        sizes = [len(f) for f in common.gathered(frames(), chars=20)]
+        assert sizes == [6, 6, 3] and not any(r() is not None for r in seen)
+    finally:
+        gc.enable()
+
+
+def test_packing_takes_little_memory(library):
+    """A worker's arrays hold a part of the text, and few words of those that it met only once."""
+    r = random.Random(5)
+    common_words = ["".join(r.choices("abcdefghij", k=6)) for _ in range(2000)]
+    texts = [" ".join(r.choice(common_words) for _ in range(6000)) for _ in range(100)]
+    enc = tokens.Encoder(tokens.tokenizer_path())
+    list(enc.encode(texts[:1]))
+    tracemalloc.start()
+    made = sum(len(raw) for raw in enc.encode(texts))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert made > 100 * 6000 * 4 and peak < 30 << 20
+
+    few, sent = tokens.Encoder(tokens.tokenizer_path(), most=3000), []
+    whole = few._whole
+    few._whole = lambda some: sent.extend(some) or whole(some)
+    for k in range(12):
+        text = " ".join([*common_words[:1000], *(f"once{k}x{i}" for i in range(600))])
+        raw, = few.encode([text])
+        assert len(raw) // 4 == len(library(text)) and len(few.words) <= 3000 + 1600
+    assert sum(s.count(f" {common_words[7]} ") for s in sent) == 1

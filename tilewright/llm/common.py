@@ -199,13 +199,13 @@ def lean(each: Callable[[Iterator], Iterator], holds: bool = False) -> Callable[
     return run
 
 
-def gathered(frames: Iterator[pd.DataFrame], column: str = "text", chars: int = 4_000_000) -> Iterator[pd.DataFrame]:
+def gathered(frames: Iterator[pd.DataFrame], column: str = "text", chars: int = 1_000_000) -> Iterator[pd.DataFrame]:
     """The frames put together until they hold about ``chars`` characters of text."""
     held: list[pd.DataFrame] = []
     size = 0
     for f in frames:
         held.append(f)
-        size += int(f[column].str.len().sum())
+        size += sum(len(t) for t in f[column] if isinstance(t, str))  # pandas' .str would keep the frame in a circle
         if size >= chars:
             yield pd.concat(held, ignore_index=True)
             held, size = [], 0

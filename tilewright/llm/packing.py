@@ -253,7 +253,7 @@ def cut_documents(docs: DataFrame, tokenizer: str | None = None, end_id: int = 0
                 for at in range(0, len(raw), 4 * capacity):
                     part = raw[at : at + 4 * capacity]
                     rows.append((doc_id, at // 4, len(part) // 4, zlib.crc32(part), len(raw) // 4, part))
-                if len(rows) >= 5000:
+                if len(rows) >= 1000:
                     yield _frame(rows)
                     rows = []
             if rows:

@@ -23,7 +23,7 @@ _PRETOKENS = re.compile(r"'(?:[sdmt]|ll|ve|re)| ?[^\W\d_]+| ?\d+| ?(?:[^\s\w]|_)
 _ODD_SPACE = (
     r"[ \n][ \n]|^[ \n]|[ \n]$|[\t\x0b\x0c\r\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
 )
-_TEXT_AT_ONCE = 1 << 22
+_TEXT_AT_ONCE = 1 << 20  # characters; arrays of 8 bytes for each word and id are some eight
 
 
 class Encoder:
@@ -33,10 +33,10 @@ class Encoder:
     at its spaces and line ends, every distinct word goes to the tokenizer once, and the words' ids are
     put together by numpy. Texts with odd white space are split by the tokenizer's own pattern instead,
     and texts with special tokens or rare characters there are encoded whole. ``most`` bounds the
-    remembered words; they are forgotten when full.
+    remembered words but for those of one batch; when full, those stay that came again.
     """
 
-    def __init__(self, path: str, most: int = 1_000_000):
+    def __init__(self, path: str, most: int = 300_000):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
@@ -58,6 +58,18 @@ class Encoder:
     def _forget(self) -> None:
         self.words = pa.array([], pa.string())
         self.pool, self.begin, self.size = np.empty(0, np.uint32), np.empty(0, np.int64), np.empty(0, np.int64)
+        self.again = np.empty(0, bool)
+
+    def _thin(self) -> None:
+        """Forget the words that came in one batch only, and all if that leaves too many."""
+        keep = np.flatnonzero(self.again)
+        if len(keep) > self.most // 2:
+            return self._forget()
+        size = self.size[keep]
+        ends = np.cumsum(size)
+        self.pool = self.pool[np.repeat(self.begin[keep] - (ends - size), size) + np.arange(size.sum())]
+        self.words, self.begin, self.size = self.words.take(pa.array(keep)), ends - size, size
+        self.again = np.zeros(len(keep), bool)
 
     def _whole(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
@@ -129,8 +141,9 @@ class Encoder:
     def _places(self, words: pa.Array) -> np.ndarray:
         """Where each word's ids lie in the pool; new words are encoded as one text and dealt out by their bytes."""
         if len(self.words) > self.most:
-            self._forget()
+            self._thin()
         place = pc.fill_null(pc.index_in(words, value_set=self.words), -1).to_numpy(zero_copy_only=False).astype(np.int64)
+        self.again[place[place >= 0]] = True
         at_new = np.flatnonzero(place < 0)
         if not len(at_new):
             return place
@@ -154,6 +167,7 @@ class Encoder:
         self.pool = np.concatenate([self.pool, *raws])
         self.begin = np.concatenate([self.begin, held + np.cumsum(size) - size])
         self.size = np.concatenate([self.size, size])
+        self.again = np.concatenate([self.again, np.zeros(len(new), bool)])
         self.words = pa.concat_arrays([self.words, new])
         return place
 
